@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .bpe import byte_bpe
 from .common import table
 from .minhash import minhash_components
+from .neighbours import near_vectors
 from .packing import best_fit_pack
 from .quality import quality
+from .topk import exact_topk
 from .toxicity import toxicity
 from .training import fold
 
@@ -45,8 +47,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing, op9_embedding_near_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
