@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .bpe import byte_bpe
-from .common import table
+from .common import shared_dir, table
 from .minhash import minhash_components
 from .neighbours import near_vectors
 from .packing import best_fit_pack
 from .quality import quality
 from .topk import exact_topk
+from .secrets import secret_findings
+from .sharding import ShardStore
 from .toxicity import toxicity
 from .training import fold
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as small shards, are compacted, and are read from the committed version: each row with its shard."""
+    store = ShardStore(spark, f"{shared_dir(spark)}/llm-shards-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    shard = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    return store.read().select("doc_id", F.crc32("text").alias("text_crc32"), shard.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(store.version()).alias("version"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_findings(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("y"))
@@ -56,8 +78,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing, op9_embedding_near_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_byte_bpe, op3_sharding, op4_license_scans, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing, op9_embedding_near_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scans": licenses.oracle()}
