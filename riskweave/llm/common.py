@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
@@ -56,3 +59,19 @@ def purge() -> None:
     if spark is not None and spark.sparkContext._jsc is not None:
         while _written:
             _delete(spark, _written.pop())
+
+
+def grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of a stream sorted by keys, also when they reach over batches."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        key = frame[keys]
+        starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield frame.iloc[a:b]
+        rest = frame.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest

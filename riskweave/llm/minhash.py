@@ -2,12 +2,13 @@
 
 1. One pass over the texts: shingle set size, a 128-bit digest of the set, the low bits of each minimum packed into longs,
    and band keys of whole minima.  Documents of one digest are copies; the smallest id stands for them.
-2. Band keys shared by several sets give buckets.  Each member is compared with its bucket's smallest member: similarity
-   is estimated from equal low bits, corrected for chance collisions, and those not clearly below the threshold are
+2. Band keys shared by several sets give buckets.  Each member is compared with its bucket's smallest member and with the
+   one before it: similarity is estimated from equal low bits, corrected for chance collisions, and those not clearly below the threshold are
    confirmed on full sets.  Confirmed links give first components.
-3. Members that are not in their bucket's main component are compared with all members of other components of the bucket
-   and confirmed likewise.  So a large group of near copies costs links in proportion to its members, not to its pairs,
-   and every candidate pair that could join two components is decided.
+3. In buckets that still hold several components, all members are compared by their packed bits in blocks, which return
+   the components that may belong together; all members of such components are compared on full sets in blocks, which
+   return the links that join components.  So a large group of near copies costs rows in proportion to its members, not to
+   its pairs, and every candidate pair that could join two components is decided.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z in lower case; fewer words than a shingle make
 one shingle; no words or a null text give the empty set, linked with nothing; ids are taken as unique, repeated rows of one
@@ -21,13 +22,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import grouped as _groups
 from .common import materialise
 from .graph import connected_components
 
 MEMO_WORDS = 1_000_000
+BLOCK = 256  # rows compared with as many at once
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -152,9 +155,13 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     fits = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * similarity_percent
     close = similarity_estimate(equal_values(F.col("a_sketch.signature"), F.col("b_sketch.signature"), hashes, bits), hashes, bits) >= similarity_percent / 100 - margin
 
-    star = members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
+    star = members.withColumn("before", before).where("id > pivot").select("id", F.explode(F.array_distinct(F.array("pivot", "before"))).alias("a"))
+    star = star.select("a", F.col("id").alias("b")).distinct()
     star = star.join(sketch("b"), "b").join(sketch("a"), "a").where(fits & close).select("a", "b")
-    first = _confirmed(star, texts, shingle, similarity_percent)
+    bucketed = members.select("id").distinct()
+    used = materialise(texts.hint("merge").join(bucketed.hint("merge"), "id", "left_semi"), "texts")  # texts are dealt by id once, at every size
+    first = _confirmed(star, used, shingle, similarity_percent)
     components = connected_components(first)
 
     label = components.select("id", F.col("component"))
@@ -163,14 +170,13 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     held = held.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
     odd_keys = held.where("component <> main").select("key").distinct()
     held = held.join(odd_keys, "key", "left_semi").join(sketches.select("id", F.struct("n_shingles", "signature").alias("sketch")), "id")
-    held = materialise(held.select("key", "id", "component", "main", "pivot", "sketch"), "held")
-    stray = held.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("a_component"), F.col("sketch").alias("a_sketch"))
-    other = held.where("id <> pivot").select("key", F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("main").alias("b_main"), F.col("sketch").alias("b_sketch"))
-    cross = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a") < F.col("b")))
-    rest = stray.join(other, (stray["key"] == other["key"]) & cross & fits & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        second = _confirmed(rest, texts, shingle, similarity_percent)
+    held = held.select("key", "id", "component", "sketch.n_shingles", "sketch.signature")
+    near = materialise(_near_components(held, similarity_percent, margin, hashes, bits), "near")
+    if not near.isEmpty():
+        clusters = connected_components(near)
+        inside = components.join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
+        alone = clusters.join(components.select("id"), "id", "left_anti").select(F.col("id").alias("component"), "id", F.col("component").alias("cluster"))
+        second = materialise(_settled(inside.unionByName(alone), used, shingle, similarity_percent), "settled")
         tree = components.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
         components = connected_components(tree.union(second))
 
@@ -183,9 +189,7 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity_percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, written to the shared folder."""
     pairs = materialise(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    used = materialise(texts.join(needed, "id", "left_semi"), "texts")
-    side = lambda name: used.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -208,3 +212,90 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity_perc
             yield frame.loc[np.array(hit, dtype=bool), ["a", "b"]]
 
     return materialise(both.mapInPandas(confirm, f"a {kind}, b {kind}"), "confirmed")
+
+
+def _blocked(rows: DataFrame, key: str) -> DataFrame:
+    """rows with part, low and high: groups of key in parts of about BLOCK rows, each row once for every pair of parts it takes part in."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "part", "other")
+
+
+def _forest(linked: np.ndarray, component: np.ndarray) -> list[tuple]:
+    """Links between different components, only as many as it takes to join what `linked` joins: (position, position)."""
+    root: dict = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = find(component[i]), find(component[j])
+        if a != b:
+            root[a] = b
+            found.append((i, j))
+    return found
+
+
+def _near_components(held: DataFrame, similarity_percent: int, margin: float, hashes: int, bits: int) -> DataFrame:
+    """Pairs of components (a, b) of which a bucket holds members whose estimate is not clearly below the threshold."""
+    kind, chance = held.schema["component"].dataType.simpleString(), 1 / (1 << bits)
+    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for group in _groups(frames, ["key", "low", "high"]):
+            component, sizes = group["component"].to_numpy(), group["n_shingles"].to_numpy()
+            if (component == component[0]).all():
+                continue
+            signature = np.stack(group["signature"].to_numpy()).view(np.uint64)
+            differs = np.zeros((len(group), len(group)), dtype=np.int64)
+            for word in signature.T:
+                x = word[:, None] ^ word[None, :]
+                folded = x.copy()
+                for s in range(1, bits):
+                    folded |= x >> np.uint64(s)
+                differs += np.bitwise_count(folded & ones)
+            close = (1 - differs / hashes - chance) / (1 - chance) >= similarity_percent / 100 - margin
+            close &= np.minimum(sizes[:, None], sizes[None, :]) * 100 >= np.maximum(sizes[:, None], sizes[None, :]) * similarity_percent
+            close &= component[:, None] != component[None, :]
+            out += [(min(component[i], component[j]), max(component[i], component[j])) for i, j in _forest(close, component)]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    dealt = _blocked(held, "key").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.select("key", "low", "high", "component", "n_shingles", "signature").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
+def _settled(clusters: DataFrame, texts: DataFrame, shingle: int, similarity_percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components of one cluster (columns id, component, cluster): all members are compared in blocks."""
+    kind = clusters.schema["id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, out = shingler(shingle), []
+        for group in _groups(frames, ["cluster", "low", "high"]):
+            component = group["component"].to_numpy()
+            if (component == component[0]).all():
+                continue
+            sets = [shingles(t) for t in group["text"]]
+            sizes, both = np.array([len(x) for x in sets]), np.zeros((len(sets), len(sets)))
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+            for start in range(0, int(column[-1]) + 1, 8192):  # a bounded slice of the shingles at a time
+                at = slice(*np.searchsorted(column, [start, start + 8192]))
+                grid = np.zeros((len(sets), 8192), dtype=np.float32)
+                grid[owner[at], column[at] - start] = 1
+                both += grid @ grid.T
+            linked = 100 * both >= similarity_percent * (sizes[:, None] + sizes[None, :] - both)
+            linked &= component[:, None] != component[None, :]
+            ids = group["id"].to_numpy()
+            out += [(ids[i], ids[j]) for i, j in _forest(linked, component)]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    dealt = _blocked(clusters, "cluster").join(texts, "id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return dealt.select("cluster", "low", "high", "id", "component", "text").mapInPandas(run, f"a {kind}, b {kind}")

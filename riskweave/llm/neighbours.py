@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import grouped as _groups
 from .common import materialise
 from .graph import connected_components
 
@@ -29,22 +30,6 @@ PART = 512  # rows compared at once
 LEAF = 128  # rows that trees aim at in a leaf
 
 
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of a stream sorted by keys, also when they reach over batches."""
-    rest = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        key = frame[keys]
-        starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield frame.iloc[a:b]
-        rest = frame.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _matrix(raw: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
 
