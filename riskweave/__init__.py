@@ -1,0 +1 @@
+"""A Spark-native text-risk decision engine."""

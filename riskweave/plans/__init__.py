@@ -1 +1 @@
-
+"""Composed analyses and the query catalogue."""

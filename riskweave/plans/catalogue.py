@@ -1,4 +1,558 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""One query for each operator, with the SQL that states the same result."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import ACTIONS, ANY_RISK_TASKS, SEVERITIES, TASKS
+from ..functions import evidence as ev
+from ..functions import policy as rules
+from ..functions import scoring as sc
+from ..functions import text as tx
+from ..operators import metrics as mt
+from ..operators import synth, tuning
+from ..sources import METADATA, read_table
+from . import fixtures as fx
+from . import oracles as o
+from .analyze import decision_records, flags_of, rule_decisions, with_evidence
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def r6(x: Column | str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents")
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and, with negative ids, the inline fixture."""
+    inline = fx.frame(spark, fx.TEXTS, "id bigint, text string").select((-F.col("id")).alias("id"), "text")
+    return inline.union(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+
+
+# --- scans, projections -------------------------------------------------------------------------------------------------
+@query("scan_documents", "SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang, source")
+def scan_documents(spark, d):
+    return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("normalize_text", "SELECT doc_id, md5(lower(replace(text, 'I', 'ı'))) AS digest FROM documents WHERE text NOT LIKE '%İ%'")
+def normalize_text(spark, d):
+    return docs(spark, d).where(~F.contains("text", F.lit("İ"))).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
+
+
+@query("normalize_lang_aware", "SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') THEN lower(replace(replace(text, 'I', 'ı'), 'İ', 'i')) ELSE lower(text) END) AS digest FROM documents")
+def normalize_lang_aware(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(tx.normalize_by_language(F.col("text"))).alias("digest"))
+
+
+@query("text_guard", "SELECT conv_id, turn, length(substr(text, 1, 2000)) AS n FROM conversations WHERE NOT regexp_full_match(substr(text, 1, 2000), '\\s*')")
+def text_guard(spark, d):
+    cut = read_table(spark, d, "conversations").withColumn("cut", tx.guard(F.col("text")))
+    return cut.where("cut IS NOT NULL").select("conv_id", "turn", F.length("cut").cast("bigint").alias("n"))
+
+
+@query("distinct_languages", "SELECT DISTINCT lang FROM documents ORDER BY lang")
+def distinct_languages(spark, d):
+    return docs(spark, d).select("lang").distinct().orderBy("lang")
+
+
+@query("source_distribution", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def source_distribution(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("head_limit", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 256")
+def head_limit(spark, d):
+    return docs(spark, d).orderBy("doc_id").limit(256).select("doc_id", "n_chars")
+
+
+@query("seeded_sample")
+def seeded_sample(spark, d):
+    """2,000 rows, or all if fewer, in a hash order of the seed."""
+    return docs(spark, d).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(2000).select("doc_id", "lang")
+
+
+@query("stratified_split")
+def stratified_split(spark, d):
+    """A fifth of each stratum for validation: the hash of id and seed decides, so no shuffle is needed."""
+    held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)) == 0
+    return docs(spark, d).select("doc_id", "lang", F.when(held, "val").otherwise("train").alias("split"))
+
+
+@query("null_concat", f"SELECT id, coalesce(title, '') || '. ' || coalesce(description, '') AS text FROM {fx.values(fx.INCIDENTS, 'id, title, description, tier, category, corpus')}")
+def null_concat(spark, d):
+    return incidents(spark).select("id", tx.joined_title(F.col("title"), F.col("description")).alias("text"))
+
+
+def incidents(spark: SparkSession) -> DataFrame:
+    return fx.frame(spark, fx.INCIDENTS, "id int, title string, description string, tier string, category string, corpus string")
+
+
+@query("filter_reviewed", f"SELECT corpus, count(*) AS n FROM {fx.values(fx.INCIDENTS, 'id, title, description, tier, category, corpus')} WHERE tier = 'reviewed' AND category = 'real-world' GROUP BY corpus")
+def filter_reviewed(spark, d):
+    return incidents(spark).where("tier = 'reviewed' AND category = 'real-world'").groupBy("corpus").agg(F.count("*").alias("n"))
+
+
+@query("inline_metadata", f"SELECT id, coalesce(CAST(json_extract_string(m, '$.agent') AS BOOLEAN), false) AS agent, coalesce(CAST(json_extract_string(m, '$.external_api') AS BOOLEAN), false) AS external_api FROM {fx.values(fx.METADATA, 'id, m')}")
+def inline_metadata(spark, d):
+    parsed = fx.frame(spark, fx.METADATA, "id int, m string").withColumn("m", F.from_json("m", METADATA))
+    return parsed.select("id", F.coalesce("m.agent", F.lit(False)).alias("agent"), F.coalesce("m.external_api", F.lit(False)).alias("external_api"))
+
+
+@query("teacher_questions", "SELECT task_id, 'Does this text contain ' || replace(task, '_', ' ') || '?' AS question FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TASKS)) + ") AS t(task_id, task)")
+def teacher_questions(spark, d):
+    tasks = fx.frame(spark, list(enumerate(TASKS)), "task_id int, task string")
+    return tasks.select("task_id", F.concat(F.lit("Does this text contain "), F.replace("task", F.lit("_"), F.lit(" ")), F.lit("?")).alias("question"))
+
+
+# --- evidence -----------------------------------------------------------------------------------------------------------
+def _spans(kinds: tuple[str, ...]) -> Query:
+    def run(spark, d):
+        found = ev.spans(F.col("text"), kinds[0]) if len(kinds) == 1 else ev.evidence(F.col("text"), kinds)
+        return texts(spark, d).select("id", F.inline(found)).select("id", "type", "text", "start", "end")
+
+    return run
+
+
+for _kind in ev.PATTERNS:
+    query(f"ev_{_kind.lower()}", f'WITH {o.SRC} SELECT id, type, text, start, "end" FROM ({o.spans(_kind)})')(_spans((_kind,)))
+query("ev_spans_all", f'WITH {o.SRC}, {o.ALL} SELECT id, type, text, start, "end" FROM spans')(_spans(tuple(ev.PATTERNS)))
+
+
+@query("ip_valid", f"WITH v AS (SELECT v FROM (VALUES ('10.0.0.7'), ('300.1.1.1'), ('01.2.3.4'), ('255.255.255.255'), ('1.2.3.0')) AS t(v)) SELECT v, {o.ip('v')} AS valid FROM v")
+def ip_valid(spark, d):
+    return fx.frame(spark, [(v,) for v in ("10.0.0.7", "300.1.1.1", "01.2.3.4", "255.255.255.255", "1.2.3.0")], "v string").select("v", ev.is_ip(F.col("v")).alias("valid"))
+
+
+_LUHN = ("4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "0000000000000", "123")
+
+
+@query("luhn_valid", f"SELECT v, {o.luhn('v')} AS valid FROM {fx.values([(v,) for v in _LUHN], 'v')}")
+def luhn_valid(spark, d):
+    return fx.frame(spark, [(v,) for v in _LUHN], "v string").select("v", ev.is_card(F.col("v")).alias("valid"))
+
+
+@query("tc_valid", f"WITH v AS (SELECT CAST(CASE WHEN id % 2 = 0 THEN 19090909018 ELSE 10000000000 + id * 7919 END AS VARCHAR) AS v, id FROM range(500) AS r(id)) SELECT id, {o.tc('v')} AS valid FROM v")
+def tc_valid(spark, d):
+    v = F.when(F.col("id") % 2 == 0, F.lit(19090909018)).otherwise(10_000_000_000 + F.col("id") * 7919).cast("string")
+    return spark.range(500).select("id", ev.is_national_id(v).alias("valid"))
+
+
+@query("evidence_flags", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS} SELECT * FROM flags")
+def evidence_flags(spark, d):
+    return with_evidence(texts(spark, d)).select("id", "has_pii", "has_secret", "transfer")
+
+
+@query("evidence_chips", f"WITH {o.SRC}, {o.ALL} SELECT id, string_agg(type || ' · ' || substr(text, 1, 80), '|' ORDER BY start, \"end\", n) AS chips FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, \"end\", n) AS rn FROM spans) WHERE rn <= 12 GROUP BY id")
+def evidence_chips(spark, d):
+    labels = ev.chips(ev.evidence(F.col("text")))
+    return texts(spark, d).select("id", F.array_join(labels, "|").alias("chips")).where("chips <> ''")
+
+
+@query("policy_reason_counts", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS} SELECT split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, count(*) AS n FROM (SELECT {o.RULES} AS v FROM flags) GROUP BY ALL")
+def policy_reason_counts(spark, d):
+    return rule_decisions(texts(spark, d)).groupBy("action", "policy_reason").agg(F.count("*").alias("n"))
+
+
+@query("rule_baseline", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS}, b AS (SELECT f.*, l.toxic AS y1, l.quality AS y2 FROM flags f JOIN labels l ON f.id = l.doc_id), m AS (SELECT 'pii' AS task, y1 AS y, CAST(has_pii AS DOUBLE) AS p FROM b UNION ALL SELECT 'secret', y2, CAST(has_secret AS DOUBLE) FROM b) SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('m', 'task')})")
+def rule_baseline(spark, d):
+    flagged = with_evidence(docs(spark, d)).join(read_table(spark, d, "labels"), "doc_id")
+    pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.col(y).alias("y"), F.col(s).cast("double").alias("p")) for t, y, s in (("pii", "toxic", "has_pii"), ("secret", "quality", "has_secret"))])
+    return rounded(mt.task_metrics(mt.with_prediction(flagged.select(F.inline(pairs))), "task"))
+
+
+@query("benign_fpr", f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {o.ALL}, {o.FLAGS} SELECT count(*) AS n, count(*) FILTER (has_pii OR has_secret) AS false_positives, round(avg(CAST(has_pii OR has_secret AS INT)), 6) AS false_positive_rate FROM flags")
+def benign_fpr(spark, d):
+    hit = F.col("has_pii") | F.col("has_secret")
+    flagged = with_evidence(read_table(spark, d, "benchmark").select("text"))
+    return rounded(flagged.agg(F.count("*").alias("n"), F.count_if(hit).alias("false_positives"), F.avg(hit.cast("int")).alias("false_positive_rate")))
+
+
+_VARIANT = "SELECT '{v}' AS variant, avg(CAST(regexp_matches({t}, 'i') AS INT)) AS share FROM documents"
+
+
+@query("normalization_compare", "SELECT variant, round(share, 6) AS share FROM (" + " UNION ALL ".join(_VARIANT.format(v=v, t=t) for v, t in (("original", "lower(replace(text, 'I', 'ı'))"), ("language_aware", "CASE WHEN regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') THEN lower(replace(replace(text, 'I', 'ı'), 'İ', 'i')) ELSE lower(text) END"))) + ")")
+def normalization_compare(spark, d):
+    """A rule's hit rate under each normaliser; both are applied in one scan."""
+    t = F.col("text")
+    both = F.array(F.struct(F.lit("original").alias("variant"), tx.normalize(t).alias("t")), F.struct(F.lit("language_aware").alias("variant"), tx.normalize_by_language(t).alias("t")))
+    return rounded(docs(spark, d).select(F.inline(both)).groupBy("variant").agg(F.avg(F.contains("t", F.lit("i")).cast("int")).alias("share")))
+
+
+# --- policy on inline cases -----------------------------------------------------------------------------------------------
+_C = fx.values(fx.CASES, "id, pii, secret, prompt_injection, dangerous_instruction, ethics_risk, confidence, evidence, transfer, agent, shell, database, network, human_approval, external_api")
+_AGENT = "coalesce(agent, false) AND (coalesce(shell, false) OR (coalesce(database, false) AND coalesce(network, false))) AND NOT coalesce(human_approval, false)"
+_T = "(transfer OR coalesce(external_api, false))"
+_DECIDE = f"""CASE WHEN evidence = 'secret' THEN 'BLOCK/secret_evidence' WHEN evidence = 'pii' AND {_T} THEN 'REDACT/pii_external_transfer' WHEN confidence < CAST(0.6 AS DOUBLE) THEN 'REVIEW/uncertain'
+WHEN prompt_injection >= CAST(0.7 AS DOUBLE) THEN 'BLOCK/prompt_injection' WHEN dangerous_instruction >= CAST(0.75 AS DOUBLE) THEN 'BLOCK/dangerous_instruction' WHEN secret >= CAST(0.65 AS DOUBLE) THEN 'REVIEW/unverified_secret_score'
+WHEN pii >= CAST(0.65 AS DOUBLE) AND {_T} THEN 'REDACT/pii_external_transfer' WHEN {_AGENT} THEN 'REVIEW/agent_permissions' WHEN greatest(pii, secret, prompt_injection, dangerous_instruction, ethics_risk) >= CAST(0.7 AS DOUBLE) OR evidence = 'pii' THEN 'REVIEW/elevated_risk' ELSE 'ALLOW/low_risk' END"""
+
+
+@query("policy_decide", f"SELECT id, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason FROM (SELECT id, {_DECIDE} AS v FROM {_C})")
+def policy_decide(spark, d):
+    cases = fx.frame(spark, fx.CASES, fx.CASE_COLUMNS)
+    scores = {t: F.col(t) if t in cases.columns else F.lit(0.01) for t in TASKS}
+    transfer = F.col("transfer") | F.coalesce("external_api", F.lit(False))
+    verdict = rules.decide(scores, F.col("evidence") == "pii", F.col("evidence") == "secret", transfer, flags_of(cases), F.col("confidence"))
+    return cases.select("id", verdict.alias("v")).select("id", F.col("v.action").alias("action"), F.col("v.reason").alias("policy_reason"))
+
+
+@query("agent_permissions", f"SELECT id, {_AGENT} AS needs_approval FROM {_C}")
+def agent_permissions(spark, d):
+    cases = fx.frame(spark, fx.CASES, fx.CASE_COLUMNS)
+    return cases.select("id", rules.agent_needs_approval(flags_of(cases)).alias("needs_approval"))
+
+
+# --- scores over embeddings -----------------------------------------------------------------------------------------------
+def long(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, label, task_id, task, z, z1 (a second backend), t, p (calibrated) and y by fixed weights and temperatures."""
+    base = read_table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.posexplode(F.array(*map(F.lit, TASKS))).alias("task_id", "task"))
+    head = lambda a, b, m, c: sc.linear(F.col("embedding"), lambda k: ((F.col("task_id") + a) * (k + b)) % m - c)
+    base = base.withColumns({"z": head(1, 3, 7, 3), "z1": head(2, 5, 5, 2), "t": 0.5 + 0.25 * F.col("task_id"), "y": F.when((F.col("label") + F.col("task_id")) % 2 == 0, 1).otherwise(0)}).drop("embedding")
+    return base.withColumn("p", sc.calibrated(sc.sigmoid(F.col("z")), F.col("t")))
+
+
+def logits(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("embedding")
+    rows = lambda a, b: F.array(*[sc.linear(x, lambda k, j=j: ((j + a) * (k + b)) % 5 - 2) for j in range(4)])
+    risks = F.array(*[sc.linear(x, lambda k, t=t: ((t + 1) * (k + 3)) % 7 - 3) for t in range(9)])
+    return read_table(spark, d, "embeddings").select("vec_id", "label", risks.alias("risks"), rows(2, 5).alias("severity_logits"), rows(3, 1).alias("action_logits"))
+
+
+H = f"WITH {o.HEADS} "
+HL = f"WITH {o.HEADS}, {o.LOGITS} "
+
+
+@query("mean_pool", "SELECT label, CAST(k - 1 AS INT) AS k, round(sum(v) / greatest(1, count(*)), 6) AS pooled FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k")
+def mean_pool(spark, d):
+    x = read_table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "v"))
+    return rounded(x.groupBy("label", "k").agg((F.sum(F.col("v").cast("double")) / F.greatest(F.lit(1), F.count("*"))).alias("pooled")))
+
+
+@query("linear_heads", H + "SELECT vec_id, task, round(z, 6) AS z FROM long")
+def linear_heads(spark, d):
+    return rounded(long(spark, d).select("vec_id", "task", "z"))
+
+
+@query("softmax_confidence", HL + f"SELECT vec_id, round(least({o.TOP('sev')}, {o.TOP('act')}), 6) AS confidence FROM logits")
+def softmax_confidence(spark, d):
+    return logits(spark, d).select("vec_id", r6(sc.confidence(F.col("severity_logits"), F.col("action_logits"))).alias("confidence"))
+
+
+def _name(names: tuple[str, ...], x: str) -> str:
+    return f"({list(names)!r})[list_position({x}, list_max({x}))]"
+
+
+@query("argmax_decode", HL + f"SELECT vec_id, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action FROM logits")
+def argmax_decode(spark, d):
+    return logits(spark, d).select("vec_id", sc.decoded(F.col("severity_logits"), SEVERITIES).alias("severity"), sc.decoded(F.col("action_logits"), ACTIONS).alias("model_action"))
+
+
+@query("label_encode", HL + "SELECT vec_id, CAST(list_position(sev, list_max(sev)) - 1 AS INT) AS severity_id FROM logits")
+def label_encode(spark, d):
+    return logits(spark, d).select("vec_id", sc.encoded(sc.decoded(F.col("severity_logits"), SEVERITIES), SEVERITIES).alias("severity_id"))
+
+
+@query("binary_certainty", H + "SELECT vec_id, round(greatest(0, least(1, 2 * max(abs(p - 0.5)))), 6) AS certainty FROM long GROUP BY vec_id")
+def binary_certainty(spark, d):
+    return rounded(long(spark, d).groupBy("vec_id").agg(sc.certainty(F.collect_list("p")).alias("certainty")))
+
+
+@query("calibrate_scores", H + "SELECT vec_id, task, round(p_raw, 6) AS raw, round(p, 6) AS calibrated FROM long")
+def calibrate_scores(spark, d):
+    return long(spark, d).select("vec_id", "task", r6(sc.sigmoid(F.col("z"))).alias("raw"), r6("p").alias("calibrated"))
+
+
+@query("score_floor", H + "SELECT vec_id, task, round(CASE WHEN task IN ('pii', 'secret') AND label % 3 = 0 THEN greatest(p, 0.95) ELSE p END, 6) AS score FROM long")
+def score_floor(spark, d):
+    seen = F.col("task").isin("pii", "secret") & (F.col("label") % 3 == 0)
+    return long(spark, d).select("vec_id", "task", r6(sc.floored(F.col("p"), seen)).alias("score"))
+
+
+_REC = H[:-1] + f", {o.LOGITS}, wide AS (SELECT vec_id, " + ", ".join(f"max(CASE WHEN task = '{t}' THEN 1 / (1 + exp(-ln(pc / (1 - pc)))) END) AS {t}" for t in TASKS) + """ FROM long GROUP BY vec_id),
+rec AS (SELECT w.* REPLACE (CASE WHEN label % 3 = 0 THEN greatest(w.pii, 0.95) ELSE w.pii END AS pii), label, sev, act, """ + f"least({o.TOP('sev')}, {o.TOP('act')}) AS c" + """ FROM wide w JOIN logits USING (vec_id)),
+verdicts AS (SELECT *, CASE WHEN label % 3 = 0 AND label % 2 = 0 THEN 'REDACT/pii_external_transfer' WHEN c < CAST(0.6 AS DOUBLE) THEN 'REVIEW/uncertain' WHEN prompt_injection >= CAST(0.7 AS DOUBLE) THEN 'BLOCK/prompt_injection'
+WHEN dangerous_instruction >= CAST(0.75 AS DOUBLE) THEN 'BLOCK/dangerous_instruction' WHEN secret >= CAST(0.65 AS DOUBLE) THEN 'REVIEW/unverified_secret_score' WHEN pii >= CAST(0.65 AS DOUBLE) AND label % 2 = 0 THEN 'REDACT/pii_external_transfer'
+WHEN greatest(""" + ", ".join(TASKS) + ") >= CAST(0.7 AS DOUBLE) OR label % 3 = 0 THEN 'REVIEW/elevated_risk' ELSE 'ALLOW/low_risk' END AS v FROM rec)"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Records with stand-in evidence: personal data where the label is divisible by 3, a transfer where it is even."""
+    given = logits(spark, d).withColumns({"has_pii": F.col("label") % 3 == 0, "has_secret": F.lit(False), "transfer": F.col("label") % 2 == 0})
+    return decision_records(given)
+
+
+@query("decision_record", _REC + f" SELECT vec_id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, v = 'REVIEW/uncertain' AS abstain FROM verdicts")
+def decision_record(spark, d):
+    return rounded(records(spark, d).select("vec_id", *TASKS, "severity", "model_action", "action", "policy_reason", "abstain"))
+
+
+@query("decision_display", _REC + " SELECT vec_id, CASE split_part(v, '/', 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.DISPLAY.items()) + " END AS reason, c < CAST(0.6 AS DOUBLE) AND split_part(v, '/', 1) = 'REVIEW' AS abstain FROM verdicts")
+def decision_display(spark, d):
+    return records(spark, d).select("vec_id", rules.display_reason(F.col("policy_reason")).alias("reason"), "abstain")
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------------
+@query("pred_truth_join", "SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS positives FROM documents JOIN labels USING (doc_id)")
+def pred_truth_join(spark, d):
+    joined = docs(spark, d).select("doc_id").join(read_table(spark, d, "labels"), "doc_id")
+    return joined.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("positives"))
+
+
+@query("task_unpivot", "SELECT doc_id, 'quality' AS task, quality AS y FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
+def task_unpivot(spark, d):
+    return read_table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "task", "y")
+
+
+@query("confusion", H + o.counted("long", "task"))
+def confusion(spark, d):
+    return mt.confusion(mt.with_prediction(long(spark, d)), "task")
+
+
+_METRICS = f"m AS (SELECT task, {o.RATE_LIST.replace('round(', '(').replace(', 6)', ')')}, tp + fn AS support FROM ({o.counted('long', 'task')}))"
+
+
+@query("task_metrics", H + f"SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('long', 'task')})")
+def task_metrics(spark, d):
+    return rounded(mt.task_metrics(mt.with_prediction(long(spark, d)), "task"))
+
+
+@query("macro_metrics", H[:-1] + f", {_METRICS} SELECT round(avg(f1), 6) AS macro_f1, round(avg(accuracy), 6) AS macro_accuracy, round(avg(recall), 6) AS macro_recall FROM m")
+def macro_metrics(spark, d):
+    return rounded(mt.macro(mt.task_metrics(mt.with_prediction(long(spark, d)), "task"), "f1", "accuracy", "recall"))
+
+
+@query("metrics_by_language", f"WITH b AS (SELECT lang, toxic AS y, CAST(regexp_matches(text, '[0-9]') AS INT) AS p FROM documents JOIN labels USING (doc_id)) SELECT lang, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('b', 'lang')})")
+def metrics_by_language(spark, d):
+    scored = docs(spark, d).join(read_table(spark, d, "labels"), "doc_id").select("lang", F.col("toxic").alias("y"), F.col("text").rlike("[0-9]").cast("int").alias("p"))
+    return rounded(mt.task_metrics(mt.with_prediction(scored), "lang"))
+
+
+@query("error_sample", H + "SELECT task, vec_id FROM (SELECT task, vec_id, row_number() OVER (PARTITION BY task ORDER BY vec_id) AS rn FROM long WHERE (p >= 0.5) <> (y = 1)) WHERE rn <= 12")
+def error_sample(spark, d):
+    wrong = mt.with_prediction(long(spark, d)).where("pred <> y")
+    return tuning.first_in_group(wrong, "task", "vec_id", 12).select("task", "vec_id")
+
+
+@query("any_risk_rate", H + "SELECT round(sum(CAST(top >= 0.5 AS INT)) / greatest(1, count(*)), 6) AS rate FROM (SELECT vec_id, max(p) AS top FROM long WHERE task IN ('privacy_risk', 'security_risk', 'ethics_risk', 'oversight_risk', 'data_governance_risk') GROUP BY vec_id)")
+def any_risk_rate(spark, d):
+    top = long(spark, d).where(F.col("task").isin(*ANY_RISK_TASKS)).groupBy("vec_id").agg(F.max("p").alias("top"))
+    return rounded(top.agg((F.count_if(F.col("top") >= 0.5) / F.greatest(F.lit(1), F.count("*"))).alias("rate")))
+
+
+@query("intervention_rate", _REC + " SELECT round(avg(CAST(split_part(v, '/', 1) IN ('REVIEW', 'BLOCK', 'REDACT') AS INT)), 6) AS rate FROM verdicts")
+def intervention_rate(spark, d):
+    return rounded(records(spark, d).agg(F.avg(F.col("action").isin("REVIEW", "BLOCK", "REDACT").cast("int")).alias("rate")))
+
+
+_BINS = f"bins AS (SELECT task, {o.EDGE_BIN} AS bin, count(*) AS n, avg(y) AS mean_y, avg(p) AS mean_p FROM long GROUP BY 1, 2)"
+
+
+@query("ece_bins", H[:-1] + f", {_BINS} SELECT task, bin, n, round(mean_y, 6) AS mean_y, round(mean_p, 6) AS mean_p FROM bins")
+def ece_bins(spark, d):
+    return rounded(mt.ece_bins(long(spark, d), "task"))
+
+
+@query("ece", H[:-1] + f", {_BINS} SELECT task, round(sum(n * abs(mean_y - mean_p)) / sum(n), 6) AS ece FROM bins GROUP BY task")
+def ece(spark, d):
+    return rounded(mt.ece(long(spark, d), "task"))
+
+
+_BN = "SELECT task, avg((q - y) * (q - y)) AS brier, -avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END) AS nll FROM (SELECT task, y, greatest(least(p, 1 - 1e-7), 1e-7) AS q FROM long) GROUP BY task"
+
+
+@query("brier_nll", H + f"SELECT task, round(brier, 6) AS brier, round(nll, 6) AS nll FROM ({_BN})")
+def brier_nll(spark, d):
+    return rounded(mt.brier_nll(long(spark, d), "task"))
+
+
+@query("calibration_summary", H[:-1] + f", {_BINS} SELECT round(avg(ece), 6) AS mean_ece, round(avg(brier), 6) AS mean_brier, round(avg(nll), 6) AS mean_nll FROM (SELECT task, sum(n * abs(mean_y - mean_p)) / sum(n) AS ece FROM bins GROUP BY task) JOIN ({_BN}) USING (task)")
+def calibration_summary(spark, d):
+    both = mt.ece(long(spark, d), "task").join(mt.brier_nll(long(spark, d), "task"), "task")
+    return rounded(both.agg(F.avg("ece").alias("mean_ece"), F.avg("brier").alias("mean_brier"), F.avg("nll").alias("mean_nll")))
+
+
+# --- sweeps and selections ----------------------------------------------------------------------------------------------------
+_CURVE = H[:-1] + ", one AS (SELECT p, y, threshold FROM long, (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 100, 5) AS r(i)) WHERE task = 'prompt_injection'), curve AS (SELECT threshold, " + ", ".join(f"{o.RATES[n]} AS {a}" for n, a in (("f1", "f1"), ("recall", "recall"), ("precision", "precision"), ("false_positive_rate", "fpr"))) + f" FROM ({o.counted('one', 'threshold', threshold='threshold')}))"
+_CURVE_OUT = "threshold, round(f1, 6) AS f1, round(recall, 6) AS recall, round(precision, 6) AS precision, round(fpr, 6) AS fpr"
+
+
+@query("threshold_sweep", _CURVE + f" SELECT {_CURVE_OUT} FROM curve")
+def threshold_sweep(spark, d):
+    return rounded(tuning.threshold_sweep(long(spark, d).where("task = 'prompt_injection'")), "threshold")
+
+
+@query("threshold_select", _CURVE + f" SELECT {_CURVE_OUT} FROM curve ORDER BY curve.f1 DESC, curve.fpr, threshold LIMIT 1")
+def threshold_select(spark, d):
+    return rounded(tuning.best_threshold(tuning.threshold_sweep(long(spark, d).where("task = 'prompt_injection'"))), "threshold")
+
+
+_BLEND = H[:-1] + ", mixed AS (SELECT alpha, CASE WHEN vec_id % 2 = 0 THEN 'synthetic' ELSE 'external' END AS part, y, 1 / (1 + exp(-((1 - alpha) * ln(pc / (1 - pc)) + alpha * ln(pc1 / (1 - pc1))))) AS p FROM long, (SELECT CAST(unnest([0, .1, .2, .3, .4, .5, .6, .8, 1]) AS DOUBLE) AS alpha) WHERE task = 'prompt_injection'), sweep AS (SELECT alpha, part, " + ", ".join(f"{o.RATES[n]} AS {a}" for n, a in (("f1", "f1"), ("recall", "recall"), ("false_positive_rate", "fpr"))) + f" FROM ({o.counted('mixed', 'alpha', 'part')}))"
+
+
+def blends(spark: SparkSession, d: str) -> DataFrame:
+    two = long(spark, d).where("task = 'prompt_injection'").select("y", F.when(F.col("vec_id") % 2 == 0, "synthetic").otherwise("external").alias("part"), sc.sigmoid(F.col("z")).alias("p0"), sc.sigmoid(F.col("z1")).alias("p1"))
+    return tuning.blend_sweep(two, "part")
+
+
+@query("blend_sweep", _BLEND + " SELECT alpha, part, round(f1, 6) AS f1, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM sweep")
+def blend_sweep(spark, d):
+    return rounded(blends(spark, d), "alpha")
+
+
+@query("blend_select", _BLEND + " SELECT alpha, round(s, 6) AS synthetic_f1, round(e, 6) AS external_f1 FROM (SELECT alpha, max(CASE WHEN part = 'synthetic' THEN f1 END) AS s, max(CASE WHEN part = 'external' THEN f1 END) AS e FROM sweep GROUP BY alpha) WHERE s >= 0.3 ORDER BY e DESC, alpha LIMIT 1")
+def blend_select(spark, d):
+    return rounded(tuning.best_blend(blends(spark, d), gate=0.3), "alpha")
+
+
+_GRID = "grid AS (SELECT round(0.3 * exp(i * ln(CAST(10 AS DOUBLE) / 0.3) / 35), 6) AS g FROM range(36) AS r(i))"
+
+
+@query("temperature_grid", H[:-1] + f", {_GRID}, fit AS (SELECT task, g, -avg(CASE WHEN y = 1 THEN ln(greatest(least(1 / (1 + exp(-z / g)), 1 - 1e-7), 1e-7)) ELSE ln(1 - greatest(least(1 / (1 + exp(-z / g)), 1 - 1e-7), 1e-7)) END) AS nll FROM long, grid GROUP BY task, g) SELECT task, arg_min(g, nll) AS temperature FROM fit GROUP BY task")
+def temperature_grid(spark, d):
+    return tuning.temperature_grid(long(spark, d), "task")
+
+
+@query("action_disagreement", H[:-1] + " , a AS (SELECT vec_id, task, (z >= 0) <> (z1 >= 0) AS differs FROM long) SELECT task, round(avg(CAST(differs AS INT)), 6) AS disagreement FROM a GROUP BY task")
+def action_disagreement(spark, d):
+    """Share of rows on which two backends, given as two tables of decisions, disagree."""
+    scored = long(spark, d)
+    first, second = (scored.select("vec_id", "task", (F.col(z) >= 0).alias(a)) for z, a in (("z", "a"), ("z1", "b")))
+    return rounded(first.join(second, ["vec_id", "task"]).groupBy("task").agg(F.avg((F.col("a") != F.col("b")).cast("int")).alias("disagreement")))
+
+
+_BCE = lambda z, y: f"(greatest({z}, 0) - {z} * {y} + ln(1 + exp(-abs({z}))))"
+_CE = lambda x, i: f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))) - {x}[{i} + 1])"
+
+
+@query("distill_loss", HL + f", task_loss AS (SELECT avg({_BCE('z', 'y')}) AS l FROM long), teach AS (SELECT avg({_BCE('z', 'greatest(least(1 / (1 + exp(-z1)), 0.99), 0.01)')}) AS l FROM long WHERE (1 / (1 + exp(-z1)) >= 0.5) = (y >= 0.5)), heads AS (SELECT avg({_CE('sev', 'label % 4')}) AS s, avg({_CE('act', '(label + 1) % 4')}) AS a FROM logits) SELECT round(task_loss.l + 0.3 * s + 0.3 * a + 0.05 * coalesce(teach.l, 0), 6) AS loss FROM task_loss, teach, heads")
+def distill_loss(spark, d):
+    """Task, severity and action losses, and teacher targets where they are usable."""
+    scored = long(spark, d).withColumn("teacher", sc.sigmoid(F.col("z1")))
+    target = F.least(F.greatest("teacher", F.lit(0.01)), F.lit(0.99))
+    usable = sc.teacher_usable(F.col("teacher"), F.col("y"))
+    parts = scored.agg(F.avg(sc.binary_cross_entropy(F.col("z"), F.col("y"))).alias("task"), F.coalesce(F.avg(F.when(usable, sc.binary_cross_entropy(F.col("z"), target))), F.lit(0.0)).alias("taught"))
+    heads = logits(spark, d).agg(F.avg(sc.cross_entropy(F.col("severity_logits"), F.col("label") % 4)).alias("s"), F.avg(sc.cross_entropy(F.col("action_logits"), (F.col("label") + 1) % 4)).alias("a"))
+    return parts.crossJoin(heads).select(r6(F.col("task") + 0.3 * F.col("s") + 0.3 * F.col("a") + 0.05 * F.col("taught")).alias("loss"))  # one row each
+
+
+_TEACH = fx.values(fx.TEACHER, "id, text, score")
+
+
+@query("teacher_join", f"SELECT d.id, d.text, t.score FROM (VALUES (1, 'first text'), (2, 'third text'), (3, 'absent')) AS d(id, text) LEFT JOIN (SELECT text, arg_max(coalesce(score, -1), id) AS s, CASE WHEN arg_max(coalesce(score, -1), id) < 0 THEN NULL ELSE arg_max(coalesce(score, -1), id) END AS score FROM {_TEACH} GROUP BY text) t USING (text)")
+def teacher_join(spark, d):
+    """The latest teacher row of a text; null where there is none."""
+    latest = fx.frame(spark, fx.TEACHER, "id int, text string, score double").groupBy("text").agg(F.max_by("score", "id").alias("score"))
+    rows = fx.frame(spark, [(1, "first text"), (2, "third text"), (3, "absent")], "id int, text string")
+    return rows.join(latest, "text", "left").select("id", "text", "score")
+
+
+@query("teacher_mask", f"SELECT id, score FROM {_TEACH} WHERE score IS NOT NULL AND (score >= 0.5) = (id % 2 = 0)")
+def teacher_mask(spark, d):
+    rows = fx.frame(spark, fx.TEACHER, "id int, text string, score double").withColumn("y", F.when(F.col("id") % 2 == 0, 1).otherwise(0))
+    return rows.where(sc.teacher_usable(F.col("score"), F.col("y"))).select("id", "score")
+
+
+@query("best_epoch", f"SELECT epoch, f1 AS validation_f1 FROM {fx.values(fx.EPOCHS, 'epoch, f1')} ORDER BY f1 DESC, epoch LIMIT 1")
+def best_epoch(spark, d):
+    return tuning.best_epoch(fx.frame(spark, fx.EPOCHS, "epoch int, validation_f1 double"))
+
+
+@query("trailing_mean_25", "SELECT user_id, event_id, round(m, 6) AS trailing_mean FROM (SELECT user_id, event_id, row_number() OVER w AS step, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE step % 25 = 0")
+def trailing_mean_25(spark, d):
+    return rounded(tuning.trailing_mean(read_table(spark, d, "events"), "value", "event_id", "user_id").select("user_id", "event_id", "trailing_mean"))
+
+
+@query("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(list_sort(list(value))[count(value) // 2 + 1], 6) AS p50, count(value) AS n FROM events GROUP BY event_type")
+def latency_stats(spark, d):
+    return rounded(mt.latency(read_table(spark, d, "events"), "value", "event_type"))
+
+
+# --- synthetic corpus -----------------------------------------------------------------------------------------------------------
+_CASE = lambda m: "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
+_NINE = lambda i: f"CAST(substr(nine, {i + 1}, 1) AS INT)"
+_TENTH = "(((" + " + ".join(map(_NINE, range(0, 9, 2))) + ") * 7 - (" + " + ".join(map(_NINE, range(1, 8, 2))) + ")) % 10 + 10) % 10"
+_TC = f"nine || ({_TENTH}) || ((" + " + ".join(map(_NINE, range(9))) + f" + ({_TENTH})) % 10)"
+_TEMPLATE = f"replace(({_CASE(synth.STEMS)}) || ' #' || tid, '{{extra}}', ({list(synth.EXTRAS)!r})[tid + 1])"
+_TEXT = "replace(replace(replace(replace(replace(replace(replace(template, '{person}', (" + repr(list(synth.PERSONS)) + ")[1 + id % 4]), '{email}', 'sample' || n || '@example.org'), '{phone}', '0532' || lpad(CAST(n % 10000000 AS VARCHAR), 7, '0')), '{tc}', tc), '{secret}', 'synthetic_KEY_' || lpad(CAST(n AS VARCHAR), 8, '0') || '_ABCDEF'), '{object}', (" + repr(list(synth.OBJECTS)) + ")[1 + id % 2]), '{n}', CAST(n AS VARCHAR))"
+_SYNTH = f"WITH {o.SYNTH}, tpl AS (SELECT *, {_TC} AS tc, {_TEMPLATE} AS template FROM fam), lab AS (SELECT *, " + ", ".join("CAST(category IN (" + ", ".join(f"'{c}'" for c, f in synth.FLAGS.items() if t in f) + f") AS INT) AS {t}0" for t in TASKS) + " FROM tpl), fin AS (SELECT *, CASE WHEN category = 'MULTI_RISK' AND (template LIKE '%secret%' OR template LIKE '%token%') THEN 1 ELSE secret0 END AS secret, CASE WHEN category = 'MULTI_RISK' AND (template LIKE '%Ignore%' OR template LIKE '%Reveal%') THEN 1 ELSE prompt_injection0 END AS prompt_injection FROM lab), act AS (SELECT *, secret + prompt_injection + dangerous_instruction0 > 0 AS blocked FROM fin)"
+
+
+@query("synth_corpus", _SYNTH + f" SELECT id, category, family, {_TEXT} AS text FROM act")
+def synth_corpus(spark, d):
+    return synth.corpus(spark, 2200).select("id", "category", "family", "text")
+
+
+@query("synth_labels", _SYNTH + " SELECT id, secret, prompt_injection, " + ", ".join(f"{t}0 AS {t}" for t in TASKS if t not in ("secret", "prompt_injection")) + ", CASE WHEN category = 'BENIGN' THEN 'ALLOW' WHEN blocked THEN 'BLOCK' WHEN category = 'MULTI_RISK' THEN 'REDACT' ELSE 'REVIEW' END AS action, CASE WHEN category = 'BENIGN' THEN 'LOW' WHEN blocked THEN 'CRITICAL' WHEN category = 'MULTI_RISK' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN tid < 4 THEN 'tr' WHEN tid < 8 THEN 'en' ELSE 'mixed' END AS language FROM act")
+def synth_labels(spark, d):
+    return synth.corpus(spark, 2200).select("id", *TASKS, "action", "severity", "language")
+
+
+@query("tc_generate", f"WITH {o.SYNTH} SELECT id, {_TC} AS tc FROM base")
+def tc_generate(spark, d):
+    return spark.range(2200).select("id", synth.national_id((100_000_000 + (F.col("id") * 104729) % 900_000_000).cast("string")).alias("tc"))
+
+
+def split_corpus(spark: SparkSession) -> DataFrame:
+    return synth.corpus(spark, 2200).withColumn("split", synth.split_of(F.col("family")))
+
+
+@query("family_split", f"WITH {o.SYNTH} SELECT id, family, split FROM fam")
+def family_split(spark, d):
+    return split_corpus(spark).select("id", "family", "split")
+
+
+@query("family_overlap", f"WITH {o.SYNTH} SELECT count(*) AS overlapping FROM (SELECT family FROM fam GROUP BY family HAVING count(DISTINCT split) > 1)")
+def family_overlap(spark, d):
+    return synth.family_overlap(split_corpus(spark)).agg(F.count("*").alias("overlapping"))
+
+
+@query("split_counts", f"WITH {o.SYNTH} SELECT split, count(*) AS n, count(DISTINCT family) AS families FROM fam GROUP BY split")
+def split_counts(spark, d):
+    return split_corpus(spark).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"))
+
+
+@query("surrogate_scores")
+def surrogate_scores(spark, d):
+    """Logistic regression on hashed words in place of the encoder: trained on documents with labels, scores for all."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, Tokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    table = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    train = table.join(read_table(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
+    steps = [Tokenizer(inputCol="text", outputCol="words"), HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 12), LogisticRegression(maxIter=8, regParam=0.01)]
+    scored = Pipeline(stages=steps).fit(train).transform(table)
+    return scored.select("doc_id", r6(vector_to_array("probability")[1]).alias("score"))

@@ -1 +1,48 @@
+"""Readers and writers: JSON lines with explicit schemas, JSON documents, policy and temperature files, reports."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..constants import TASKS
+
+LABELLED = f"text string, category string, family string, language string, labels struct<{', '.join(f'{t}: int' for t in TASKS)}>, action string, severity string, source string"
+TEACHER = "text string, teacher map<string, double>"
+METADATA = "agent boolean, shell boolean, filesystem boolean, network boolean, database boolean, external_api boolean, credential_access boolean, human_approval boolean"
+
+
+def read_rows(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}.parquet")
+
+
+def write_splits(df: DataFrame, path: str) -> None:
+    """One folder of JSON lines for each value of the split column."""
+    df.write.partitionBy("split").mode("overwrite").json(path)
+
+
+def save_json(path: str, value: object) -> None:
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(value, file, indent=2, ensure_ascii=False)
+
+
+def load_json(path: str) -> object:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def report(metrics: DataFrame, title: str, digits: int = 3) -> str:
+    """A small metric table as Markdown; metrics hold one row for each task or report."""
+    rows = [r.asDict() for r in metrics.collect()]
+    names = metrics.columns
+    shown = lambda x: f"{x:.{digits}f}" if isinstance(x, float) else f"{x:,}" if isinstance(x, int) and not isinstance(x, bool) else str(x)
+    return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(shown(r[n]) for n in names) + " |" for r in rows)]) + "\n"
+
+
+def mib(size: int) -> str:
+    return f"{size / 1048576:.1f} MiB"
