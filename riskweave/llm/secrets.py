@@ -191,8 +191,8 @@ def redact_secrets(docs: DataFrame, *, mark: str = "[SECRET]", findings: list |
     """docs with every secret in the text replaced by mark; columns and their order stay."""
     shared = _state(docs, findings)
 
-    @F.pandas_udf("string", F.PandasUDFType.SCALAR_ITER)
-    def clean(frames):
+    @F.pandas_udf("string")
+    def clean(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         forest = _forest(shared.value)
         for texts, paths in frames:
             out = []

@@ -128,8 +128,8 @@ def fit(sample: pd.DataFrame, *, prior: float = 6.0, drift: float = 0.8) -> Mode
         for x in chain:
             counts[x][0] += none
             counts[x][1] += some
-    whole = np.sum([counts[x] for x in parents], axis=0)
-    base = whole[1] / whole.sum()
+    whole = np.sum([counts[x] for x in parents] or [[0.0, 0.0]], axis=0)
+    base = float(np.clip(whole[1] / max(whole.sum(), 1e-9), 1e-6, 1 - 1e-6))
     rate: dict[str, float] = {}
 
     def estimate(chain: list[str]) -> float:
