@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .training import SAMPLE_ROWS, labelled_sample, logistic
 
 PREFIXES = (8, 7, 6, 5, 4, 3)
+LEAST = 3.0  # weight of documents that a stem's log-odds are kept from
 CEILING = 7.0  # of a token's log-odds
 WIDEST = 15.0  # of the joint significance that the logistic link sees
 STRIP = ".,;:!?\"'()[]{}*#%$&|-_<>/\\"
@@ -118,33 +119,28 @@ def fit(sample: pd.DataFrame, *, prior: float = 6.0, drift: float = 0.8) -> Mode
     check = ~learn if not learn.all() else learn
     words: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])  # documents of either kind that hold a word
     for text, label, w in zip(sample["text"][learn], y[learn], weight[learn], strict=True):
-        for token in set(text.lower().split()):
-            words[token][label] += w
+        for word in {token.strip(STRIP) or token for token in set(text.lower().split())}:
+            words[word][label] += w
     counts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    parents: dict[str, list[str]] = {}
-    for token, (none, some) in words.items():
-        chain = stems(token)
-        parents[chain[0]] = chain[1:]
-        for x in chain:
+    for word, (none, some) in words.items():
+        chain = stems(word)
+        for x in chain if none + some >= LEAST else chain[1:]:  # rarer words speak through their prefixes
             counts[x][0] += none
             counts[x][1] += some
-    whole = np.sum([counts[x] for x in parents] or [[0.0, 0.0]], axis=0)
+    whole = np.sum([*words.values(), [0.0, 0.0]], axis=0)
     base = float(np.clip(whole[1] / max(whole.sum(), 1e-9), 1e-6, 1 - 1e-6))
     rate: dict[str, float] = {}
 
-    def estimate(chain: list[str]) -> float:
+    for word in words:
         above = base
-        for x in reversed(chain):  # from the shortest prefix to the word
+        for x in reversed([x for x in stems(word) if x in counts]):  # from the shortest prefix to the word
             if x not in rate:
                 none, some = counts[x]
                 rate[x] = (some + prior * above) / (none + some + prior)
             above = rate[x]
-        return above
-
-    for word, chain in parents.items():
-        estimate([word, *chain])
     base_odds = np.log(base / (1 - base))
-    model = Model({x: float(min(np.log(p / (1 - p)) - base_odds, CEILING)) for x, p in rate.items() if sum(counts[x]) >= 3}, drift)
+    model = Model({x: float(min(np.log(p / (1 - p)) - base_odds, CEILING)) for x, p in rate.items() if sum(counts[x]) >= LEAST}, drift)
+    del words, counts, rate
 
     score_of, found = model.scorer(), []
     for text in sample["text"][check]:
