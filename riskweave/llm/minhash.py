@@ -30,7 +30,7 @@ from .common import materialise
 from .graph import connected_components
 
 MEMO_WORDS = 1_000_000
-BLOCK = 256  # rows compared with as many at once
+BLOCK = 512  # rows compared with as many at once; rows of a group are copied once for each block of it
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
