@@ -3,12 +3,14 @@
 1. One pass over the texts: shingle set size, a 128-bit digest of the set, the low bits of each minimum packed into longs,
    and band keys of whole minima.  Documents of one digest are copies; the smallest id stands for them.
 2. Band keys shared by several sets give buckets.  Each member is compared with its bucket's smallest member and with the
-   one before it: similarity is estimated from equal low bits, corrected for chance collisions, and those not clearly below the threshold are
+   one before it (in its lane, of which a large bucket has several): similarity is estimated from equal low bits, corrected for chance collisions, and those not clearly below the threshold are
    confirmed on full sets.  Confirmed links give first components.
 3. In buckets that still hold several components, all members are compared by their packed bits in blocks, which return
    the components that may belong together; all members of such components are compared on full sets in blocks, which
-   return the links that join components.  So a large group of near copies costs rows in proportion to its members, not to
-   its pairs, and every candidate pair that could join two components is decided.
+   return the links that join components.  Members of a group's largest component are copied only to the blocks of the
+   rest, so a large group of near copies that step 2 has joined costs rows in proportion to its members; what it has left
+   apart costs rows with the square of its number over the block size.  Every candidate pair that could join two
+   components is decided.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z in lower case; fewer words than a shingle make
 one shingle; no words or a null text give the empty set, linked with nothing; ids are taken as unique, repeated rows of one
@@ -30,7 +32,8 @@ from .common import materialise
 from .graph import connected_components
 
 MEMO_WORDS = 1_000_000
-BLOCK = 512  # rows compared with as many at once; rows of a group are copied once for each block of it
+BLOCK = 256  # rows compared with as many at once
+LANE = 1024  # members of a bucket that one task orders
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -147,15 +150,16 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     sketches = materialise(reps.select("id", "n_shingles", "signature", "keys"), "sketches")
 
     exploded = sketches.select("id", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    members = materialise(exploded.join(shared, "key"), "members")
+    shared = exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("size")).where("pivot < last")
+    lane = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LANE)).cast("int")
+    members = materialise(exploded.join(shared, "key").select("key", "pivot", "id", lane.alias("lane")), "members")
 
     sketch = lambda name: sketches.select(F.col("id").alias(name), F.struct("n_shingles", "signature").alias(f"{name}_sketch"))
     size_a, size_b = F.col("a_sketch.n_shingles"), F.col("b_sketch.n_shingles")
     fits = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * similarity_percent
     close = similarity_estimate(equal_values(F.col("a_sketch.signature"), F.col("b_sketch.signature"), hashes, bits), hashes, bits) >= similarity_percent / 100 - margin
 
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
+    before = F.lag("id").over(Window.partitionBy("key", "lane").orderBy("id"))
     star = members.withColumn("before", before).where("id > pivot").select("id", F.explode(F.array_distinct(F.array("pivot", "before"))).alias("a"))
     star = star.select("a", F.col("id").alias("b")).distinct()
     star = star.join(sketch("b"), "b").join(sketch("a"), "a").where(fits & close).select("a", "b")
@@ -215,11 +219,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity_perc
 
 
 def _blocked(rows: DataFrame, key: str) -> DataFrame:
-    """rows with part, low and high: groups of key in parts of about BLOCK rows, each row once for every pair of parts it takes part in."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "part", "other")
+    """rows with low and high: every two rows of a group of key that lie in different components meet in some block (key, low, high).
+
+    Rows of one component needn't meet.  So a group's largest component is dealt into parts of about BLOCK rows (numbered
+    below 0) that meet only the parts of the rest (0 and up), and these meet each other.  A row is copied once for each
+    part that it meets: the largest component is copied as often as the rest has parts, not as it has parts itself.
+    """
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy(key).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+    sizes = sizes.select(key, "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("main_parts"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("rest_parts"))
+    in_main, hashed = F.col("component") == F.col("main"), F.xxhash64("id")
+    part = F.when(in_main, -1 - F.pmod(hashed, F.col("main_parts"))).otherwise(F.pmod(hashed, F.col("rest_parts"))).cast("int")
+    rest = F.sequence(F.lit(0), F.col("rest_parts") - 1)
+    meets = F.when(in_main, rest).otherwise(F.concat(F.sequence(-F.col("main_parts"), F.lit(-1)), F.array_remove(rest, F.col("part"))))
+    dealt = rows.join(sizes, key).withColumn("part", part).withColumn("other", F.explode(meets))
+    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("main", "main_parts", "rest_parts", "part", "other")
 
 
 def _forest(linked: np.ndarray, component: np.ndarray) -> list[tuple]:

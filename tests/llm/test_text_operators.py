@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from riskweave.llm import licenses, secrets
+from riskweave.llm import licenses, minhash, secrets
 from riskweave.llm.bpe import byte_bpe, read_ranks
 from riskweave.llm.minhash import minhash_components, shingler
 from riskweave.llm.packing import best_fit_pack, pack_histogram
@@ -86,8 +86,10 @@ def brute(texts, size, percent):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_minhash_equals_brute_force_on_families_and_chains(spark, size):
+@pytest.mark.parametrize(("size", "block", "lane"), [(2, 256, 1024), (5, 256, 1024), (2, 3, 4)])
+def test_minhash_equals_brute_force_on_families_and_chains(spark, size, block, lane, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LANE", lane)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
     rows, n = [(i, t) for i, t, *_ in odd_rows()[:8]], 100
@@ -105,6 +107,19 @@ def test_minhash_equals_brute_force_on_families_and_chains(spark, size):
     assert minhash_components(docs.limit(0), shingle=size).count() == 0
 
 
+def test_blocks_bring_all_rows_of_different_components_together(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [("big", i, 0 if i < 60 else i) for i in range(75)] + [("one", i, 7) for i in range(20)] + [("even", i, i) for i in range(9)] + [("pair", 1, 1), ("pair", 2, 2)]
+    dealt = minhash._blocked(spark.createDataFrame(rows, "key string, id long, component long"), "key").collect()
+    blocks: dict = {}
+    for r in dealt:
+        blocks.setdefault((r.key, r.low, r.high), []).append((r.id, r.component))
+    met = {(k, a, b) for (k, *_), x in blocks.items() for a, c in x for b, d in x if a < b and c != d}
+    assert met == {(k, a, b) for k, a, c in rows for m, b, d in rows if k == m and a < b and c != d}
+    assert all(n == 1 for n in pd.Series([(r.key, r.low, r.high, r.id) for r in dealt]).value_counts())
+    assert sum(r.key == "big" and r.component == 0 for r in dealt) == 60 * 4  # once for each part of the other 15
+
+
 def test_maximal_segments():
     assert maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
     assert maximal_segments([]) == [] and maximal_segments([-1.0]) == []
