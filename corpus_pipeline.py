@@ -2,10 +2,16 @@
 
 toxicity and quality drop the documents that their classifier rejects, near-dedup keeps one document of each group of near
 copies (five-word shingles, similarity 0.8), secrets are replaced in the texts, and packing returns the pieces.
+
+Defined results: repeated rows of one id count as copies, of which near-dedup keeps one; rows with a null id take part under
+a key made from their text, so they are scored, rejected and deduplicated like others, a row with an id staying before them;
+those without words are linked with nothing and all stay; extra columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,29 +24,40 @@ from riskweave.llm.secrets import redact_secrets
 from riskweave.llm.toxicity import toxicity
 
 ORACLE_SQL = None  # classifiers and packing can't be expressed in SQL
+_KEY = "_pipeline_key"
 
 
 def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("y"))
 
 
-def _accepted(docs: DataFrame, verdicts: DataFrame, rejected: int) -> DataFrame:
-    """docs without the ids that have the rejected verdict; rows with a null id can't be rejected."""
-    dropped = verdicts.where(F.col("predicted") == rejected).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _KEY: the id, or for a null id a number from 2**62 on made from the text."""
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 2) + F.lit(1 << 62)
+    return docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), made))
+
+
+def _accepted(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], rejected: int) -> DataFrame:
+    """docs without those to which the operator gives the rejected verdict."""
+    keyed = _keyed(docs)
+    dropped = operator(keyed.withColumn("doc_id", F.col(_KEY))).where(F.col("predicted") == rejected).select(F.col("doc_id").alias(_KEY))
+    return keyed.join(dropped, _KEY, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _accepted(docs, toxicity(docs, _labels(spark, sf_dir, "toxic")), rejected=1)
+    return _accepted(docs, lambda keyed: toxicity(keyed, _labels(spark, sf_dir, "toxic")), rejected=1)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _accepted(docs, quality(docs, _labels(spark, sf_dir, "quality")), rejected=0)
+    return _accepted(docs, lambda keyed: quality(keyed, _labels(spark, sf_dir, "quality")), rejected=0)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash_components(docs, shingle=5, similarity_percent=80).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    copies = minhash_components(keyed, shingle=5, similarity_percent=80, id_col=_KEY).where("not kept").select(_KEY)
+    unnamed = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.where(~unnamed).join(copies, _KEY, "left_anti").dropDuplicates([_KEY])
+    return one.unionByName(keyed.where(unnamed)).select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
