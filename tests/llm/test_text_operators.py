@@ -201,3 +201,21 @@ def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     packed = cp.STAGES[-1][1](spark, docs, sf).toPandas()
     assert set(packed["doc_id"]) == ids and packed.groupby("sequence_id")["length"].sum().max() <= 2048
     assert isinstance(packed, pd.DataFrame)
+
+
+def test_pipeline_stages_on_null_ids_and_repeats(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, 5), (None, base + " more", 5), (None, base, 5), (None, "alone in the table", 5), (None, "alone in the table", 5), (None, None, 5), (None, " ", 5), (2, None, 5), (2, None, 5), (3, "another text", 5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, "x", 1) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, key int")
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, base), (None, "alone in the table"), (None, None), (None, " "), (2, None), (3, "another text")], key=str)
+    verdict = lambda keyed: keyed.selectExpr("doc_id", "int(text IS NOT NULL AND text LIKE 'alone%') AS predicted")
+    left = cp._accepted(docs, verdict, rejected=1)
+    assert left.columns == docs.columns and left.count() == 8 and left.where("text LIKE 'alone%'").count() == 0
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES:
+        stage(spark, docs, str(tmp_path)).collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
