@@ -145,12 +145,14 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
             yield pd.DataFrame(out, columns=["id", "n_shingles", "digest", "signature", "keys"])
 
     signed = materialise(texts.mapInPandas(sign, f"id {kind}, n_shingles long, digest binary, signature array<long>, keys array<long>"), "signatures")
-    copies = signed.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"))
+    # aggregates are written before rows join them, as Spark splits the large partitions of a join only where both sides are read
+    copies = materialise(signed.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("id").alias("rep")), "copies")
     reps = signed.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
     sketches = materialise(reps.select("id", "n_shingles", "signature", "keys"), "sketches")
 
     exploded = sketches.select("id", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("size")).where("pivot < last")
+    shared = materialise(shared, "buckets")
     lane = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LANE)).cast("int")
     members = materialise(exploded.join(shared, "key").select("key", "pivot", "id", lane.alias("lane")), "members")
 
@@ -170,9 +172,7 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
 
     label = components.select("id", F.col("component"))
     held = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = components.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
-    held = held.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    odd_keys = held.where("component <> main").select("key").distinct()
+    odd_keys = materialise(held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key"), "odd-keys")
     held = held.join(odd_keys, "key", "left_semi").join(sketches.select("id", F.struct("n_shingles", "signature").alias("sketch")), "id")
     held = held.select("key", "id", "component", "sketch.n_shingles", "sketch.signature")
     near = materialise(_near_components(held, similarity_percent, margin, hashes, bits), "near")
@@ -228,6 +228,7 @@ def _blocked(rows: DataFrame, key: str) -> DataFrame:
     sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy(key).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
     sizes = sizes.select(key, "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("main_parts"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("rest_parts"))
+    sizes = materialise(sizes, "sizes")
     in_main, hashed = F.col("component") == F.col("main"), F.xxhash64("id")
     part = F.when(in_main, -1 - F.pmod(hashed, F.col("main_parts"))).otherwise(F.pmod(hashed, F.col("rest_parts"))).cast("int")
     rest = F.sequence(F.lit(0), F.col("rest_parts") - 1)
