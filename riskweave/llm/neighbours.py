@@ -2,7 +2,8 @@
 
 1. Equal vectors of a label are one vector with a multiplicity.
 2. A first neighbour graph comes from random-projection trees: vectors of one leaf are compared, each keeps its nearest.
-   Leaves are dealt in parts of bounded size.
+   A large leaf is dealt in parts of bounded size that are compared pairwise: nearest within a part, and over all parts
+   the links that join what the leaf's links connect.
 3. Rounds of neighbours of neighbours: the neighbourhood of each vector is compared like a leaf, both ways of an edge
    count, and lists keep their nearest.
 4. A list whose every entry passes the threshold is saturated: more may pass than it holds.  Saturated lists are enlarged
@@ -42,7 +43,11 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: float, threshold: fl
         return []
     near = np.argsort(-similar, axis=1, kind="stable")[:, :k]
     edges = [(int(ids[i]), int(ids[j]), float(similar[i, j])) for i, row in enumerate(near) for j in row if similar[i, j] >= floor]
-    linked = similar >= threshold
+    return edges + _joining(ids, similar >= threshold)
+
+
+def _joining(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges of cosine 2 that join what links (a symmetric matrix) connect: each row to the smallest id that it reaches."""
     root = np.full(len(ids), -1)
     for i in np.argsort(ids, kind="stable").tolist():
         if root[i] < 0 and linked[i].any():
@@ -50,7 +55,7 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: float, threshold: fl
             while len(front):
                 front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
                 root[front] = i
-    return edges + [(int(ids[r]), int(ids[i]), 2.0) for i, r in enumerate(root) if r >= 0 and r != i]
+    return [(int(ids[r]), int(ids[i]), 2.0) for i, r in enumerate(root) if r >= 0 and r != i]
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int = 8, rounds: int = 1, recall: float = 0.98, audit_rows: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 5) -> DataFrame:
@@ -82,7 +87,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
             lists = edges.where("cosine < 1.5").select("a", "b", "cosine").union(edges.where("cosine < 1.5").select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).distinct()
             nearest = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
             lists = lists.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= neighbours).select("a", "b")
-            around = lists.union(lists.select("a", F.col("a").alias("b")).distinct()).select(F.col("b").alias("id"), F.col("a").alias("leaf"), F.lit(0).alias("part"))
+            around = lists.union(lists.select("a", F.col("a").alias("b")).distinct()).select(F.col("b").alias("id"), F.col("a").alias("leaf"), F.lit(0).alias("low"), F.lit(0).alias("high"))
             edges = edges.union(materialise(_compare(around, reps, neighbours, floor, threshold), "round"))
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
         if _audit(reps, components, threshold, audit_rows) >= recall:
@@ -96,7 +101,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
 
 
 def _leaves(reps: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
-    """(id, leaf, part): each vector's leaf in each tree, only leaves of several, dealt in parts of about PART rows."""
+    """(id, leaf, low, high): each vector's leaf in each tree, only leaves of several, in blocks as _blocks deals them."""
 
     def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(depth, dtype=np.int64)
@@ -109,27 +114,38 @@ def _leaves(reps: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
 
     coded = reps.select("id", "place", "raw").mapInPandas(codes, "id long, place long, codes array<long>")
     leaves = coded.select("id", "place", F.posexplode("codes")).select("id", F.xxhash64("place", "pos", "col").alias("leaf"))
-    counts = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    return leaves.join(counts, "leaf").select("id", "leaf", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int").alias("part"))
+    return _blocks(leaves)
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """(id, leaf, low, high) of leaves of several rows, dealt in parts of about PART rows: any two parts meet in one block (low, high)."""
+    parts = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = leaves.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("id", "leaf", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select("id", "leaf", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
 
 def _compare(grouped: DataFrame, reps: DataFrame, k: int, floor: float, threshold: float) -> DataFrame:
-    """Edges found among the rows of each (leaf, part)."""
+    """Edges found among the rows of each (leaf, low, high); blocks of two parts give joining links alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int, float]] = []
-        for group in _groups(frames, ["leaf", "part"]):
+        for group in _groups(frames, ["leaf", "low", "high"]):
             if len(group) > 1:
-                ids = group["id"].to_numpy()
-                for at in np.array_split(np.arange(len(ids)), -(-len(ids) // (4 * PART))):
-                    out += _nearest(ids[at], _matrix(group["raw"].iloc[at]), k, floor, threshold)
+                ids, x = group["id"].to_numpy(), _matrix(group["raw"])
+                if group["low"].iloc[0] == group["high"].iloc[0]:
+                    out += _nearest(ids, x, k, floor, threshold)
+                else:
+                    linked = x @ x.T >= threshold
+                    np.fill_diagonal(linked, False)
+                    out += _joining(ids, linked)
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["a", "b", "cosine"])
                 out = []
         yield pd.DataFrame(out, columns=["a", "b", "cosine"]).astype({"a": "int64", "b": "int64", "cosine": "float64"})
 
-    with_vectors = grouped.join(reps.select("id", "raw"), "id").repartition("leaf", "part").sortWithinPartitions("leaf", "part")
-    return with_vectors.select("leaf", "part", "id", "raw").mapInPandas(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
+    with_vectors = grouped.join(reps.select("id", "raw"), "id").repartition("leaf", "low", "high").sortWithinPartitions("leaf", "low", "high")
+    return with_vectors.select("leaf", "low", "high", "id", "raw").mapInPandas(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
 def _audit(reps: DataFrame, components: DataFrame, threshold: float, audit_rows: int) -> float:

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from riskweave.llm import neighbours
+from riskweave.llm.graph import connected_components
 from riskweave.llm.neighbours import near_vectors
 from riskweave.llm.topk import exact_topk
 
@@ -41,6 +43,20 @@ def test_near_vectors_equal_brute_force(spark, table):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_large_leaves_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 16)
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal(16) + 0.25 * r.standard_normal((150, 16)), 2, axis=0) + 0.01 * r.standard_normal((300, 16))  # a dense region of pairs
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, 1, 1, v.tobytes()) for i, v in enumerate(x)], "id long, place long, copies long, raw binary")
+    leaves = neighbours._leaves(reps, 1, 1, 3)
+    edges = neighbours._compare(leaves, reps, 8, 0.9, 0.98).where("cosine >= 0.98").select("a", "b")
+    component = {r.id: r.component for r in connected_components(edges).collect()}
+    leaf = {r.id: r.leaf for r in leaves.collect()}
+    pairs = [(a, b) for a in range(300) for b in range(a) if x[a] @ x[b] >= 0.98 and leaf[a] == leaf[b]]
+    assert len(pairs) > 100 and all(component.get(a, a) == component.get(b, -b - 1) for a, b in pairs)
+
+
 @pytest.mark.parametrize(("block_rows", "block_queries"), [(32_768, 192), (100, 7)])
 def test_topk_equals_brute_force(spark, table, block_rows, block_queries):
     ok = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v, *_ in rows() if v is not None and all(x is not None and np.isfinite(x) for x in v)]
