@@ -8,7 +8,10 @@
    count, and lists keep their nearest.
 4. A list whose every entry passes the threshold is saturated: more may pass than it holds.  Saturated lists are enlarged
    to the vector's whole component, compared in blocks that return counts and no pairs.
-5. Recall is audited: a bounded sample of vectors against all rows.  While links are missed, more trees are grown.
+5. Recall is audited by vector: bounded samples of all vectors and of those in small components are compared with all
+   rows, and each vector counts alike, however many links it has.  While the mean share of links found is too low, over
+   all sampled vectors or over those of few links, more trees are grown; labels that still miss links then are compared
+   whole, in the blocks of large leaves.
 
 Defined results: links need equal labels, not null, and equal lengths; null, empty and zero vectors and those with null or
 non-finite components link with nothing; rows of one id are taken as one vector if equal; other columns are ignored.
@@ -29,6 +32,7 @@ from .graph import connected_components
 
 PART = 512  # rows compared at once
 LEAF = 128  # rows that trees aim at in a leaf
+ATTEMPTS = 4  # growths of trees before labels are compared whole
 
 
 def _matrix(raw: pd.Series) -> np.ndarray:
@@ -80,7 +84,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
     trees = min(32, int(np.ceil(np.log(0.01) / np.log(missed))))
     floor = float(np.cos(min(2 * np.arccos(threshold), np.pi / 2)))
     edges = None
-    for attempt in range(4):
+    for attempt in range(ATTEMPTS):
         grown = materialise(_compare(_leaves(reps, trees, depth, seed + attempt), reps, neighbours, floor, threshold), "leaves")
         edges = grown if edges is None else edges.union(grown)
         for _ in range(rounds):
@@ -90,8 +94,14 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
             around = lists.union(lists.select("a", F.col("a").alias("b")).distinct()).select(F.col("b").alias("id"), F.col("a").alias("leaf"), F.lit(0).alias("low"), F.lit(0).alias("high"))
             edges = edges.union(materialise(_compare(around, reps, neighbours, floor, threshold), "round"))
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
-        if _audit(reps, components, threshold, audit_rows) >= recall:
+        audit = _audit(reps, components, threshold, audit_rows, neighbours)
+        if _recall(audit, neighbours) >= recall:
             break
+    else:
+        missing = audit.loc[audit["found"] < audit["links"], "place"].unique().tolist()  # at most as many as sampled vectors
+        whole = _blocks(reps.where(F.col("place").isin(missing)).select("id", F.col("place").alias("leaf")))
+        edges = edges.union(materialise(_compare(whole, reps, neighbours, floor, threshold), "whole"))
+        components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
     counts = _enlarge(reps, components, threshold)
     same = reps.select(F.col("id").alias("rep"), F.col("copies")).join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     same = same.select("rep", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
@@ -148,25 +158,36 @@ def _compare(grouped: DataFrame, reps: DataFrame, k: int, floor: float, threshol
     return with_vectors.select("leaf", "low", "high", "id", "raw").mapInPandas(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
-def _audit(reps: DataFrame, components: DataFrame, threshold: float, audit_rows: int) -> float:
-    """Share of a bounded sample's links, found by comparing it with all rows, that the components hold."""
-    placed = reps.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sample = placed.orderBy(F.xxhash64("id"), "id").limit(audit_rows).toPandas()  # at most audit_rows vectors
+def _audit(reps: DataFrame, components: DataFrame, threshold: float, audit_rows: int, few: int) -> pd.DataFrame:
+    """place, links and found (those that the components hold) of sampled vectors, by comparing them with all rows.
+
+    At most audit_rows of all vectors are sampled and as many of those in components of at most `few`.
+    """
+    sizes = components.groupBy("component").agg(F.count("*").alias("members"))
+    placed = reps.join(components.join(sizes, "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    small = F.coalesce("members", F.lit(1)) <= few
+    order = [F.xxhash64("id"), F.col("id")]
+    sample = placed.orderBy(*order).limit(audit_rows).union(placed.where(small).orderBy(*order).limit(audit_rows)).toPandas().drop_duplicates("id")
     shared = reps.sparkSession.sparkContext.broadcast([(int(p), part["id"].to_numpy(), part["component"].to_numpy(), _matrix(part["raw"])) for p, part in sample.groupby("place")])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        true = found = 0
         for frame in frames:
             for place, ids, component, x in shared.value:
                 part = frame[frame["place"] == place]
                 if len(part):
                     hit = (_matrix(part["raw"]) @ x.T >= threshold) & (part["id"].to_numpy()[:, None] != ids[None, :])
-                    true += int(hit.sum())
-                    found += int((hit & (part["component"].to_numpy()[:, None] == component[None, :])).sum())
-        yield pd.DataFrame({"true": [true], "found": [found]})
+                    found = hit & (part["component"].to_numpy()[:, None] == component[None, :])
+                    yield pd.DataFrame({"id": ids, "place": place, "links": hit.sum(axis=0), "found": found.sum(axis=0)})
+
+    seen = placed.select("id", "place", "component", "raw").mapInPandas(run, "id long, place long, links long, found long")
+    return seen.groupBy("id", "place").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).toPandas()
+
 
-    seen = placed.select("id", "place", "component", "raw").mapInPandas(run, "true long, found long").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).first()
-    return seen["f"] / seen["t"] if seen["t"] else 1.0
+def _recall(audit: pd.DataFrame, few: int) -> float:
+    """Mean share of links found by vector, over all audited vectors that have links or over those of at most `few`, whichever is less."""
+    linked = audit[audit["links"] > 0]
+    share = linked["found"] / linked["links"]
+    return float(min((x.mean() for x in (share, share[linked["links"] <= few]) if len(x)), default=1.0))
 
 
 def _enlarge(reps: DataFrame, components: DataFrame, threshold: float) -> DataFrame:

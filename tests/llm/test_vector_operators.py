@@ -57,6 +57,17 @@ def test_large_leaves_are_compared_whole(spark, monkeypatch):
     assert len(pairs) > 100 and all(component.get(a, a) == component.get(b, -b - 1) for a, b in pairs)
 
 
+def test_audit_counts_vectors_alike(spark):
+    audit = spark.createDataFrame([(1, 5000, 4990)] * 20 + [(1, 1, 0)] * 10, "place long, links long, found long").toPandas()
+    assert neighbours._recall(audit, 8) == 0 and neighbours._recall(audit[:20], 8) > 0.99 and neighbours._recall(audit[:0], 8) == 1
+
+
+def test_labels_that_miss_links_are_compared_whole(spark, table, monkeypatch):
+    want = {tuple(r) for r in near_vectors(table).collect()}
+    monkeypatch.setattr(neighbours, "_leaves", lambda reps, *_: neighbours._blocks(reps.where("id % 50 = 0").select("id", reps.place.alias("leaf"))))
+    assert {tuple(r) for r in near_vectors(table).collect()} == want
+
+
 @pytest.mark.parametrize(("block_rows", "block_queries"), [(32_768, 192), (100, 7)])
 def test_topk_equals_brute_force(spark, table, block_rows, block_queries):
     ok = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v, *_ in rows() if v is not None and all(x is not None and np.isfinite(x) for x in v)]
