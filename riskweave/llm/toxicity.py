@@ -6,7 +6,9 @@ unseen forms of a known stem are scored too.  On documents that the log-odds did
 extreme-value law of the best segment of harmless texts are fitted, and a logistic link to the label.
 
 Scoring: tokens' log-odds less a drift; all maximal-scoring segments in one linear scan; the segments' joint significance
-(sum statistic over the best r of them, for the best r) gives the score.
+(sum statistic over the best r of them, for the best r) gives the score.  A token speaks once in a segment: repeats within
+one count as the drift alone, and after its end every token speaks again, so later and repeated passages are found too.
+In the sum, where segments stand for independent evidence, a token counts in the best segment that holds it.
 
 Defined results: a null or empty text has no segments and scores as one harmless token; without labelled rows of both
 kinds every score is the share of toxic rows (0 without rows); long texts are scanned whole; other columns are ignored.
@@ -58,6 +60,34 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, through - before) for a, b, before, through in found]
 
 
+def damped_segments(scores: list[float], names: list[object], drift: float) -> list[tuple[int, int, float]]:
+    """maximal_segments where a positive score counts as -drift if its name already spoke in the same segment.
+
+    A segment runs from its start to the highest total before the total falls to 0, and the scan goes on at its end with
+    no name heard.  A total of t falls to 0 within t / drift repeats, so what is scanned again is bounded by the segment.
+    """
+    found, start, n = [], 0, len(scores)
+    while start < n:
+        if scores[start] <= 0:
+            start += 1
+            continue
+        heard, total, best, end = set(), 0.0, 0.0, start
+        for i in range(start, n):
+            s = scores[i]
+            if s > 0:
+                if names[i] in heard:
+                    s = -drift
+                heard.add(names[i])
+            total += s
+            if total <= 0:
+                break
+            if total > best:
+                best, end = total, i + 1
+        found.append((start, end, best))
+        start = end
+    return found
+
+
 class Model:
     """Log-odds of stems, the null law (decay, log scale) and the logistic link."""
 
@@ -77,23 +107,31 @@ class Model:
 
         return Memo().__getitem__
 
-    def segments(self, text: str | None, score_of) -> tuple[int, list[tuple[int, int, float]]]:
+    def segments(self, text: str | None, score_of) -> tuple[int, list[tuple[int, int, float]], list[float]]:
+        """Number of tokens, the maximal segments, and their scores in the sum."""
         tokens = (text or "").lower().split()
         scores = np.fromiter(map(score_of, tokens), dtype=np.float64, count=len(tokens))
-        seen: set[str] = set()
-        for i in np.flatnonzero(scores > 0).tolist():  # a token speaks once in a text
-            if tokens[i] in seen:
-                scores[i] = -self.drift
-            seen.add(tokens[i])
         hot = np.flatnonzero(scores > 0)
         if not len(hot):
-            return len(tokens), []
+            return len(tokens), [], []
         # runs of tokens that score nothing are added up: segments start and end at positive tokens
         totals = np.concatenate([[0.0], np.cumsum(scores)])
         gaps = totals[hot[1:]] - totals[hot[:-1] + 1]
         mixed = np.empty(2 * len(hot) - 1)
         mixed[0::2], mixed[1::2] = scores[hot], gaps
-        return len(tokens), [(int(hot[a // 2]), int(hot[(b - 1) // 2]) + 1, s) for a, b, s in maximal_segments(mixed.tolist())]
+        names = [tokens[i] for i in hot.tolist()]
+        if len(set(names)) == len(names):
+            segments = maximal_segments(mixed.tolist())
+            best = [s for *_, s in segments]
+        else:
+            spoken: list[object] = [None] * len(mixed)
+            spoken[0::2] = names
+            segments, best, heard = damped_segments(mixed.tolist(), spoken, self.drift), [], set()
+            for a, b, s in sorted(segments, key=lambda x: -x[2]):
+                own = set(names[a // 2 : (b + 1) // 2])
+                best.append(s - sum(score_of(x) + self.drift for x in own & heard))
+                heard |= own
+        return len(tokens), [(int(hot[a // 2]), int(hot[(b - 1) // 2]) + 1, s) for a, b, s in segments], best
 
     def significance(self, n: int, best: list[float]) -> float:
         """The normalised sum statistic of the best r segments, for the r where it is largest."""
@@ -146,14 +184,14 @@ def fit(sample: pd.DataFrame, *, prior: float = 6.0, drift: float = 0.8) -> Mode
     for text in sample["text"][check]:
         found.append(model.segments(text, score_of))
     harmless = y[check] == 0
-    best = np.array([max((s for *_, s in segs), default=0.0) for _, segs in found])[harmless]
-    size, share = np.log([max(n, 1) for n, _ in found])[harmless], weight[check][harmless]
+    best = np.array([max((s for *_, s in segs), default=0.0) for _, segs, _ in found])[harmless]
+    size, share = np.log([max(n, 1) for n, *_ in found])[harmless], weight[check][harmless]
     for _ in range(50):  # moments of the extreme-value law of the best segment: its mean grows with log n / decay
         rest = best - size / model.decay
         spread = np.sqrt(np.average((rest - np.average(rest, weights=share)) ** 2, weights=share))
         model.decay = float(np.clip(np.pi / (np.sqrt(6) * max(spread, 1e-3)), 0.5, 10.0))
     model.log_scale = float(np.average(model.decay * best - size, weights=share) - np.euler_gamma)
-    x = np.array([[model.significance(n, [s for *_, s in segs])] for n, segs in found])
+    x = np.array([[model.significance(n, sums)] for n, _, sums in found])
     model.link = logistic(x, y[check], weight[check])
     return model
 
@@ -174,8 +212,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
         for frame in frames:
             rows = []
             for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                n, segments = model.segments(text, score_of)
-                score = model.score(n, [s for *_, s in segments])
+                n, segments, best = model.segments(text, score_of)
+                score = model.score(n, best)
                 least = (model.log_scale + np.log(max(n, 1)) - np.log(e_value)) / model.decay
                 rows.append((key, score, int(score >= threshold), [{"start": a, "end": b, "score": s} for a, b, s in segments if s >= least]))
             yield pd.DataFrame(rows, columns=[id_col, "score", "predicted", "passages"])

@@ -14,7 +14,7 @@ from riskweave.llm.minhash import minhash_components, shingler
 from riskweave.llm.packing import best_fit_pack, pack_histogram
 from riskweave.llm.quality import quality
 from riskweave.llm.sharding import ShardStore
-from riskweave.llm.toxicity import maximal_segments, toxicity
+from riskweave.llm.toxicity import Model, damped_segments, maximal_segments, toxicity
 
 MULTI, PLAIN, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, key string"
@@ -125,6 +125,21 @@ def test_maximal_segments():
     assert maximal_segments([]) == [] and maximal_segments([-1.0]) == []
 
 
+def test_later_and_repeated_passages_are_found():
+    words = [f"bad{i}" for i in range(10)]
+    model = Model({f"{w}$": 3.0 for w in words}, 0.8)
+    single = [x for w in words for x in [w, *["calm"] * 20]]  # each word once, far apart
+    n, found, best = model.segments(" ".join([*single, *words, *["calm"] * 60, *words]), model.scorer())
+    assert sum(s > 0 for s in best) == 1  # evidence counts once in the sum
+    assert n == 290 and [(a, b) for a, b, s in found if abs(s - 22) < 1e-6] == [(210, 220), (280, 290)]
+    assert [(a, b) for a, b, s in model.segments(" ".join(words * 3), model.scorer())[1]] == [(0, 10), (10, 20), (20, 30)]
+    assert max(s for *_, s in model.segments("bad1 " * 20_000, model.scorer())[1]) == pytest.approx(2.2)
+    r = random.Random(6)
+    for _ in range(200):
+        scores = [r.choice([-3, -2, -1, 1, 2, 3]) for _ in range(r.randrange(40))]
+        assert damped_segments(scores, list(range(len(scores))), 1) == maximal_segments(scores)
+
+
 @pytest.mark.parametrize(("operator", "column", "floor"), [(toxicity, "toxic", 0.9), (quality, "quality", 0.95)])
 def test_classifiers_on_held_out_rows(spark, operator, column, floor):
     sf = "/root/testdata/sf0.1"
