@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest trained on labelled findings that removes false positives.
 
-Candidates are long runs of key characters with a digit, and values assigned to credential words.  The forest sees each
+Candidates are long runs of key characters with a digit, and values assigned to credential words by = or :, quoted or not,
+of any length and with or without digits; those that overlap are one candidate.  The forest sees each
 candidate's length, transitions between character classes, dictionary coverage, the path (source) it came from and the
 words around it.  The labelled findings are drawn by rule from a seed, real secrets and look-alikes side by side.
 
@@ -23,8 +24,10 @@ CREDENTIAL = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey
 SAMPLE = ("example", "sample", "dummy", "placeholder", "test", "fake", "changeme", "your", "xxxx", "todo")
 HARMLESS = ("commit", "sha", "sha256", "md5", "checksum", "digest", "uuid", "guid", "version", "hash", "id", "revision", "file", "image", "card", "phone", "order", "ref")
 SYLLABLES = ("the", "ing", "ion", "ent", "pass", "word", "user", "name", "key", "my", "admin", "example", "value", "change", "me", "here", "your", "secret", "token", "data", "file", "test", "path", "com", "org", "www", "http", "mail", "img", "doc", "en", "er", "an", "re", "on", "at", "ed", "or", "es", "st")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.\-@])(?=[A-Za-z0-9+/_=.\-@]*[0-9])[A-Za-z0-9+/_\-@][A-Za-z0-9+/_=.\-@]{11,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-@])(?=[A-Za-z0-9+/_=.\-@]*[0-9])[A-Za-z0-9+/_\-@][A-Za-z0-9+/_=.\-@]{11,}")
 ASSIGNED = re.compile(r"^([A-Za-z_]*)=(.+)$")
+WORDS = re.compile("|".join(map(re.escape, CREDENTIAL)).replace("_", "[_-]?"), re.IGNORECASE)
+VALUE = re.compile(r"""(?:orization|s)?(?:[_.\-]?[A-Za-z0-9]{1,16}){0,3}["']?[ \t]{0,8}(?::=|=>|={1,2}|:)[ \t]{0,8}(?:(?:bearer|basic)[ \t]{1,8})?(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|`([^`\r\n]{1,512})`|["']?([^\s"'`;,&<>]+))""", re.IGNORECASE)
 KEEP = 0.5
 
 
@@ -53,8 +56,21 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
-    """Places of candidate strings, without an announcing name and end marks."""
-    for m in CANDIDATE.finditer(text or ""):
+    """Places of candidate strings in order, disjoint, without an announcing name and end marks."""
+    last = None
+    for start, end in sorted([*_runs(text or ""), *_assigned(text or "")]):
+        if last is not None and start < last[1]:
+            last = last[0], max(last[1], end)
+            continue
+        if last is not None:
+            yield last
+        last = start, end
+    if last is not None:
+        yield last
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    for m in CANDIDATE.finditer(text):
         start, end = m.span()
         if named := ASSIGNED.match(m.group()):
             start += len(named[1]) + 1
@@ -64,6 +80,18 @@ def candidates(text: str | None) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values after a credential word and = or :."""
+    for word in WORDS.finditer(text):
+        if m := VALUE.match(text, word.end()):
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 4:  # not quoted: without the marks of a sentence's or a bracket's end
+                while end > start and text[end - 1] in ".,:)]}":
+                    end -= 1
+            if end > start:
+                yield start, end
+
+
 def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
     """(value, text before, text after, path, 1 for a secret), half of either kind, drawn by rule."""
     random = np.random.default_rng(seed)
@@ -77,6 +105,9 @@ def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, s
         lambda: (of(mixed, length(14, 48)), f"{word()} {named()}", "config"),
         lambda: (("AKIA" if random.random() < 0.7 else "ASIA") + of(upper, 16), f"{word()} ", "app"),
         lambda: ("ghp_" + of(mixed, 36), f"{word()} ", "ci"),
+        lambda: (of(mixed, length(6, 14)) + of("!#$%*?", length(0, 2)), f"{word()} {named()}", "config"),
+        lambda: (of(mixed[:52], length(16, 48)), f"{word()} {named()}", "src"),
+        lambda: (f"{word()[: length(4, 8)]}{of(digits, length(1, 4))}{of('!#$%*?', length(0, 2))}", f"{word()} {named()}", "config"),
     ]
     false = [
         lambda: (of(hexa, length(32, 65)), f"{word()} {random.choice(HARMLESS)}{random.choice([' ', ': ', '='])}", "src"),
@@ -89,6 +120,8 @@ def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, s
         lambda: (f"{random.choice(['changeme', 'yourtoken', 'examplekey', 'testpassword', 'xxxxxxxxxxxx'])}{of(digits, length(1, 5))}", f"{word()} {named()}", "src"),
         lambda: (of(hexa, length(16, 41)), f"{word()} {named()}", random.choice(["test/fixtures", "examples/sample"])),
         lambda: ("AKIA" + of(upper, 9) + "EXAMPLE", f"{word()} ", "docs"),
+        lambda: (random.choice(["required", "none", "null", "true", "false", "string", "the", "a", "your", word(), of(mixed[:26], length(2, 9))]), f"{word()} {named()}", random.choice(["src", "docs", "config"])),
+        lambda: (random.choice(["${%s}", "$%s", "{{%s}}", "os.environ[%s]", "get_%s()", "self.%s", "config.%s"]) % word(), f"{word()} {named()}", random.choice(["src", "config"])),
     ]
     out = []
     for i in range(rows):

@@ -174,6 +174,18 @@ def test_secrets(spark, odd):
     assert np.mean((scores >= 0.5) == np.array([f[4] for f in held])) > 0.95
 
 
+def test_secrets_assigned_to_credential_words(spark):
+    long, key = "9fe87309f41074dfa91c7b20", "kQpZrTbWmXcVnLsDfGhJkLqW"
+    texts = [f'password = "hunter2!" x', "password: s3cr3tPw, x", f'api_key = "{key}"', f"PASSWORD ={long}", f"token:={long} x", f'"secret": "{long}"', f"db_password=\'{key}\'"]
+    values = ["hunter2!", "s3cr3tPw", key, long, long, long, key]
+    assert [[t[a:b] for a, b in secrets.candidates(t)] for t in texts] == [[v] for v in values]
+    assert [[t[a:b] for a, b in secrets.candidates(t)] for t in ("token", "password:", "the author: Bob", "x" * 50_000, "password" * 5_000, 'secret=""')][:2] == [[], []]
+    docs = spark.createDataFrame([(i, f"set {t}", "config") for i, t in enumerate(texts)] + [(90, "the password: required", "docs"), (91, "token: none", "docs")], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert all(clean[i] == f"set {t}".replace(v, "[SECRET]") for i, (t, v) in enumerate(zip(texts, values, strict=True)))
+    assert clean[90] == "the password: required" and clean[91] == "token: none"
+
+
 def test_licenses(spark, odd):
     mit = "\n".join(licenses.SENTENCES[n] for n in ("mit-name", "mit-grant", "mit-condition", "mit-warranty", "mit-liability"))
     rows = [(1, f"Intro.\n{mit}\nend"), (2, "Text. Released under the  MIT License! More."), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0.\nx\nLicensed under CC BY-NC 4.0.")]
