@@ -7,12 +7,15 @@
    sequences per gap becomes smallest.
 3. The plan maps (length, global rank) to a sequence and an offset, so pieces find their places without moving texts.
 
+Added tokens of a tokenizers file, which that library also matches in plain text, are matched the same way where given.
+
 Defined results: a null or empty text is one piece of the end id alone; ties go to the smaller gap left; repeated rows are
 packed each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -89,17 +92,30 @@ def _lookup(plan: list[tuple[int, list[int]]]) -> tuple[np.ndarray, ...]:
     return table[:, 0] << 40 | table[:, 1], table[:, 2], table[:, 3]
 
 
-def best_fit_pack(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces with their places: id, piece, start, length, ids_crc32, sequence_id, offset (and ids, binary, if wanted)."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Added tokens of a tokenizers file, which texts are split at; only those that match literally, anywhere in a text."""
+    with open(json_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that take in or depend on what is around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def best_fit_pack(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
+    """Pieces with their places: id, piece, start, length, ids_crc32, sequence_id, offset (and ids, binary, if wanted).
+
+    added has tokens that are matched in texts before the pattern is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern, added or {}))
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids binary" * with_ids
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        ranks, split = shared.value
-        encode = tiktoken.Encoding("packing", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks, split, special = shared.value
+        encoding = tiktoken.Encoding("packing", pat_str=split, mergeable_ranks={p: r for p, r in ranks.items() if r not in special.values()}, special_tokens=special)
+        encode = lambda text: encoding.encode(text, allowed_special="all") if any(t in text for t in special) else encoding.encode_ordinary(text)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for frame in frames:
             rows = []

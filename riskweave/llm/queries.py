@@ -14,7 +14,7 @@ from .bpe import byte_bpe
 from .common import shared_dir, table
 from .minhash import minhash_components
 from .neighbours import near_vectors
-from .packing import best_fit_pack
+from .packing import added_tokens, best_fit_pack
 from .quality import quality
 from .topk import exact_topk
 from .secrets import secret_findings
@@ -66,7 +66,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as byte_bpe_50k.json, as ranks
-    return best_fit_pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, added=added)
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from riskweave.llm import licenses, minhash, secrets
 from riskweave.llm.bpe import byte_bpe, read_ranks
 from riskweave.llm.minhash import minhash_components, shingler
-from riskweave.llm.packing import best_fit_pack, pack_histogram
+from riskweave.llm.packing import added_tokens, best_fit_pack, pack_histogram
 from riskweave.llm.quality import quality
 from riskweave.llm.sharding import ShardStore
 from riskweave.llm.toxicity import Model, damped_segments, maximal_segments, toxicity
@@ -57,6 +57,20 @@ def test_packing_places_every_token_once(spark, odd):
     assert best_fit_pack(odd.limit(0), PLAIN, PATTERN).count() == 0
 
 
+def test_packing_takes_the_ids_of_the_tokenizers_file(spark):
+    import corpus_pipeline as cp
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext| >", "<|<|endoftext|>|>", *(t or "" for _, t, *_ in odd_rows())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = best_fit_pack(docs, PLAIN, PATTERN, with_ids=True, added=added_tokens(path)).sort("doc_id", "piece").toPandas()
+    for key, part in p.groupby("doc_id"):
+        assert np.frombuffer(b"".join(part["ids"]), dtype="<u4").tolist() == [*reference.encode(texts[key], add_special_tokens=False).ids, 0]
+    lengths = p.groupby("doc_id")["length"].sum().to_dict()
+    assert lengths[0] == 5 and cp.pack(spark, docs, "").toPandas().groupby("doc_id")["length"].sum().to_dict() == lengths
+
+
 def test_histogram_packing_is_near_the_bound():
     random_ = np.random.default_rng(2)
     counts = {int(s): int(c) for s, c in zip(*np.unique(np.minimum(random_.lognormal(5, 1, 20_000).astype(int) + 1, 2048), return_counts=True), strict=True)}
