@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import materialise, table
 from riskweave.llm.minhash import minhash_components
-from riskweave.llm.packing import best_fit_pack
+from riskweave.llm.packing import added_tokens, best_fit_pack
 from riskweave.llm.quality import quality
 from riskweave.llm.secrets import redact_secrets
 from riskweave.llm.toxicity import toxicity
@@ -65,7 +65,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("near-dedup", drop_near_copies), ("secrets", remove_secrets), ("packing", pack)]
