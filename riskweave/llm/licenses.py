@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
 Texts are split into sentences and normalised (lower case, runs of other characters than letters and digits become one
-space).  Known sentences have identifiers; a document's identifiers in order form a sequence, on which the rules are
+space).  A sentence may be wrapped: pieces that line breaks part, with any comment marks, are joined where they make up a
+known sentence, the longest first; blank lines within are passed over, as headers set addresses apart by them.  A line that
+is a known sentence itself, and no part of a longer one, counts alone.  Known sentences have identifiers; a document's identifiers in order form a sequence, on which the rules are
 matched in their order: each takes all its non-overlapping occurrences from the left and removes them from what later
 rules see.  Longer rules come first, so a whole licence text isn't also reported as its parts.
 
@@ -11,7 +13,11 @@ document, sentence by sentence position; repeated sentences count each; other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of public licences and notices, by identifier.
@@ -67,26 +73,56 @@ BREAK = r"[.:!?][ \t]+|[\r\n]+"
 OTHER = r"[^a-z0-9]+"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
-
-
 def normalise(sentence: str) -> str:
-    import re
-
     return re.sub(OTHER, " ", sentence.lower()).strip()
 
 
+def known_sentences(known: dict[str, str]) -> Callable[[str], list[tuple[int, str]]]:
+    """A function from a text to (position, mark) of the known sentences in it; positions number the pieces between breaks."""
+    words = [sentence.split(" ") for sentence in known]
+    begun = {" ".join(w[:n]) for w in words for n in range(1, len(w))}
+    split, other = re.compile(f"({BREAK})").split, re.compile(OTHER).sub
+
+    def find(text: str) -> list[tuple[int, str]]:
+        parts = split(text.lower())
+        pieces = [other(" ", p).strip() for p in parts[::2]]
+        found, at = [], 0
+        while at < len(pieces):
+            whole, after = pieces[at], at + 1
+            mark = known.get(whole)
+            if whole in begun:
+                for i in range(at + 1, len(pieces)):
+                    if parts[2 * i - 1][0] not in "\r\n":
+                        break
+                    if pieces[i]:
+                        whole = f"{whole} {pieces[i]}"
+                        if whole in known:
+                            mark, after = known[whole], i + 1
+                        if whole not in begun:
+                            break
+            if mark is not None:
+                found.append((at, mark))
+            at = after
+        return found
+
+    return find
+
+
 def license_findings(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, rule (its number from 1), license, matches, sentences (known ones in the document)."""
-    import re
-
-    spark, number = docs.sparkSession, {name: i for i, name in enumerate(sentences, 1)}
+    number = {name: i for i, name in enumerate(sentences, 1)}
     parts = [(normalise(p), number[name], k) for name, text in sentences.items() for k, p in enumerate(x for x in re.split(BREAK, text) if normalise(x))]
-    known = spark.createDataFrame([(p, f"<{i}.{k}>") for p, i, k in parts], "sentence string, mark string").dropDuplicates(["sentence"])
+    known = {p: f"<{i}.{k}>" for p, i, k in reversed(parts)}
     marks = {name: "".join(f"<{i}.{k}>" for _, i, k in parts if i == number[name]) for name in sentences}
-    pieces = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col).cast("string"), BREAK))).select(id_col, "pos", normalised(F.col("col")).alias("sentence"))
-    found = pieces.join(F.broadcast(known), "sentence")  # the known sentences are a fixed list
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = known_sentences(known)
+        for frame in frames:
+            rows = [(key, pos, mark) for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True) if text for pos, mark in find(text)]
+            yield pd.DataFrame(rows, columns=[id_col, "pos", "mark"])
+
+    found = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInPandas(run, f"{id_col} {kind}, pos int, mark string")
     sequences = found.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mark"))), lambda x: x["mark"]), "").alias("left"), F.count("*").alias("sentences"))
     counts = []
     for i, (_, names) in enumerate(rules):
@@ -98,9 +134,7 @@ def license_findings(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES,
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
-    """DuckDB SQL for license_findings over documents."""
-    import re
-
+    """DuckDB SQL for license_findings over documents; it splits at every line break, so it has no sentences that are wrapped."""
     number = {name: i for i, name in enumerate(sentences, 1)}
     parts = [(normalise(p), number[name], k) for name, text in sentences.items() for k, p in enumerate(x for x in re.split(BREAK, text) if normalise(x))]
     unique = {p: f"<{i}.{k}>" for p, i, k in reversed(parts)}

@@ -208,6 +208,21 @@ def test_licenses(spark, odd):
     assert licenses.license_findings(odd).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    of = lambda *names: " ".join(licenses.SENTENCES[n] for n in names)
+    wrap = lambda text, mark, end="\n": end.join(mark + line for line in textwrap.wrap(text, 70, break_on_hyphens=False))
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 A. Writer\n\n" + "\n\n".join(wrap(x, "") for x in (of("mit-grant"), of("mit-condition"), of("mit-warranty", "mit-liability")))
+    bsd = wrap(of("bsd-redistribution"), " * ") + "\n *\n" + "\n".join(wrap(of(n), " *   ").replace(" *  ", f" * {i}.", 1) for i, n in enumerate(("bsd-source", "bsd-binary", "bsd-name"), 1))
+    apache = "\n#\n".join(["# Copyright 2020", wrap(of("apache-notice-long") + " You may obtain a copy of the License at", "# "), "#     http://www.apache.org/licenses/LICENSE-2.0", wrap(of("apache-basis", "apache-see"), "# ")])
+    gpl = "/*\r\n" + wrap(of("gpl-free", "gpl-hope", "gpl-see"), " * ", "\r\n") + "\r\n */"
+    lines = "Released under the MIT License\nReleased under the\nMIT License\nThe MIT\nis not. The MIT License (MIT)"
+    rows = list(enumerate([mit, bsd, apache, gpl, lines, "Permission is hereby granted, free of charge, to any\nbody"]))
+    got = [tuple(r) for r in licenses.license_findings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "rule", "license", "matches").orderBy("doc_id", "rule").collect()]
+    assert got == [(0, 2, "MIT", 1), (1, 5, "BSD-3-Clause", 1), (2, 1, "Apache-2.0", 1), (3, 4, "GPL-3.0-or-later", 1), (4, 10, "MIT", 2), (4, 11, "MIT", 1)]
+
+
 def test_sharding(spark, odd, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/store", target=4096)
     assert store.read() is None and store.compact() == 0
