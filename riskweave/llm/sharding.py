@@ -1,8 +1,9 @@
 """Sharded storage with size-tiered compaction and a versioned manifest, by DataFrame operations only.
 
 append() writes arrivals as small immutable Parquet shards.  compact() takes the live shards below the target size, puts
-those of similar size (within a factor) into a tier, and rewrites each tier of several as about target-sized files: the
-read partitions of a tier are coalesced, so no row is shuffled.  Each change is one new manifest version, written aside
+those of similar size (within a factor) into a tier, and rewrites runs of a tier that fit together as one file of at most
+SPAN targets: each is a read partition, so no row is shuffled; merged files below the target are taken up again until no
+tier can be merged.  Each change is one new manifest version, written aside
 and renamed to its name, which fails if another writer took that version: then nothing has changed and the caller retries.
 A reader keeps the version it opened; superseded shards stay until vacuum().
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SPAN = 1.5  # targets that runs merged into one file may have
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -90,21 +96,51 @@ class ShardStore:
         return found
 
     def compact(self) -> int:
-        """One round: merge every tier of enough runs and commit; the version stays if nothing was merged."""
+        """Merge every tier of enough runs, until none is left, and commit once; the version stays if nothing was merged."""
         base = self.version()
         if not base:
             return 0
         schema, live = self._manifest(base)
+        before = {s.path for s in live}
+        while (merged := self._merged(schema, live)) is not None:
+            for s in set(live) - set(merged):
+                if s.path not in before:  # made by an earlier round, in no version
+                    self._fs.delete(self._path(s.path), False)
+            live = merged
+        return self._commit(base, schema, live) if {s.path for s in live} != before else base
+
+    def _merged(self, schema: T.StructType, live: list[Shard]) -> list[Shard] | None:
+        """The shards after one round; None if no tier could be merged."""
         gone: set[str] = set()
         made: list[Shard] = []
         for runs in self.tiers(live).values():
-            files = max(1, round(sum(s.size for s in runs) / self.target))
-            if len(runs) >= self.least_runs and files < len(runs):
+            bins: list[list[Shard]] = []
+            for s in sorted(runs, key=lambda s: -s.size):  # as Spark packs files into read partitions
+                if not bins or sum(x.size for x in bins[-1]) + s.size > int(SPAN * self.target):
+                    bins.append([])
+                bins[-1].append(s)
+            bins = [b for b in bins if len(b) >= self.least_runs]
+            runs = [s for b in bins for s in b]
+            if runs:
                 folder = f"{self.root}/data/{uuid.uuid4().hex}"
-                self.spark.read.schema(schema).parquet(*[s.path for s in runs]).coalesce(files).write.parquet(folder)
+                with self._read_partitions():
+                    self.spark.read.schema(schema).parquet(*[s.path for s in runs]).coalesce(len(bins)).write.parquet(folder)  # fewer files than runs, so rounds end
                 made += self._written(folder, schema)
                 gone.update(s.path for s in runs)
-        return self._commit(base, schema, [s for s in live if s.path not in gone] + made) if gone else base
+        return [s for s in live if s.path not in gone] + made if gone else None
+
+    @contextmanager
+    def _read_partitions(self) -> Iterator[None]:
+        """Files are read in partitions of at most SPAN targets, whatever the session's settings."""
+        wanted = {"spark.sql.files.maxPartitionBytes": str(int(SPAN * self.target)), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version; None before the first."""

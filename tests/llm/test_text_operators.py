@@ -240,6 +240,17 @@ def test_sharding(spark, odd, tmp_path):
     assert empty.read().count() == 0
 
 
+def test_sharding_merges_to_the_target_size(spark, tmp_path):
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, f"{r.getrandbits(1600):x}") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    store = ShardStore(spark, f"file://{tmp_path}/store", target=200_000)
+    store.append(docs, arrival_rows=100)
+    assert len(store.shards()) == 40 and store.compact() == 2
+    assert max(s.size for s in store.shards()) <= 1.6 * store.target and len(store.shards()) < 20
+    assert store.compact() == 2  # nothing is left to merge
+    assert sorted(store.read().collect()) == sorted(docs.collect())
+
+
 def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     import corpus_pipeline as cp
 
