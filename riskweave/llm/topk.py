@@ -4,35 +4,48 @@ Every component is quantised to an integer.  A block of rows holds, for each com
 (components less the block's least, so never negative).  For a query the slices of its components' multiples are added as
 bitmaps: a carry-save adder takes three bitmaps of one significance to a sum and a carry.  Negative multipliers add the
 complement, which shifts all scores of the block alike.  The top rows are then read from the most significant score slice
-downward; rows tied at the boundary are resolved by id.  Blocks of queries meet blocks of rows, a task keeps the best k of
-each of its queries, and the tasks' lists are merged.
+downward; rows tied at the boundary are resolved by id.
 
-Defined results: vectors that are null or hold null, non-finite or (beyond 2**40 after scaling) unrepresentable components
-take no part, nor do null ids; shorter vectors count as filled up with zeros; ties go to the smaller id; a query never
-meets rows of its own id; other columns are ignored; an empty table gives an empty table.
+Index blocks are written once.  Queries come in small blocks, of which a chunk meets each index block: query blocks travel
+to index blocks, and an index block is sent once for each chunk.  A task holds one index block and one query block; it
+returns the best k of each query in its block, and these lists are merged.
+
+Vectors with components so large that inner products might pass 64 bits (`wide` ones) are kept beside the slices and
+multiplied as integers of any size, so no vector is left out and no score wraps.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; shorter vectors
+count as filled up with zeros; ties go to the smaller id; every row is a candidate, repeated ones each; a query never meets
+rows of its own id; rows of one query id are asked once, by the least of their vectors; a score beyond 64 bits in a result
+is an error; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+CELLS = 1 << 22  # components that a block may hold
+BLOCK = "ids binary, grid binary, maps binary, at binary, bit binary, wide_ids binary, wide binary"
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bit slices of the columns of an integer matrix, each less its least value: bitmaps (slices, words), and each slice's column and bit."""
     words = -(-len(values) // 64)
     maps, column, bit = [], [], []
-    shifted = values - values.min(axis=0)
+    shifted = values - values.min(axis=0, initial=0)
     for d in range(values.shape[1]):
-        for b in range(int(shifted[:, d].max()).bit_length()):
+        for b in range(int(shifted[:, d].max(initial=0)).bit_length()):
             bits = np.zeros(words * 64, dtype=np.uint8)
             bits[: len(values)] = shifted[:, d] >> b & 1
             maps.append(np.packbits(bits, bitorder="little").view(np.uint64))
@@ -90,81 +103,114 @@ def top_rows(score: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([found, positions(tied)[: k - len(found)]])
 
 
-def exact_topk(vectors: DataFrame, *, k: int = 20, scale: float = 64.0, modulus: int = 20, block_rows: int = 32_768, block_queries: int = 192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows for each query, a row whose id is divisible by modulus."""
-    x = F.col(vector_col)
-    quantised = F.transform(x, lambda v: F.floor(v.cast("double") * scale))
-    usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < 2.0**40))
-    valid = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), quantised.alias("v"))
+def _integers(raw: bytes, width: int, scale: float) -> np.ndarray:
+    """Quantised wide vectors as a matrix of Python integers."""
+    exact = lambda v: math.floor(v * scale) if math.isfinite(v * scale) else math.floor(Fraction(v) * Fraction(scale))
+    return np.array([exact(v) for v in np.frombuffer(raw).tolist()], dtype=object).reshape(-1, width)
+
+
+def _grid(raw: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.int16 if len(raw) == 2 * rows * width else np.int64).reshape(rows, width).astype(np.int64)
+
+
+class _Index:
+    """One block of the index, as a task holds it."""
+
+    def __init__(self, row, width: int, scale: float, k: int):
+        self.ids, self.wide_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.wide_ids, dtype=np.int64)
+        self.grid, self.wide = _grid(row.grid, len(self.ids), width), _integers(row.wide, width, scale)
+        self.column, self.bit, self.k = np.frombuffer(row.at, dtype=np.int64), np.frombuffer(row.bit, dtype=np.int64), k
+        words = -(-len(self.ids) // 64)
+        maps = np.frombuffer(row.maps, dtype=np.uint64).reshape(-1, words) if words else np.zeros((0, 0), dtype=np.uint64)
+        self.both = np.concatenate([maps, maps ^ ONES])
+        bits = np.zeros(words * 64, dtype=np.uint8)
+        bits[: len(self.ids)] = 1
+        self.everyone = np.packbits(bits, bitorder="little").view(np.uint64)
+
+    def best(self, own: int, query: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """(query_id, vec_id, score, below what 64 bits hold) of the k best rows."""
+        found: list[tuple[int, int]] = []  # negative score, id
+        if query.dtype == object:
+            found += zip((-(self.grid.astype(object) @ query)).tolist(), self.ids.tolist(), strict=True)
+        elif len(self.ids):
+            among = self.everyone
+            lo, hi = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+            if lo < hi:
+                among = among.copy()
+                for at in range(lo, hi):
+                    among[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
+            at = top_rows(add_slices(self.both, self.column, self.bit, query), among, self.k)
+            found += zip((-(self.grid[at] @ query)).tolist(), self.ids[at].tolist(), strict=True)
+        if len(self.wide_ids):
+            found += zip((-(self.wide @ query.astype(object))).tolist(), self.wide_ids.tolist(), strict=True)
+        if query.dtype == object or len(self.wide_ids):
+            found = sorted(x for x in found if x[1] != own)[: self.k]
+        if found and max(-s for s, _ in found) > MOST:
+            raise ArithmeticError(f"a score of query {own} is beyond 64 bits")
+        return [(own, i, max(-s, LEAST), -s < LEAST) for s, i in found]
+
+
+def exact_topk(vectors: DataFrame, *, k: int = 20, scale: float = 64.0, modulus: int = 20, block_rows: int = 16_384, block_queries: int = 192, chunk: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows for each query, a row whose id is divisible by modulus.
+
+    block_rows and block_queries are the rows of an index and a query block, chunk the query blocks that one copy of an
+    index block is sent for.
+    """
+    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    valid = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
     is_query = F.pmod("id", F.lit(modulus)) == 0
-    facts = valid.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    facts = valid.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
     width = max(facts["d"], 1)
+    most = math.isqrt(MOST // width)  # components up to it give inner products of 64 bits
 
-    def blocks(rows: int):
+    def blocks(indexed: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = [f for f in frames if len(f)]
-            whole = pd.concat(held, ignore_index=True).sort_values("id", kind="stable") if held else pd.DataFrame({"id": [], "v": []})
-            for i in range(0, len(whole), rows):  # a task has about one block of rows
-                part = whole.iloc[i : i + rows]
-                grid = np.zeros((len(part), width), dtype=np.int64)
-                for at, v in enumerate(part["v"]):
-                    grid[at, : len(v)] = v
-                kind = np.int16 if np.abs(grid).max() < 2**14 else np.int64
-                maps, column, bit = slices(grid) if rows == block_rows else (np.empty(0), np.empty(0), np.empty(0))
-                yield pd.DataFrame([(int(part["id"].iloc[0]), part["id"].to_numpy(dtype=np.int64).tobytes(), grid.astype(kind).tobytes(), maps.tobytes(), column.tobytes(), bit.tobytes())], columns=["block", "ids", "grid", "maps", "at", "bit"])
+            held = [f for f in frames if len(f)]  # a task has about one block of rows
+            if not held:
+                return
+            whole = pd.concat(held, ignore_index=True).sort_values("id", kind="stable")
+            ids, x = whole["id"].to_numpy(dtype=np.int64), np.zeros((len(whole), width))
+            for at, v in enumerate(whole["x"]):
+                x[at, : len(v)] = v
+            with np.errstate(over="ignore"):
+                whole_numbers = np.floor(x * scale)
+            narrow = (np.abs(whole_numbers) <= most).all(axis=1)
+            grid = whole_numbers[narrow].astype(np.int64)
+            kind = np.int16 if np.abs(grid).max(initial=0) < 2**14 else np.int64
+            maps = slices(grid) if indexed and len(grid) else (np.empty(0), np.empty(0), np.empty(0))
+            row = (TaskContext.get().partitionId(), ids[narrow].tobytes(), grid.astype(kind).tobytes(), *(m.tobytes() for m in maps), ids[~narrow].tobytes(), x[~narrow].tobytes())
+            yield pd.DataFrame([row], columns=["block", *(c.split()[0] for c in BLOCK.split(", "))])
 
         return run
 
-    schema = "block long, ids binary, grid binary, maps binary, at binary, bit binary"
-    n_blocks, n_queries = -(-facts["n"] // block_rows) or 1, -(-facts["q"] // block_queries) or 1
-    index = materialise(valid.repartition(n_blocks).mapInPandas(blocks(block_rows), schema), "slices")
-    asked = materialise(valid.where(is_query).repartition(n_queries).mapInPandas(blocks(block_queries), schema), "queries")
-    groups = min(32, n_blocks)  # a task meets one block of queries with one group of row blocks
-    left = asked.select(F.xxhash64("ids").alias("asked"), F.col("ids").alias("query_ids"), F.col("grid").alias("query_grid"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    met = left.join(right, "group").repartition(max(2 * n_queries, 12), "asked", "group").sortWithinPartitions("asked")
+    rows = max(64, min(block_rows, CELLS // width))
+    n_blocks, n_queries = -(-facts["n"] // rows) or 1, -(-facts["q"] // block_queries) or 1
+    index = materialise(valid.repartition(n_blocks).mapInPandas(blocks(True), f"block int, {BLOCK}"), "slices")
+    queries = valid.where(is_query).groupBy("id").agg(F.min("x").alias("x"))
+    asked = materialise(queries.repartition(n_queries).mapInPandas(blocks(False), f"block int, {BLOCK}"), "queries")
+    n_chunks = -(-n_queries // chunk)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("chunk", each(n_chunks)).withColumn("turn", F.lit(-1))
+    right = asked.withColumn("chunk", F.floor(F.col("block") / chunk).cast("int")).withColumnRenamed("block", "turn").withColumn("block", each(n_blocks))
+    tasks = min(n_blocks * n_chunks, 20_000)
+    met = left.unionByName(right).repartition(max(tasks, 12), "block", "chunk").sortWithinPartitions("block", "chunk", "turn")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[np.ndarray]] = {}
-        current = None
-
-        def flush() -> pd.DataFrame:
-            rows = [(q, i, s) for q, (ids, scores) in best.items() for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-        read = lambda raw, ids: np.frombuffer(raw, dtype=np.int16 if len(raw) == 2 * len(ids) * width else np.int64).reshape(len(ids), width).astype(np.int64)
+        index, at = None, None
         for frame in frames:
+            best = []
             for row in frame.itertuples(index=False):
-                if current is not None and row.asked != current:
-                    yield flush()
-                    best = {}
-                current = row.asked
-                ids, query_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.query_ids, dtype=np.int64)
-                grid, queries = read(row.grid, ids), read(row.query_grid, query_ids)
-                column, bit = np.frombuffer(row.at, dtype=np.int64), np.frombuffer(row.bit, dtype=np.int64)
-                words = -(-len(ids) // 64)
-                maps = np.frombuffer(row.maps, dtype=np.uint64).reshape(-1, words)
-                both = np.concatenate([maps, maps ^ ONES])
-                bits = np.zeros(words * 64, dtype=np.uint8)
-                bits[: len(ids)] = 1
-                everyone = np.packbits(bits, bitorder="little").view(np.uint64)
-                for q, query in zip(query_ids.tolist(), queries, strict=True):
-                    among = everyone
-                    lo, hi = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
-                    if lo < hi:
-                        among = everyone.copy()
-                        for own in range(lo, hi):
-                            among[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-                    at = top_rows(add_slices(both, column, bit, query), among, k)
-                    found, scores = ids[at], grid[at] @ query
-                    if q in best:
-                        found, scores = np.concatenate([best[q][0], found]), np.concatenate([best[q][1], scores])
-                        order = np.lexsort((found, -scores))[:k]
-                        found, scores = found[order], scores[order]
-                    best[q] = [found, scores]
-        if best:
-            yield flush()
-
-    partial = met.mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if row.turn < 0:
+                    index, at = _Index(row, width, scale, k), row.block
+                elif at == row.block:  # a block of rows of which none is left has no index
+                    ids, wide_ids = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.wide_ids, dtype=np.int64)
+                    for own, query in zip([*ids.tolist(), *wide_ids.tolist()], [*_grid(row.grid, len(ids), width), *_integers(row.wide, width, scale)], strict=True):
+                        best += index.best(own, query)
+            yield pd.DataFrame(best, columns=["query_id", "vec_id", "score", "below"])
+
+    partial = met.mapInPandas(search, "query_id long, vec_id long, score long, below boolean")
+    order = Window.partitionBy("query_id").orderBy("below", F.desc("score"), "vec_id")
+    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("below"), F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
