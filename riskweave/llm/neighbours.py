@@ -1,20 +1,22 @@
 """Near-duplicate vectors by NN-descent within labels.
 
-1. Equal vectors of a label are one vector with a multiplicity.
+1. Equal vectors of a label are one vector with a multiplicity, the number of ids that have it.
 2. A first neighbour graph comes from random-projection trees: vectors of one leaf are compared, each keeps its nearest.
    A large leaf is dealt in parts of bounded size that are compared pairwise: nearest within a part, and over all parts
    the links that join what the leaf's links connect.
-3. Rounds of neighbours of neighbours: the neighbourhood of each vector is compared like a leaf, both ways of an edge
-   count, and lists keep their nearest.
-4. A list whose every entry passes the threshold is saturated: more may pass than it holds.  Saturated lists are enlarged
-   to the vector's whole component, compared in blocks that return counts and no pairs.
+3. Rounds of neighbours of neighbours until the lists settle: those in a list are compared with each other, both ways of
+   an edge count, and lists keep their nearest.  A round takes the lists that the round before has changed.
+4. A list whose every entry passes the threshold is saturated: more may pass than it holds.  Saturated lists take no part
+   in further rounds; they are enlarged to the vector's whole component, which is compared in blocks that return counts and
+   no pairs, as is every component of three or more.
 5. Recall is audited by vector: bounded samples of all vectors and of those in small components are compared with all
    rows, and each vector counts alike, however many links it has.  While the mean share of links found is too low, over
    all sampled vectors or over those of few links, more trees are grown; labels that still miss links then are compared
-   whole, in the blocks of large leaves.
+   whole, in the blocks of large leaves.  The share and the number of links that it was measured on are returned.
 
 Defined results: links need equal labels, not null, and equal lengths; null, empty and zero vectors and those with null or
-non-finite components link with nothing; rows of one id are taken as one vector if equal; other columns are ignored.
+non-finite components link with nothing; each row gives a row; equal rows of one id are one vector, and rows of one id that
+differ are vectors of their own; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from .common import grouped as _groups
 from .common import materialise
 from .graph import connected_components
 
-PART = 512  # rows compared at once
+PART = 512  # rows of a leaf compared at once
+SPREAD = 1024  # rows of a component compared with as many at once
 LEAF = 128  # rows that trees aim at in a leaf
+LANES = 16  # parts that a hub's edges are first cut in
 ATTEMPTS = 4  # growths of trees before labels are compared whole
 
 
@@ -62,52 +66,81 @@ def _joining(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int, float]
     return [(int(ids[r]), int(ids[i]), 2.0) for i, r in enumerate(root) if r >= 0 and r != i]
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int = 8, rounds: int = 1, recall: float = 0.98, audit_rows: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 5) -> DataFrame:
-    """Each vector's n_links (other vectors linked directly), component_id (smallest id reachable) and kept (it is that id)."""
-    spark = vectors.sparkSession
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int = 8, rounds: int = 12, recall: float = 0.98, audit_rows: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 5) -> DataFrame:
+    """Each vector's n_links (other vectors linked directly), component_id (smallest id reachable) and kept (it is that id).
+
+    audited_recall is the share of audited_links, the links of sampled vectors, that was found: null where they have none.
+    Rounds end when lists settle, after `rounds` at the latest.
+    """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), x.alias("x"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    grouped = rows.where("usable").groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    digest = [F.xxhash64("label", "x").alias("h"), F.xxhash64(F.lit(seed), "label", "x").alias("g")]  # 128 bits that stand for label and vector
+    valid = rows.where("usable").select("id", "label", "x", *digest)
+    ids = valid.select("h", "g", "id")
+    copies = materialise(ids.distinct().groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
+    one = valid.groupBy("h", "g").agg(F.first("x").alias("x"), F.first(F.xxhash64("label", F.size("x"))).alias("place"))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             raw = [(v / np.linalg.norm(v)).tobytes() for v in map(np.asarray, frame["x"])]
             yield pd.DataFrame({"id": frame["rep"], "place": frame["place"], "copies": frame["copies"], "raw": raw})
 
-    place = F.xxhash64("label", F.size("x")).alias("place")
-    reps = materialise(grouped.select("rep", "copies", place, "x").mapInPandas(pack, "id long, place long, copies long, raw binary"), "vectors")
+    reps = materialise(one.join(copies, ["h", "g"]).select("rep", "copies", "place", "x").mapInPandas(pack, "id long, place long, copies long, raw binary"), "vectors")
     total = reps.count()
     depth = max(1, int(np.ceil(np.log2(max(total, 1) / LEAF))))
     missed = 1 - (1 - np.arccos(threshold) / np.pi) ** depth
     trees = min(32, int(np.ceil(np.log(0.01) / np.log(missed))))
     floor = float(np.cos(min(2 * np.arccos(threshold), np.pi / 2)))
-    edges = None
+    edges, settled = None, None
     for attempt in range(ATTEMPTS):
         grown = materialise(_compare(_leaves(reps, trees, depth, seed + attempt), reps, neighbours, floor, threshold), "leaves")
         edges = grown if edges is None else edges.union(grown)
-        for _ in range(rounds):
-            lists = edges.where("cosine < 1.5").select("a", "b", "cosine").union(edges.where("cosine < 1.5").select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).distinct()
-            nearest = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-            lists = lists.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= neighbours).select("a", "b")
-            around = lists.union(lists.select("a", F.col("a").alias("b")).distinct()).select(F.col("b").alias("id"), F.col("a").alias("leaf"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-            edges = edges.union(materialise(_compare(around, reps, neighbours, floor, threshold), "round"))
+        edges, settled = _descend(edges, settled, reps, neighbours, rounds, floor, threshold)
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
         audit = _audit(reps, components, threshold, audit_rows, neighbours)
-        if _recall(audit, neighbours) >= recall:
+        found = _recall(audit, neighbours)
+        if found is None or found >= recall:
             break
     else:
         missing = audit.loc[audit["found"] < audit["links"], "place"].unique().tolist()  # at most as many as sampled vectors
         whole = _blocks(reps.where(F.col("place").isin(missing)).select("id", F.col("place").alias("leaf")))
         edges = edges.union(materialise(_compare(whole, reps, neighbours, floor, threshold), "whole"))
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
-    counts = _enlarge(reps, components, threshold)
-    same = reps.select(F.col("id").alias("rep"), F.col("copies")).join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    same = same.select("rep", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    owner = rows.where("usable").join(grouped.select("label", "x", "rep"), ["label", "x"]).select("id", "rep").join(same, "rep")
-    known = owner.select("id", "n_links", "component").unionByName(rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
-    return known.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+        audit = _audit(reps, components, threshold, audit_rows, neighbours)
+        found = _recall(audit, neighbours)
+    counts = materialise(_enlarge(reps, components, threshold), "counts")
+    same = copies.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+    same = materialise(same.select("h", "g", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "linked")
+    known = ids.join(same, ["h", "g"]).select("id", "n_links", "component")  # both sides are read, so Spark can split the partition of a hot vector
+    known = known.unionByName(rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+    audited = [F.lit(int(audit["links"].sum())).cast("long").alias("audited_links"), F.lit(found).cast("double").alias("audited_recall")]
+    return known.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"), *audited)
+
+
+def _lists(edges: DataFrame, k: int) -> DataFrame:
+    """(a, b, cosine): each vector's k nearest by both ways of the edges; a hub's edges are first cut in LANES of their own."""
+    both = edges.where("cosine < 1.5")
+    both = both.select("a", "b", "cosine").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    both = both.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(LANES))).repartition("a", "lane").groupBy("a", "lane", "b").agg(F.max("cosine").alias("cosine"))
+    for by in (["a", "lane"], ["a"]):
+        both = both.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "b"))).where(F.col("at") <= k)
+    return both.select("a", "b", "cosine")
+
+
+def _descend(edges: DataFrame, before: DataFrame | None, reps: DataFrame, k: int, rounds: int, floor: float, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """edges with those found by rounds of neighbours of neighbours, and the lists that were settled; before has earlier settled ones."""
+    for _ in range(rounds):
+        lists = materialise(_lists(edges, k), "lists")
+        changed = (lists if before is None else lists.join(before, ["a", "b"], "left_anti")).select("a").distinct()
+        saturated = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).where((F.col("n") < 2) | (F.col("n") >= k) & (F.col("least") >= threshold)).select("a")
+        around = lists.join(changed, "a", "left_semi").join(saturated, "a", "left_anti").select(F.col("b").alias("id"), F.col("a").alias("leaf"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+        before = lists.select("a", "b")
+        if around.isEmpty():
+            break
+        edges = edges.union(materialise(_compare(around, reps, k, floor, threshold), "round"))
+    return edges, before
 
 
 def _leaves(reps: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
@@ -183,16 +216,16 @@ def _audit(reps: DataFrame, components: DataFrame, threshold: float, audit_rows:
     return seen.groupBy("id", "place").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).toPandas()
 
 
-def _recall(audit: pd.DataFrame, few: int) -> float:
-    """Mean share of links found by vector, over all audited vectors that have links or over those of at most `few`, whichever is less."""
+def _recall(audit: pd.DataFrame, few: int) -> float | None:
+    """Mean share of links found by vector, over all audited vectors that have links or over those of at most `few`, whichever is less; None without links."""
     linked = audit[audit["links"] > 0]
     share = linked["found"] / linked["links"]
-    return float(min((x.mean() for x in (share, share[linked["links"] <= few]) if len(x)), default=1.0))
+    return min((float(x.mean()) for x in (share, share[linked["links"] <= few]) if len(x)), default=None)
 
 
 def _enlarge(reps: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(id, linked): how many vectors of its component, copies counted, pass the threshold; components meet themselves in blocks."""
-    sizes = components.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    sizes = materialise(components.groupBy("component").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")), "sizes")
     held = components.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     held = held.select("id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = held.select("id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
@@ -201,13 +234,17 @@ def _enlarge(reps: DataFrame, components: DataFrame, threshold: float) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, counts = [], []
         for group in _groups(frames, ["component", "low", "high"]):
-            x, copies, part = _matrix(group["raw"]), group["copies"].to_numpy(), group["part"].to_numpy()
-            hit = x @ x.T >= threshold
-            if group["low"].iloc[0] != group["high"].iloc[0]:
-                hit &= part[:, None] != part[None, :]
-            np.fill_diagonal(hit, False)
-            ids.append(group["id"].to_numpy())
-            counts.append(hit @ copies)
+            x, copies, own = _matrix(group["raw"]), group["copies"].to_numpy(), group["id"].to_numpy()
+            if group["low"].iloc[0] == group["high"].iloc[0]:
+                hit = x @ x.T >= threshold
+                np.fill_diagonal(hit, False)
+                ids.append(own)
+                counts.append(hit @ copies)
+            else:
+                low = group["part"].to_numpy() == group["low"].iloc[0]
+                hit = x[low] @ x[~low].T >= threshold
+                ids += [own[low], own[~low]]
+                counts += [hit @ copies[~low], hit.T @ copies[low]]
             if len(ids) > 2000:
                 yield pd.DataFrame({"id": np.concatenate(ids), "linked": np.concatenate(counts)})
                 ids, counts = [], []
