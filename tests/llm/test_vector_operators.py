@@ -59,13 +59,35 @@ def test_large_leaves_are_compared_whole(spark, monkeypatch):
 
 def test_audit_counts_vectors_alike(spark):
     audit = spark.createDataFrame([(1, 5000, 4990)] * 20 + [(1, 1, 0)] * 10, "place long, links long, found long").toPandas()
-    assert neighbours._recall(audit, 8) == 0 and neighbours._recall(audit[:20], 8) > 0.99 and neighbours._recall(audit[:0], 8) == 1
+    assert neighbours._recall(audit, 8) == 0 and neighbours._recall(audit[:20], 8) > 0.99 and neighbours._recall(audit[:0], 8) is None
 
 
 def test_labels_that_miss_links_are_compared_whole(spark, table, monkeypatch):
-    want = {tuple(r) for r in near_vectors(table).collect()}
+    shown = lambda df: {tuple(r)[:4] for r in df.collect()}
+    want = shown(near_vectors(table))
     monkeypatch.setattr(neighbours, "_leaves", lambda reps, *_: neighbours._blocks(reps.where("id % 50 = 0").select("id", reps.place.alias("leaf"))))
-    assert {tuple(r) for r in near_vectors(table).collect()} == want
+    got = near_vectors(table)
+    assert shown(got) == want and got.first().audited_recall == 1 and got.first().audited_links > 0
+
+
+def test_repeated_ids_of_vectors_dont_link_with_themselves(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    data = [(7, a, 1), (7, a, 1), (8, a, 1), (9, b, 1), (9, b, 1), (10, b, 2), (None, b, 1), (11, None, 1), (11, None, 1)]
+    got = near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (9, 0, 9, True), (10, 0, 10, True), (None, 0, None, False), (11, 0, 11, True), (11, 0, 11, True)], key=str)
+
+
+def test_rounds_find_what_trees_have_missed(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((40, 1, 16)) + 0.02 * r.standard_normal((40, 5, 16))  # 40 groups of five
+    x = (x / np.linalg.norm(x, axis=2)[:, :, None]).reshape(200, 16)
+    reps = spark.createDataFrame([(i, 1, 1, v.tobytes()) for i, v in enumerate(x)], "id long, place long, copies long, raw binary")
+    chain = [(5 * g + i, 5 * g + i + 1, float(x[5 * g + i] @ x[5 * g + i + 1])) for g in range(40) for i in range(4)]
+    edges, settled = neighbours._descend(spark.createDataFrame(chain, "a long, b long, cosine double"), None, reps, 8, 12, 0.9, 0.98)
+    want = {(a, b) for a in range(200) for b in range(200) if a != b and x[a] @ x[b] >= 0.9}
+    assert {tuple(r) for r in settled.collect()} == want and len(want) > 2 * len(chain)
+    after, _ = neighbours._descend(edges, settled, reps, 8, 1, 0.9, 0.98)
+    assert after.count() == edges.count()  # settled lists give no further round
 
 
 @pytest.mark.parametrize(("block_rows", "block_queries"), [(32_768, 192), (100, 7)])
@@ -82,3 +104,27 @@ def test_topk_equals_brute_force(spark, table, block_rows, block_queries):
     got = exact_topk(table, block_rows=block_rows, block_queries=block_queries)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert exact_topk(table.limit(0)).count() == 0 and exact_topk(table.where("vec_id = 0")).count() == 0
+
+
+def test_topk_of_large_components_and_repeated_rows(spark):
+    r = np.random.default_rng(9)
+    scale = [1.0, 1e3, 3e10, 1e-3, 2e12]
+    data = [(i, (r.standard_normal(2) * scale[i % 5]).tolist()) for i in range(60)] + [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [5.0, 5.0]), (3, [5.0, 5.0]), (None, [1.0, 1.0]), (61, None)]
+    data[20] = (20, [0.5, 1.5])
+    rows_ = [(i, [int(np.floor(64 * c)) for c in v]) for i, v in data if i is not None and v is not None]
+    want = []
+    for q, asked in {i: min(v for j, v in data if j == i) for i, _ in rows_ if i % 20 == 0}.items():
+        query = [int(np.floor(64 * c)) for c in asked]
+        scored = sorted((-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in rows_ if i != q)[:20]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    frame = lambda d: spark.createDataFrame(d, "vec_id long, embedding array<double>")
+    for block_rows in (8192, 7):
+        assert sorted(map(tuple, exact_topk(frame(data), block_rows=block_rows, block_queries=2).collect())) == sorted(want)
+    huge = frame([(0, [1e300]), (1, [1e300])])
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        exact_topk(huge).collect()
+    few = frame([(0, [1e300]), (1, [-1e300]), *[(i, [float(i)]) for i in range(2, 30)]])
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        exact_topk(few, modulus=20).collect()  # products of 2 to 29 with 1e300 are beyond it
+    least = frame([(0, [1.0]), (1, [-1e300]), *[(i, [float(i)]) for i in range(2, 30)]])
+    assert [tuple(x) for x in exact_topk(least, modulus=30).orderBy("rank").limit(2).collect()] == [(0, 1, 29, 64 * 64 * 29), (0, 2, 28, 64 * 64 * 28)]
