@@ -37,6 +37,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_exit(path: str) -> str:
+    """path, which purge() deletes."""
+    _written.append(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
     for file in df.inputFiles()[:1]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import licenses
 from .bpe import byte_bpe
-from .common import shared_dir, table
+from .common import forget_at_exit, shared_dir, table
 from .minhash import minhash_components
 from .neighbours import near_vectors
 from .packing import added_tokens, best_fit_pack
@@ -34,7 +34,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive as small shards, are compacted, and are read from the committed version: each row with its shard."""
-    store = ShardStore(spark, f"{shared_dir(spark)}/llm-shards-{uuid.uuid4().hex}")
+    store = ShardStore(spark, forget_at_exit(f"{shared_dir(spark)}/llm-shards-{uuid.uuid4().hex}"))
     store.append(table(spark, sf_dir, "documents"))
     store.compact()
     store.vacuum()
@@ -47,7 +47,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = fold("doc_id", 5) == 0
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("y"))
     scored = quality(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -58,7 +58,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = fold("doc_id", 3) == 1
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("y"))
     scored = toxicity(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
