@@ -3,8 +3,9 @@
 1. Each task tokenizes its texts and cuts only those longer than a sequence: the rest first, then whole sequences.  A
    piece carries its rank among the task's pieces of the same length.
 2. The histogram of lengths (as many entries as a sequence has tokens, whatever the input) is packed on the driver:
-   batches of equal pieces go to the residual gap, or to new sequences, where the sum of squared counts of open
-   sequences per gap becomes smallest.
+   equal pieces go to the residual gap, or to new sequences, where the sum of squared counts of open sequences per gap
+   becomes smallest.  Of a length with more than `batches` pieces several move at once, and the change of the sum is that
+   of the whole move, by piece.
 3. The plan maps (length, global rank) to a sequence and an offset, so pieces find their places without moving texts.
 
 Added tokens of a tokenizers file, which that library also matches in plain text, are matched the same way where given.
@@ -56,22 +57,30 @@ def _pack(counts: dict[int, int], capacity: int, batches: int, interleaved: bool
             todo = min(step[s], left[s]) if interleaved else left[s]
             left[s] -= todo
             while todo:
+                m = min(todo, step[s])
                 gaps = np.arange(s, capacity + 1)
+                takes = np.minimum(open_[gaps], m)  # pieces that a gap's open sequences can take at once
                 after = gaps - s
-                change = 2 * (np.where(after > 0, open_[after], 0) - open_[gaps]) + 1 + (after > 0)
-                change = np.where(open_[gaps] > 0, change, np.iinfo(np.int64).max)
+                # what a piece adds to the sum of squares: n pieces into a gap change it by 2 n (after - gap) + 2 n n, where
+                # they fill it whole by - 2 n gap + n n, and in new sequences by 2 n after + n n
+                change = np.where(after > 0, 2 * open_[after] + takes, 0) - 2 * open_[gaps] + takes
+                change = np.where(takes > 0, change, np.iinfo(np.int64).max)
                 k = int(change.argmin())
-                fresh = (2 * open_[capacity - s] + 1 if s < capacity else 0) if eager else np.iinfo(np.int64).max - 1
+                fresh = (2 * open_[capacity - s] + m if s < capacity else 0) if eager else np.iinfo(np.int64).max - 1
                 if change[k] <= fresh:
-                    gap, n, lengths = int(gaps[k]), *stacks[gaps[k]].pop()
-                    m = min(n, todo, step[s])
-                    if m < n:
-                        stacks[gap].append((n - m, lengths))
+                    gap, m = int(gaps[k]), int(takes[k])
+                    moved, rest = [], m
+                    while rest:
+                        n, lengths = stacks[gap].pop()
+                        if n > rest:
+                            stacks[gap].append((n - rest, lengths))
+                            n = rest
+                        moved.append((n, [*lengths, s]))
+                        rest -= n
                     open_[gap] -= m
-                    lengths = [*lengths, s]
                 else:
-                    gap, m, lengths = capacity, min(todo, step[s]), [s]
-                stacks[gap - s].append((m, lengths))
+                    gap, moved = capacity, [(m, [s])]
+                stacks[gap - s] += moved
                 if gap > s:
                     open_[gap - s] += m
                 todo -= m
