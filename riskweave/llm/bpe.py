@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES, CACHE_CHARACTERS = 500_000, 48  # entries kept, and the longest pre-token among them: at most about 150 MB
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,7 +118,11 @@ class Codec:
             if len(memo) + len(missing) > CACHE_ENTRIES:
                 memo.clear()
                 missing = list(set(words))
-            memo.update(zip(missing, self._encode_words(missing), strict=True))
+            encoded = dict(zip(missing, self._encode_words(missing), strict=True))
+            if max(map(len, missing)) > CACHE_CHARACTERS:
+                memo.update((w, ids) for w, ids in encoded.items() if len(w) <= CACHE_CHARACTERS)
+                return b"".join([memo[w] if w in memo else encoded[w] for w in words])
+            memo.update(encoded)
         return b"".join([memo[word] for word in words])
 
     def decode(self, ids: bytes) -> bytes:

@@ -31,7 +31,7 @@ from .common import grouped as _groups
 from .common import materialise
 from .graph import connected_components
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS, MEMO_BYTES = 500_000, 48  # entries of a memo, and the longest word in it: at most about 100 MB
 BLOCK = 256  # rows compared with as many at once
 LANE = 1024  # members of a bucket that one task orders
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -49,9 +49,11 @@ def shingler(size: int) -> Callable[[str | None], np.ndarray]:
 
     class Memo(dict):
         def __missing__(self, word: bytes) -> int:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = h = xxhash.xxh3_64_intdigest(word)
+            h = xxhash.xxh3_64_intdigest(word)
+            if len(word) <= MEMO_BYTES:
+                if len(self) >= MEMO_WORDS:
+                    self.clear()
+                self[word] = h
             return h
 
     memo = Memo()

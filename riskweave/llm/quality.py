@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import MEMO_BYTES, MEMO_WORDS
 from .training import SAMPLE_ROWS, labelled_sample
 
 _LETTERS = [c for c in range(256) if chr(c).isascii() and chr(c).isalpha()]
@@ -33,9 +34,11 @@ class Features:
     def __init__(self, buckets: int):
         class Memo(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) >= 1_000_000:
-                    self.clear()
-                self[word] = h = zlib.crc32(word) % buckets
+                h = zlib.crc32(word) % buckets
+                if len(word) <= MEMO_BYTES:
+                    if len(self) >= MEMO_WORDS:
+                        self.clear()
+                    self[word] = h
                 return h
 
         self._bucket = Memo().__getitem__

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import MEMO_BYTES, MEMO_WORDS
 from .training import SAMPLE_ROWS, labelled_sample, logistic
 
 PREFIXES = (8, 7, 6, 5, 4, 3)
@@ -100,9 +101,11 @@ class Model:
 
         class Memo(dict):
             def __missing__(self, token: str) -> float:
-                if len(self) >= 1_000_000:
-                    self.clear()
-                self[token] = s = next((odds[x] for x in stems(token) if x in odds), 0.0) - drift
+                s = next((odds[x] for x in stems(token) if x in odds), 0.0) - drift
+                if len(token) <= MEMO_BYTES:
+                    if len(self) >= MEMO_WORDS:
+                        self.clear()
+                    self[token] = s
                 return s
 
         return Memo().__getitem__
