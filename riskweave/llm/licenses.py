@@ -3,12 +3,14 @@
 Texts are split into sentences and normalised (lower case, runs of other characters than letters and digits become one
 space).  A sentence may be wrapped: pieces that line breaks part, with any comment marks, are joined where they make up a
 known sentence, the longest first; blank lines within are passed over, as headers set addresses apart by them.  A line that
-is a known sentence itself, and no part of a longer one, counts alone.  Known sentences have identifiers; a document's identifiers in order form a sequence, on which the rules are
-matched in their order: each takes all its non-overlapping occurrences from the left and removes them from what later
-rules see.  Longer rules come first, so a whole licence text isn't also reported as its parts.
-
-Defined results: null and empty texts and those without a known sentence give no row; rows of one id are read as one
-document, sentence by sentence position; repeated sentences count each; other columns are ignored.
+is a known sentence itself, and no part of a longer one, counts alone.  Known sentences have identifiers; a document's
+identifiers in order form a sequence, on which the rules are matched in their order: each takes all its non-overlapping
+occurrences from the left and removes them from what later rules see.  Longer rules come first, so a whole licence text
+isn't also reported as its parts.  All of that is done text by text, so no row is shuffled.
+
+Defined results: null and empty texts and those without a known sentence give no row; each row is a document of its own,
+also rows of one id or of none; repeated sentences count each; of rules that fit the same place the first in order counts;
+long texts are scanned whole; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
 # Sentences of public licences and notices, by identifier.
 SENTENCES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
@@ -47,6 +50,18 @@ SENTENCES = {
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "bsd-warranty": _WARRANTY,
+    "bsd0-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-name": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense-released": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "wtfpl-do": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
 # Rules in the order of matching; each is a licence and a sequence of sentence identifiers.
 RULES = [
@@ -68,7 +83,39 @@ RULES = [
     ("CC0-1.0", ("cc0-notice",)),
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl2-notice",)),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("Unlicense", ("unlicense-released", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-released",)),
+    ("0BSD", ("bsd0-grant",)),
+    ("BSL-1.0", ("boost-name",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("WTFPL", ("wtfpl-do",)),
+    ("EPL-2.0", ("epl2-notice",)),
 ]
+
+
+def _add_families() -> None:
+    """Notices that differ in name, version and wording alone, made by rule."""
+    kinds = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    for kind, words in kinds.items():
+        for version in ("2.0", "3.0", "4.0"):
+            license_, scope = f"CC-{kind}-{version}", "International" if version == "4.0" else "Unported" if version == "3.0" else "Generic"
+            forms = {"short": f"Licensed under CC {kind} {version}.", "long": f"This work is licensed under a Creative Commons {words} {version} {scope} License.", "the": f"This work is licensed under the Creative Commons {words} {version} {scope} License."}
+            for form, text in forms.items():
+                if text not in SENTENCES.values():
+                    SENTENCES[f"{license_}-{form}"] = text
+                    RULES.append((license_, (f"{license_}-{form}",)))
+    for short, name in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License")):
+        subject = "library" if short == "LGPL" else "program"
+        for version in ("2", "2.1", "3"):
+            for mark in (":", ";"):
+                text = f"This {subject} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+                whole, key = f"{short}-{version if '.' in version else version + '.0'}-or-later", f"{short}-{version}-free{len(SENTENCES)}"
+                if normalise(text) not in map(normalise, SENTENCES.values()):
+                    SENTENCES[key] = text
+                    RULES.append((whole, (key,)))
+
+
 BREAK = r"[.:!?][ \t]+|[\r\n]+"
 OTHER = r"[^a-z0-9]+"
 
@@ -77,6 +124,9 @@ def normalise(sentence: str) -> str:
     return re.sub(OTHER, " ", sentence.lower()).strip()
 
 
+_add_families()
+
+
 def known_sentences(known: dict[str, str]) -> Callable[[str], list[tuple[int, str]]]:
     """A function from a text to (position, mark) of the known sentences in it; positions number the pieces between breaks."""
     words = [sentence.split(" ") for sentence in known]
@@ -113,24 +163,26 @@ def license_findings(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES,
     number = {name: i for i, name in enumerate(sentences, 1)}
     parts = [(normalise(p), number[name], k) for name, text in sentences.items() for k, p in enumerate(x for x in re.split(BREAK, text) if normalise(x))]
     known = {p: f"<{i}.{k}>" for p, i, k in reversed(parts)}
-    marks = {name: "".join(f"<{i}.{k}>" for _, i, k in parts if i == number[name]) for name in sentences}
+    sequences = ["".join(f"<{i}.{k}>" for name in names for _, i, k in parts if i == number[name]) for _, names in rules]
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def matched(marks: list[str]) -> Iterator[tuple[int, str, int]]:
+        left = "".join(marks)
+        for rule, ((license_, _), sequence) in enumerate(zip(rules, sequences, strict=True), 1):
+            if sequence in left:
+                yield rule, license_, left.count(sequence)
+                left = left.replace(sequence, "|")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = known_sentences(known)
         for frame in frames:
-            rows = [(key, pos, mark) for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True) if text for pos, mark in find(text)]
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "mark"])
+            rows = []
+            for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+                if text and (marks := [mark for _, mark in find(text)]):
+                    rows += [(key, *found, len(marks)) for found in matched(marks)]
+            yield pd.DataFrame(rows, columns=[id_col, "rule", "license", "matches", "sentences"])
 
-    found = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInPandas(run, f"{id_col} {kind}, pos int, mark string")
-    sequences = found.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mark"))), lambda x: x["mark"]), "").alias("left"), F.count("*").alias("sentences"))
-    counts = []
-    for i, (_, names) in enumerate(rules):
-        sequence = "".join(marks[n] for n in names)
-        sequences = sequences.withColumn(f"rule{i}", ((F.length("left") - F.length(F.replace("left", F.lit(sequence), F.lit("")))) / len(sequence)).cast("long")).withColumn("left", F.replace("left", F.lit(sequence), F.lit("|")))
-        counts.append(F.struct(F.lit(i + 1).alias("rule"), F.lit(rules[i][0]).alias("license"), F.col(f"rule{i}").alias("matches")))
-    matched = sequences.select(id_col, "sentences", F.explode(F.filter(F.array(*counts), lambda x: x["matches"] > 0)).alias("m"))
-    return matched.select(id_col, "m.rule", "m.license", "m.matches", "sentences")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInPandas(run, f"{id_col} {kind}, rule int, license string, matches long, sentences long")
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
