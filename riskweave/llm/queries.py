@@ -24,7 +24,7 @@ from .training import fold
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_findings(table(spark, sf_dir, "documents"))
+    return secret_findings(table(spark, sf_dir, "documents"), dictionary_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

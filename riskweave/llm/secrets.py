@@ -1,16 +1,19 @@
 """Secret scan: candidate strings, and a random forest trained on labelled findings that removes false positives.
 
-Candidates are long runs of key characters with a digit, and values assigned to credential words by = or :, quoted or not,
-of any length and with or without digits; those that overlap are one candidate.  The forest sees each
-candidate's length, transitions between character classes, dictionary coverage, the path (source) it came from and the
-words around it.  The labelled findings are drawn by rule from a seed, real secrets and look-alikes side by side.
-
-Defined results: null and empty texts have no candidates; long texts are scanned whole; every occurrence is its own row;
-offsets count characters; a null source is an empty path; other columns are ignored.
+Candidates are long runs of key characters with a digit, values assigned to credential words by = or :, quoted or not,
+of any length and with or without digits, and private key blocks; those that overlap are one candidate.  The forest sees
+each candidate's length, transitions between character classes, the share that words of a dictionary cover, the path
+(source) it came from and the words around it.  The labelled findings are given, or else drawn by rule from a seed, real
+secrets and look-alikes side by side.  The dictionary is the whole words in a tokenizer's vocabulary file, given by path.
+
+Defined results: null and empty texts have no candidates; long texts are scanned whole; every occurrence is its own row,
+and each row is scanned by itself, also repeated ones and those without an id; offsets count characters; a null source is
+an empty path; a score of KEEP is a secret; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 
@@ -28,7 +31,16 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-@])(?=[A-Za-z0-9+/_=.\-@]*[0-9])[A-
 ASSIGNED = re.compile(r"^([A-Za-z_]*)=(.+)$")
 WORDS = re.compile("|".join(map(re.escape, CREDENTIAL)).replace("_", "[_-]?"), re.IGNORECASE)
 VALUE = re.compile(r"""(?:orization|s)?(?:[_.\-]?[A-Za-z0-9]{1,16}){0,3}["']?[ \t]{0,8}(?::=|=>|={1,2}|:)[ \t]{0,8}(?:(?:bearer|basic)[ \t]{1,8})?(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|`([^`\r\n]{1,512})`|["']?([^\s"'`;,&<>]+))""", re.IGNORECASE)
+PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.\-]{0,20000}?-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]{0,20000})")
 KEEP = 0.5
+LONGEST = 14  # letters of a dictionary word
+
+
+def dictionary(path: str) -> frozenset[str]:
+    """Whole lower-case words of four letters or more in a rank file: pieces that begin with a space."""
+    with open(path, "rb") as lines:
+        pieces = (base64.b64decode(line.split()[0]) for line in lines)
+        return frozenset(p[1:].decode() for p in pieces if 5 <= len(p) <= LONGEST + 1 and p[:1] == b" " and p[1:].isalpha() and p[1:].islower() and p.isascii())
 
 
 def _transitions(s: str) -> float:
@@ -36,11 +48,11 @@ def _transitions(s: str) -> float:
     return sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / max(len(s) - 1, 1)
 
 
-def features(value: str, before: str, after: str, path: str) -> list[float]:
+def features(value: str, before: str, after: str, path: str, words: frozenset[str] = frozenset(SYLLABLES)) -> list[float]:
     low, near = value.lower(), before.lower()
     covered, at = 0, 0
     while at < len(low):
-        hit = max((len(w) for w in SYLLABLES if low.startswith(w, at)), default=0)
+        hit = next((n for n in range(min(LONGEST, len(low) - at), 1, -1) if low[at : at + n] in words), 0)
         covered += hit
         at += hit or 1
     n = max(len(value), 1)
@@ -49,7 +61,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     return [
         len(value), _transitions(value), covered / n, float(-(counts * np.log2(counts)).sum()),
         sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, float(all(c in "0123456789abcdef" for c in value)),
-        sum(not c.isalnum() for c in value) / n, float(value.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox"))),
+        sum(not c.isalnum() for c in value) / n, float(value.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox", "-----BEGIN"))),
         float(any(w in x for x in last for w in CREDENTIAL)), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(any(x in HARMLESS for x in last)),
         float(any(w in low or w in near[-24:] or w in after.lower()[:16] for w in SAMPLE)), float(any(w in path.lower() for w in SAMPLE)), float("@" in value), float(value.count(".") + value.count("/")),
     ]
@@ -58,15 +70,15 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
     """Places of candidate strings in order, disjoint, without an announcing name and end marks."""
     last = None
-    for start, end in sorted([*_runs(text or ""), *_assigned(text or "")]):
-        if last is not None and start < last[1]:
-            last = last[0], max(last[1], end)
+    for start, end, whole in sorted([*((a, b, False) for a, b in _runs(text or "")), *((a, b, True) for a, b in [*_assigned(text or ""), *_blocks(text or "")])]):
+        if last is not None and start < last[1]:  # an assigned value in a run is without the name before it
+            last = last[0] if last[2] or not whole else start, max(last[1], end), last[2] or whole
             continue
         if last is not None:
-            yield last
-        last = start, end
+            yield last[:2]
+        last = start, end, whole
     if last is not None:
-        yield last
+        yield last[:2]
 
 
 def _runs(text: str) -> Iterator[tuple[int, int]]:
@@ -80,6 +92,13 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys from their first line to the last, or as far as key characters go."""
+    if "PRIVATE KEY" in text:
+        for m in PRIVATE.finditer(text):
+            yield m.start(), m.start() + len(m.group().rstrip())
+
+
 def _assigned(text: str) -> Iterator[tuple[int, int]]:
     """Values after a credential word and = or :."""
     for word in WORDS.finditer(text):
@@ -92,12 +111,14 @@ def _assigned(text: str) -> Iterator[tuple[int, int]]:
                 yield start, end
 
 
-def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(rows: int = 3000, seed: int = 3, words: frozenset[str] = frozenset()) -> list[tuple[str, str, str, str, int]]:
     """(value, text before, text after, path, 1 for a secret), half of either kind, drawn by rule."""
     random = np.random.default_rng(seed)
     of = lambda alphabet, n: "".join(random.choice(list(alphabet), n))
     hexa, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    word = lambda: of("aeiou", 1).join(random.choice(list(SYLLABLES), 3))
+    known = sorted(words)
+    word = lambda: known[int(random.integers(len(known)))] if known else of("aeiou", 1).join(random.choice(list(SYLLABLES), 3))
+    block = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
     digits, length = "0123456789", lambda a, b: int(random.integers(a, b))
     named = lambda: f"{random.choice(CREDENTIAL)}{random.choice(['=', ' = ', ': ', ' = "', '="'])}"
     real = [
@@ -108,6 +129,9 @@ def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, s
         lambda: (of(mixed, length(6, 14)) + of("!#$%*?", length(0, 2)), f"{word()} {named()}", "config"),
         lambda: (of(mixed[:52], length(16, 48)), f"{word()} {named()}", "src"),
         lambda: (f"{word()[: length(4, 8)]}{of(digits, length(1, 4))}{of('!#$%*?', length(0, 2))}", f"{word()} {named()}", "config"),
+        lambda: (f"{word()}{word()}"[: length(8, 16)].translate(str.maketrans({c: d for c, d in zip("aeios", "43105", strict=True) if random.random() < 0.4})) + of(digits, length(1, 4)), f"{word()} {named()}{random.choice(['', chr(39)])}", "config"),
+        lambda: (block("\n".join(of(mixed + "+/", 64) for _ in range(length(1, 20))), random.choice(["RSA ", "EC ", "OPENSSH ", ""])), f"{word()}\n", random.choice(["src", "config"])),
+        lambda: (f"{random.choice(['sk-', 'xoxb-', 'gho_', ''])}{of(mixed, length(20, 44))}", f"{word()} {named()}{random.choice(['', 'Bearer '])}", random.choice(["src", "config", "ci"])),
     ]
     false = [
         lambda: (of(hexa, length(32, 65)), f"{word()} {random.choice(HARMLESS)}{random.choice([' ', ': ', '='])}", "src"),
@@ -120,7 +144,10 @@ def labelled_findings(rows: int = 3000, seed: int = 3) -> list[tuple[str, str, s
         lambda: (f"{random.choice(['changeme', 'yourtoken', 'examplekey', 'testpassword', 'xxxxxxxxxxxx'])}{of(digits, length(1, 5))}", f"{word()} {named()}", "src"),
         lambda: (of(hexa, length(16, 41)), f"{word()} {named()}", random.choice(["test/fixtures", "examples/sample"])),
         lambda: ("AKIA" + of(upper, 9) + "EXAMPLE", f"{word()} ", "docs"),
-        lambda: (random.choice(["required", "none", "null", "true", "false", "string", "the", "a", "your", word(), of(mixed[:26], length(2, 9))]), f"{word()} {named()}", random.choice(["src", "docs", "config"])),
+        lambda: (random.choice(["required", "none", "None", "NULL", "null", "nil", "True", "true", "False", "false", "undefined", "string", "the", "a", "your", word(), of(mixed[:26], length(2, 9))]), f"{word()} {named()}", random.choice(["src", "docs", "config"])),
+        lambda: (block(random.choice(["...", "your key here", word()])), f"{word()}\n", random.choice(["docs", "examples"])),
+        lambda: (f"{word()}{random.choice(['', '_'])}{random.choice(['api', word()])}{random.choice(['_key', '_here', 'name', ''])}{of(digits, length(0, 3))}", f"{word()} {named()}", random.choice(["docs", "src"])),
+        lambda: ("-".join([word(), *(str(random.integers(0, 3000)) for _ in range(length(1, 3)))]), f"{word()} ", "src"),
         lambda: (random.choice(["${%s}", "$%s", "{{%s}}", "os.environ[%s]", "get_%s()", "self.%s", "config.%s"]) % word(), f"{word()} {named()}", random.choice(["src", "config"])),
     ]
     out = []
@@ -182,21 +209,22 @@ class Forest:
         return total / len(self.trees)
 
 
-def trained(findings: list[tuple[str, str, str, str, int]]) -> Forest:
-    return Forest(np.array([features(*f[:4]) for f in findings]), np.array([f[4] for f in findings], dtype=float))
+def trained(findings: list[tuple[str, str, str, str, int]], words: frozenset[str] = frozenset(SYLLABLES)) -> Forest:
+    return Forest(np.array([features(*f[:4], words) for f in findings]), np.array([f[4] for f in findings], dtype=float))
 
 
-def _scan(text: str | None, path: str, forest: Forest) -> list[tuple[int, int, float]]:
+def _scan(text: str | None, path: str, forest: Forest, words: frozenset[str]) -> list[tuple[int, int, float]]:
     places = list(candidates(text))
     if not places:
         return []
-    scores = forest.score(np.array([features(text[a:b], text[max(0, a - 48) : a], text[b : b + 24], path) for a, b in places]))
+    scores = forest.score(np.array([features(text[a:b], text[max(0, a - 48) : a], text[b : b + 24], path, words) for a, b in places]))
     return [(a, b, float(s)) for (a, b), s in zip(places, scores, strict=True)]
 
 
-def _state(docs: DataFrame, findings: list | None):
-    forest = trained(labelled_findings() if findings is None else findings)
-    return docs.sparkSession.sparkContext.broadcast(forest.trees)
+def _state(docs: DataFrame, findings: list | None, dictionary_path: str | None):
+    words = dictionary(dictionary_path) if dictionary_path else frozenset()
+    forest = trained(labelled_findings(words=words) if findings is None else findings, words or frozenset(SYLLABLES))
+    return docs.sparkSession.sparkContext.broadcast((forest.trees, words or frozenset(SYLLABLES)))
 
 
 def _forest(trees: list[np.ndarray]) -> Forest:
@@ -205,32 +233,32 @@ def _forest(trees: list[np.ndarray]) -> Forest:
     return forest
 
 
-def secret_findings(docs: DataFrame, *, findings: list | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """id, start, end, value_sha256, score and is_secret (score of at least 0.5) of every candidate."""
-    shared, kind = _state(docs, findings), docs.schema[id_col].dataType.simpleString()
+def secret_findings(docs: DataFrame, *, findings: list | None = None, dictionary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """id, start, end, value_sha256, score and is_secret (score of at least KEEP) of every candidate."""
+    shared, kind = _state(docs, findings, dictionary_path), docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        forest = _forest(shared.value)
+        forest, words = _forest(shared.value[0]), shared.value[1]
         for frame in frames:
-            rows = [(key, a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), s, s >= KEEP) for key, text, path in frame.itertuples(index=False) for a, b, s in _scan(text, path or "", forest)]
+            rows = [(key, a, b, hashlib.sha256(text[a:b].encode()).hexdigest(), s, s >= KEEP) for key, text, path in frame.itertuples(index=False) for a, b, s in _scan(text, path or "", forest, words)]
             yield pd.DataFrame(rows, columns=[id_col, "start", "end", "value_sha256", "score", "is_secret"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(path_col).cast("string")).mapInPandas(run, f"{id_col} {kind}, start int, end int, value_sha256 string, score double, is_secret boolean")
 
 
-def redact_secrets(docs: DataFrame, *, mark: str = "[SECRET]", findings: list | None = None, text_col: str = "text", path_col: str = "source") -> DataFrame:
+def redact_secrets(docs: DataFrame, *, mark: str = "[SECRET]", findings: list | None = None, dictionary_path: str | None = None, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """docs with every secret in the text replaced by mark; columns and their order stay."""
-    shared = _state(docs, findings)
+    shared = _state(docs, findings, dictionary_path)
 
     @F.pandas_udf("string")
     def clean(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        forest = _forest(shared.value)
+        forest, words = _forest(shared.value[0]), shared.value[1]
         for texts, paths in frames:
             out = []
             for text, path in zip(texts, paths, strict=True):
-                for a, b, s in reversed(_scan(text, path or "", forest)):
+                for a, b, s in reversed(_scan(text, path or "", forest, words)):
                     if s >= KEEP:
                         text = text[:a] + mark + text[b:]
                 out.append(text)
