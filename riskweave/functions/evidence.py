@@ -6,6 +6,7 @@ different detectors may, and all are kept, ordered by (start, end) and then by d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -62,29 +63,82 @@ def is_national_id(value: Column) -> Column:
 VALID = {"IP": is_ip, "CARD": is_card, "TC_KIMLIK": is_national_id}
 
 
-def spans(text: Column, kind: str) -> Column:
-    """All spans of one detector, in order."""
+STEP = 256  # elements whose sums are made in one go
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums(lengths: Column) -> Column:
+    """struct<at, total>: for each element the sum of those before it, and the sum of all."""
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("total"))
+    return F.aggregate(lengths, none, lambda s, x: F.struct(F.array_append(s["at"], s["total"]).alias("at"), (s["total"] + x).alias("total")))
+
+
+def _before(lengths: Column) -> Column:
+    """For each element the sum of those before it, by blocks of STEP, as an appended array is copied each time."""
+
+    def whole(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(STEP)), lambda i: _sums(F.slice(xs, i, F.lit(STEP))))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, _sums(F.transform(bs, lambda b: b["total"]))["at"], lambda b, base: F.transform(b["at"], lambda x: x + base))))
+
+    return _let(lengths, whole)
+
+
+def possible(text: Column, kind: str) -> Column:
+    """Whether the detector's pattern occurs at all; cheap literals are looked for first."""
+    occurs = text.rlike("(?iU)" + PATTERNS[kind])
+    if kind in NEEDS:
+        return F.contains(text, F.lit(NEEDS[kind])) & occurs
+    return text.rlike("[0-9]") & occurs if kind in ("TC_KIMLIK", "PHONE", "CARD") else occurs
+
+
+def _matches(text: Column, kind: str, n: int) -> Column:
+    """struct<n, type, values, gaps> of one detector: its matches and the texts before and between them; null without any."""
     pattern = "(?iU)" + PATTERNS[kind]
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    found = F.struct(F.lit(n).alias("n"), F.lit(kind).alias("type"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(possible(text, kind), found)
+
+
+def _placed(x: Column) -> Column:
+    """array<struct<start, end, n, type, text>> of one detector's matches; work grows with the text and its matches."""
+    values = F.zip_with(x["values"], F.slice(x["gaps"], F.lit(1), F.size(x["values"])), lambda v, gap: F.struct(v.alias("text"), F.length(gap).alias("gap"), F.length(v).alias("length")))
+
+    def span(v: Column, before: Column) -> Column:
+        start = before + v["gap"]
+        return F.struct(start.alias("start"), (start + v["length"]).alias("end"), x["n"].alias("n"), x["type"].alias("type"), v["text"].alias("text"))
+
+    return _let(values, lambda vs: F.zip_with(vs, _before(F.transform(vs, lambda v: v["gap"] + v["length"])), span))
 
-    def span(value: Column, i: Column) -> Column:
-        start = length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
-        return F.struct(F.lit(kind).alias("type"), value.alias("text"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-    placed = F.transform(found, span)
-    if kind in VALID:
-        placed = F.filter(placed, lambda s: VALID[kind](s["text"]))
-    possible = text.isNotNull() & (F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]") if kind in ("TC_KIMLIK", "PHONE", "CARD") else F.lit(True))
-    return F.when(possible, placed).otherwise(F.slice(F.array(F.struct(F.lit(kind).alias("type"), F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"))), 1, 0))
+def occurs(text: Column, kind: str) -> Column:
+    """Whether the detector has a span, without placing it."""
+    if kind not in VALID:
+        return possible(text, kind)
+    return F.when(possible(text, kind), F.exists(F.regexp_extract_all(text, F.lit("(?iU)" + PATTERNS[kind]), F.lit(0)), VALID[kind])).otherwise(F.lit(False))
+
+
+def occurs_any(text: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether any of the detectors has a span; the first that has ends the search."""
+    return F.coalesce(reduce(lambda a, b: a | b, [occurs(text, k) for k in sorted(kinds, key=lambda k: (k not in NEEDS, k in VALID))]), F.lit(False))
 
 
 def evidence(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
-    """Spans of all detectors ordered by (start, end, declaration)."""
-    every = F.flatten(F.array(*[F.transform(spans(text, k), lambda s, n=n: F.struct(s["start"], s["end"], F.lit(n).alias("n"), s["type"], s["text"])) for n, k in enumerate(kinds)]))
+    """Spans of the detectors ordered by (start, end, declaration); null texts have none."""
+    found = F.filter(F.array(*[_matches(text, k, n) for n, k in enumerate(kinds)]), lambda x: x.isNotNull())
+    every = F.flatten(F.transform(found, _placed))
+    if any(k in VALID for k in kinds):
+        every = F.filter(every, lambda s: reduce(lambda chain, k: chain.when(s["type"] == k, VALID[k](s["text"])), VALID, F).otherwise(F.lit(True)))
     return F.transform(F.array_sort(every), lambda s: F.struct(s["type"], s["text"], s["start"], s["end"]))
 
 
+def spans(text: Column, kind: str) -> Column:
+    """All spans of one detector, in order."""
+    return evidence(text, (kind,))
+
+
 def has_type(spans_: Column, types: tuple[str, ...]) -> Column:
     return F.exists(spans_, lambda s: s["type"].isin(*types))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import TASKS
 
@@ -21,11 +22,22 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is heavy by row; a table that has them isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """One folder of JSON lines for each value of the split column."""
     df.write.partitionBy("split").mode("overwrite").json(path)
 
 
+def write_teacher(df: DataFrame, path: str) -> None:
+    """JSON lines of text and its teacher targets, from a table with a text and a column for each task; null targets are left out."""
+    df.select("text", F.struct(*[F.col(t).cast("double").alias(t) for t in TASKS]).alias("teacher")).write.mode("overwrite").json(path)
+
+
 def save_json(path: str, value: object) -> None:
     with open(path, "w", encoding="utf-8") as file:
         json.dump(value, file, indent=2, ensure_ascii=False)
@@ -44,5 +56,9 @@ def report(metrics: DataFrame, title: str, digits: int = 3) -> str:
     return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(shown(r[n]) for n in names) + " |" for r in rows)]) + "\n"
 
 
+def percent(share: float, digits: int = 1) -> str:
+    return f"{share * 100:.{digits}f}%"
+
+
 def mib(size: int) -> str:
     return f"{size / 1048576:.1f} MiB"
