@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clip
+from .ranks import value_at_rank
 
 # Ten equal bins as floating-point steps of a tenth give them, so 0.3 lies in the third bin.
 EDGES = tuple(i * 0.1 for i in range(10))
@@ -58,9 +59,16 @@ def brier_nll(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), (-F.avg(F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("nll"))
 
 
+def calibration(df: DataFrame, *by: str) -> DataFrame:
+    """ece, brier and nll in one pass: sums by bin, then by group."""
+    p, y = clip(F.col("p")), F.col("y")
+    sums = {"_n": F.count("*"), "_y": F.sum("y"), "_p": F.sum("p"), "_brier": F.sum((p - y) * (p - y)), "_nll": -F.sum(F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p)))}
+    bins = df.groupBy(*by, bin_index(F.col("p")).alias("bin")).agg(*[c.alias(a) for a, c in sums.items()])
+    n = F.sum("_n")
+    return bins.groupBy(*by).agg((F.sum(F.abs(F.col("_y") - F.col("_p"))) / n).alias("ece"), (F.sum("_brier") / n).alias("brier"), (F.sum("_nll") / n).alias("nll"))
+
+
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean and upper median (element n // 2 of the sorted values) by group; the sort is a window, not a collected array."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    middle = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col(value)))
-    return ranked.groupBy(*by).agg(F.avg(value).alias("mean"), middle.alias("p50"), F.count("*").alias("n"))
+    """Mean and upper median (element n // 2 of the sorted values) by group; no group is sorted whole."""
+    found = value_at_rank(df, value, lambda n: F.floor(n / 2), *by, also={"mean": F.avg(value)})
+    return found.select(*by, "mean", F.col(value).alias("p50"), "n")

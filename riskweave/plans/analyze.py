@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ACTIONS, METADATA_FLAGS, SEVERITIES, TASKS, Policy
+from ..constants import ACTIONS, METADATA_FLAGS, PII_TYPES, SECRET_TYPES, SEVERITIES, TASKS, Policy
 from ..functions import evidence as ev
 from ..functions import policy as rules
 from ..functions import scoring as sc
@@ -15,6 +18,15 @@ def flags_of(df: DataFrame) -> dict[str, Column]:
     return {f: F.coalesce(F.col(f), F.lit(False)) for f in METADATA_FLAGS if f in df.columns}
 
 
+def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the flags has_pii, has_secret and transfer without placing any span."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    transfer = ev.occurs_any(value, ("EXTERNAL_TRANSFER",))
+    if "external_api" in df.columns:
+        transfer = transfer | F.coalesce(F.col("external_api"), F.lit(False))
+    return df.withColumns({"has_pii": ev.occurs_any(value, PII_TYPES), "has_secret": ev.occurs_any(value, SECRET_TYPES), "transfer": transfer})
+
+
 def with_evidence(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds evidence and its flags; staged so that the patterns run once."""
     external = F.col("external_api") if "external_api" in df.columns else None
@@ -24,7 +36,7 @@ def with_evidence(df: DataFrame, text: str = "text") -> DataFrame:
 
 def rule_decisions(df: DataFrame, text: str = "text", policy: Policy = Policy()) -> DataFrame:
     """Decisions by evidence alone: a score of 1 for pii or secret where there is evidence, full confidence."""
-    df = with_evidence(df, text)
+    df = with_flags(df, text)
     scores = {t: F.lit(0.0) for t in TASKS} | {"pii": F.col("has_pii").cast("double"), "secret": F.col("has_secret").cast("double")}
     verdict = rules.decide(scores, F.col("has_pii"), F.col("has_secret"), F.col("transfer"), flags_of(df), policy=policy)
     return df.withColumn("verdict", verdict).withColumns({"action": F.col("verdict.action"), "policy_reason": F.col("verdict.reason")}).drop("verdict")
@@ -42,3 +54,59 @@ def decision_records(df: DataFrame, temperatures: dict[str, float] | None = None
         "severity": sc.decoded(F.col("severity_logits"), SEVERITIES), "model_action": sc.decoded(F.col("action_logits"), ACTIONS), "action": F.col("verdict.action"), "policy_reason": F.col("verdict.reason"),
         "confidence": F.bround("certainty", 4), "abstain": F.col("verdict.reason") == "uncertain",
     }).drop("verdict", "certainty")
+
+
+# A score provider adds risks (9), severity_logits and action_logits (4 each) to a table with the text column.
+ScoreProvider = Callable[[DataFrame, str], DataFrame]
+# Our own lexicon, in place of the encoder that isn't part of the repository: word beginnings that speak for each task.
+LEXICON = {
+    "pii": "address|phone|passport|email|customer", "secret": "password|secret|token|credential|api key", "prompt_injection": "ignore|override|reveal|system prompt|jailbreak", "dangerous_instruction": "explosive|weapon|malware|exploit|poison",
+    "privacy_risk": "profil|track|surveil|personal", "security_risk": "attack|hack|breach|vulnerab|port ", "ethics_risk": "discriminat|manipulat|deceiv|harm", "oversight_risk": "unsupervised|without review|autonomous|approve", "data_governance_risk": "retention|transfer|consent|dataset",
+}
+MOST = 4  # occurrences that count
+
+
+def lexicon_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """A score provider of Catalyst expressions: logits linear in how often each task's words occur."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_seen", F.array(*[F.least(F.regexp_count(lower, F.lit(words)), F.lit(MOST)).cast("double") for words in LEXICON.values()]))
+    of = lambda task: F.element_at("_seen", TASKS.index(task) + 1)
+    total = F.least(F.aggregate("_seen", F.lit(0.0), lambda s, n: s + n), F.lit(6.0))
+    severity = F.array(2 - total, 0.5 + 0.1 * total, 0.5 * total - 0.5, 0.8 * total - 2)
+    action = F.array(2 - total, 0.9 * of("pii") - 1, 0.3 + 0.3 * total, 0.9 * (of("secret") + of("prompt_injection") + of("dangerous_instruction")) - 2)
+    return df.withColumns({"risks": F.transform("_seen", lambda n: 1.5 * n - 2.5), "severity_logits": severity, "action_logits": action}).drop("_seen")
+
+
+def analyze(df: DataFrame, scores: ScoreProvider = lexicon_scores, temperatures: dict[str, float] | None = None, policy: Policy = Policy(), text: str = "text") -> DataFrame:
+    """From a text column and any of the metadata flags to the whole decision record: evidence, scores, policy."""
+    return decision_records(scores(with_evidence(df, text), text), temperatures, policy).drop("risks", "severity_logits", "action_logits")
+
+
+RECORD = (*TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain", "evidence")
+
+
+def record_json(df: DataFrame) -> Column:
+    """The decision record of a row as JSON, its fields in their fixed order."""
+    return F.to_json(F.struct(*[F.col(c) for c in RECORD if c in df.columns]))
+
+
+def analyze_text(spark: SparkSession, text: str | None, metadata: dict[str, bool] | None = None, **options) -> dict:
+    """One text with its flags to one record, for interactive use."""
+    given = {f: bool(v) for f, v in (metadata or {}).items() if f in METADATA_FLAGS}
+    row = spark.createDataFrame([(text, *given.values())], ", ".join(["text string", *(f"{f} boolean" for f in given)]))
+    done = analyze(row, **options)
+    return json.loads(done.select(record_json(done)).first()[0])
+
+
+def analyze_form(spark: SparkSession, text: str | None, agent: bool = False, shell: bool = False, filesystem: bool = False, network: bool = False, database: bool = False, external_api: bool = False, credential_access: bool = False, human_approval: bool = False, **options) -> tuple[str, dict]:
+    """A text and eight flags to an HTML card and a record; blank texts give a note and no record, long ones are cut."""
+    from ..functions.display import EMPTY, card
+    from ..functions.text import MAX_CHARS
+
+    text = (text or "")[:MAX_CHARS]
+    if not text.strip():
+        return EMPTY, {}
+    flags = dict(agent=agent, shell=shell, filesystem=filesystem, network=network, database=database, external_api=external_api, credential_access=credential_access, human_approval=human_approval)
+    record = analyze_text(spark, text, flags, **options)
+    shown = record | {t: round(record[t], 4) for t in TASKS} | {"abstain": record["policy_reason"] == "uncertain"}
+    return card(record), shown

@@ -13,11 +13,11 @@ from ..functions import policy as rules
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import metrics as mt
-from ..operators import synth, tuning
-from ..sources import METADATA, read_table
+from ..operators import ranks, synth, tuning
+from ..sources import METADATA, read_table, spread
 from . import fixtures as fx
 from . import oracles as o
-from .analyze import decision_records, flags_of, rule_decisions, with_evidence
+from .analyze import LEXICON, MOST, analyze, decision_records, flags_of, rule_decisions, with_flags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +57,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """The documents and, with negative ids, the inline fixture."""
     inline = fx.frame(spark, fx.TEXTS, "id bigint, text string").select((-F.col("id")).alias("id"), "text")
-    return inline.union(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    return inline.union(spread(docs(spark, d).select(F.col("doc_id").alias("id"), "text")))
 
 
 # --- scans, projections -------------------------------------------------------------------------------------------------
@@ -66,9 +66,9 @@ def scan_documents(spark, d):
     return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("normalize_text", "SELECT doc_id, md5(lower(replace(text, 'I', 'ı'))) AS digest FROM documents WHERE text NOT LIKE '%İ%'")
+@query("normalize_text", "SELECT doc_id, md5(lower(replace(replace(text, 'I', 'ı'), 'İ', 'i' || chr(775)))) AS digest FROM documents")
 def normalize_text(spark, d):
-    return docs(spark, d).where(~F.contains("text", F.lit("İ"))).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
 
 
 @query("normalize_lang_aware", "SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') THEN lower(replace(replace(text, 'I', 'ı'), 'İ', 'i')) ELSE lower(text) END) AS digest FROM documents")
@@ -97,17 +97,25 @@ def head_limit(spark, d):
     return docs(spark, d).orderBy("doc_id").limit(256).select("doc_id", "n_chars")
 
 
-@query("seeded_sample")
+_HASHED = "CAST(CAST('0x' || substr(md5(doc_id || '-42'), 1, 13) AS BIGINT) AS DOUBLE)"
+
+
+@query("seeded_sample", f"SELECT doc_id, lang FROM documents ORDER BY {_HASHED}, doc_id LIMIT 2000")
 def seeded_sample(spark, d):
     """2,000 rows, or all if fewer, in a hash order of the seed."""
-    return docs(spark, d).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(2000).select("doc_id", "lang")
+    return ranks.seeded_sample(docs(spark, d).select("doc_id", "lang"), "doc_id", 2000)
 
 
-@query("stratified_split")
+@query("stratified_split", f"SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_HASHED}, doc_id) <= round(0.2 * count(*) OVER (PARTITION BY lang)) THEN 'val' ELSE 'train' END AS split FROM documents")
 def stratified_split(spark, d):
-    """A fifth of each stratum for validation: the hash of id and seed decides, so no shuffle is needed."""
-    held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)) == 0
-    return docs(spark, d).select("doc_id", "lang", F.when(held, "val").otherwise("train").alias("split"))
+    """A fifth of each language for validation, by hash order of id and seed."""
+    return ranks.stratified_split(docs(spark, d).select("doc_id", "lang"), "doc_id", "lang")
+
+
+@query("disjoint_subset", "SELECT CAST(count(*) AS BIGINT) AS missing FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def disjoint_subset(spark, d):
+    """How many labels name no document: 0 where they are a subset."""
+    return read_table(spark, d, "labels").join(docs(spark, d).select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("missing"))
 
 
 @query("null_concat", f"SELECT id, coalesce(title, '') || '. ' || coalesce(description, '') AS text FROM {fx.values(fx.INCIDENTS, 'id, title, description, tier, category, corpus')}")
@@ -139,8 +147,7 @@ def teacher_questions(spark, d):
 # --- evidence -----------------------------------------------------------------------------------------------------------
 def _spans(kinds: tuple[str, ...]) -> Query:
     def run(spark, d):
-        found = ev.spans(F.col("text"), kinds[0]) if len(kinds) == 1 else ev.evidence(F.col("text"), kinds)
-        return texts(spark, d).select("id", F.inline(found)).select("id", "type", "text", "start", "end")
+        return texts(spark, d).select("id", F.inline(ev.evidence(F.col("text"), kinds))).select("id", "type", "text", "start", "end")
 
     return run
 
@@ -171,7 +178,7 @@ def tc_valid(spark, d):
 
 @query("evidence_flags", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS} SELECT * FROM flags")
 def evidence_flags(spark, d):
-    return with_evidence(texts(spark, d)).select("id", "has_pii", "has_secret", "transfer")
+    return with_flags(texts(spark, d)).select("id", "has_pii", "has_secret", "transfer")
 
 
 @query("evidence_chips", f"WITH {o.SRC}, {o.ALL} SELECT id, string_agg(type || ' · ' || substr(text, 1, 80), '|' ORDER BY start, \"end\", n) AS chips FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, \"end\", n) AS rn FROM spans) WHERE rn <= 12 GROUP BY id")
@@ -185,17 +192,23 @@ def policy_reason_counts(spark, d):
     return rule_decisions(texts(spark, d)).groupBy("action", "policy_reason").agg(F.count("*").alias("n"))
 
 
-@query("rule_baseline", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS}, b AS (SELECT f.*, l.toxic AS y1, l.quality AS y2 FROM flags f JOIN labels l ON f.id = l.doc_id), m AS (SELECT 'pii' AS task, y1 AS y, CAST(has_pii AS DOUBLE) AS p FROM b UNION ALL SELECT 'secret', y2, CAST(has_secret AS DOUBLE) FROM b) SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('m', 'task')})")
+@query("rule_baseline", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS}, b AS (SELECT f.*, l.toxic AS y1 FROM flags f JOIN labels l ON f.id = l.doc_id), m AS (SELECT 'pii' AS task, y1 AS y, CAST(has_pii AS DOUBLE) AS p FROM b UNION ALL SELECT 'secret', y1, CAST(has_secret AS DOUBLE) FROM b) SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('m', 'task')})")
 def rule_baseline(spark, d):
-    flagged = with_evidence(docs(spark, d)).join(read_table(spark, d, "labels"), "doc_id")
-    pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.col(y).alias("y"), F.col(s).cast("double").alias("p")) for t, y, s in (("pii", "toxic", "has_pii"), ("secret", "quality", "has_secret"))])
+    """Flags of the labelled documents against the one risk label that the table has; rule_baseline_synthetic has each task's own."""
+    flagged = with_flags(spread(docs(spark, d).select("doc_id", "text"))).join(read_table(spark, d, "labels"), "doc_id")
+    return baseline(flagged, {"pii": "toxic", "secret": "toxic"})
+
+
+def baseline(flagged: DataFrame, truth: dict[str, str]) -> DataFrame:
+    """Metrics of has_<task> as a score of 0 or 1 for the truth column of each task."""
+    pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.col(y).cast("int").alias("y"), F.col(f"has_{t}").cast("double").alias("p")) for t, y in truth.items()])
     return rounded(mt.task_metrics(mt.with_prediction(flagged.select(F.inline(pairs))), "task"))
 
 
 @query("benign_fpr", f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {o.ALL}, {o.FLAGS} SELECT count(*) AS n, count(*) FILTER (has_pii OR has_secret) AS false_positives, round(avg(CAST(has_pii OR has_secret AS INT)), 6) AS false_positive_rate FROM flags")
 def benign_fpr(spark, d):
     hit = F.col("has_pii") | F.col("has_secret")
-    flagged = with_evidence(read_table(spark, d, "benchmark").select("text"))
+    flagged = with_flags(spread(read_table(spark, d, "benchmark").select("text")))
     return rounded(flagged.agg(F.count("*").alias("n"), F.count_if(hit).alias("false_positives"), F.avg(hit.cast("int")).alias("false_positive_rate")))
 
 
@@ -237,17 +250,24 @@ def agent_permissions(spark, d):
 # --- scores over embeddings -----------------------------------------------------------------------------------------------
 def long(spark: SparkSession, d: str) -> DataFrame:
     """vec_id, label, task_id, task, z, z1 (a second backend), t, p (calibrated) and y by fixed weights and temperatures."""
-    base = read_table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.posexplode(F.array(*map(F.lit, TASKS))).alias("task_id", "task"))
+    return heads(read_table(spark, d, "embeddings"))
+
+
+def heads(vectors: DataFrame, *keep: str) -> DataFrame:
+    base = vectors.select("vec_id", "label", *keep, "embedding", F.posexplode(F.array(*map(F.lit, TASKS))).alias("task_id", "task"))
     head = lambda a, b, m, c: sc.linear(F.col("embedding"), lambda k: ((F.col("task_id") + a) * (k + b)) % m - c)
     base = base.withColumns({"z": head(1, 3, 7, 3), "z1": head(2, 5, 5, 2), "t": 0.5 + 0.25 * F.col("task_id"), "y": F.when((F.col("label") + F.col("task_id")) % 2 == 0, 1).otherwise(0)}).drop("embedding")
     return base.withColumn("p", sc.calibrated(sc.sigmoid(F.col("z")), F.col("t")))
 
 
 def logits(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("embedding")
+    return read_table(spark, d, "embeddings").select("vec_id", "label", *[c.alias(n) for n, c in logits_of(F.col("embedding")).items()])
+
+
+def logits_of(x: Column) -> dict[str, Column]:
     rows = lambda a, b: F.array(*[sc.linear(x, lambda k, j=j: ((j + a) * (k + b)) % 5 - 2) for j in range(4)])
     risks = F.array(*[sc.linear(x, lambda k, t=t: ((t + 1) * (k + 3)) % 7 - 3) for t in range(9)])
-    return read_table(spark, d, "embeddings").select("vec_id", "label", risks.alias("risks"), rows(2, 5).alias("severity_logits"), rows(3, 1).alias("action_logits"))
+    return {"risks": risks, "severity_logits": rows(2, 5), "action_logits": rows(3, 1)}
 
 
 H = f"WITH {o.HEADS} "
@@ -309,13 +329,16 @@ WHEN greatest(""" + ", ".join(TASKS) + ") >= CAST(0.7 AS DOUBLE) OR label % 3 =
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Records with stand-in evidence: personal data where the label is divisible by 3, a transfer where it is even."""
-    given = logits(spark, d).withColumns({"has_pii": F.col("label") % 3 == 0, "has_secret": F.lit(False), "transfer": F.col("label") % 2 == 0})
-    return decision_records(given)
+    return decision_records(logits(spark, d).withColumns(evidence_stand_in()))
+
+
+def evidence_stand_in() -> dict[str, Column]:
+    return {"has_pii": F.col("label") % 3 == 0, "has_secret": F.lit(False), "transfer": F.col("label") % 2 == 0}
 
 
-@query("decision_record", _REC + f" SELECT vec_id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, v = 'REVIEW/uncertain' AS abstain FROM verdicts")
+@query("decision_record", _REC + f" SELECT vec_id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, round_even(c, 4) AS confidence, v = 'REVIEW/uncertain' AS abstain FROM verdicts")
 def decision_record(spark, d):
-    return rounded(records(spark, d).select("vec_id", *TASKS, "severity", "model_action", "action", "policy_reason", "abstain"))
+    return rounded(records(spark, d).select("vec_id", *TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain"), "confidence")
 
 
 @query("decision_display", _REC + " SELECT vec_id, CASE split_part(v, '/', 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.DISPLAY.items()) + " END AS reason, c < CAST(0.6 AS DOUBLE) AND split_part(v, '/', 1) = 'REVIEW' AS abstain FROM verdicts")
@@ -399,8 +422,7 @@ def brier_nll(spark, d):
 
 @query("calibration_summary", H[:-1] + f", {_BINS} SELECT round(avg(ece), 6) AS mean_ece, round(avg(brier), 6) AS mean_brier, round(avg(nll), 6) AS mean_nll FROM (SELECT task, sum(n * abs(mean_y - mean_p)) / sum(n) AS ece FROM bins GROUP BY task) JOIN ({_BN}) USING (task)")
 def calibration_summary(spark, d):
-    both = mt.ece(long(spark, d), "task").join(mt.brier_nll(long(spark, d), "task"), "task")
-    return rounded(both.agg(F.avg("ece").alias("mean_ece"), F.avg("brier").alias("mean_brier"), F.avg("nll").alias("mean_nll")))
+    return rounded(mt.calibration(long(spark, d), "task").agg(F.avg("ece").alias("mean_ece"), F.avg("brier").alias("mean_brier"), F.avg("nll").alias("mean_nll")))
 
 
 # --- sweeps and selections ----------------------------------------------------------------------------------------------------
@@ -444,12 +466,43 @@ def temperature_grid(spark, d):
     return tuning.temperature_grid(long(spark, d), "task")
 
 
-@query("action_disagreement", H[:-1] + " , a AS (SELECT vec_id, task, (z >= 0) <> (z1 >= 0) AS differs FROM long) SELECT task, round(avg(CAST(differs AS INT)), 6) AS disagreement FROM a GROUP BY task")
+_FIT = f"""t AS (SELECT task, g AS t0 FROM (SELECT task, arg_min(g, nll) AS g FROM (SELECT task, g, {{loss}} AS nll FROM long, grid GROUP BY task, g) GROUP BY task)),
+r1 AS (SELECT task, arg_min(g, nll) AS t1 FROM (SELECT task, g, {{loss}} AS nll FROM (SELECT long.*, greatest(t0 / {{s1}}, 0.3) * pow(least(t0 * {{s1}}, 10) / greatest(t0 / {{s1}}, 0.3), CAST(i AS DOUBLE) / 24) AS g FROM long JOIN t USING (task), range(25) AS r(i)) GROUP BY task, g) GROUP BY task),
+r2 AS (SELECT task, arg_min(g, nll) AS t2 FROM (SELECT task, g, {{loss}} AS nll FROM (SELECT long.*, greatest(t1 / {{s2}}, 0.3) * pow(least(t1 * {{s2}}, 10) / greatest(t1 / {{s2}}, 0.3), CAST(i AS DOUBLE) / 24) AS g FROM long JOIN r1 USING (task), range(25) AS r(i)) GROUP BY task, g) GROUP BY task)"""
+_LOSS = "-avg(CASE WHEN y = 1 THEN ln(greatest(least(1 / (1 + exp(-z / g)), 1 - 1e-7), 1e-7)) ELSE ln(1 - greatest(least(1 / (1 + exp(-z / g)), 1 - 1e-7), 1e-7)) END)"
+_STEP = (10.0 / 0.3) ** (1 / 35)
+
+
+@query("temperature_fit", H[:-1] + f", {_GRID}, " + _FIT.format(loss=_LOSS, s1=f"CAST({_STEP!r} AS DOUBLE)", s2=f"CAST({_STEP ** (2 / 24)!r} AS DOUBLE)") + " SELECT task, round(t2, 6) AS temperature FROM r2")
+def temperature_fit(spark, d):
+    return rounded(tuning.temperature_fit(long(spark, d), "task"))
+
+
+_EIGHTHS = lambda sql: sql.replace("CAST(v AS DOUBLE)", "floor(CAST(v AS DOUBLE) * 8 + 0.5) / 8")
+
+
+def coarse(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings with `exact` ones beside those rounded to eighths: what a second, quantised backend would see."""
+    rounded_ = F.transform("embedding", lambda v: F.floor(v.cast("double") * 8 + 0.5) / 8)
+    return read_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("exact"), rounded_.alias("coarse"))
+
+
+@query("action_disagreement", f"SELECT count(*) AS examples, round(avg(CAST(a.action <> b.action AS INT)), 6) AS disagreement FROM ({_REC} SELECT vec_id, split_part(v, '/', 1) AS action FROM verdicts) a JOIN ({_EIGHTHS(_REC)} SELECT vec_id, split_part(v, '/', 1) AS action FROM verdicts) b USING (vec_id)")
 def action_disagreement(spark, d):
-    """Share of rows on which two backends, given as two tables of decisions, disagree."""
-    scored = long(spark, d)
-    first, second = (scored.select("vec_id", "task", (F.col(z) >= 0).alias(a)) for z, a in (("z", "a"), ("z1", "b")))
-    return rounded(first.join(second, ["vec_id", "task"]).groupBy("task").agg(F.avg((F.col("a") != F.col("b")).cast("int")).alias("disagreement")))
+    """Share of rows on which the final actions of an exact and a quantised backend differ; both are decided in one pass."""
+    given = coarse(spark, d).withColumns(evidence_stand_in())
+    for name in ("exact", "coarse"):
+        given = decision_records(given.withColumns(logits_of(F.col(name)))).withColumnRenamed("action", f"{name}_action").drop(*TASKS, "severity", "model_action", "policy_reason", "confidence", "abstain")
+    return rounded(given.agg(F.count("*").alias("examples"), F.avg((F.col("exact_action") != F.col("coarse_action")).cast("int")).alias("disagreement")))
+
+
+@query("backend_f1", f"SELECT task, round({o.RATES['f1'].replace('tp', 'a.tp').replace('fp', 'a.fp').replace('fn', 'a.fn')}, 6) AS exact, round({o.RATES['f1'].replace('tp', 'b.tp').replace('fp', 'b.fp').replace('fn', 'b.fn')}, 6) AS coarse FROM ({H} {o.counted('long', 'task')}) a JOIN ({_EIGHTHS(H)} {o.counted('long', 'task')}) b USING (task)")
+def backend_f1(spark, d):
+    """Each task's f1 by the two backends, counted in one pass."""
+    both = F.array(*[F.struct(F.lit(n).alias("backend"), F.transform(n, lambda v: v.cast("double")).alias("embedding")) for n in ("exact", "coarse")])
+    scored = heads(coarse(spark, d).select("vec_id", "label", F.inline(both)), "backend")
+    f1 = mt.task_metrics(mt.with_prediction(scored), "task", "backend")
+    return rounded(f1.groupBy("task").agg(*[F.max(F.when(F.col("backend") == n, F.col("f1"))).alias(n) for n in ("exact", "coarse")]))
 
 
 _BCE = lambda z, y: f"(greatest({z}, 0) - {z} * {y} + ln(1 + exp(-abs({z}))))"
@@ -543,16 +596,59 @@ def split_counts(spark, d):
     return split_corpus(spark).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"))
 
 
+_COUNTS = ", ".join(f"least(len(regexp_extract_all(lower(text), '{words}')), {MOST}) AS c{i}" for i, words in enumerate(LEXICON.values()))
+_TOTAL = "CAST(least(" + " + ".join(f"c{i}" for i in range(9)) + ", 6) AS DOUBLE)"
+_META = "id % 3 = 0 AS agent, id % 6 = 0 AS shell, id % 4 = 0 AS database, id % 8 <> 0 AS network, id % 9 = 0 AS human_approval, id % 5 = 0 AS external_api"
+_HEAT = {t: round(0.8 + 0.1 * i, 1) for i, t in enumerate(TASKS)}
+_CALIBRATED = lambda i, t: f"1 / (1 + exp(-ln(q{i} / (1 - q{i})) / CAST({_HEAT[t]} AS DOUBLE)))"
+_FLOORED = lambda i, t: f"CASE WHEN has_{t} THEN greatest({_CALIBRATED(i, t)}, 0.95) ELSE {_CALIBRATED(i, t)} END" if t in ("pii", "secret") else _CALIBRATED(i, t)
+_ANALYZE = f"""WITH {o.SRC}, {o.ALL}, {o.FLAGS}, seen AS (SELECT id, {_META}, {_COUNTS} FROM (SELECT id, coalesce(text, '') AS text FROM src)), n_spans AS (SELECT id, count(*) AS n_evidence FROM spans GROUP BY id),
+risk AS (SELECT *, {_TOTAL} AS total, {", ".join(f"greatest(least(1 / (1 + exp(-(1.5 * CAST(c{i} AS DOUBLE) - 2.5))), 1 - 1e-7), 1e-7) AS q{i}" for i in range(9))} FROM seen),
+soft AS (SELECT risk.*, has_pii, has_secret, transfer OR external_api AS moved, coalesce(n_evidence, 0) AS n_evidence, [2 - total, 0.5 + 0.1 * total, 0.5 * total - 0.5, 0.8 * total - 2] AS sev, [2 - total, 0.9 * CAST(c0 AS DOUBLE) - 1, 0.3 + 0.3 * total, 0.9 * CAST(c1 + c2 + c3 AS DOUBLE) - 2] AS act FROM risk JOIN flags USING (id) LEFT JOIN n_spans USING (id)),
+scored AS (SELECT *, {", ".join(f"{_FLOORED(i, t)} AS {t}" for i, t in enumerate(TASKS))}, least({o.TOP("sev")}, {o.TOP("act")}) AS c FROM soft),
+told AS (SELECT *, CASE WHEN has_secret THEN 'BLOCK/secret_evidence' WHEN has_pii AND moved THEN 'REDACT/pii_external_transfer' WHEN c < CAST(0.6 AS DOUBLE) THEN 'REVIEW/uncertain' WHEN prompt_injection >= CAST(0.7 AS DOUBLE) THEN 'BLOCK/prompt_injection'
+WHEN dangerous_instruction >= CAST(0.75 AS DOUBLE) THEN 'BLOCK/dangerous_instruction' WHEN secret >= CAST(0.65 AS DOUBLE) THEN 'REVIEW/unverified_secret_score' WHEN pii >= CAST(0.65 AS DOUBLE) AND moved THEN 'REDACT/pii_external_transfer'
+WHEN agent AND (shell OR (database AND network)) AND NOT human_approval THEN 'REVIEW/agent_permissions' WHEN greatest({", ".join(TASKS)}) >= CAST(0.7 AS DOUBLE) OR has_pii THEN 'REVIEW/elevated_risk' ELSE 'ALLOW/low_risk' END AS v FROM scored)"""
+
+
+@query("analyze_documents", _ANALYZE + f" SELECT id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, round_even(c, 4) AS confidence, v = 'REVIEW/uncertain' AS abstain, n_evidence FROM told")
+def analyze_documents(spark, d):
+    """Texts and flags to records: evidence, scores of the lexicon, temperatures, floors, confidence, policy."""
+    flags = {"agent": "id % 3 = 0", "shell": "id % 6 = 0", "database": "id % 4 = 0", "network": "id % 8 <> 0", "human_approval": "id % 9 = 0", "external_api": "id % 5 = 0"}
+    told = analyze(texts(spark, d).withColumns({f: F.expr(x) for f, x in flags.items()}), temperatures=_HEAT)
+    shown = told.select("id", *TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain", F.size("evidence").cast("bigint").alias("n_evidence"))
+    return rounded(shown, "confidence")
+
+
+@query("rule_baseline_synthetic", _SYNTH + f", src AS (SELECT id, {_TEXT} AS text FROM act), {o.ALL}, {o.FLAGS}, b AS (SELECT f.*, act.pii0 AS y1, act.secret AS y2 FROM flags f JOIN act USING (id)), m AS (SELECT 'pii' AS task, y1 AS y, CAST(has_pii AS DOUBLE) AS p FROM b UNION ALL SELECT 'secret', y2, CAST(has_secret AS DOUBLE) FROM b) SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('m', 'task')})")
+def rule_baseline_synthetic(spark, d):
+    """Flags of synthetic rows against the labels of their own tasks."""
+    return baseline(with_flags(synth.corpus(spark, 2200)), {"pii": "pii", "secret": "secret"})
+
+
+@query("surrogate_heads")
+def surrogate_heads(spark, d):
+    """The nine tasks' logistic regressions on hashed words, trained on the synthetic training families, scored on the others."""
+    from ..operators.surrogate import fit_heads, score_heads
+
+    rows = split_corpus(spark)
+    models = fit_heads(rows.where("split = 'train'"), TASKS)
+    scored = score_heads(rows.where("split <> 'train'"), models)
+    long_ = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("y"), F.element_at("risks", i + 1).alias("z")) for i, t in enumerate(TASKS)])
+    return scored.select("id", "split", F.inline(long_)).select("id", "split", "task", "y", r6(sc.sigmoid(F.col("z"))).alias("p"))
+
+
 @query("surrogate_scores")
 def surrogate_scores(spark, d):
-    """Logistic regression on hashed words in place of the encoder: trained on documents with labels, scores for all."""
+    """Logistic regression on hashed words in place of the encoder: trained on labelled documents outside the fold held out, scores for all."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
     table = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = table.join(read_table(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    train = table.where(~held).join(read_table(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
     steps = [Tokenizer(inputCol="text", outputCol="words"), HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 12), LogisticRegression(maxIter=8, regParam=0.01)]
     scored = Pipeline(stages=steps).fit(train).transform(table)
-    return scored.select("doc_id", r6(vector_to_array("probability")[1]).alias("score"))
+    return scored.select("doc_id", held.alias("held_out"), r6(vector_to_array("probability")[1]).alias("score"))

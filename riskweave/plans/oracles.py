@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ..constants import PII_TYPES, SECRET_TYPES
+from ..constants import TASKS as _TASKS
 from . import fixtures as fx
 
 R = lambda x: f"round({x}, 6)"
 SRC = f"src AS (SELECT -id AS id, text FROM {fx.values(fx.TEXTS, 'id, text')} UNION ALL SELECT doc_id AS id, text FROM documents)"
-TASKS = ["pii", "secret", "prompt_injection", "dangerous_instruction", "privacy_risk", "security_risk", "ethics_risk", "oversight_risk", "data_governance_risk"]
+TASKS = list(_TASKS)
 TASK_ROWS = "tasks(task_id, task) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TASKS)) + ")"
 LETTER = r"[\p{L}\p{N}_]"
 # The detectors' patterns without lookaround; digit boundaries take its place.
@@ -31,8 +33,7 @@ PATTERNS = {
     "PII_MENTION": rf"(?i)\b(?:TC kimlik numara{LETTER}*|social security number\b|passport number\b|müşteri listesi\b|customer list\b)",
     "EXTERNAL_TRANSFER": rf"(?i)\b(?:gönder{LETTER}*|aktar{LETTER}*|send\b|upload\b|exfiltrate\b|API'ye\b)",
 }
-PII = "('TC_KIMLIK','EMAIL','PHONE','IP','CARD','IBAN','ADDRESS','NAME','CUSTOMER_ID','PII_MENTION')"
-SECRET = "('API_KEY','BEARER','PRIVATE_KEY','GITHUB_TOKEN','AWS_KEY','PASSWORD','DB_CREDENTIAL','ENV_SECRET')"
+PII, SECRET = str(PII_TYPES), str(SECRET_TYPES)
 
 
 def luhn(x: str) -> str:
