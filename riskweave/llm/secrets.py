@@ -27,11 +27,17 @@ CREDENTIAL = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey
 SAMPLE = ("example", "sample", "dummy", "placeholder", "test", "fake", "changeme", "your", "xxxx", "todo")
 HARMLESS = ("commit", "sha", "sha256", "md5", "checksum", "digest", "uuid", "guid", "version", "hash", "id", "revision", "file", "image", "card", "phone", "order", "ref")
 SYLLABLES = ("the", "ing", "ion", "ent", "pass", "word", "user", "name", "key", "my", "admin", "example", "value", "change", "me", "here", "your", "secret", "token", "data", "file", "test", "path", "com", "org", "www", "http", "mail", "img", "doc", "en", "er", "an", "re", "on", "at", "ed", "or", "es", "st")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-@])(?=[A-Za-z0-9+/_=.\-@]*[0-9])[A-Za-z0-9+/_\-@][A-Za-z0-9+/_=.\-@]{11,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.\-@]{12,}")
+FIRST = re.compile(r"(?:^|=)([A-Za-z0-9+/_\-@])")
 ASSIGNED = re.compile(r"^([A-Za-z_]*)=(.+)$")
 WORDS = re.compile("|".join(map(re.escape, CREDENTIAL)).replace("_", "[_-]?"), re.IGNORECASE)
-VALUE = re.compile(r"""(?:orization|s)?(?:[_.\-]?[A-Za-z0-9]{1,16}){0,3}["']?[ \t]{0,8}(?::=|=>|={1,2}|:)[ \t]{0,8}(?:(?:bearer|basic)[ \t]{1,8})?(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|`([^`\r\n]{1,512})`|["']?([^\s"'`;,&<>]+))""", re.IGNORECASE)
-PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.\-]{0,20000}?-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]{0,20000})")
+VALUE = re.compile(r"""(?:orization|s)?(?:[_.\-]?[A-Za-z0-9]{1,16}+){0,3}+["']?[ \t]{0,8}(?::=|=>|={1,2}|:)[ \t]{0,8}(?:(?:bearer|basic)[ \t]{1,8})?(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|`([^`\r\n]{1,512})`|["']?([^\s"'`;,&<>]))""", re.IGNORECASE)
+BARE = re.compile(r"""[^\s"'`;,&<>]+""")
+BEGIN = re.compile(r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"(?=(-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----))")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\-]*")
+KEY_ONLY = re.compile(r"[A-Za-z0-9+/=\s]{0,20000}")
+LONGEST_KEY = 20_000
 KEEP = 0.5
 LONGEST = 14  # letters of a dictionary word
 
@@ -82,9 +88,13 @@ def candidates(text: str | None) -> Iterator[tuple[int, int]]:
 
 
 def _runs(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if named := ASSIGNED.match(m.group()):
+    """Runs of key characters, from the first that may begin one at the run's start or after =."""
+    for m in RUN.finditer(text):
+        first = FIRST.search(m.group())
+        if not first or len(run := m.group()[first.start(1) :]) < 12:
+            continue
+        start, end = m.start() + first.start(1), m.end()
+        if named := ASSIGNED.match(run):
             start += len(named[1]) + 1
         while end > start and text[end - 1] in ".=-":
             end -= 1
@@ -94,17 +104,32 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
     """Private keys from their first line to the last, or as far as key characters go."""
-    if "PRIVATE KEY" in text:
-        for m in PRIVATE.finditer(text):
-            yield m.start(), m.start() + len(m.group().rstrip())
+    if "PRIVATE KEY" not in text:
+        return
+    ends = [m.span(1) for m in END.finditer(text)]
+    at, reach, next_end = 0, 0, 0
+    while m := BEGIN.search(text, at):
+        if m.end() >= reach:  # first lines within one body share its reach
+            reach = BODY.match(text, m.end()).end()
+        while next_end < len(ends) and ends[next_end][0] < m.end():
+            next_end += 1
+        if next_end < len(ends) and ends[next_end][0] <= min(reach, m.end() + LONGEST_KEY):
+            at = ends[next_end][1]
+        else:
+            at = KEY_ONLY.match(text, m.end()).end()
+        yield m.start(), m.start() + len(text[m.start() : at].rstrip())
 
 
 def _assigned(text: str) -> Iterator[tuple[int, int]]:
-    """Values after a credential word and = or :."""
+    """Values after a credential word and = or :; one within an earlier value that isn't quoted is a part of that."""
+    reach = 0
     for word in WORDS.finditer(text):
         if m := VALUE.match(text, word.end()):
             start, end = m.span(m.lastindex)
             if m.lastindex == 4:  # not quoted: without the marks of a sentence's or a bracket's end
+                if start < reach:
+                    continue
+                reach = end = BARE.match(text, start).end()
                 while end > start and text[end - 1] in ".,:)]}":
                     end -= 1
             if end > start:
@@ -258,10 +283,9 @@ def redact_secrets(docs: DataFrame, *, mark: str = "[SECRET]", findings: list |
         for texts, paths in frames:
             out = []
             for text, path in zip(texts, paths, strict=True):
-                for a, b, s in reversed(_scan(text, path or "", forest, words)):
-                    if s >= KEEP:
-                        text = text[:a] + mark + text[b:]
-                out.append(text)
+                secret = [(a, b) for a, b, s in _scan(text, path or "", forest, words) if s >= KEEP]
+                cuts = [0, *(x for place in secret for x in place), None]
+                out.append(mark.join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if secret else text)
             yield pd.Series(out, dtype=object)
 
     return docs.select(*[clean(F.col(text_col).cast("string"), F.col(path_col).cast("string")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -242,6 +243,14 @@ def test_secrets_assigned_to_credential_words(spark):
     assert clean[90] == "the password: required" and clean[91] == "token: none"
 
 
+@pytest.mark.parametrize("unit", ["a=", "=", "password=", "secret_a_", "-----BEGIN PRIVATE KEY----- ", "token.", "password = ' "])
+def test_candidates_take_time_in_proportion_to_the_text(unit):
+    began = time.perf_counter()
+    places = list(secrets.candidates(unit * (1_000_000 // len(unit))))
+    assert time.perf_counter() - began < 10  # a text of a tenth of that took up to 65 s where each start looked to the end
+    assert all(a < b for a, b in places) and all(b <= c for (_, b), (c, _) in zip(places, places[1:], strict=False))
+
+
 def test_licenses(spark, odd):
     mit = "\n".join(licenses.SENTENCES[n] for n in ("mit-name", "mit-grant", "mit-condition", "mit-warranty", "mit-liability"))
     rows = [(1, f"Intro.\n{mit}\nend"), (2, "Text. Released under the  MIT License! More."), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0.\nx\nLicensed under CC BY-NC 4.0.")]
