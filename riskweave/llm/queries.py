@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import licenses, oracles
 from .bpe import byte_bpe
 from .common import forget_at_exit, shared_dir, table
 from .minhash import minhash_components
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licenses.oracle()}
+    return {"op4_license_scans": licenses.oracle(), "op6_minhash_near_dedup": oracles.COMPONENTS, "op10_exact_topk": oracles.TOPK}

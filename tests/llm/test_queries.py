@@ -1,5 +1,6 @@
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -59,3 +60,15 @@ def test_vector_queries_have_each_vector(spark):
     assert near.columns[:4] == ["vec_id", "n_links", "component_id", "kept"] and sorted(r.vec_id for r in near.collect()) == vectors
     top = queries.op10_exact_topk(spark, SF).toPandas()
     assert set(top["query_id"]) == {v for v in vectors if v % 20 == 0} and (top.groupby("query_id")["rank"].max() == 20).all()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    with duckdb.connect() as duck:
+        for table in ("documents", "embeddings"):
+            duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+        wanted = duck.execute(queries.oracle_sql()[name])
+        columns, rows = [c[0] for c in wanted.description], wanted.fetchall()
+    found = queries.queries()[name](spark, SF)
+    assert sorted(found.columns) == sorted(columns) and rows
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(rows)
