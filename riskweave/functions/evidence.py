@@ -38,6 +38,13 @@ PATTERNS = {
 }
 # A literal that every match contains; texts without it skip the pattern.
 NEEDS = {"EMAIL": "@", "PRIVATE_KEY": "-----", "GITHUB_TOKEN": "_", "DB_CREDENTIAL": "://", "ENV_SECRET": "=", "IP": "."}
+# Where a match may begin, said more narrowly than the pattern does, so that a run of characters isn't read again from each
+# of its word boundaries: a boundary that follows another of the same run gives no match if that one gave none.
+BEGINS = {"EMAIL": r"\b(?=[A-Za-z0-9._%+-])(?:(?<![A-Za-z0-9._%+-])|\G|(?![.%+-])(?<!\b[.%+-]{1,4})|(?=[.%+-])(?<!\b[A-Za-z0-9._%+-]{1,64}))"}
+
+
+def _regex(kind: str) -> str:
+    return "(?iU)" + (BEGINS[kind] + PATTERNS[kind].removeprefix(r"\b") if kind in BEGINS else PATTERNS[kind])
 
 
 def is_ip(value: Column) -> Column:
@@ -89,7 +96,7 @@ def _before(lengths: Column) -> Column:
 
 def possible(text: Column, kind: str) -> Column:
     """Whether the detector's pattern occurs at all; cheap literals are looked for first."""
-    occurs = text.rlike("(?iU)" + PATTERNS[kind])
+    occurs = text.rlike(_regex(kind))
     if kind in NEEDS:
         return F.contains(text, F.lit(NEEDS[kind])) & occurs
     return text.rlike("[0-9]") & occurs if kind in ("TC_KIMLIK", "PHONE", "CARD") else occurs
@@ -97,7 +104,7 @@ def possible(text: Column, kind: str) -> Column:
 
 def _matches(text: Column, kind: str, n: int) -> Column:
     """struct<n, type, values, gaps> of one detector: its matches and the texts before and between them; null without any."""
-    pattern = "(?iU)" + PATTERNS[kind]
+    pattern = _regex(kind)
     found = F.struct(F.lit(n).alias("n"), F.lit(kind).alias("type"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(possible(text, kind), found)
 
@@ -117,7 +124,7 @@ def occurs(text: Column, kind: str) -> Column:
     """Whether the detector has a span, without placing it."""
     if kind not in VALID:
         return possible(text, kind)
-    return F.when(possible(text, kind), F.exists(F.regexp_extract_all(text, F.lit("(?iU)" + PATTERNS[kind]), F.lit(0)), VALID[kind])).otherwise(F.lit(False))
+    return F.when(possible(text, kind), F.exists(F.regexp_extract_all(text, F.lit(_regex(kind)), F.lit(0)), VALID[kind])).otherwise(F.lit(False))
 
 
 def occurs_any(text: Column, kinds: tuple[str, ...]) -> Column:

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +49,14 @@ def test_one_detector_matches_plain_regex(spark, kind):
 def test_turkish_case_and_guard(spark):
     row = spark.createDataFrame([("IŞIK İ",)], "t string").select(tx.normalize(F.col("t")), tx.normalize_by_language(F.col("t")), tx.guard(F.lit("  \n")), F.length(tx.guard(F.lit("a" * 3000)))).first()
     assert row[0] == "ışık i̇" and row[1] == "ışık i" and row[2] is None and row[3] == 2000
+
+
+def test_email_runs_are_read_once(spark):
+    tokens = ["a", "b1", "_", ".", "-", "%+", ".....", "@", "x.com", "a@x.com", ".org", "é", "ğ", " ", "Z", "--", "c" * 70]
+    texts = ["".join(r.choice(tokens) for _ in range(r.randint(1, 25))) for r in map(random.Random, range(3000))]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", ev.spans(F.col("t"), "EMAIL").alias("s")).orderBy("i").collect()
+    for t, row in zip(texts, found, strict=True):
+        assert [(s.text, s.start, s.end) for s in row.s] == [(m.group(), *m.span()) for m in re.finditer(ev.PATTERNS["EMAIL"], t, re.I)], t
+    began = time.perf_counter()
+    long = spark.createDataFrame([("a." * 200_000 + " @ x@y.org",)], "t string").select(ev.spans(F.col("t"), "EMAIL").alias("s")).first().s
+    assert [s.text for s in long] == ["x@y.org"] and time.perf_counter() - began < 20  # 20 KB took 8 s when read from each word boundary
