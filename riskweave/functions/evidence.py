@@ -150,6 +150,11 @@ def has_type(spans_: Column, types: tuple[str, ...]) -> Column:
     return F.exists(spans_, lambda s: s["type"].isin(*types))
 
 
+def has_all_types(spans_: Column, types: tuple[str, ...]) -> Column:
+    """Whether the types are a subset of those found."""
+    return F.size(F.array_except(F.array(*map(F.lit, types)).cast("array<string>"), F.transform(spans_, lambda s: s["type"]))) == 0
+
+
 def has_pii(spans_: Column) -> Column:
     return has_type(spans_, PII_TYPES)
 

@@ -25,3 +25,10 @@ def guard(text: Column) -> Column:
 
 def joined_title(title: Column, description: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(description, F.lit("")))
+
+
+def token_window(tokens: Column, length: int = 96, pad: object = 0) -> Column:
+    """The first `length` tokens, filled up with pad, and a mask of ones for real tokens: an encoder's input of fixed size."""
+    kept = F.slice(tokens, 1, length)
+    missing = F.lit(length) - F.size(kept)
+    return F.struct(F.concat(kept, F.array_repeat(F.lit(pad), missing)).alias("tokens"), F.concat(F.array_repeat(F.lit(1), F.size(kept)), F.array_repeat(F.lit(0), missing)).alias("mask"))

@@ -34,3 +34,13 @@ def score_heads(df: DataFrame, models: dict[str, LogisticRegressionModel], text:
         model.setRawPredictionCol(f"_raw_{task}").setProbabilityCol("").setPredictionCol("")
         scored = model.transform(scored)
     return scored.withColumn("risks", F.array(*[vector_to_array(f"_raw_{t}")[1] for t in models])).drop("words", "features", *[f"_raw_{t}" for t in models])
+
+
+def save_heads(models: dict[str, LogisticRegressionModel], path: str) -> None:
+    """One folder for each task."""
+    for task, model in models.items():
+        model.write().overwrite().save(f"{path}/{task}")
+
+
+def load_heads(path: str, tasks: tuple[str, ...]) -> dict[str, LogisticRegressionModel]:
+    return {t: LogisticRegressionModel.load(f"{path}/{t}") for t in tasks}

@@ -82,6 +82,16 @@ def analyze(df: DataFrame, scores: ScoreProvider = lexicon_scores, temperatures:
     return decision_records(scores(with_evidence(df, text), text), temperatures, policy).drop("risks", "severity_logits", "action_logits")
 
 
+def head_scores(models: dict) -> ScoreProvider:
+    """A score provider of trained heads (operators/surrogate.py, one for each task); severity and action follow the lexicon."""
+    from ..operators.surrogate import score_heads
+
+    def scores(df: DataFrame, text: str = "text") -> DataFrame:
+        return score_heads(lexicon_scores(df, text), {t: models[t] for t in TASKS}, text)
+
+    return scores
+
+
 RECORD = (*TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain", "evidence")
 
 

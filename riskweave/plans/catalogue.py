@@ -82,6 +82,14 @@ def text_guard(spark, d):
     return cut.where("cut IS NOT NULL").select("conv_id", "turn", F.length("cut").cast("bigint").alias("n"))
 
 
+@query("token_window", "WITH w AS (SELECT doc_id, [CAST(length(x) AS INTEGER) for x in string_split(coalesce(text, ''), ' ')[1:96]] AS ids FROM documents) SELECT doc_id, array_to_string(list_resize(ids, 96, 0), ',') AS ids, CAST(len(ids) AS BIGINT) AS n FROM w")
+def token_window(spark, d):
+    """Windows of 96 tokens, with the lengths of words in place of vocabulary ids."""
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), " ", 97), F.length)
+    window = docs(spark, d).select("doc_id", tx.token_window(ids).alias("w"))
+    return window.select("doc_id", F.array_join(F.col("w.tokens").cast("array<string>"), ",").alias("ids"), F.aggregate("w.mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n"))
+
+
 @query("distinct_languages", "SELECT DISTINCT lang FROM documents ORDER BY lang")
 def distinct_languages(spark, d):
     return docs(spark, d).select("lang").distinct().orderBy("lang")

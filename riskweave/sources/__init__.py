@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import platform
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,10 @@ def percent(share: float, digits: int = 1) -> str:
 
 def mib(size: int) -> str:
     return f"{size / 1048576:.1f} MiB"
+
+
+def environment(spark: SparkSession) -> str:
+    """Versions and the settings that decide how plans run, as Markdown."""
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.session.timeZone")
+    rows = [("python", platform.python_version()), ("spark", spark.version), ("master", spark.sparkContext.master), ("cores", str(spark.sparkContext.defaultParallelism)), *((s, spark.conf.get(s)) for s in settings)]
+    return "\n".join(["# Environment", "", "| item | value |", "|---|---|", *(f"| {name} | {value} |" for name, value in rows)]) + "\n"
