@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from . import licenses, oracles
 from .bpe import byte_bpe
+from .centroids import hamerly_clusters
 from .common import forget_at_exit, shared_dir, table
+from .infill import fill_in_middle, restored
+from .lattice import lattice_scores, read_pieces
 from .minhash import minhash_components
 from .neighbours import near_vectors
 from .packing import added_tokens, best_fit_pack
@@ -78,9 +81,25 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a vocabulary's pieces and word counts come from documents outside the fold held out; all are scored."""
+    remainder = fold("doc_id", 7)
+    return lattice_scores(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")), held_out=remainder == 2, learned=remainder != 2)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly_clusters(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    again = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_byte_bpe, op3_sharding, op4_license_scans, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing, op9_embedding_near_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_byte_bpe, op3_sharding, op4_license_scans, op5_quality_classifier, op6_minhash_near_dedup, op7_toxicity, op8_best_fit_packing, op9_embedding_near_dedup, op10_exact_topk, op11_lm_scoring, op12_centroid_clustering, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licenses.oracle(), "op6_minhash_near_dedup": oracles.COMPONENTS, "op10_exact_topk": oracles.TOPK}
+    return {"op4_license_scans": licenses.oracle(), "op6_minhash_near_dedup": oracles.COMPONENTS, "op10_exact_topk": oracles.TOPK, "op12_centroid_clustering": oracles.clusters(), "op13_fill_in_middle": oracles.INFILL}
