@@ -31,13 +31,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_=.\-@]{12,}")
 FIRST = re.compile(r"(?:^|=)([A-Za-z0-9+/_\-@])")
 ASSIGNED = re.compile(r"^([A-Za-z_]*)=(.+)$")
 WORDS = re.compile("|".join(map(re.escape, CREDENTIAL)).replace("_", "[_-]?"), re.IGNORECASE)
-VALUE = re.compile(r"""(?:orization|s)?(?:[_.\-]?[A-Za-z0-9]{1,16}+){0,3}+["']?[ \t]{0,8}(?::=|=>|={1,2}|:)[ \t]{0,8}(?:(?:bearer|basic)[ \t]{1,8})?(?:"([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'|`([^`\r\n]{1,512})`|["']?([^\s"'`;,&<>]))""", re.IGNORECASE)
+NAME_END = re.compile(r"[A-Za-z0-9_.\-]*")
+SIGN = re.compile(r"""["']?[ \t]*(?::=|=>|={1,2}|:)[ \t]*(?:(?:bearer|basic)[ \t]+)?""", re.IGNORECASE)
+QUOTED = {q: re.compile(rf"[^\r\n{q}]*") for q in "\"'`"}
 BARE = re.compile(r"""[^\s"'`;,&<>]+""")
-BEGIN = re.compile(r"-----BEGIN (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-END = re.compile(r"(?=(-----END (?:[A-Z]{2,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----))")
+BEGIN = re.compile(r"-----BEGIN (?:[A-Z]+ )*?PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"(?=(-----END (?:[A-Z]+ )*?PRIVATE KEY(?: BLOCK)?-----))")
 BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\-]*")
-KEY_ONLY = re.compile(r"[A-Za-z0-9+/=\s]{0,20000}")
-LONGEST_KEY = 20_000
+KEY_ONLY = re.compile(r"[A-Za-z0-9+/=\s]*")
 KEEP = 0.5
 LONGEST = 14  # letters of a dictionary word
 
@@ -113,7 +114,7 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
             reach = BODY.match(text, m.end()).end()
         while next_end < len(ends) and ends[next_end][0] < m.end():
             next_end += 1
-        if next_end < len(ends) and ends[next_end][0] <= min(reach, m.end() + LONGEST_KEY):
+        if next_end < len(ends) and ends[next_end][0] <= reach:
             at = ends[next_end][1]
         else:
             at = KEY_ONLY.match(text, m.end()).end()
@@ -121,19 +122,36 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _assigned(text: str) -> Iterator[tuple[int, int]]:
-    """Values after a credential word and = or :; one within an earlier value that isn't quoted is a part of that."""
-    reach = 0
+    """Values after a credential word, whatever else its name holds, and = or :; one within an earlier value that isn't quoted is a part of that.
+
+    Words of one name share its end, and so its value: a name is read once, as are the blanks around the sign.
+    """
+    reach, name = 0, -1
     for word in WORDS.finditer(text):
-        if m := VALUE.match(text, word.end()):
-            start, end = m.span(m.lastindex)
-            if m.lastindex == 4:  # not quoted: without the marks of a sentence's or a bracket's end
-                if start < reach:
-                    continue
-                reach = end = BARE.match(text, start).end()
-                while end > start and text[end - 1] in ".,:)]}":
-                    end -= 1
-            if end > start:
-                yield start, end
+        if word.end() <= name:
+            continue
+        name = NAME_END.match(text, word.end()).end()
+        sign = SIGN.match(text, name)
+        if not sign:
+            continue
+        start = sign.end()
+        if quoted := QUOTED.get(text[start : start + 1]):
+            end = quoted.match(text, start + 1).end()
+            if end > start + 1 and text[end : end + 1] == text[start]:
+                yield start + 1, end
+                continue
+        if text[start : start + 1] in ("'", '"'):
+            start += 1
+        if start < reach:
+            continue
+        found = BARE.match(text, start)
+        if not found:
+            continue
+        reach = end = found.end()
+        while end > start and text[end - 1] in ".,:)]}":
+            end -= 1
+        if end > start:
+            yield start, end
 
 
 def labelled_findings(rows: int = 3000, seed: int = 3, words: frozenset[str] = frozenset()) -> list[tuple[str, str, str, str, int]]:
