@@ -193,7 +193,7 @@ def _blocks(docs: DataFrame, held_out: Column, learned: Column, id_col: str, tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, size, places, trained = TaskContext.get().partitionId() << 32, 0, {}, []
+        block, size, places, trained = TaskContext.get().partitionId() << 20, 0, {}, []
 
         def words() -> Iterator[pd.DataFrame]:
             known = list(places)
@@ -256,7 +256,7 @@ def lattice_scores(docs: DataFrame, pieces: dict[tuple[int, ...], float], *, hel
     texts = blocks.where(F.col("word").isNull()).select("block", id_col, "held_out", "learned", "places", "times")
     counts = materialise(placed.groupBy("word").agg(F.sum("trained").alias("c")), "words")
     facts = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    ends = texts.where("learned").count()
+    ends, n_blocks = (int(v) for v in texts.agg(F.count_if("learned"), F.count_distinct("block")).first())
     n, types = facts["n"] + ends, facts["types"]
     known = types + (ends > 0)  # the end is a word of the base
     discount = facts["once"] / (facts["once"] + 2 * facts["twice"]) if facts["once"] else 0.5
@@ -302,5 +302,5 @@ def lattice_scores(docs: DataFrame, pieces: dict[tuple[int, ...], float], *, hel
 
     out = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     both = back.unionByName(texts.drop("learned"), allowMissingColumns=True)
-    by_block = both.repartition("block").sortWithinPartitions("block", F.col("place").isNull())
+    by_block = both.repartition(max(2 * n_blocks, 12), "block").sortWithinPartitions("block", F.col("place").isNull())
     return by_block.select("block", "place", "known", "base", "score", id_col, "held_out", "places", "times").mapInPandas(total, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
