@@ -2,10 +2,10 @@
 
 1. Each task tokenizes its texts and cuts only those longer than a sequence: the rest first, then whole sequences.  A
    piece carries its rank among the task's pieces of the same length.
-2. The histogram of lengths (as many entries as a sequence has tokens, whatever the input) is packed on the driver:
-   equal pieces go to the residual gap, or to new sequences, where the sum of squared counts of open sequences per gap
-   becomes smallest.  Of a length with more than `batches` pieces several move at once, and the change of the sum is that
-   of the whole move, by piece.
+2. The histogram of lengths (as many entries as a sequence has tokens, whatever the input) is packed on the driver, longest
+   first: a piece goes to the residual gap where the sum of squared counts of open sequences per gap becomes smallest, and
+   to a new sequence where no open one has room.  Equal pieces move in rounds: all gaps whose cost is within one move's
+   rise of the least take as many pieces each as leave that so, which a closed form gives, at every size of the table.
 3. The plan maps (length, global rank) to a sequence and an offset, so pieces find their places without moving texts.
 
 Added tokens of a tokenizers file, which that library also matches in plain text, are matched the same way where given.
@@ -29,64 +29,83 @@ from pyspark.sql import functions as F
 from .bpe import read_ranks
 from .common import materialise
 
-BATCHES = 64  # batches that the pieces of one length are placed in
+NONE = np.iinfo(np.int64).max // 4  # cost of a gap without an open sequence
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, batches: int = BATCHES) -> list[tuple[int, list[int]]]:
-    """Sum-of-squares packing of counts[length] pieces: [(number of sequences, lengths in them)].  Work depends on capacity and batches alone.
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Sum-of-squares packing of counts[length] pieces: [(number of sequences, lengths in them)].
 
-    The rule is applied in descending order, once letting a new sequence compete with open ones and once only where no
-    open one fits, and in mixed order; the plan of fewest sequences is taken.
+    A piece of length s in a gap g changes the sum of squares by 2 (n[g - s] - n[g]) + 2, or by 1 - 2 n[g] where it fills the
+    gap whole; n counts open sequences by gap.
     """
-    best: list[tuple[int, list[int]]] | None = None
-    for interleaved, eager in ((False, False), (False, True), (True, True)):
-        plan = _pack(counts, capacity, batches, interleaved, eager)
-        if best is None or sum(n for n, _ in plan) < sum(n for n, _ in best):
-            best = plan
-    return best or []
-
-
-def _pack(counts: dict[int, int], capacity: int, batches: int, interleaved: bool, eager: bool) -> list[tuple[int, list[int]]]:
-    sizes = sorted((s for s, c in counts.items() if c > 0), reverse=True)
-    step = {s: -(-counts[s] // batches) for s in sizes}
-    left = {s: counts[s] for s in sizes}
-    turns = range(batches) if interleaved else range(1)
     open_, stacks = np.zeros(capacity + 1, dtype=np.int64), [[] for _ in range(capacity + 1)]
-    for _ in turns:
-        for s in sizes:
-            todo = min(step[s], left[s]) if interleaved else left[s]
-            left[s] -= todo
-            while todo:
-                m = min(todo, step[s])
-                gaps = np.arange(s, capacity + 1)
-                takes = np.minimum(open_[gaps], m)  # pieces that a gap's open sequences can take at once
-                after = gaps - s
-                # what a piece adds to the sum of squares: n pieces into a gap change it by 2 n (after - gap) + 2 n n, where
-                # they fill it whole by - 2 n gap + n n, and in new sequences by 2 n after + n n
-                change = np.where(after > 0, 2 * open_[after] + takes, 0) - 2 * open_[gaps] + takes
-                change = np.where(takes > 0, change, np.iinfo(np.int64).max)
-                k = int(change.argmin())
-                fresh = (2 * open_[capacity - s] + m if s < capacity else 0) if eager else np.iinfo(np.int64).max - 1
-                if change[k] <= fresh:
-                    gap, m = int(gaps[k]), int(takes[k])
-                    moved, rest = [], m
-                    while rest:
-                        n, lengths = stacks[gap].pop()
-                        if n > rest:
-                            stacks[gap].append((n - rest, lengths))
-                            n = rest
-                        moved.append((n, [*lengths, s]))
-                        rest -= n
-                    open_[gap] -= m
-                else:
-                    gap, moved = capacity, [(m, [s])]
-                stacks[gap - s] += moved
-                if gap > s:
-                    open_[gap - s] += m
-                todo -= m
+    for s in sorted((s for s, c in counts.items() if c > 0), reverse=True):
+        todo = int(counts[s])
+        gaps = np.arange(s, capacity + 1)
+        after = gaps - s
+        while todo:
+            n = open_[gaps]
+            cost = np.where(n > 0, np.where(after > 0, 2 * (open_[after] - n) + 2, 1 - 2 * n), NONE)
+            if int(cost.min()) == NONE:
+                _opened(open_, stacks, s, todo, capacity)
+                break
+            movers, rounds = _round(open_, gaps, after, cost, todo, capacity)
+            for g in gaps[movers][::-1].tolist():  # descending: a gap that others fill up gets theirs first
+                moved = _taken(stacks[g], rounds, s)
+                stacks[g - s] += moved
+                open_[g] -= rounds
+                if g > s:
+                    open_[g - s] += rounds
+            todo -= rounds * len(movers)
     return [x for stack in stacks for x in stack]
 
 
+def _opened(open_: np.ndarray, stacks: list[list], s: int, todo: int, capacity: int) -> None:
+    """New sequences for todo pieces of length s: each is filled before the next is opened, as it then is the only one with room."""
+    full, rest = divmod(todo, capacity // s)
+    for n, held in ((full, capacity // s), (1, rest)):
+        if n and held:
+            gap = capacity - held * s
+            stacks[gap].append((n, [s] * held))
+            if gap:
+                open_[gap] += n
+
+
+def _round(open_: np.ndarray, gaps: np.ndarray, after: np.ndarray, cost: np.ndarray, todo: int, capacity: int) -> tuple[np.ndarray, int]:
+    """Places in gaps that move now, and how many pieces each takes before another gap would be as good."""
+    k = int(cost.argmin())  # the smaller gap left wins ties
+    first = int(cost[k])
+    movers = np.flatnonzero(cost < first + 4)  # a move makes the next one from its gap dearer by 4
+    movers = movers[:1] if k == 0 else movers[movers > 0]  # a perfect fit (place 0), dearer by 2 each time, goes by itself
+    change = np.zeros(capacity + 1, dtype=np.int64)  # of open sequences by gap, in a round
+    np.add.at(change, after[movers], 1)
+    change[gaps[movers]] -= 1
+    fed = change[gaps[movers]] >= 0  # gaps that get as many as they give
+    rise = 2 * (np.where(after > 0, change[after], 0) - change[gaps])
+    most = int(rise[movers].max())
+    rounds = min([todo // len(movers), *open_[gaps[movers][~fed]].tolist()])
+    others = cost < NONE
+    others[movers] = False
+    if others.any():
+        rounds = min(rounds, int(((cost[others] - first) // np.maximum(most - rise[others], 1)).min()))
+    if todo < len(movers):
+        movers = np.sort(movers[np.lexsort((after[movers], cost[movers]))[:todo]])
+    return movers, max(rounds, 1)
+
+
+def _taken(stack: list[tuple[int, list[int]]], n: int, s: int) -> list[tuple[int, list[int]]]:
+    """n sequences off the stack, each with a piece of length s more."""
+    moved = []
+    while n:
+        have, lengths = stack.pop()
+        if have > n:
+            stack.append((have - n, lengths))
+            have = n
+        moved.append((have, [*lengths, s]))
+        n -= have
+    return moved
+
+
 def _lookup(plan: list[tuple[int, list[int]]]) -> tuple[np.ndarray, ...]:
     """For each (length, first rank) in order: the first sequence, the offset and the stride within one sequence group."""
     rows, first, used = [], 0, {}

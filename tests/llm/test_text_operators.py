@@ -85,6 +85,42 @@ def test_histogram_packing_is_near_the_bound():
     assert placed == counts and sum(n for n, _ in plan) <= 1.01 * sum(s * c for s, c in counts.items()) / 2048 + 1
 
 
+def piece_by_piece(counts, capacity):
+    """The sum-of-squares rule applied to one piece after the other: open sequences by gap, and how many there are."""
+    n, sequences = [0] * (capacity + 1), 0
+    for s in sorted(counts, reverse=True):
+        for _ in range(counts[s]):
+            change = lambda g: (1 - 2 * n[g] if g == s else 2 * (n[g - s] - n[g]) + 2, g)  # noqa: E731, B023
+            g = min((g for g in range(s, capacity + 1) if n[g]), key=change, default=capacity)
+            sequences += g == capacity
+            n[g] -= g < capacity
+            n[g - s] += g > s
+    return n, sequences
+
+
+@pytest.mark.parametrize("least", [1, 35])
+def test_histogram_packing_follows_the_rule_piece_by_piece(least):
+    random_ = np.random.default_rng(5)
+    for _ in range(20):
+        counts = {int(s): int(c) for s, c in zip(random_.choice(np.arange(least, 101), 12, replace=False), random_.integers(1, 400, 12), strict=True)}
+        plan = pack_histogram(counts, 100)
+        open_, sequences = piece_by_piece(counts, 100)
+        found = sum(n for n, _ in plan)
+        if least > 33:  # no gap that a move makes has room for another of the length: the counts are the same
+            assert found == sequences and [sum(n for n, x in plan if 100 - sum(x) == g) for g in range(1, 101)] == open_[1:]
+        assert found <= 1.01 * sequences + 1 and found >= -(-sum(s * c for s, c in counts.items()) // 100)
+
+
+def test_histogram_packing_is_alike_at_every_size():
+    random_ = np.random.default_rng(2)
+    counts = {int(s): int(c) for s, c in zip(*np.unique(np.minimum(random_.lognormal(5, 1, 20_000).astype(int) + 1, 2048), return_counts=True), strict=True)}
+    for times in (1, 20, 2_000):
+        more = {s: c * times for s, c in counts.items()}
+        plan = pack_histogram(more, 2048)
+        bound = -(-sum(s * c for s, c in more.items()) // 2048)
+        assert bound <= sum(n for n, _ in plan) <= 1.0005 * bound + 1 and len(plan) < 200_000
+
+
 def brute(texts, size, percent):
     of, root = shingler(size), {i: i for i in texts}
     sets = {i: set(of(t).tolist()) for i, t in texts.items()}
