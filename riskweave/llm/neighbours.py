@@ -9,10 +9,12 @@
 4. A list whose every entry passes the threshold is saturated: more may pass than it holds.  Saturated lists take no part
    in further rounds; they are enlarged to the vector's whole component, which is compared in blocks that return counts and
    no pairs, as is every component of three or more.
-5. Recall is audited by vector: bounded samples of all vectors and of those in small components are compared with all
-   rows, and each vector counts alike, however many links it has.  While the mean share of links found is too low, over
-   all sampled vectors or over those of few links, more trees are grown; labels that still miss links then are compared
-   whole, in the blocks of large leaves.  The share and the number of links that it was measured on are returned.
+5. Recall is audited by vector: bounded samples of all vectors, of those in small components and of those whose edges lie
+   just above and just below the threshold are compared with all rows, and each vector counts alike, however many links it
+   has.  So where any link was found, links are audited; where none was, the sample grows until it holds a link, covers the
+   table or has AUDIT_MOST vectors.  While the mean share of links found is too low, over all sampled vectors or over those
+   of few links, more trees are grown; labels that still miss links then are compared whole, in the blocks of large
+   leaves.  The share and the number of links that it was measured on are returned.
 
 Defined results: links need equal labels, not null, and equal lengths; null, empty and zero vectors and those with null or
 non-finite components link with nothing; each row gives a row; equal rows of one id are one vector, and rows of one id that
@@ -37,6 +39,8 @@ SPREAD = 1024  # rows of a component compared with as many at once
 LEAF = 128  # rows that trees aim at in a leaf
 LANES = 16  # parts that a hub's edges are first cut in
 ATTEMPTS = 4  # growths of trees before labels are compared whole
+AUDIT_MOST = 16_384  # vectors in the largest sample, which the driver holds
+CHUNK = 1024  # sampled vectors that a task compares at once
 
 
 def _matrix(raw: pd.Series) -> np.ndarray:
@@ -69,7 +73,8 @@ def _joining(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int, float]
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int = 8, rounds: int = 12, recall: float = 0.98, audit_rows: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 5) -> DataFrame:
     """Each vector's n_links (other vectors linked directly), component_id (smallest id reachable) and kept (it is that id).
 
-    audited_recall is the share of audited_links, the links of sampled vectors, that was found: null where they have none.
+    audited_recall is the share of audited_links, the links of sampled vectors, that was found: 1 where the sample is the
+    whole table and has none, null where none of AUDIT_MOST sampled vectors of a larger table has any.
     Rounds end when lists settle, after `rounds` at the latest.
     """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -99,8 +104,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
         edges = grown if edges is None else edges.union(grown)
         edges, settled = _descend(edges, settled, reps, neighbours, rounds, floor, threshold)
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
-        audit = _audit(reps, components, threshold, audit_rows, neighbours)
-        found = _recall(audit, neighbours)
+        audit, found = _audited(reps, edges, components, threshold, audit_rows, neighbours, total)
         if found is None or found >= recall:
             break
     else:
@@ -108,8 +112,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, neighbours: int
         whole = _blocks(reps.where(F.col("place").isin(missing)).select("id", F.col("place").alias("leaf")))
         edges = edges.union(materialise(_compare(whole, reps, neighbours, floor, threshold), "whole"))
         components = connected_components(edges.where(F.col("cosine") >= threshold).select("a", "b"))
-        audit = _audit(reps, components, threshold, audit_rows, neighbours)
-        found = _recall(audit, neighbours)
+        audit, found = _audited(reps, edges, components, threshold, audit_rows, neighbours, total)
     counts = materialise(_enlarge(reps, components, threshold), "counts")
     same = copies.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     same = materialise(same.select("h", "g", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "linked")
@@ -191,23 +194,40 @@ def _compare(grouped: DataFrame, reps: DataFrame, k: int, floor: float, threshol
     return with_vectors.select("leaf", "low", "high", "id", "raw").mapInPandas(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
-def _audit(reps: DataFrame, components: DataFrame, threshold: float, audit_rows: int, few: int) -> pd.DataFrame:
+def _audited(reps: DataFrame, edges: DataFrame, components: DataFrame, threshold: float, audit_rows: int, few: int, total: int) -> tuple[pd.DataFrame, float | None]:
+    """The audit and the recall by it, from a sample that grows while it holds no link."""
+    while True:
+        audit = _audit(reps, edges, components, threshold, audit_rows, few)
+        found = _recall(audit, few)
+        if found is None and audit_rows >= total:
+            found = 1.0  # all vectors were compared with all
+        if found is not None or audit_rows >= AUDIT_MOST:
+            return audit, found
+        audit_rows = min(8 * audit_rows, AUDIT_MOST)
+
+
+def _audit(reps: DataFrame, edges: DataFrame, components: DataFrame, threshold: float, audit_rows: int, few: int) -> pd.DataFrame:
     """place, links and found (those that the components hold) of sampled vectors, by comparing them with all rows.
 
-    At most audit_rows of all vectors are sampled and as many of those in components of at most `few`.
+    At most audit_rows of all vectors are sampled, as many of those in components of at most `few`, and the ends of as many
+    edges just above the threshold and just below it.
     """
     sizes = components.groupBy("component").agg(F.count("*").alias("members"))
     placed = reps.join(components.join(sizes, "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     small = F.coalesce("members", F.lit(1)) <= few
     order = [F.xxhash64("id"), F.col("id")]
-    sample = placed.orderBy(*order).limit(audit_rows).union(placed.where(small).orderBy(*order).limit(audit_rows)).toPandas().drop_duplicates("id")
-    shared = reps.sparkSession.sparkContext.broadcast([(int(p), part["id"].to_numpy(), part["component"].to_numpy(), _matrix(part["raw"])) for p, part in sample.groupby("place")])
+    above, below = edges.where(F.col("cosine") >= threshold).orderBy("cosine", "a", "b"), edges.where(F.col("cosine") < threshold).orderBy(F.desc("cosine"), "a", "b")
+    ends = above.limit(audit_rows).union(below.limit(audit_rows)).select(F.explode(F.array("a", "b")).alias("id")).distinct()  # four times audit_rows at most
+    sample = placed.orderBy(*order).limit(audit_rows).union(placed.where(small).orderBy(*order).limit(audit_rows)).union(placed.join(F.broadcast(ends), "id", "left_semi").select(placed.columns)).toPandas().drop_duplicates("id")
+    chunks = [(int(p), part.iloc[at : at + CHUNK]) for p, part in sample.groupby("place") for at in range(0, len(part), CHUNK)]
+    shared = reps.sparkSession.sparkContext.broadcast([(p, part["id"].to_numpy(), part["component"].to_numpy(), _matrix(part["raw"])) for p, part in chunks])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            by_place = dict(list(frame.groupby("place")))
             for place, ids, component, x in shared.value:
-                part = frame[frame["place"] == place]
-                if len(part):
+                part = by_place.get(place)
+                if part is not None:
                     hit = (_matrix(part["raw"]) @ x.T >= threshold) & (part["id"].to_numpy()[:, None] != ids[None, :])
                     found = hit & (part["component"].to_numpy()[:, None] == component[None, :])
                     yield pd.DataFrame({"id": ids, "place": place, "links": hit.sum(axis=0), "found": found.sum(axis=0)})

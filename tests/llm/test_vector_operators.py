@@ -62,6 +62,17 @@ def test_audit_counts_vectors_alike(spark):
     assert neighbours._recall(audit, 8) == 0 and neighbours._recall(audit[:20], 8) > 0.99 and neighbours._recall(audit[:0], 8) is None
 
 
+@pytest.mark.parametrize("pairs", [6, 0])
+def test_recall_is_measured_however_few_links_there_are(spark, pairs):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((4_000, 32))
+    x[:pairs] = x[2_000 : 2_000 + pairs] + 0.02 * r.standard_normal((pairs, 32))
+    rows_ = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = near_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int"), audit_rows=20).collect()
+    assert sum(v.n_links for v in got) == 2 * pairs and got[0].audited_recall == 1 and (got[0].audited_links >= 2 * pairs if pairs else got[0].audited_links == 0)
+    assert sorted(v.vec_id for v in got if not v.kept) == list(range(2_000, 2_000 + pairs))
+
+
 def test_labels_that_miss_links_are_compared_whole(spark, table, monkeypatch):
     shown = lambda df: {tuple(r)[:4] for r in df.collect()}
     want = shown(near_vectors(table))
