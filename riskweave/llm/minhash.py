@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 1. One pass over the texts: shingle set size, a 128-bit digest of the set, the low bits of each minimum packed into longs,
-   and band keys of whole minima.  Documents of one digest are copies; the smallest id stands for them.
+   and band keys of whole minima.  Documents of one digest are copies: they are one node, with a number of its own, and the
+   text of the smallest id stands for it.  Links and components are those of nodes until ids are put in their place.
 2. Band keys shared by several sets give buckets.  Each member is compared with its bucket's smallest member and with the
    one before it (in its lane, of which a large bucket has several): similarity is estimated from equal low bits, corrected for chance collisions, and those not clearly below the threshold are
    confirmed on full sets.  Confirmed links give first components.
@@ -126,13 +127,14 @@ def similarity_estimate(equal: Column, hashes: int, bits: int) -> Column:
 
 
 def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent: int = 80, hashes: int = 128, bits: int = 4, bands: int = 25, rows: int = 5, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's n_shingles, component_id (smallest id reachable over links) and kept (it is that id).
+    """Each document's n_shingles, component_id (smallest id reachable over links), kept (it is that id) and text_hash (xxhash64).
 
     Two documents are linked if 100 * |A and B| >= similarity_percent * |A or B|; margin is how far below that an estimate
     from the packed bits may lie for the pair to be confirmed (four standard errors by default).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select("*", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("place"))
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -140,17 +142,19 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
         shingles, signer = shingler(shingle), Signer(hashes, bits, bands, rows)
         for frame in frames:
             out = []
-            for key, text in zip(frame["id"], frame["text"], strict=True):
+            for key, text, text_hash, place in frame.itertuples(index=False):
                 found = shingles(text)
                 least = signer.minima(found)
-                out.append((key, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.packed(least), signer.keys(least)))
-            yield pd.DataFrame(out, columns=["id", "n_shingles", "digest", "signature", "keys"])
+                out.append((key, text_hash, place, len(found), xxhash.xxh3_128_digest(found.tobytes()), signer.packed(least), signer.keys(least)))
+            yield pd.DataFrame(out, columns=["id", "text_hash", "place", "n_shingles", "digest", "signature", "keys"])
 
-    signed = materialise(texts.mapInPandas(sign, f"id {kind}, n_shingles long, digest binary, signature array<long>, keys array<long>"), "signatures")
+    signed = materialise(texts.mapInPandas(sign, f"id {kind}, text_hash long, place long, n_shingles long, digest binary, signature array<long>, keys array<long>"), "signatures")
     # aggregates are written before rows join them, as Spark splits the large partitions of a join only where both sides are read
-    copies = materialise(signed.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("id").alias("rep")), "copies")
-    reps = signed.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    sketches = materialise(reps.select("id", "n_shingles", "signature", "keys"), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "place")).alias("least")  # a null id stands for copies only where all are null
+    copies = signed.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(least)
+    copies = materialise(copies.select("digest", "n_shingles", F.col("least.id").alias("rep"), "least.place", F.monotonically_increasing_id().alias("node")), "copies")
+    reps = signed.join(copies.select("place", "digest", "node"), ["place", "digest"]).dropDuplicates(["node"])
+    sketches = materialise(reps.select(F.col("node").alias("id"), "n_shingles", "signature", "keys"), "sketches")
 
     exploded = sketches.select("id", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("size")).where("pivot < last")
@@ -167,8 +171,9 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     star = members.withColumn("before", before).where("id > pivot").select("id", F.explode(F.array_distinct(F.array("pivot", "before"))).alias("a"))
     star = star.select("a", F.col("id").alias("b")).distinct()
     star = star.join(sketch("b"), "b").join(sketch("a"), "a").where(fits & close).select("a", "b")
-    bucketed = members.select("id").distinct()
-    used = materialise(texts.hint("merge").join(bucketed.hint("merge"), "id", "left_semi"), "texts")  # texts are dealt by id once, at every size
+    bucketed = members.select(F.col("id").alias("node")).distinct().join(copies.select("node", "place"), "node")
+    used = texts.hint("merge").join(bucketed.hint("merge"), "place").select("place", "node", "text")  # texts are dealt by place once, at every size
+    used = materialise(used.dropDuplicates(["place", "node"]).select(F.col("node").alias("id"), "text"), "texts")
     first = _confirmed(star, used, shingle, similarity_percent)
     components = connected_components(first)
 
@@ -186,10 +191,13 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
         tree = components.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
         components = connected_components(tree.union(second))
 
-    placed = signed.select("id", "n_shingles", "digest").join(copies, ["digest", "n_shingles"], "left")
-    placed = placed.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    named = components.withColumnRenamed("id", "node").join(copies.select("node", "rep"), "node")
+    named = materialise(named.groupBy("component").agg(F.min("rep").alias("least")), "named")
+    known = copies.join(components.withColumnRenamed("id", "node"), "node", "left").join(named, "component", "left")
+    known = materialise(known.select("digest", "n_shingles", F.coalesce("least", "rep").alias("component")), "known")
+    placed = signed.select("id", "text_hash", "n_shingles", "digest").join(known, ["digest", "n_shingles"], "left")
+    component = F.coalesce("component", "id")
+    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_hash")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity_percent: int) -> DataFrame:

@@ -57,7 +57,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_components(table(spark, sf_dir, "documents"), shingle=2)
+    return minhash_components(table(spark, sf_dir, "documents"), shingle=2).drop("text_hash")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,16 @@ def test_minhash_equals_brute_force_on_families_and_chains(spark, size, block, l
     assert minhash_components(docs.limit(0), shingle=size).count() == 0
 
 
+def test_minhash_of_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, c), (9, c), (None, c + " end"), (None, "none like it"), (None, "none like it"), (4, "x y"), (4, "y x")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, place int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_components(docs, shingle=2).collect()), key=str)
+    want = [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True), (None, 9, False), (None, None, False), (None, None, False), (4, 4, True), (4, 4, True)]
+    assert got == sorted(want, key=str)
+    assert minhash_components(docs.limit(0)).count() == 0
+
+
 def test_blocks_bring_all_rows_of_different_components_together(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     rows = [("big", i, 0 if i < 60 else i) for i in range(75)] + [("one", i, 7) for i in range(20)] + [("even", i, i) for i in range(9)] + [("pair", 1, 1), ("pair", 2, 2)]
@@ -383,6 +393,11 @@ def test_pipeline_stages_on_null_ids_and_repeats(spark, tmp_path):
     got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, base), (None, "alone in the table"), (None, None), (None, " "), (2, None), (3, "another text")], key=str)
     verdict = lambda keyed: keyed.selectExpr("doc_id", "int(text IS NOT NULL AND text LIKE 'alone%') AS predicted")
+    clash = docs.withColumn("pipeline_key", docs.doc_id).withColumn("pipeline_text", docs.text)
+    assert cp._accepted(clash, verdict, rejected=1).columns == clash.columns == cp.drop_near_copies(spark, clash, "").columns
+    twice = docs.limit(0).union(spark.createDataFrame([(5, base, "en", "s", n, "x", 1) for n in (3, 1, 2)] + [(5, "a different text of that id", "en", "s", 9, "x", 1), (7, base + " more", "en", "s", 1, "x", 1)], docs.schema))
+    kept = [{tuple(r) for r in cp.drop_near_copies(spark, twice.repartition(n), "").collect()} for n in (1, 3)]
+    assert kept[0] == kept[1] and sorted((r[0], r[1]) for r in kept[0]) == [(5, "a different text of that id"), (5, base)]
     left = cp._accepted(docs, verdict, rejected=1)
     assert left.columns == docs.columns and left.count() == 8 and left.where("text LIKE 'alone%'").count() == 0
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
