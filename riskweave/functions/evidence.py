@@ -38,13 +38,17 @@ PATTERNS = {
 }
 # A literal that every match contains; texts without it skip the pattern.
 NEEDS = {"EMAIL": "@", "PRIVATE_KEY": "-----", "GITHUB_TOKEN": "_", "DB_CREDENTIAL": "://", "ENV_SECRET": "=", "IP": "."}
+# What a match may be besides: runs without the @ that a credential needs are matched whole and left out afterwards, or each
+# start in a run would read the run's rest again.
+SPARE = {"DB_CREDENTIAL": r"\b(?:postgres|mysql|mongodb)://[^\s:@]++:[^\s@]*+(?!@\S)"}
 # Where a match may begin, said more narrowly than the pattern does, so that a run of characters isn't read again from each
 # of its word boundaries: a boundary that follows another of the same run gives no match if that one gave none.
 BEGINS = {"EMAIL": r"\b(?=[A-Za-z0-9._%+-])(?:(?<![A-Za-z0-9._%+-])|\G|(?![.%+-])(?<!\b[.%+-]{1,4})|(?=[.%+-])(?<!\b[A-Za-z0-9._%+-]{1,64}))"}
 
 
 def _regex(kind: str) -> str:
-    return "(?iU)" + (BEGINS[kind] + PATTERNS[kind].removeprefix(r"\b") if kind in BEGINS else PATTERNS[kind])
+    pattern = BEGINS[kind] + PATTERNS[kind].removeprefix(r"\b") if kind in BEGINS else PATTERNS[kind]
+    return f"(?iU)(?:{SPARE[kind]})|(?:{pattern})" if kind in SPARE else f"(?iU){pattern}"
 
 
 def is_ip(value: Column) -> Column:
@@ -67,7 +71,7 @@ def is_national_id(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]{11}$"), checks).otherwise(F.lit(False))
 
 
-VALID = {"IP": is_ip, "CARD": is_card, "TC_KIMLIK": is_national_id}
+VALID = {"IP": is_ip, "CARD": is_card, "TC_KIMLIK": is_national_id, "DB_CREDENTIAL": lambda value: F.contains(value, F.lit("@"))}
 
 
 STEP = 256  # elements whose sums are made in one go

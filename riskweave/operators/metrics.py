@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clip
+from .bins import bin_of
 from .ranks import value_at_rank
 
 # Ten equal bins as floating-point steps of a tenth give them, so 0.3 lies in the third bin.
@@ -54,6 +55,13 @@ def ece(df: DataFrame, *by: str) -> DataFrame:
     return bins.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_y") - F.col("mean_p"))) / F.sum("n")).alias("ece"))
 
 
+def ece_by_edges(df: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+    """ece and the number of bins that hold rows, by group; edges has by and an array of sorted inner edges, `edges`."""
+    binned = df.join(edges, list(by)).withColumn("bin", bin_of(F.col("p"), F.col("edges")))
+    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"), F.avg("p").alias("mean_p"))
+    return bins.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_y") - F.col("mean_p"))) / F.sum("n")).alias("ece"), F.count("*").alias("bins"))
+
+
 def brier_nll(df: DataFrame, *by: str) -> DataFrame:
     p, y = clip(F.col("p")), F.col("y")
     return df.groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), (-F.avg(F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("nll"))

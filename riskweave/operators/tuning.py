@@ -83,12 +83,5 @@ def best_epoch(history: DataFrame) -> DataFrame:
     return first_by(history, F.desc("validation_f1"), "epoch")
 
 
-def trailing_mean(df: DataFrame, value: str, order: str, *by: str, steps: int = 25) -> DataFrame:
-    """Mean of the last `steps` values at every steps-th row of a group."""
-    window = Window.partitionBy(*by).orderBy(order)
-    rows = df.withColumn("step", F.row_number().over(window)).withColumn("trailing_mean", F.avg(value).over(window.rowsBetween(-(steps - 1), 0)))
-    return rows.where(F.col("step") % steps == 0)
-
-
 def first_in_group(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return df.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("at") <= n)

@@ -13,7 +13,7 @@ from ..functions import policy as rules
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import metrics as mt
-from ..operators import ranks, synth, tuning
+from ..operators import bins, ranks, synth, tuning, windows
 from ..sources import METADATA, read_table, spread
 from . import fixtures as fx
 from . import oracles as o
@@ -120,6 +120,12 @@ def stratified_split(spark, d):
     return ranks.stratified_split(docs(spark, d).select("doc_id", "lang"), "doc_id", "lang")
 
 
+@query("shuffled_positions", f"SELECT doc_id, row_number() OVER (ORDER BY {_HASHED}, doc_id) - 1 AS position FROM documents")
+def shuffled_positions(spark, d):
+    """Every document's place in the seeded shuffle of all."""
+    return ranks.shuffled_positions(docs(spark, d).select("doc_id"), "doc_id")
+
+
 @query("disjoint_subset", "SELECT CAST(count(*) AS BIGINT) AS missing FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def disjoint_subset(spark, d):
     """How many labels name no document: 0 where they are a subset."""
@@ -415,6 +421,17 @@ def ece_bins(spark, d):
     return rounded(mt.ece_bins(long(spark, d), "task"))
 
 
+_MASS = "edged AS (SELECT task, list_transform(range(1, 10), lambda i: ps[CAST(floor(len(ps) * i / 10.0) AS BIGINT) + 1]) AS edges FROM (SELECT task, list_sort(list(p)) AS ps FROM long GROUP BY task)), massed AS (SELECT task, len(list_filter(edges, lambda e: e <= p)) AS bin, y, p FROM long JOIN edged USING (task))"
+
+
+@query("ece_equal_mass", H[:-1] + f", {_MASS} SELECT task, round(sum(n * abs(my - mp)) / sum(n), 6) AS ece, count(*) AS bins FROM (SELECT task, bin, count(*) AS n, avg(y) AS my, avg(p) AS mp FROM massed GROUP BY task, bin) GROUP BY task")
+def ece_equal_mass(spark, d):
+    """Calibration error over ten bins of equally many scores: each task's edges are exact order statistics, joined as data."""
+    scored = long(spark, d).select("task", "y", "p")
+    edges = ranks.values_at_ranks(scored, "p", lambda n: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.floor(n * i / 10)), "task").withColumnRenamed("p", "edges")
+    return rounded(mt.ece_by_edges(scored, edges, "task"))
+
+
 @query("ece", H[:-1] + f", {_BINS} SELECT task, round(sum(n * abs(mean_y - mean_p)) / sum(n), 6) AS ece FROM bins GROUP BY task")
 def ece(spark, d):
     return rounded(mt.ece(long(spark, d), "task"))
@@ -552,7 +569,7 @@ def best_epoch(spark, d):
 
 @query("trailing_mean_25", "SELECT user_id, event_id, round(m, 6) AS trailing_mean FROM (SELECT user_id, event_id, row_number() OVER w AS step, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE step % 25 = 0")
 def trailing_mean_25(spark, d):
-    return rounded(tuning.trailing_mean(read_table(spark, d, "events"), "value", "event_id", "user_id").select("user_id", "event_id", "trailing_mean"))
+    return rounded(windows.trailing_mean(read_table(spark, d, "events"), "value", "event_id", "user_id").select("user_id", "event_id", "trailing_mean"))
 
 
 @query("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(list_sort(list(value))[count(value) // 2 + 1], 6) AS p50, count(value) AS n FROM events GROUP BY event_type")

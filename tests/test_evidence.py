@@ -60,3 +60,31 @@ def test_email_runs_are_read_once(spark):
     began = time.perf_counter()
     long = spark.createDataFrame([("a." * 200_000 + " @ x@y.org",)], "t string").select(ev.spans(F.col("t"), "EMAIL").alias("s")).first().s
     assert [s.text for s in long] == ["x@y.org"] and time.perf_counter() - began < 20  # 20 KB took 8 s when read from each word boundary
+
+
+def test_credentials_of_any_text_equal_plain_regex(spark):
+    tokens = ["mysql://", "postgres://", "a", "b1", ":", "@", "@@", " ", "/", "x.y", "\n", "é", "mongodb://u:p@h "]
+    texts = ["".join(r.choice(tokens) for _ in range(r.randint(1, 20))) for r in map(random.Random, range(3000))]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", ev.spans(F.col("t"), "DB_CREDENTIAL").alias("s"), ev.occurs(F.col("t"), "DB_CREDENTIAL").alias("o")).orderBy("i").collect()
+    for t, row in zip(texts, found, strict=True):
+        want = [(m.group(), *m.span()) for m in re.finditer(ev.PATTERNS["DB_CREDENTIAL"], t, re.I)]
+        assert [(s.text, s.start, s.end) for s in row.s] == want and row.o == bool(want), t
+
+
+# Texts that begin many matches, or run long before they fail, for each detector.
+HARD = {
+    "TC_KIMLIK": ["1", "1 ", "12345678901"], "EMAIL": ["a.", "a@", "a@b", "a@b.", "@"], "PHONE": ["05", "0532 ", "+90", "5 "], "IP": ["1.", "1.2.3", "255."], "CARD": ["1", "1 ", "1-", "1 -"], "IBAN": ["TR12 0000 ", "TR", "0000 "],
+    "ADDRESS": ["adres:", "adres ", "adres: ,", "address=\n "], "NAME": ["ad soyad: a", "full name:", "ad soyad: ab ", "full name "], "CUSTOMER_ID": ["customer id:", "customer id: a-", "customer id "], "API_KEY": ["token=", "token=-", "api_key ", "token:a-"],
+    "BEARER": ["Bearer ", "Bearer a", "bearer"], "PRIVATE_KEY": ["-----BEGIN ", "-----BEGIN RSA ", "-"], "GITHUB_TOKEN": ["ghp_", "ghp_a", "ghp_aaaaaaaaaaaaaaaaaaaaaaaa_"], "AWS_KEY": ["AKIA", "AKIAA "], "PASSWORD": ["password:", "password: ", "parola=a,"],
+    "DB_CREDENTIAL": ["mysql://a:", "mysql://:", "mysql://", "mysql://a:b@ ", "mysql://a"], "ENV_SECRET": ["KEY", "A_KEY ", "KEY=", "aKEY = ", "TOKEN_"], "PII_MENTION": ["customer ", "TC kimlik numara", "passport number"], "EXTERNAL_TRANSFER": ["gönder", "send", "API'y"],
+}
+
+
+@pytest.mark.parametrize("kind", list(ev.PATTERNS))
+def test_every_detector_takes_time_in_proportion_to_the_text(spark, kind):
+    cases = [end + unit * (size // len(unit)) + end for unit in HARD[kind] for size in (300_000,) for end in ("", " @ x")]
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").repartition(1).cache()
+    rows.count()
+    began = time.perf_counter()
+    rows.select(F.size(ev.spans(F.col("t"), kind)).alias("n"), ev.occurs(F.col("t"), kind).alias("o")).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 1.5 * len(cases)  # 160 KB of one of them took 16 s where each start read its run's rest
