@@ -32,7 +32,7 @@ from .common import grouped as _groups
 from .common import materialise
 from .graph import connected_components
 
-MEMO_WORDS, MEMO_BYTES = 500_000, 48  # entries of a memo, and the longest word in it: at most about 100 MB
+MEMO_WORDS, MEMO_BYTES = 200_000, 48  # entries of a memo, and the longest word in it: at most about 40 MB
 BLOCK = 256  # rows compared with as many at once
 LANE = 1024  # members of a bucket that one task orders
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
