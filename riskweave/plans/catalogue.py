@@ -13,7 +13,8 @@ from ..functions import policy as rules
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import metrics as mt
-from ..operators import bins, ranks, synth, tuning, windows
+from ..operators import ranks, synth, tuning, windows
+from ..operators import wordpiece as wp
 from ..sources import METADATA, read_table, spread
 from . import fixtures as fx
 from . import oracles as o
@@ -90,6 +91,33 @@ def token_window(spark, d):
     return window.select("doc_id", F.array_join(F.col("w.tokens").cast("array<string>"), ",").alias("ids"), F.aggregate("w.mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n"))
 
 
+_PIECES = 20_000
+
+
+def tokenized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with ids by a vocabulary of their own pieces."""
+    rows = spread(docs(spark, d).select("doc_id", "text"))
+    return wp.wordpiece(rows, wp.induced_vocabulary(rows, _PIECES)).drop("text")
+
+
+@query("wordpiece_vocabulary", f"WITH RECURSIVE {o.wordpieces(_PIECES)} SELECT piece, id FROM vocab")
+def wordpiece_vocabulary(spark, d):
+    return wp.induced_vocabulary(spread(docs(spark, d).select("text")), _PIECES)
+
+
+@query("wordpiece_ids", f"WITH RECURSIVE {o.wordpieces(_PIECES)} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM tokens")
+def wordpiece_ids(spark, d):
+    """Ids of every whole text by longest match from the left."""
+    return tokenized(spark, d).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@query("encoder_window", f"WITH RECURSIVE {o.wordpieces(_PIECES)}, cut AS (SELECT doc_id, list_concat(list_concat([2], ids[1:94]), [3]) AS ids FROM tokens) SELECT doc_id, array_to_string(list_resize(ids, 96, 0), ',') AS ids, CAST(len(ids) AS BIGINT) AS n FROM cut")
+def encoder_window(spark, d):
+    """An encoder's input of 96 ids from the ids of each text."""
+    window = tokenized(spark, d).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
+    return window.select("doc_id", F.array_join(F.col("w.tokens").cast("array<string>"), ",").alias("ids"), F.aggregate("w.mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n"))
+
+
 @query("distinct_languages", "SELECT DISTINCT lang FROM documents ORDER BY lang")
 def distinct_languages(spark, d):
     return docs(spark, d).select("lang").distinct().orderBy("lang")

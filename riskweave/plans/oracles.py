@@ -96,3 +96,21 @@ EDGE_BIN = "(" + " + ".join(f"CAST(p >= CAST({i * 0.1!r} AS DOUBLE) AS INT)" for
 SYNTH_CATEGORIES = ["BENIGN", "PII", "SECRET", "PROMPT_INJECTION", "DANGEROUS", "PRIVACY_RISK", "SECURITY_RISK", "OVERSIGHT_RISK", "DATA_GOVERNANCE", "AGENT_RISK", "MULTI_RISK"]
 SYNTH = f"""base AS (SELECT CAST(id AS BIGINT) AS id, ({SYNTH_CATEGORIES!r})[1 + id % 11] AS category, CAST((id // 11) % 10 AS INT) AS tid, 10000000 + (id * 7919) % 90000000 AS n, CAST(100000000 + (id * 104729) % 900000000 AS VARCHAR) AS nine FROM range(2200) AS r(id)),
 fam AS (SELECT *, category || '-' || tid AS family, CASE WHEN tid < 7 THEN 'train' WHEN tid = 7 THEN 'val' ELSE 'test' END AS split FROM base)"""
+
+
+def wordpieces(size: int, ends: int = 4) -> str:
+    """CTEs vocab(piece, id) and tokens(doc_id, ids) of documents; ids by longest match from the left, word by word."""
+    norm = "lower(replace(replace(coalesce(text, ''), 'I', 'ı'), 'İ', 'i' || chr(775)))"
+    pattern = r"[^\x00-\x20!-/:-@\[-`{-\x7F]+|[!-/:-@\[-`{-~]"
+    return f"""worded AS MATERIALIZED (SELECT doc_id, regexp_extract_all({norm}, '{pattern}') AS ws FROM documents),
+single AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM worded) GROUP BY w),
+short AS (SELECT * FROM single WHERE length(w) <= 100), ks AS (SELECT unnest(range(1, {ends + 1})) AS k),
+cand AS (SELECT w AS piece, n FROM short UNION ALL SELECT substr(w, 1, k), n FROM short, ks WHERE length(w) > k UNION ALL SELECT '##' || substr(w, length(w) - k + 1), n FROM short, ks WHERE length(w) > k
+  UNION ALL SELECT '##' || substr(w, i, 1), n FROM (SELECT w, n, unnest(range(2, length(w))) AS i FROM short)),
+vocab AS MATERIALIZED (SELECT piece, CAST(3 + row_number() OVER (ORDER BY n DESC, piece) AS INTEGER) AS id FROM (SELECT piece, sum(n) AS n FROM cand GROUP BY piece ORDER BY n DESC, piece LIMIT {size})),
+walk(w, begun, ids) AS (SELECT w, 1, CAST([] AS INTEGER[]) FROM short UNION ALL
+  SELECT w, begun + l, list_append(ids, id) FROM (SELECT c.w, c.begun, c.ids, c.l, v.id, row_number() OVER (PARTITION BY c.w, c.begun ORDER BY c.l DESC) AS rn
+    FROM (SELECT w, begun, ids, unnest(range(1, length(w) - begun + 2)) AS l FROM walk WHERE begun <= length(w)) c JOIN vocab v ON v.piece = CASE WHEN c.begun = 1 THEN substr(c.w, 1, c.l) ELSE '##' || substr(c.w, c.begun, c.l) END) WHERE rn = 1),
+spelled AS (SELECT single.w, coalesce(any_value(walk.ids), [1]) AS ids FROM single LEFT JOIN walk ON walk.w = single.w AND walk.begun = length(single.w) + 1 GROUP BY single.w),
+tokens AS (SELECT doc_id, coalesce(flatten(list(ids ORDER BY pos) FILTER (ids IS NOT NULL)), []) AS ids FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM worded) JOIN spelled USING (w) GROUP BY doc_id
+  UNION ALL SELECT doc_id, [] FROM worded WHERE len(ws) = 0)"""
