@@ -6,8 +6,9 @@ import html
 
 from pyspark.sql import SparkSession
 
-from ..constants import TASKS
-from .policy import DISPLAY
+from ..constants import TASKS, Policy
+from .evidence import evidence_sql, tc_valid_sql
+from .policy import DISPLAY, decide_sql
 
 EMPTY = "<p>Enter a short text.</p>"
 
@@ -21,18 +22,18 @@ def card(record: dict, most: int = 12, width: int = 80) -> str:
     return f"<article>{head}<h3>Risks</h3><ul>{bars}</ul><h3>Evidence</h3><ul>{spans}</ul></article>"
 
 
-def register_functions(spark: SparkSession) -> None:
-    """Session functions in SQL, which Catalyst inlines: normalize_text(t), tc_valid(v), decide(...) as 'ACTION/reason'."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(t STRING) RETURNS STRING RETURN lower(replace(t, 'I', 'ı'))")
-    digit = lambda i: f"CAST(substr(v, {i + 1}, 1) AS INT)"
-    total = lambda at: " + ".join(digit(i) for i in at)
-    checks = f"{digit(0)} <> 0 AND pmod(({total(range(0, 9, 2))}) * 7 - ({total(range(1, 8, 2))}), 10) = {digit(9)} AND pmod({total(range(10))}, 10) = {digit(10)}"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tc_valid(v STRING) RETURNS BOOLEAN RETURN CASE WHEN v RLIKE '^[0-9]{{11}}$' THEN {checks} ELSE false END")
+def register_functions(spark: SparkSession, policy: Policy = Policy()) -> None:
+    """Session functions in SQL, which Catalyst inlines.
+
+    normalize_text(t), tc_valid(v), decide(...) as 'ACTION/reason' by the policy, evidence_of(t) as an array of spans, and the
+    table function evidence(t), a row (type, text, start, end) for each span: SELECT ... FROM docs, LATERAL evidence(docs.text).
+    """
+    function = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{function} normalize_text(t STRING) RETURNS STRING RETURN lower(replace(t, 'I', 'ı'))")
+    spark.sql(f"{function} tc_valid(v STRING) RETURNS BOOLEAN RETURN {tc_valid_sql('v')}")
     names = ["prompt_injection", "dangerous_instruction", "secret", "pii", "highest", "confidence"]
     flags = ["has_pii", "has_secret", "transfer", "needs_approval"]
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION decide(" + ", ".join([*(f"{n} DOUBLE" for n in names), *(f"{f} BOOLEAN" for f in flags)]) + ") RETURNS STRING RETURN CASE WHEN has_secret THEN 'BLOCK/secret_evidence' "
-        "WHEN has_pii AND transfer THEN 'REDACT/pii_external_transfer' WHEN confidence < 0.6D THEN 'REVIEW/uncertain' WHEN prompt_injection >= 0.7D THEN 'BLOCK/prompt_injection' "
-        "WHEN dangerous_instruction >= 0.75D THEN 'BLOCK/dangerous_instruction' WHEN secret >= 0.65D THEN 'REVIEW/unverified_secret_score' WHEN pii >= 0.65D AND transfer THEN 'REDACT/pii_external_transfer' "
-        "WHEN needs_approval THEN 'REVIEW/agent_permissions' WHEN highest >= 0.7D OR has_pii THEN 'REVIEW/elevated_risk' ELSE 'ALLOW/low_risk' END"
-    )
+    spark.sql(f"{function} decide(" + ", ".join([*(f"{n} DOUBLE" for n in names), *(f"{f} BOOLEAN" for f in flags)]) + f") RETURNS STRING RETURN {decide_sql(policy)}")
+    spans = evidence_sql("t")
+    spark.sql(f"{function} evidence_of(t STRING) RETURNS ARRAY<STRUCT<type: STRING, text: STRING, start: INT, `end`: INT>> RETURN transform({spans}, s -> named_struct('type', s.type, 'text', s.text, 'start', s.start, 'end', s.end))")
+    spark.sql(f"{function} evidence(t STRING) RETURNS TABLE (type STRING, text STRING, start INT, `end` INT) RETURN SELECT s.type, s.text, s.start, s.end FROM (SELECT explode({spans}) AS s)")

@@ -175,3 +175,49 @@ def has_transfer(spans_: Column, external_api: Column | None = None) -> Column:
 def chips(spans_: Column, most: int = 12, width: int = 80) -> Column:
     """The first spans as short labels for display."""
     return F.transform(F.slice(spans_, 1, most), lambda s: F.concat(s["type"], F.lit(" · "), F.substring(s["text"], 1, width)))
+
+
+# --- the same spans as SQL text, for SQL functions -------------------------------------------------------------------------
+def _sql_let(value: str, name: str, use: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def _sql_sums(lengths: str) -> str:
+    return f"aggregate({lengths}, named_struct('at', CAST(array() AS ARRAY<INT>), 'total', 0), (s, n) -> named_struct('at', array_append(s.at, s.total), 'total', s.total + n))"
+
+
+def _sql_before(lengths: str) -> str:
+    blocks = f"transform(sequence(1, greatest(size(ys), 1), {STEP}), i -> {_sql_sums(f'slice(ys, i, {STEP})')})"
+    placed = f"flatten(zip_with(bs, {_sql_sums('transform(bs, b -> b.total)')}.at, (b, base) -> transform(b.at, y -> y + base)))"
+    return _sql_let(lengths, "ys", _sql_let(blocks, "bs", placed))
+
+
+def _sql_digits(at: range, value: str) -> str:
+    return "(" + " + ".join(f"CAST(substr({value}, {i + 1}, 1) AS INT)" for i in at) + ")"
+
+
+def tc_valid_sql(value: str) -> str:
+    """is_national_id as SQL."""
+    first = f"CAST(substr({value}, 1, 1) AS INT) <> 0 AND pmod({_sql_digits(range(0, 9, 2), value)} * 7 - {_sql_digits(range(1, 8, 2), value)}, 10) = {_sql_digits(range(9, 10), value)}"
+    return f"CASE WHEN {value} RLIKE '^[0-9]{{11}}$' THEN {first} AND pmod({_sql_digits(range(10), value)}, 10) = {_sql_digits(range(10, 11), value)} ELSE false END"
+
+
+def _sql_valid(kind: str, value: str) -> str:
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return {"IP": f"{value} RLIKE r'^{octet}([.]{octet}){{3}}$'", "CARD": f"length({digits}) BETWEEN 13 AND 19 AND luhn_check({digits})", "TC_KIMLIK": tc_valid_sql(value), "DB_CREDENTIAL": f"contains({value}, '@')"}[kind]
+
+
+def evidence_sql(text: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> str:
+    """evidence() as a SQL expression over the SQL value `text`: an array of struct<start, end, n, type, text> in order."""
+    found = []
+    for n, kind in enumerate(kinds):
+        pattern = f'r"{_regex(kind)}"'
+        need = f"contains({text}, '{NEEDS[kind]}') AND " if kind in NEEDS else f"{text} RLIKE '[0-9]' AND " if kind in ("TC_KIMLIK", "PHONE", "CARD") else ""
+        found.append(f"CASE WHEN {need}{text} RLIKE {pattern} THEN named_struct('n', {n}, 'type', '{kind}', 'values', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1)) END")
+    values = "zip_with(x.values, slice(x.gaps, 1, size(x.values)), (v, gap) -> named_struct('text', v, 'gap', length(gap), 'length', length(v)))"
+    span = "named_struct('start', p + v.gap, 'end', p + v.gap + v.length, 'n', x.n, 'type', x.type, 'text', v.text)"
+    placed = _sql_let(values, "vs", f"zip_with(vs, {_sql_before('transform(vs, v -> v.gap + v.length)')}, (v, p) -> {span})")
+    every = f"flatten(transform(filter(array({', '.join(found)}), f -> f IS NOT NULL), x -> {placed}))"
+    checks = " ".join(f"WHEN z.type = '{k}' THEN {_sql_valid(k, 'z.text')}" for k in kinds if k in VALID)
+    return f"array_sort(filter({every}, z -> CASE {checks} ELSE true END))" if checks else f"array_sort({every})"

@@ -67,6 +67,18 @@ def linear(x: Column, weight: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.transform(x, lambda v, k: v.cast("double") * weight(k)), F.lit(0.0), lambda s, v: s + v)
 
 
+def masked_mean_pool(matrix: Column, mask: Column) -> Column:
+    """Mean of the rows of a token matrix (array<array<double>>) that the mask (array of 0/1) keeps; without any, zeros.
+
+    One fold over the tokens; null components and a null mask count as 0, tokens beyond the mask are left out.
+    """
+    kept = F.transform(F.arrays_zip(matrix.alias("t"), mask.alias("m")), lambda z: F.struct(z["t"].alias("t"), F.coalesce(z["m"].cast("double"), F.lit(0.0)).alias("m")))
+    none = F.transform(F.get(matrix, 0), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, none, lambda s, z: F.when(z["m"] == 0, s).otherwise(F.zip_with(s, z["t"], lambda a, x: a + F.coalesce(x, F.lit(0.0)) * z["m"])))
+    count = F.greatest(F.aggregate(kept, F.lit(0.0), lambda s, z: s + z["m"]), F.lit(1.0))
+    return F.transform(total, lambda x: x / count)
+
+
 def log_sum_exp(logits: Column) -> Column:
     top = F.array_max(logits)
     return top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, z: s + F.exp(z - top)))

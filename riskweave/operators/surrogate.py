@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 12
 
 
-def hashed(df: DataFrame, text: str = "text") -> DataFrame:
+def hashed(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """df with `words` and their hashed counts, `features`; null texts have none."""
     words = Tokenizer(inputCol="_text", outputCol="words").transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
-    return HashingTF(inputCol="words", outputCol="features", numFeatures=BUCKETS).transform(words).drop("_text")
+    return HashingTF(inputCol="words", outputCol="features", numFeatures=buckets).transform(words).drop("_text")
 
 
 def fit_heads(rows: DataFrame, tasks: tuple[str, ...], text: str = "text", steps: int = 8, ridge: float = 0.01) -> dict[str, LogisticRegressionModel]:

@@ -12,6 +12,8 @@ from ..constants import ACTIONS, METADATA_FLAGS, PII_TYPES, SECRET_TYPES, SEVERI
 from ..functions import evidence as ev
 from ..functions import policy as rules
 from ..functions import scoring as sc
+from ..functions.text import normalize
+from ..operators.heads import Heads, arrays, hashed_features, logits
 
 
 def flags_of(df: DataFrame) -> dict[str, Column]:
@@ -63,23 +65,67 @@ LEXICON = {
     "pii": "address|phone|passport|email|customer", "secret": "password|secret|token|credential|api key", "prompt_injection": "ignore|override|reveal|system prompt|jailbreak", "dangerous_instruction": "explosive|weapon|malware|exploit|poison",
     "privacy_risk": "profil|track|surveil|personal", "security_risk": "attack|hack|breach|vulnerab|port ", "ethics_risk": "discriminat|manipulat|deceiv|harm", "oversight_risk": "unsupervised|without review|autonomous|approve", "data_governance_risk": "retention|transfer|consent|dataset",
 }
-MOST = 4  # occurrences that count
+MOST = 4  # occurrences of a task's words in a text that count
+
+
+def _occurrences(text: Column, words: str) -> Column:
+    """How often any of the words, which don't overlap each other, occurs: by what is left without them, as literals are found faster than patterns."""
+    size = lambda t: F.octet_length(t)
+    return sum(((size(text) - size(F.replace(text, F.lit(w), F.lit("")))) / len(w.encode()) for w in words.split("|")), F.lit(0.0))
 
 
 def lexicon_scores(df: DataFrame, text: str = "text") -> DataFrame:
-    """A score provider of Catalyst expressions: logits linear in how often each task's words occur."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_seen", F.array(*[F.least(F.regexp_count(lower, F.lit(words)), F.lit(MOST)).cast("double") for words in LEXICON.values()]))
+    """A score provider of Catalyst expressions: logits linear in how often each task's words occur, up to MOST times each task.
+
+    Texts are normalised first; the lexicon's words are plain, so a dotless i counts as i.
+    """
+    df = df.withColumn("_folded", F.replace(normalize(F.coalesce(F.col(text), F.lit(""))), F.lit("ı"), F.lit("i")))
+    df = df.withColumn("_seen", F.array(*[F.least(_occurrences(F.col("_folded"), words), F.lit(float(MOST))) for words in LEXICON.values()]))
     of = lambda task: F.element_at("_seen", TASKS.index(task) + 1)
     total = F.least(F.aggregate("_seen", F.lit(0.0), lambda s, n: s + n), F.lit(6.0))
     severity = F.array(2 - total, 0.5 + 0.1 * total, 0.5 * total - 0.5, 0.8 * total - 2)
     action = F.array(2 - total, 0.9 * of("pii") - 1, 0.3 + 0.3 * total, 0.9 * (of("secret") + of("prompt_injection") + of("dangerous_instruction")) - 2)
-    return df.withColumns({"risks": F.transform("_seen", lambda n: 1.5 * n - 2.5), "severity_logits": severity, "action_logits": action}).drop("_seen")
+    return df.withColumns({"risks": F.transform("_seen", lambda n: 1.5 * n - 2.5), "severity_logits": severity, "action_logits": action}).drop("_seen", "_folded")
+
+
+EVIDENCE = ("evidence", "has_pii", "has_secret", "transfer")
+SCORES = ("risks", "severity_logits", "action_logits")
+
+
+def analyze(df: DataFrame, scores: ScoreProvider = lexicon_scores, temperatures: dict[str, float] | None = None, policy: Policy = Policy(), text: str = "text", distinct: bool = False) -> DataFrame:
+    """From a text column and any of the metadata flags to the whole decision record: df's columns, then the record's.
+
+    Texts are judged apart from the rows' other columns, so these stay whatever their names; one that the record has too is
+    an error.  With `distinct` each different text is judged once, found by its digest, and joined back to all its rows:
+    worth a shuffle where texts repeat or scores are dear.  Rows of a text that many share can be split in that join.
+    """
+    clash = sorted(c for c in df.columns if c.lower() in {r.lower() for r in (*RECORD, "has_pii", "has_secret", "transfer")})
+    if clash:
+        raise ValueError(f"columns that the record has too, to be renamed first: {', '.join(clash)}")
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    flags = [c for f in METADATA_FLAGS for c in df.columns if c == f]
+    rows = df.select(F.struct(*df.columns).alias("_row"), *flags, (F.sha2(value, 256) if distinct else value).alias("_text"))
+    judged = lambda texts: scores(with_evidence(texts, "_text"), "_text")
+    if distinct:
+        texts = df.select(value.alias("_text")).select("_text", F.sha2("_text", 256).alias("_digest"), F.length("_text").alias("_n"))
+        once = judged(texts.dropDuplicates(["_digest", "_n"]))  # dealt by both, so that the join deals both its sides and can split either
+        rows = rows.withColumnRenamed("_text", "_digest").join(once.select("_digest", *EVIDENCE, *SCORES), "_digest")
+    else:
+        rows = judged(rows)
+    if "external_api" in flags:
+        rows = rows.withColumn("transfer", F.col("transfer") | F.coalesce(F.col("external_api"), F.lit(False)))
+    told = decision_records(rows, temperatures, policy)
+    return told.select("_row.*", *EVIDENCE[1:], *RECORD)
+
+
+def trained_scores(heads: Heads) -> ScoreProvider:
+    """A score provider of heads trained together (operators/heads.py) on hashed words: risks, severity and action."""
 
+    def scores(df: DataFrame, text: str = "text") -> DataFrame:
+        made = hashed_features(df, heads.weights.shape[1] - 1, text, "_features").withColumn("_logits", logits(F.col("_features"), heads.weights))
+        return made.withColumns(arrays(F.col("_logits"))).drop("_features", "_logits")
 
-def analyze(df: DataFrame, scores: ScoreProvider = lexicon_scores, temperatures: dict[str, float] | None = None, policy: Policy = Policy(), text: str = "text") -> DataFrame:
-    """From a text column and any of the metadata flags to the whole decision record: evidence, scores, policy."""
-    return decision_records(scores(with_evidence(df, text), text), temperatures, policy).drop("risks", "severity_logits", "action_logits")
+    return scores
 
 
 def head_scores(models: dict) -> ScoreProvider:

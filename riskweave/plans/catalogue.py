@@ -12,7 +12,9 @@ from ..functions import evidence as ev
 from ..functions import policy as rules
 from ..functions import scoring as sc
 from ..functions import text as tx
+from ..functions.display import register_functions
 from ..operators import metrics as mt
+from ..operators import heads as hd
 from ..operators import ranks, synth, tuning, windows
 from ..operators import wordpiece as wp
 from ..sources import METADATA, read_table, spread
@@ -199,6 +201,14 @@ for _kind in ev.PATTERNS:
 query("ev_spans_all", f'WITH {o.SRC}, {o.ALL} SELECT id, type, text, start, "end" FROM spans')(_spans(tuple(ev.PATTERNS)))
 
 
+@query("evidence_lateral", f'WITH {o.SRC}, {o.ALL} SELECT id, type, text, start, "end" FROM spans')
+def evidence_lateral(spark, d):
+    """The spans of all detectors by the SQL table function."""
+    register_functions(spark)
+    texts(spark, d).createOrReplaceTempView("_evidence_texts")
+    return spark.sql("SELECT t.id, e.type, e.text, e.start, e.end FROM _evidence_texts AS t, LATERAL evidence(t.text) AS e")
+
+
 @query("ip_valid", f"WITH v AS (SELECT v FROM (VALUES ('10.0.0.7'), ('300.1.1.1'), ('01.2.3.4'), ('255.255.255.255'), ('1.2.3.0')) AS t(v)) SELECT v, {o.ip('v')} AS valid FROM v")
 def ip_valid(spark, d):
     return fx.frame(spark, [(v,) for v in ("10.0.0.7", "300.1.1.1", "01.2.3.4", "255.255.255.255", "1.2.3.0")], "v string").select("v", ev.is_ip(F.col("v")).alias("valid"))
@@ -318,8 +328,19 @@ HL = f"WITH {o.HEADS}, {o.LOGITS} "
 
 @query("mean_pool", "SELECT label, CAST(k - 1 AS INT) AS k, round(sum(v) / greatest(1, count(*)), 6) AS pooled FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k")
 def mean_pool(spark, d):
-    x = read_table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "v"))
-    return rounded(x.groupBy("label", "k").agg((F.sum(F.col("v").cast("double")) / F.greatest(F.lit(1), F.count("*"))).alias("pooled")))
+    """Mean vector of each label; a vector is one row of the aggregation, whose positions are averaged side by side."""
+    width = 64
+    means = F.array(*[F.avg(F.get("embedding", k).cast("double")) for k in range(width)])
+    return rounded(read_table(spark, d, "embeddings").groupBy("label").agg(means.alias("m")).select("label", F.posexplode("m").alias("k", "pooled")).where("pooled IS NOT NULL"))
+
+
+@query("masked_pool", f"WITH m AS (SELECT vec_id, 1 + vec_id % 8 AS n, [[CAST(x AS DOUBLE) for x in embedding[8 * i + 1:8 * i + 8]] for i in range(8)] AS t FROM embeddings) SELECT vec_id, CAST(k - 1 AS INT) AS k, round(list_sum([t[i][k] for i in range(1, n + 1)]) / greatest(1, n), 6) AS pooled FROM (SELECT *, unnest(range(1, 9)) AS k FROM m)")
+def masked_pool(spark, d):
+    """Each vector as a matrix of eight tokens by eight, of which the mask keeps the first 1 to 8."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: x.cast("double")))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i <= F.pmod(F.col("vec_id"), F.lit(8))).cast("int"))
+    pooled = read_table(spark, d, "embeddings").select("vec_id", tokens.alias("t"), mask.alias("m")).select("vec_id", F.posexplode(sc.masked_mean_pool(F.col("t"), F.col("m"))).alias("k", "pooled"))
+    return rounded(pooled)
 
 
 @query("linear_heads", H + "SELECT vec_id, task, round(z, 6) AS z FROM long")
@@ -649,13 +670,13 @@ def split_counts(spark, d):
     return split_corpus(spark).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"))
 
 
-_COUNTS = ", ".join(f"least(len(regexp_extract_all(lower(text), '{words}')), {MOST}) AS c{i}" for i, words in enumerate(LEXICON.values()))
+_COUNTS = ", ".join(f"least(len(regexp_extract_all(folded, '{words}')), {MOST}) AS c{i}" for i, words in enumerate(LEXICON.values()))
 _TOTAL = "CAST(least(" + " + ".join(f"c{i}" for i in range(9)) + ", 6) AS DOUBLE)"
 _META = "id % 3 = 0 AS agent, id % 6 = 0 AS shell, id % 4 = 0 AS database, id % 8 <> 0 AS network, id % 9 = 0 AS human_approval, id % 5 = 0 AS external_api"
 _HEAT = {t: round(0.8 + 0.1 * i, 1) for i, t in enumerate(TASKS)}
 _CALIBRATED = lambda i, t: f"1 / (1 + exp(-ln(q{i} / (1 - q{i})) / CAST({_HEAT[t]} AS DOUBLE)))"
 _FLOORED = lambda i, t: f"CASE WHEN has_{t} THEN greatest({_CALIBRATED(i, t)}, 0.95) ELSE {_CALIBRATED(i, t)} END" if t in ("pii", "secret") else _CALIBRATED(i, t)
-_ANALYZE = f"""WITH {o.SRC}, {o.ALL}, {o.FLAGS}, seen AS (SELECT id, {_META}, {_COUNTS} FROM (SELECT id, coalesce(text, '') AS text FROM src)), n_spans AS (SELECT id, count(*) AS n_evidence FROM spans GROUP BY id),
+_ANALYZE = f"""WITH {o.SRC}, {o.ALL}, {o.FLAGS}, seen AS (SELECT id, {_META}, {_COUNTS} FROM (SELECT id, replace(lower(replace(replace(coalesce(text, ''), 'I', 'ı'), 'İ', 'i' || chr(775))), 'ı', 'i') AS folded FROM src)), n_spans AS (SELECT id, count(*) AS n_evidence FROM spans GROUP BY id),
 risk AS (SELECT *, {_TOTAL} AS total, {", ".join(f"greatest(least(1 / (1 + exp(-(1.5 * CAST(c{i} AS DOUBLE) - 2.5))), 1 - 1e-7), 1e-7) AS q{i}" for i in range(9))} FROM seen),
 soft AS (SELECT risk.*, has_pii, has_secret, transfer OR external_api AS moved, coalesce(n_evidence, 0) AS n_evidence, [2 - total, 0.5 + 0.1 * total, 0.5 * total - 0.5, 0.8 * total - 2] AS sev, [2 - total, 0.9 * CAST(c0 AS DOUBLE) - 1, 0.3 + 0.3 * total, 0.9 * CAST(c1 + c2 + c3 AS DOUBLE) - 2] AS act FROM risk JOIN flags USING (id) LEFT JOIN n_spans USING (id)),
 scored AS (SELECT *, {", ".join(f"{_FLOORED(i, t)} AS {t}" for i, t in enumerate(TASKS))}, least({o.TOP("sev")}, {o.TOP("act")}) AS c FROM soft),
@@ -666,9 +687,9 @@ WHEN agent AND (shell OR (database AND network)) AND NOT human_approval THEN 'RE
 
 @query("analyze_documents", _ANALYZE + f" SELECT id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, round_even(c, 4) AS confidence, v = 'REVIEW/uncertain' AS abstain, n_evidence FROM told")
 def analyze_documents(spark, d):
-    """Texts and flags to records: evidence, scores of the lexicon, temperatures, floors, confidence, policy."""
+    """Texts and flags to records: evidence and scores of the lexicon, once for each different text; temperatures, floors, confidence, policy."""
     flags = {"agent": "id % 3 = 0", "shell": "id % 6 = 0", "database": "id % 4 = 0", "network": "id % 8 <> 0", "human_approval": "id % 9 = 0", "external_api": "id % 5 = 0"}
-    told = analyze(texts(spark, d).withColumns({f: F.expr(x) for f, x in flags.items()}), temperatures=_HEAT)
+    told = analyze(texts(spark, d).withColumns({f: F.expr(x) for f, x in flags.items()}), temperatures=_HEAT, distinct=True)
     shown = told.select("id", *TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain", F.size("evidence").cast("bigint").alias("n_evidence"))
     return rounded(shown, "confidence")
 
@@ -679,6 +700,30 @@ def rule_baseline_synthetic(spark, d):
     return baseline(with_flags(synth.corpus(spark, 2200)), {"pii": "pii", "secret": "secret"})
 
 
+def head_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of labelled documents as features: tasks, severity and action by label, quality as the injection task, a second backend as teacher."""
+    vectors = read_table(spark, d, "embeddings").join(read_table(spark, d, "labels").withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    risks = F.array(*[(F.col("quality") if t == "prompt_injection" else F.pmod(F.col("label") + i, F.lit(2))).cast("int") for i, t in enumerate(TASKS)])
+    teacher = F.array(*[sc.sigmoid(sc.linear(F.col("embedding"), lambda k, i=i: ((i + 2) * (k + 4)) % 5 - 2)) for i in range(len(TASKS))])
+    features = F.transform("embedding", lambda x: x.cast("double"))
+    held = F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(5)) == 0
+    return vectors.select("vec_id", features.alias("features"), risks.alias("risks"), F.pmod("label", F.lit(4)).alias("severity"), F.pmod(F.col("label") + 1, F.lit(4)).alias("action"), teacher.alias("teacher"), held.alias("held"))
+
+
+@query("head_history")
+def head_history(spark, d):
+    """Epochs of the heads' joint training: loss, validation f1 and the epoch whose weights are taken."""
+    return rounded(hd.history_table(spark, hd.train(head_rows(spark, d))))
+
+
+@query("head_finetune")
+def head_finetune(spark, d):
+    """One task's head trained on from the joint heads: the same history for its epochs."""
+    rows = head_rows(spark, d)
+    joint = hd.train(rows, epochs=3)
+    return rounded(hd.history_table(spark, hd.train(rows, start=joint.weights, only="prompt_injection", rate=0.03)))
+
+
 @query("surrogate_heads")
 def surrogate_heads(spark, d):
     """The nine tasks' logistic regressions on hashed words, trained on the synthetic training families, scored on the others."""

@@ -15,8 +15,31 @@ TEACHER = "text string, teacher map<string, double>"
 METADATA = "agent boolean, shell boolean, filesystem boolean, network boolean, database boolean, external_api boolean, credential_access boolean, human_approval boolean"
 
 
-def read_rows(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+BAD = "_bad_line"
+
+
+def read_rows(spark: SparkSession, path: str, schema: str = LABELLED, bad: str = "fail") -> DataFrame:
+    """Rows of JSON lines.  A line that isn't an object of the schema is an error when it is read; with bad="keep" it is a row
+    of nulls with the line as BAD, which is null elsewhere; with bad="drop" it is left out.
+    """
+    if bad == "fail":
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if bad not in ("keep", "drop"):
+        raise ValueError(bad)
+    kept = spark.read.schema(f"{schema}, {BAD} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+    return kept if bad == "keep" else kept.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def read_split(spark: SparkSession, path: str, *splits: str, schema: str = LABELLED, bad: str = "fail") -> DataFrame:
+    """Rows of the named splits, all without a name, with `split`; other splits' folders (write_splits) are not read."""
+    rows = read_rows(spark, path, f"{schema}, split string", bad)
+    return rows.where(F.col("split").isin(*splits)) if splits else rows
+
+
+def load_temperatures(path: str) -> dict[str, float]:
+    """Temperatures by task from a JSON object; other names are ignored, and 1 holds for tasks without one."""
+    stored = load_json(path)
+    return {t: float(stored.get(t, 1.0)) for t in TASKS}
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_value_at_rank_equals_sorting(spark):
     groups = {"hot": [r.lognormvariate(0, 3) for _ in range(3000)], "ties": [1.0] * 50 + [2.0] * 51, "one": [4.0], None: [float(i % 7) for i in range(20)], "odd": [float("inf"), 1.0, float("-inf"), 2.0]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
     for rank in (lambda n: n // 2, lambda n: 0, lambda n: n - 1):
-        got = {x.g: (x.n, x.v) for x in ranks.value_at_rank(df, "v", lambda n, rank=rank: F.floor(n / 2) if rank(10) == 5 else F.lit(0) if rank(10) == 0 else n - 1, "g", cells=8).collect()}
+        got = {x.g: (x.n, x.v) for x in ranks.value_at_rank(df, "v", lambda n, rank=rank: F.floor(n / 2) if rank(10) == 5 else F.lit(0) if rank(10) == 0 else n - 1, "g").collect()}
         assert got == {g: (len(vs), sorted(vs)[rank(len(vs))]) for g, vs in groups.items()}
     row = mt.latency(df.limit(0), "v").collect()
     assert row == [] or row[0].p50 is None
