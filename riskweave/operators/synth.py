@@ -38,12 +38,18 @@ def national_id(first_nine: Column) -> Column:
 
 
 def corpus(spark: SparkSession, rows: int) -> DataFrame:
-    """id, text, category, family, template, language, one 0/1 column for each task, action, severity, source."""
+    """A corpus of so many rows."""
+    return corpus_of(spark.range(rows))
+
+
+def corpus_of(ids: DataFrame) -> DataFrame:
+    """id, text, category, family, template, language, one 0/1 column for each task, action, severity, source; a row for each id (long) of a table."""
     categories = tuple(FLAGS)
-    df = spark.range(rows).withColumn("category", _pick(categories, F.col("id") % len(categories)))
+    df = ids.select("id").withColumn("category", _pick(categories, F.col("id") % len(categories)))
     df = df.withColumn("tid", (F.floor(F.col("id") / len(categories)) % TEMPLATES_EACH).cast("int")).withColumn("n", 10_000_000 + (F.col("id") * 7919) % 90_000_000)
     stem = F.element_at(F.create_map(*[F.lit(x) for kv in STEMS.items() for x in kv]), F.col("category"))
     df = df.withColumn("template", F.concat(stem, F.lit(" #"), F.col("tid").cast("string"))).withColumn("template", F.replace("template", F.lit("{extra}"), _pick(EXTRAS, F.col("tid"))))
+    # The formats of e-mail addresses, phone numbers and secrets in made texts, which detectors are tested on.
     fills = {
         "{person}": _pick(PERSONS, F.col("id") % 4), "{email}": F.concat(F.lit("sample"), F.col("n").cast("string"), F.lit("@example.org")), "{phone}": F.concat(F.lit("0532"), F.lpad((F.col("n") % 10_000_000).cast("string"), 7, "0")),
         "{tc}": national_id((100_000_000 + (F.col("id") * 104729) % 900_000_000).cast("string")), "{secret}": F.concat(F.lit("synthetic_KEY_"), F.lpad(F.col("n").cast("string"), 8, "0"), F.lit("_ABCDEF")), "{object}": _pick(OBJECTS, F.col("id") % 2), "{n}": F.col("n").cast("string"),

@@ -25,6 +25,7 @@ from .analyze import LEXICON, MOST, analyze, decision_records, flags_of, rule_de
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+FIXED: dict[str, tuple[Query, str]] = {}  # cases written out here, which the tests compare with SQL; they read no table
 
 
 def query(name: str, sql: str | None = None):
@@ -37,6 +38,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def fixed(name: str, sql: str):
+    def register(f: Query) -> Query:
+        FIXED[name] = f, sql
+        return f
+
+    return register
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -58,9 +67,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """The documents and, with negative ids, the inline fixture."""
+    """The documents, a note for each of them that holds one of the inline fixture's texts, and, with ids from -1 on down, that fixture."""
     inline = fx.frame(spark, fx.TEXTS, "id bigint, text string").select((-F.col("id")).alias("id"), "text")
-    return inline.union(spread(docs(spark, d).select(F.col("doc_id").alias("id"), "text")))
+    whole = spread(docs(spark, d).select("doc_id", "text"))
+    held = F.element_at(F.array(*[F.lit(t) for _, t in fx.TEXTS]), (F.pmod("doc_id", F.lit(len(fx.TEXTS))) + 1).cast("int"))
+    note = F.struct((-1000 - F.col("doc_id")).alias("id"), F.concat(F.lit("note "), F.col("doc_id").cast("string"), F.lit(": "), held).alias("text"))
+    return inline.union(whole.select(F.inline(F.array(F.struct(F.col("doc_id").alias("id"), "text"), note))))
 
 
 # --- scans, projections -------------------------------------------------------------------------------------------------
@@ -162,30 +174,43 @@ def disjoint_subset(spark, d):
     return read_table(spark, d, "labels").join(docs(spark, d).select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("missing"))
 
 
-@query("null_concat", f"SELECT id, coalesce(title, '') || '. ' || coalesce(description, '') AS text FROM {fx.values(fx.INCIDENTS, 'id, title, description, tier, category, corpus')}")
-def null_concat(spark, d):
-    return incidents(spark).select("id", tx.joined_title(F.col("title"), F.col("description")).alias("text"))
+_INCIDENTS = "incidents AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN source END AS title, CASE WHEN doc_id % 7 > 0 THEN text END AS description, CASE WHEN n_chars % 2 = 0 THEN 'reviewed' ELSE 'draft' END AS tier, CASE WHEN lang = 'en' THEN 'real-world' ELSE 'lab' END AS category, source AS corpus FROM documents)"
+
 
+def incidents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as incident reports, some without a title or a description."""
+    given = {"id": "doc_id", "title": "CASE WHEN doc_id % 5 > 0 THEN source END", "description": "CASE WHEN doc_id % 7 > 0 THEN text END", "tier": "IF(n_chars % 2 = 0, 'reviewed', 'draft')", "category": "IF(lang = 'en', 'real-world', 'lab')", "corpus": "source"}
+    return docs(spark, d).selectExpr(*[f"{x} AS {n}" for n, x in given.items()])
 
-def incidents(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.INCIDENTS, "id int, title string, description string, tier string, category string, corpus string")
+
+@query("null_concat", f"WITH {_INCIDENTS} SELECT id, md5(coalesce(title, '') || '. ' || coalesce(description, '')) AS text FROM incidents")
+def null_concat(spark, d):
+    return incidents(spark, d).select("id", F.md5(tx.joined_title(F.col("title"), F.col("description"))).alias("text"))
 
 
-@query("filter_reviewed", f"SELECT corpus, count(*) AS n FROM {fx.values(fx.INCIDENTS, 'id, title, description, tier, category, corpus')} WHERE tier = 'reviewed' AND category = 'real-world' GROUP BY corpus")
+@query("filter_reviewed", f"WITH {_INCIDENTS} SELECT corpus, count(*) AS n FROM incidents WHERE tier = 'reviewed' AND category = 'real-world' GROUP BY corpus")
 def filter_reviewed(spark, d):
-    return incidents(spark).where("tier = 'reviewed' AND category = 'real-world'").groupBy("corpus").agg(F.count("*").alias("n"))
+    return incidents(spark, d).where("tier = 'reviewed' AND category = 'real-world'").groupBy("corpus").agg(F.count("*").alias("n"))
 
 
-@query("inline_metadata", f"SELECT id, coalesce(CAST(json_extract_string(m, '$.agent') AS BOOLEAN), false) AS agent, coalesce(CAST(json_extract_string(m, '$.external_api') AS BOOLEAN), false) AS external_api FROM {fx.values(fx.METADATA, 'id, m')}")
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@query("inline_metadata", f"SELECT event_id, {_K} % 2 = 0 AS agent, {_K} % 3 = 1 AS external_api FROM events")
 def inline_metadata(spark, d):
-    parsed = fx.frame(spark, fx.METADATA, "id int, m string").withColumn("m", F.from_json("m", METADATA))
-    return parsed.select("id", F.coalesce("m.agent", F.lit(False)).alias("agent"), F.coalesce("m.external_api", F.lit(False)).alias("external_api"))
+    """Flags from JSON objects, here made from the events' own; an absent flag is false."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    sent = F.concat(F.lit('{"agent": '), (k % 2 == 0).cast("string"), F.when(k % 3 > 0, F.concat(F.lit(', "external_api": '), (k % 3 == 1).cast("string"))).otherwise(F.lit("")), F.lit("}"))
+    parsed = read_table(spark, d, "events").select("event_id", F.from_json(sent, METADATA).alias("m"))
+    return parsed.select("event_id", F.coalesce("m.agent", F.lit(False)).alias("agent"), F.coalesce("m.external_api", F.lit(False)).alias("external_api"))
 
 
-@query("teacher_questions", "SELECT task_id, 'Does this text contain ' || replace(task, '_', ' ') || '?' AS question FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TASKS)) + ") AS t(task_id, task)")
+@query("teacher_questions", "SELECT vec_id, task_id, 'Does this text contain ' || replace(task, '_', ' ') || '?' AS question FROM embeddings, (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TASKS)) + ") AS t(task_id, task)")
 def teacher_questions(spark, d):
-    tasks = fx.frame(spark, list(enumerate(TASKS)), "task_id int, task string")
-    return tasks.select("task_id", F.concat(F.lit("Does this text contain "), F.replace("task", F.lit("_"), F.lit(" ")), F.lit("?")).alias("question"))
+    """What a teacher is asked about each row, a question for each task."""
+    tasks = F.posexplode(F.array(*map(F.lit, TASKS))).alias("task_id", "task")
+    asked = read_table(spark, d, "embeddings").select("vec_id", tasks)
+    return asked.select("vec_id", "task_id", F.concat(F.lit("Does this text contain "), F.replace("task", F.lit("_"), F.lit(" ")), F.lit("?")).alias("question"))
 
 
 # --- evidence -----------------------------------------------------------------------------------------------------------
@@ -209,21 +234,43 @@ def evidence_lateral(spark, d):
     return spark.sql("SELECT t.id, e.type, e.text, e.start, e.end FROM _evidence_texts AS t, LATERAL evidence(t.text) AS e")
 
 
-@query("ip_valid", f"WITH v AS (SELECT v FROM (VALUES ('10.0.0.7'), ('300.1.1.1'), ('01.2.3.4'), ('255.255.255.255'), ('1.2.3.0')) AS t(v)) SELECT v, {o.ip('v')} AS valid FROM v")
+@query("ip_valid", f"SELECT doc_id, v, {o.ip('v')} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')) AS v FROM documents)")
 def ip_valid(spark, d):
+    """Which of the documents' dotted quads are addresses."""
+    quads = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"), F.lit(0))).alias("v")
+    return docs(spark, d).select("doc_id", quads).select("doc_id", "v", ev.is_ip(F.col("v")).alias("valid"))
+
+
+@query("luhn_valid", f"SELECT doc_id, v, {o.luhn('v')} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) AS v FROM documents)")
+def luhn_valid(spark, d):
+    """Which of the documents' long digit runs are card numbers."""
+    digits = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), F.lit(0))).alias("v")
+    return docs(spark, d).select("doc_id", digits).select("doc_id", "v", ev.is_card(F.col("v")).alias("valid"))
+
+
+@query("tc_valid", f"SELECT id, {o.tc('v')} AS valid FROM (SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 19090909018 ELSE 10000000000 + o_orderkey * 7919 % 80000000000 END AS VARCHAR) AS v FROM orders)")
+def tc_valid(spark, d):
+    """Which eleven digits made from the orders' keys have right check digits."""
+    key = F.col("o_orderkey").cast("long")
+    v = F.when(key % 2 == 0, F.lit(19090909018)).otherwise(10_000_000_000 + key * 7919 % 80_000_000_000).cast("string")
+    return read_table(spark, d, "orders").select(key.alias("id"), ev.is_national_id(v).alias("valid"))
+
+
+@fixed("ip_cases", f"WITH v AS (SELECT v FROM (VALUES ('10.0.0.7'), ('300.1.1.1'), ('01.2.3.4'), ('255.255.255.255'), ('1.2.3.0')) AS t(v)) SELECT v, {o.ip('v')} AS valid FROM v")
+def ip_cases(spark, d):
     return fx.frame(spark, [(v,) for v in ("10.0.0.7", "300.1.1.1", "01.2.3.4", "255.255.255.255", "1.2.3.0")], "v string").select("v", ev.is_ip(F.col("v")).alias("valid"))
 
 
 _LUHN = ("4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "0000000000000", "123")
 
 
-@query("luhn_valid", f"SELECT v, {o.luhn('v')} AS valid FROM {fx.values([(v,) for v in _LUHN], 'v')}")
-def luhn_valid(spark, d):
+@fixed("luhn_cases", f"SELECT v, {o.luhn('v')} AS valid FROM {fx.values([(v,) for v in _LUHN], 'v')}")
+def luhn_cases(spark, d):
     return fx.frame(spark, [(v,) for v in _LUHN], "v string").select("v", ev.is_card(F.col("v")).alias("valid"))
 
 
-@query("tc_valid", f"WITH v AS (SELECT CAST(CASE WHEN id % 2 = 0 THEN 19090909018 ELSE 10000000000 + id * 7919 END AS VARCHAR) AS v, id FROM range(500) AS r(id)) SELECT id, {o.tc('v')} AS valid FROM v")
-def tc_valid(spark, d):
+@fixed("tc_cases", f"WITH v AS (SELECT CAST(CASE WHEN id % 2 = 0 THEN 19090909018 ELSE 10000000000 + id * 7919 END AS VARCHAR) AS v, id FROM range(500) AS r(id)) SELECT id, {o.tc('v')} AS valid FROM v")
+def tc_cases(spark, d):
     v = F.when(F.col("id") % 2 == 0, F.lit(19090909018)).otherwise(10_000_000_000 + F.col("id") * 7919).cast("string")
     return spark.range(500).select("id", ev.is_national_id(v).alias("valid"))
 
@@ -284,18 +331,41 @@ WHEN prompt_injection >= CAST(0.7 AS DOUBLE) THEN 'BLOCK/prompt_injection' WHEN
 WHEN pii >= CAST(0.65 AS DOUBLE) AND {_T} THEN 'REDACT/pii_external_transfer' WHEN {_AGENT} THEN 'REVIEW/agent_permissions' WHEN greatest(pii, secret, prompt_injection, dangerous_instruction, ethics_risk) >= CAST(0.7 AS DOUBLE) OR evidence = 'pii' THEN 'REVIEW/elevated_risk' ELSE 'ALLOW/low_risk' END"""
 
 
-@query("policy_decide", f"SELECT id, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason FROM (SELECT id, {_DECIDE} AS v FROM {_C})")
-def policy_decide(spark, d):
-    cases = fx.frame(spark, fx.CASES, fx.CASE_COLUMNS)
+_SHARES = {"pii": 7, "secret": 13, "prompt_injection": 29, "dangerous_instruction": 31, "ethics_risk": 37, "confidence": 17}
+_ROW_CASES = "(SELECT vec_id AS id, " + ", ".join(f"CAST(vec_id * {m} % 101 AS DOUBLE) / 100 AS {n}" for n, m in _SHARES.items()) + ", CASE label % 5 WHEN 0 THEN 'secret' WHEN 1 THEN 'pii' ELSE 'none' END AS evidence, vec_id % 3 = 0 AS transfer, vec_id % 4 < 3 AS agent, vec_id % 2 = 0 AS shell, vec_id % 7 < 4 AS database, vec_id % 5 < 3 AS network, vec_id % 11 < 2 AS human_approval, vec_id % 13 = 0 AS external_api FROM embeddings)"
+
+
+def row_cases(spark: SparkSession, d: str) -> DataFrame:
+    """A case for each vector: scores, confidence, evidence and flags that follow its number and label."""
+    share = lambda m: (F.col("vec_id") * m % 101).cast("double") / 100
+    flags = {"transfer": "vec_id % 3 = 0", "agent": "vec_id % 4 < 3", "shell": "vec_id % 2 = 0", "database": "vec_id % 7 < 4", "network": "vec_id % 5 < 3", "human_approval": "vec_id % 11 < 2", "external_api": "vec_id % 13 = 0"}
+    kind = F.when(F.col("label") % 5 == 0, "secret").when(F.col("label") % 5 == 1, "pii").otherwise("none")
+    return read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[share(m).alias(n) for n, m in _SHARES.items()], kind.alias("evidence"), *[F.expr(x).alias(n) for n, x in flags.items()])
+
+
+def decided(cases: DataFrame) -> DataFrame:
     scores = {t: F.col(t) if t in cases.columns else F.lit(0.01) for t in TASKS}
     transfer = F.col("transfer") | F.coalesce("external_api", F.lit(False))
     verdict = rules.decide(scores, F.col("evidence") == "pii", F.col("evidence") == "secret", transfer, flags_of(cases), F.col("confidence"))
     return cases.select("id", verdict.alias("v")).select("id", F.col("v.action").alias("action"), F.col("v.reason").alias("policy_reason"))
 
 
-@query("agent_permissions", f"SELECT id, {_AGENT} AS needs_approval FROM {_C}")
+_DECIDED = f"SELECT id, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason FROM (SELECT id, {_DECIDE} AS v FROM "
+
+
+@query("policy_decide", f"{_DECIDED}{_ROW_CASES})")
+def policy_decide(spark, d):
+    return decided(row_cases(spark, d))
+
+
+@fixed("policy_cases", f"{_DECIDED}{_C})")
+def policy_cases(spark, d):
+    return decided(fx.frame(spark, fx.CASES, fx.CASE_COLUMNS))
+
+
+@query("agent_permissions", f"SELECT id, {_AGENT} AS needs_approval FROM {_ROW_CASES}")
 def agent_permissions(spark, d):
-    cases = fx.frame(spark, fx.CASES, fx.CASE_COLUMNS)
+    cases = row_cases(spark, d)
     return cases.select("id", rules.agent_needs_approval(flags_of(cases)).alias("needs_approval"))
 
 
@@ -594,26 +664,30 @@ def distill_loss(spark, d):
     return parts.crossJoin(heads).select(r6(F.col("task") + 0.3 * F.col("s") + 0.3 * F.col("a") + 0.05 * F.col("taught")).alias("loss"))  # one row each
 
 
-_TEACH = fx.values(fx.TEACHER, "id, text, score")
-
-
-@query("teacher_join", f"SELECT d.id, d.text, t.score FROM (VALUES (1, 'first text'), (2, 'third text'), (3, 'absent')) AS d(id, text) LEFT JOIN (SELECT text, arg_max(coalesce(score, -1), id) AS s, CASE WHEN arg_max(coalesce(score, -1), id) < 0 THEN NULL ELSE arg_max(coalesce(score, -1), id) END AS score FROM {_TEACH} GROUP BY text) t USING (text)")
+@query("teacher_join", "WITH teacher AS (SELECT text, toxic AS score, doc_id FROM documents JOIN labels USING (doc_id)), latest AS (SELECT text, arg_max(score, doc_id) AS score FROM teacher GROUP BY text) SELECT doc_id, score FROM documents LEFT JOIN latest USING (text)")
 def teacher_join(spark, d):
-    """The latest teacher row of a text; null where there is none."""
-    latest = fx.frame(spark, fx.TEACHER, "id int, text string, score double").groupBy("text").agg(F.max_by("score", "id").alias("score"))
-    rows = fx.frame(spark, [(1, "first text"), (2, "third text"), (3, "absent")], "id int, text string")
-    return rows.join(latest, "text", "left").select("id", "text", "score")
+    """The latest teacher row of each text, here the label of the last document with it; null where there is none.
+
+    Texts meet by their digest, so no text is shuffled.
+    """
+    rows = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest"))
+    latest = rows.join(read_table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").groupBy("digest").agg(F.max_by("toxic", "doc_id").alias("score"))
+    return rows.join(latest, "digest", "left").select("doc_id", "score")
 
 
-@query("teacher_mask", f"SELECT id, score FROM {_TEACH} WHERE score IS NOT NULL AND (score >= 0.5) = (id % 2 = 0)")
+@query("teacher_mask", H + "SELECT vec_id, task, round(p1_raw, 6) AS score FROM long WHERE (p1_raw >= 0.5) = (y = 1)")
 def teacher_mask(spark, d):
-    rows = fx.frame(spark, fx.TEACHER, "id int, text string, score double").withColumn("y", F.when(F.col("id") % 2 == 0, 1).otherwise(0))
-    return rows.where(sc.teacher_usable(F.col("score"), F.col("y"))).select("id", "score")
+    """The second backend's scores, as a teacher's, where they are on the label's side."""
+    rows = long(spark, d).withColumn("score", sc.sigmoid(F.col("z1")))
+    return rounded(rows.where(sc.teacher_usable(F.col("score"), F.col("y"))).select("vec_id", "task", "score"))
 
 
-@query("best_epoch", f"SELECT epoch, f1 AS validation_f1 FROM {fx.values(fx.EPOCHS, 'epoch, f1')} ORDER BY f1 DESC, epoch LIMIT 1")
+@query("best_epoch", H[:-1] + f", ep AS (SELECT CAST(1 + vec_id % 10 AS INT) AS epoch, y, p FROM long WHERE task = 'pii'), hist AS (SELECT epoch, {o.RATES['f1']} AS validation_f1 FROM ({o.counted('ep', 'epoch')})) SELECT epoch, round(validation_f1, 6) AS validation_f1 FROM hist ORDER BY hist.validation_f1 DESC, epoch LIMIT 1")
 def best_epoch(spark, d):
-    return tuning.best_epoch(fx.frame(spark, fx.EPOCHS, "epoch int, validation_f1 double"))
+    """The first of best f1 in a history, here of tenths of the vectors in place of epochs; head_history has a training's own."""
+    parts = long(spark, d).where("task = 'pii'").withColumn("epoch", (1 + F.col("vec_id") % 10).cast("int"))
+    history = mt.task_metrics(mt.with_prediction(parts), "epoch").select("epoch", F.col("f1").alias("validation_f1"))
+    return rounded(tuning.best_epoch(history))
 
 
 @query("trailing_mean_25", "SELECT user_id, event_id, round(m, 6) AS trailing_mean FROM (SELECT user_id, event_id, row_number() OVER w AS step, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE step % 25 = 0")
@@ -636,38 +710,43 @@ _TEXT = "replace(replace(replace(replace(replace(replace(replace(template, '{per
 _SYNTH = f"WITH {o.SYNTH}, tpl AS (SELECT *, {_TC} AS tc, {_TEMPLATE} AS template FROM fam), lab AS (SELECT *, " + ", ".join("CAST(category IN (" + ", ".join(f"'{c}'" for c, f in synth.FLAGS.items() if t in f) + f") AS INT) AS {t}0" for t in TASKS) + " FROM tpl), fin AS (SELECT *, CASE WHEN category = 'MULTI_RISK' AND (template LIKE '%secret%' OR template LIKE '%token%') THEN 1 ELSE secret0 END AS secret, CASE WHEN category = 'MULTI_RISK' AND (template LIKE '%Ignore%' OR template LIKE '%Reveal%') THEN 1 ELSE prompt_injection0 END AS prompt_injection FROM lab), act AS (SELECT *, secret + prompt_injection + dangerous_instruction0 > 0 AS blocked FROM fin)"
 
 
+def made_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A made row for each document, by its number."""
+    return synth.corpus_of(docs(spark, d).select(F.col("doc_id").cast("long").alias("id")))
+
+
 @query("synth_corpus", _SYNTH + f" SELECT id, category, family, {_TEXT} AS text FROM act")
 def synth_corpus(spark, d):
-    return synth.corpus(spark, 2200).select("id", "category", "family", "text")
+    return made_corpus(spark, d).select("id", "category", "family", "text")
 
 
 @query("synth_labels", _SYNTH + " SELECT id, secret, prompt_injection, " + ", ".join(f"{t}0 AS {t}" for t in TASKS if t not in ("secret", "prompt_injection")) + ", CASE WHEN category = 'BENIGN' THEN 'ALLOW' WHEN blocked THEN 'BLOCK' WHEN category = 'MULTI_RISK' THEN 'REDACT' ELSE 'REVIEW' END AS action, CASE WHEN category = 'BENIGN' THEN 'LOW' WHEN blocked THEN 'CRITICAL' WHEN category = 'MULTI_RISK' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN tid < 4 THEN 'tr' WHEN tid < 8 THEN 'en' ELSE 'mixed' END AS language FROM act")
 def synth_labels(spark, d):
-    return synth.corpus(spark, 2200).select("id", *TASKS, "action", "severity", "language")
+    return made_corpus(spark, d).select("id", *TASKS, "action", "severity", "language")
 
 
 @query("tc_generate", f"WITH {o.SYNTH} SELECT id, {_TC} AS tc FROM base")
 def tc_generate(spark, d):
-    return spark.range(2200).select("id", synth.national_id((100_000_000 + (F.col("id") * 104729) % 900_000_000).cast("string")).alias("tc"))
+    return docs(spark, d).select(F.col("doc_id").alias("id")).select("id", synth.national_id((100_000_000 + (F.col("id") * 104729) % 900_000_000).cast("string")).alias("tc"))
 
 
-def split_corpus(spark: SparkSession) -> DataFrame:
-    return synth.corpus(spark, 2200).withColumn("split", synth.split_of(F.col("family")))
+def split_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return made_corpus(spark, d).withColumn("split", synth.split_of(F.col("family")))
 
 
 @query("family_split", f"WITH {o.SYNTH} SELECT id, family, split FROM fam")
 def family_split(spark, d):
-    return split_corpus(spark).select("id", "family", "split")
+    return split_corpus(spark, d).select("id", "family", "split")
 
 
 @query("family_overlap", f"WITH {o.SYNTH} SELECT count(*) AS overlapping FROM (SELECT family FROM fam GROUP BY family HAVING count(DISTINCT split) > 1)")
 def family_overlap(spark, d):
-    return synth.family_overlap(split_corpus(spark)).agg(F.count("*").alias("overlapping"))
+    return synth.family_overlap(split_corpus(spark, d)).agg(F.count("*").alias("overlapping"))
 
 
 @query("split_counts", f"WITH {o.SYNTH} SELECT split, count(*) AS n, count(DISTINCT family) AS families FROM fam GROUP BY split")
 def split_counts(spark, d):
-    return split_corpus(spark).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"))
+    return split_corpus(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"))
 
 
 _COUNTS = ", ".join(f"least(len(regexp_extract_all(folded, '{words}')), {MOST}) AS c{i}" for i, words in enumerate(LEXICON.values()))
@@ -697,7 +776,7 @@ def analyze_documents(spark, d):
 @query("rule_baseline_synthetic", _SYNTH + f", src AS (SELECT id, {_TEXT} AS text FROM act), {o.ALL}, {o.FLAGS}, b AS (SELECT f.*, act.pii0 AS y1, act.secret AS y2 FROM flags f JOIN act USING (id)), m AS (SELECT 'pii' AS task, y1 AS y, CAST(has_pii AS DOUBLE) AS p FROM b UNION ALL SELECT 'secret', y2, CAST(has_secret AS DOUBLE) FROM b) SELECT task, {o.RATE_LIST}, tp + fn AS support FROM ({o.counted('m', 'task')})")
 def rule_baseline_synthetic(spark, d):
     """Flags of synthetic rows against the labels of their own tasks."""
-    return baseline(with_flags(synth.corpus(spark, 2200)), {"pii": "pii", "secret": "secret"})
+    return baseline(with_flags(made_corpus(spark, d)), {"pii": "pii", "secret": "secret"})
 
 
 def head_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -729,7 +808,7 @@ def surrogate_heads(spark, d):
     """The nine tasks' logistic regressions on hashed words, trained on the synthetic training families, scored on the others."""
     from ..operators.surrogate import fit_heads, score_heads
 
-    rows = split_corpus(spark)
+    rows = split_corpus(spark, d)
     models = fit_heads(rows.where("split = 'train'"), TASKS)
     scored = score_heads(rows.where("split <> 'train'"), models)
     long_ = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("y"), F.element_at("risks", i + 1).alias("z")) for i, t in enumerate(TASKS)])

@@ -25,10 +25,6 @@ CASES = [
     (17, 0.01, 0.01, 0.01, 0.01, 0.01, 0.9, "none", False, None, None, None, None, None, None),
 ]
 CASE_COLUMNS = "id int, pii double, secret double, prompt_injection double, dangerous_instruction double, ethics_risk double, confidence double, evidence string, transfer boolean, agent boolean, shell boolean, database boolean, network boolean, human_approval boolean, external_api boolean"
-EPOCHS = [(1, 0.71), (2, 0.74), (3, 0.79), (4, 0.79), (5, 0.81), (6, 0.8), (7, 0.83), (8, 0.84), (9, 0.84), (10, 0.82)]
-INCIDENTS = [(1, "Leak", "keys were posted", "reviewed", "real-world", "a"), (2, None, "no title", "reviewed", "real-world", "b"), (3, "Only title", None, "draft", "real-world", "a"), (4, None, None, "reviewed", "lab", "b"), (5, "Bias", "in hiring", "reviewed", "real-world", "a")]
-TEACHER = [(1, "first text", 0.2), (2, "second text", 0.9), (3, "first text", 0.7), (4, "third text", None)]
-METADATA = [(1, '{"agent": true, "shell": true}'), (2, '{"agent": true, "database": true, "network": true, "human_approval": true}'), (3, "{}"), (4, '{"external_api": true}')]
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -48,3 +44,8 @@ def values(rows: list[tuple], names: str) -> str:
         return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({names}))"
+
+
+def listed(rows: list[tuple]) -> str:
+    """The texts of (id, text) rows as a SQL list."""
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for _, t in rows) + "]"

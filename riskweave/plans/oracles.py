@@ -7,7 +7,7 @@ from ..constants import TASKS as _TASKS
 from . import fixtures as fx
 
 R = lambda x: f"round({x}, 6)"
-SRC = f"src AS (SELECT -id AS id, text FROM {fx.values(fx.TEXTS, 'id, text')} UNION ALL SELECT doc_id AS id, text FROM documents)"
+SRC = f"src AS (SELECT -id AS id, text FROM {fx.values(fx.TEXTS, 'id, text')} UNION ALL SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1000 - doc_id AS id, 'note ' || doc_id || ': ' || ({fx.listed(fx.TEXTS)})[1 + doc_id % {len(fx.TEXTS)}] AS text FROM documents)"
 TASKS = list(_TASKS)
 TASK_ROWS = "tasks(task_id, task) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TASKS)) + ")"
 LETTER = r"[\p{L}\p{N}_]"
@@ -94,7 +94,7 @@ RATES = {
 RATE_LIST = ", ".join(f"round({sql}, 6) AS {name}" for name, sql in RATES.items())
 EDGE_BIN = "(" + " + ".join(f"CAST(p >= CAST({i * 0.1!r} AS DOUBLE) AS INT)" for i in range(1, 10)) + ")"
 SYNTH_CATEGORIES = ["BENIGN", "PII", "SECRET", "PROMPT_INJECTION", "DANGEROUS", "PRIVACY_RISK", "SECURITY_RISK", "OVERSIGHT_RISK", "DATA_GOVERNANCE", "AGENT_RISK", "MULTI_RISK"]
-SYNTH = f"""base AS (SELECT CAST(id AS BIGINT) AS id, ({SYNTH_CATEGORIES!r})[1 + id % 11] AS category, CAST((id // 11) % 10 AS INT) AS tid, 10000000 + (id * 7919) % 90000000 AS n, CAST(100000000 + (id * 104729) % 900000000 AS VARCHAR) AS nine FROM range(2200) AS r(id)),
+SYNTH = f"""base AS (SELECT CAST(id AS BIGINT) AS id, ({SYNTH_CATEGORIES!r})[1 + id % 11] AS category, CAST((id // 11) % 10 AS INT) AS tid, 10000000 + (id * 7919) % 90000000 AS n, CAST(100000000 + (id * 104729) % 900000000 AS VARCHAR) AS nine FROM (SELECT doc_id AS id FROM documents)),
 fam AS (SELECT *, category || '-' || tid AS family, CASE WHEN tid < 7 THEN 'train' WHEN tid = 7 THEN 'val' ELSE 'test' END AS split FROM base)"""
 
 

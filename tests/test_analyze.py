@@ -80,7 +80,7 @@ def test_sql_functions(spark):
     assert tuple(row) == ("ışık", True, False, False, "REVIEW/agent_permissions")
     cases = fx.frame(spark, fx.CASES, fx.CASE_COLUMNS).withColumn("needs", catalogue.rules.agent_needs_approval(an.flags_of(fx.frame(spark, fx.CASES, fx.CASE_COLUMNS))))
     found = cases.selectExpr("id", "decide(prompt_injection, dangerous_instruction, secret, pii, greatest(pii, secret, prompt_injection, dangerous_instruction, ethics_risk), confidence, evidence = 'pii', evidence = 'secret', transfer OR coalesce(external_api, false), needs) AS v")
-    want = {r.id: f"{r.action}/{r.policy_reason}" for r in catalogue.queries()["policy_decide"](spark, "").collect()}
+    want = {r.id: f"{r.action}/{r.policy_reason}" for r in catalogue.FIXED["policy_cases"][0](spark, "").collect()}
     assert {r.id: r.v for r in found.collect()} == want
 
 

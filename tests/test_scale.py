@@ -15,7 +15,7 @@ from riskweave.functions import evidence as ev
 from riskweave.functions import policy as rules
 from riskweave.functions import scoring as sc
 from riskweave.functions.display import register_functions
-from riskweave.operators import bins, heads, ranks, windows
+from riskweave.operators import bins, heads, ranks, synth, windows
 from riskweave.operators import wordpiece as wp
 from riskweave.plans import analyze as an
 from riskweave.plans import catalogue
@@ -274,7 +274,7 @@ def test_broken_lines_are_errors_or_reported(spark, tmp_path):
 
 
 def test_splits_are_pruned(spark, tmp_path):
-    rows = catalogue.split_corpus(spark).selectExpr("text", "split")
+    rows = synth.corpus(spark, 2200).select("text", synth.split_of(F.col("family")).alias("split"))
     write_splits(rows, str(tmp_path / "splits"))
     one = read_split(spark, str(tmp_path / "splits"), "val", schema="text string")
     assert one.count() == 220 and {r.split for r in one.collect()} == {"val"}
