@@ -1,12 +1,13 @@
 """Licence scan by sentence rules.
 
-Texts are split into sentences and normalised (lower case, runs of other characters than letters and digits become one
-space).  A sentence may be wrapped: pieces that line breaks part, with any comment marks, are joined where they make up a
-known sentence, the longest first; blank lines within are passed over, as headers set addresses apart by them.  A line that
+Texts are split into sentences and normalised (lower case, the scheme and www. of addresses left out, runs of other
+characters than letters and digits become one space).  Known sentences may have slots, for names of holders: what stands
+between two fixed parts, up to SLOT words, is replaced by the slot's mark, also over line breaks.  A sentence may be wrapped: pieces that line breaks part, with any comment marks, are joined where they make up a
+known sentence or a slot's, the longest first; blank lines within are passed over, as headers set addresses apart by them.  A line that
 is a known sentence itself, and no part of a longer one, counts alone.  Known sentences have identifiers; a document's
-identifiers in order form a sequence, on which the rules are matched in their order: each takes all its non-overlapping
-occurrences from the left and removes them from what later rules see.  Longer rules come first, so a whole licence text
-isn't also reported as its parts.  All of that is done text by text, so no row is shuffled.
+identifiers in order form a sequence, on which the rules are matched, those of more sentences first and else in their order:
+each takes all its non-overlapping occurrences from the left and removes them from what later rules see, so a whole licence
+text isn't also reported as its parts.  All of that is done text by text, so no row is shuffled.
 
 Defined results: null and empty texts and those without a known sentence give no row; each row is a document of its own,
 also rows of one id or of none; repeated sentences count each; of rules that fit the same place the first in order counts;
@@ -47,7 +48,7 @@ SENTENCES = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -61,6 +62,25 @@ SENTENCES = {
     "unlicense-released": "This is free and unencumbered software released into the public domain.",
     "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "wtfpl-do": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "apache-title": "Apache License\nVersion 2.0, January 2004",
+    "mit-notice-under": "Licensed under the MIT License.",
+    "mit-notice-this": "This project is licensed under the MIT License.",
+    "bsd-names": "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name-its": "Neither the name of {} nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-only-terms": "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
+    "gpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "cc0-title": "CC0 1.0 Universal",
+    "artistic2-title": "The Artistic License 2.0",
     "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
 # Rules in the order of matching; each is a licence and a sequence of sentence identifiers.
@@ -91,6 +111,25 @@ RULES = [
     ("BSL-1.0", ("boost-notice",)),
     ("WTFPL", ("wtfpl-do",)),
     ("EPL-2.0", ("epl2-notice",)),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advert")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name-its")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-3-Clause", ("bsd-style",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("MIT", ("mit-notice-under",)),
+    ("MIT", ("mit-notice-this",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("GPL-2.0-only", ("gpl2-only-terms",)),
+    ("GPL-3.0-only", ("gpl3-only",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("Artistic-2.0", ("artistic2-title",)),
 ]
 
 
@@ -116,39 +155,87 @@ def _add_families() -> None:
                     RULES.append((whole, (key,)))
 
 
+    for license_ in SPDX:
+        if f"spdx-{license_}" not in SENTENCES:
+            SENTENCES[f"spdx-{license_}"] = f"SPDX-License-Identifier: {license_}"
+            RULES.append((license_, (f"spdx-{license_}",)))
+
+
+# Identifiers that tags may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+TAG, TAGGED = r"spdx-license-identifier:[ \t]*", "spdx-license-identifier "  # a tag and its identifier are one sentence
 BREAK = r"[.:!?][ \t]+|[\r\n]+"
+ADDRESS = r"https?://(?:www[.])?"
 OTHER = r"[^a-z0-9]+"
+SLOT = 12  # words that a slot may hold
 
 
 def normalise(sentence: str) -> str:
-    return re.sub(OTHER, " ", sentence.lower()).strip()
+    return re.sub(OTHER, " ", re.sub(ADDRESS, "", sentence.lower())).strip()
 
 
 _add_families()
 
 
-def known_sentences(known: dict[str, str]) -> Callable[[str], list[tuple[int, str]]]:
+class Known:
+    """Known sentences, piece by piece between breaks: marks of plain pieces, slots, and the sequence of marks of each sentence.
+
+    A piece that several sentences share has one mark, that of the first.
+    """
+
+    def __init__(self, sentences: dict[str, str]):
+        pieces = {name: [p for p in re.split(BREAK, re.sub(TAG, TAGGED, text.lower())) if normalise(p)] for name, text in sentences.items()}
+        number = {name: i for i, name in enumerate(sentences, 1)}
+        self.plain: dict[str, str] = {}
+        self.slots: dict[tuple[str, str], str] = {}
+        self.marks: dict[str, str] = {}
+        for name, parts in pieces.items():
+            marks = []
+            for k, piece in enumerate(parts):
+                before, slot, after = piece.partition("{}")
+                kept = self.slots.setdefault((normalise(before), normalise(after)), f"<{number[name]}.{k}>") if slot else self.plain.setdefault(normalise(piece), f"<{number[name]}.{k}>")
+                marks.append(kept)
+            self.marks[name] = "".join(marks)
+
+
+def known_sentences(known: Known) -> Callable[[str], list[tuple[int, str]]]:
     """A function from a text to (position, mark) of the known sentences in it; positions number the pieces between breaks."""
-    words = [sentence.split(" ") for sentence in known]
+    words = [sentence.split(" ") for sentence in known.plain]
     begun = {" ".join(w[:n]) for w in words for n in range(1, len(w))}
-    split, other = re.compile(f"({BREAK})").split, re.compile(OTHER).sub
+    starts = {" ".join(before.split(" ")[:n]) for before, _ in known.slots for n in range(1, len(before.split(" ")) + 1)}
+    split, other, address = re.compile(f"({BREAK})").split, re.compile(OTHER).sub, re.compile(ADDRESS).sub
+    longest = max((len(f"{b} {a}".split(" ")) for b, a in known.slots), default=0) + SLOT
+
+    def filled(whole: str) -> str | None:
+        for (before, after), mark in known.slots.items():
+            if whole.startswith(f"{before} ") and whole.endswith(f" {after}") and 1 <= len(whole[len(before) : len(whole) - len(after)].split()) <= SLOT:
+                return mark
+        return None
+
+    def may_fill(whole: str) -> bool:
+        """Whether a slot's sentence may begin like this: by a part of its first words, or all of them and some more."""
+        return whole in starts or len(whole.split(" ", longest)) <= longest and any(whole.startswith(f"{before} ") for before, _ in known.slots)
 
     def find(text: str) -> list[tuple[int, str]]:
-        parts = split(text.lower())
-        pieces = [other(" ", p).strip() for p in parts[::2]]
+        low = text.lower()
+        parts = split(re.sub(TAG, TAGGED, low) if "spdx" in low else low)
+        pieces = [other(" ", address("", p)).strip() for p in parts[::2]]
         found, at = [], 0
         while at < len(pieces):
             whole, after = pieces[at], at + 1
-            mark = known.get(whole)
-            if whole in begun:
+            mark = known.plain.get(whole) or filled(whole)
+            if whole in begun or may_fill(whole):
                 for i in range(at + 1, len(pieces)):
                     if parts[2 * i - 1][0] not in "\r\n":
                         break
                     if pieces[i]:
                         whole = f"{whole} {pieces[i]}"
-                        if whole in known:
-                            mark, after = known[whole], i + 1
-                        if whole not in begun:
+                        if here := known.plain.get(whole) or filled(whole):
+                            mark, after = here, i + 1
+                        if whole not in begun and not may_fill(whole):
                             break
             if mark is not None:
                 found.append((at, mark))
@@ -158,19 +245,23 @@ def known_sentences(known: dict[str, str]) -> Callable[[str], list[tuple[int, st
     return find
 
 
+def _by_length(rules: list[tuple[str, tuple[str, ...]]]) -> list[int]:
+    """Places of the rules in the order of matching."""
+    return sorted(range(len(rules)), key=lambda i: -len(rules[i][1]))
+
+
 def license_findings(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, rule (its number from 1), license, matches, sentences (known ones in the document)."""
-    number = {name: i for i, name in enumerate(sentences, 1)}
-    parts = [(normalise(p), number[name], k) for name, text in sentences.items() for k, p in enumerate(x for x in re.split(BREAK, text) if normalise(x))]
-    known = {p: f"<{i}.{k}>" for p, i, k in reversed(parts)}
-    sequences = ["".join(f"<{i}.{k}>" for name in names for _, i, k in parts if i == number[name]) for _, names in rules]
+    known = Known(sentences)
+    sequences, order = ["".join(known.marks[name] for name in names) for _, names in rules], _by_length(rules)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def matched(marks: list[str]) -> Iterator[tuple[int, str, int]]:
         left = "".join(marks)
-        for rule, ((license_, _), sequence) in enumerate(zip(rules, sequences, strict=True), 1):
+        for i in order:
+            sequence = sequences[i]
             if sequence in left:
-                yield rule, license_, left.count(sequence)
+                yield i + 1, rules[i][0], left.count(sequence)
                 left = left.replace(sequence, "|")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,19 +278,19 @@ def license_findings(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES,
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> str:
     """DuckDB SQL for license_findings over documents; it splits at every line break, so it has no sentences that are wrapped."""
-    number = {name: i for i, name in enumerate(sentences, 1)}
-    parts = [(normalise(p), number[name], k) for name, text in sentences.items() for k, p in enumerate(x for x in re.split(BREAK, text) if normalise(x))]
-    unique = {p: f"<{i}.{k}>" for p, i, k in reversed(parts)}
-    marks = {name: "".join(f"<{i}.{k}>" for _, i, k in parts if i == number[name]) for name in sentences}
-    values = ", ".join(f"('{p}', '{m}')" for p, m in unique.items())
+    known = Known(sentences)
+    marks = known.marks
+    values = ", ".join(f"('{p}', '{m}')" for p, m in known.plain.items())
+    slots = ", ".join(f"('{b} ', ' {a}', '{m}', {i})" for i, ((b, a), m) in enumerate(known.slots.items()))
     steps, last = [], "s0"
-    for i, (name, names) in enumerate(rules, 1):
-        sequence = "".join(marks[n] for n in names)
-        steps.append(f"s{i} AS (SELECT *, (length(l{i - 1}) - length(replace(l{i - 1}, '{sequence}', ''))) // {len(sequence)} AS r{i}, replace(l{i - 1}, '{sequence}', '|') AS l{i} FROM {last})")
-        last = f"s{i}"
+    for step, i in enumerate(_by_length(rules), 1):
+        sequence = "".join(marks[n] for n in rules[i][1])
+        steps.append(f"s{step} AS (SELECT *, (length(l{step - 1}) - length(replace(l{step - 1}, '{sequence}', ''))) // {len(sequence)} AS r{i + 1}, replace(l{step - 1}, '{sequence}', '|') AS l{step} FROM {last})")
+        last = f"s{step}"
     rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, '{name}' AS license, r{i} AS matches, sentences FROM {last} WHERE r{i} > 0" for i, (name, _) in enumerate(rules, 1))
-    return f"""WITH known(sentence, mark) AS (VALUES {values}),
-pieces AS (SELECT doc_id, unnest(string_split_regex(text, '{BREAK}')) AS piece, generate_subscripts(string_split_regex(text, '{BREAK}'), 1) AS pos FROM documents),
-s0 AS (SELECT doc_id, string_agg(mark, '' ORDER BY pos, mark) AS l0, count(*) AS sentences FROM (SELECT doc_id, pos, trim(regexp_replace(lower(piece), '{OTHER}', ' ', 'g')) AS sentence FROM pieces) JOIN known USING (sentence) GROUP BY doc_id),
+    return f"""WITH known(sentence, mark) AS (VALUES {values}), slots(before, after, mark, i) AS (VALUES {slots}),
+pieces AS (SELECT doc_id, unnest(string_split_regex(t, '{BREAK}')) AS piece, generate_subscripts(string_split_regex(t, '{BREAK}'), 1) AS pos FROM (SELECT doc_id, regexp_replace(lower(text), '{TAG}', '{TAGGED}', 'g') AS t FROM documents)),
+s0 AS (SELECT doc_id, string_agg(mark, '' ORDER BY pos, mark) AS l0, count(*) AS sentences FROM (SELECT doc_id, pos, coalesce(k.mark, s.mark) AS mark FROM (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(piece), '{ADDRESS}', '', 'g'), '{OTHER}', ' ', 'g')) AS sentence FROM pieces) p LEFT JOIN known k USING (sentence)
+  LEFT JOIN slots s ON k.mark IS NULL AND starts_with(sentence, before) AND ends_with(sentence, after) AND length(sentence) > length(before) + length(after) AND len(string_split(substr(sentence, length(before) + 1, length(sentence) - length(before) - length(after)), ' ')) <= {SLOT} WHERE coalesce(k.mark, s.mark) IS NOT NULL) GROUP BY doc_id),
 {", ".join(steps)}
 {rows}"""

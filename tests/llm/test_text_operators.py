@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import time
 
 import numpy as np
@@ -325,7 +326,7 @@ def test_licenses(spark, odd):
 def test_wrapped_licenses(spark):
     import textwrap
 
-    of = lambda *names: " ".join(licenses.SENTENCES[n] for n in names)
+    of = lambda *names: " ".join(licenses.SENTENCES[n].replace("{}", "the copyright holder") for n in names)
     wrap = lambda text, mark, end="\n": end.join(mark + line for line in textwrap.wrap(text, 70, break_on_hyphens=False))
     mit = "The MIT License (MIT)\n\nCopyright (c) 2020 A. Writer\n\n" + "\n\n".join(wrap(x, "") for x in (of("mit-grant"), of("mit-condition"), of("mit-warranty", "mit-liability")))
     bsd = wrap(of("bsd-redistribution"), " * ") + "\n *\n" + "\n".join(wrap(of(n), " *   ").replace(" *  ", f" * {i}.", 1) for i, n in enumerate(("bsd-source", "bsd-binary", "bsd-name"), 1))
@@ -337,6 +338,61 @@ def test_wrapped_licenses(spark):
     assert got == [(0, 2, "MIT", 1), (1, 5, "BSD-3-Clause", 1), (2, 1, "Apache-2.0", 1), (3, 4, "GPL-3.0-or-later", 1), (4, 10, "MIT", 2), (4, 11, "MIT", 1)]
 
 
+def test_license_variants(spark):
+    import textwrap
+
+    of = lambda *names: "\n".join(licenses.SENTENCES[n] for n in names)
+    apache = of("apache-notice-long") + "\nYou may obtain a copy of the License at\n\n    https://www.apache.org/licenses/LICENSE-2.0\n\n" + of("apache-basis", "apache-see")
+    bsd = lambda holder, name="bsd-name": of("bsd-redistribution", "bsd-source", "bsd-binary") + "\n" + "\n".join(textwrap.wrap(licenses.SENTENCES[name].format(holder), 60))
+    wanted = [
+        (apache, ["Apache-2.0"]), (bsd("Google Inc. and others"), ["BSD-2-Clause"]), (bsd("Google LLC"), ["BSD-3-Clause"]), (bsd("the Example Institute of Technology of the North", "bsd-name-its"), ["BSD-3-Clause"]), (bsd("the author", "bsd-names"), ["BSD-3-Clause"]),
+        (of("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advert"), ["BSD-4-Clause"]), ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["GPL-2.0-or-later"]), ("# SPDX-License-Identifier: Nonsense-1.0\nMIT", []),
+        ("Licensed under the MIT license.", ["MIT"]), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", ["GPL-3.0"]), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", ["GPL-2.0"]), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["LGPL-3.0"]),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", ["AGPL-3.0"]), (" * " + "\n * ".join(textwrap.wrap(licenses.SENTENCES["gpl2-only-terms"], 60)), ["GPL-2.0-only"]), (of("gpl2-only"), ["GPL-2.0-only"]), ("Neither the name of " + "word " * 13 + "nor the names of its contributors may be used", []),
+    ]
+    wanted[1] = (wanted[1][0].replace("Inc. and", "Inc and"), ["BSD-3-Clause"])
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string")
+    got = {i: [] for i in range(len(wanted))}
+    for r in licenses.license_findings(docs).collect():
+        got[r.doc_id].append(r.license)
+    assert got == {i: found for i, (_, found) in enumerate(wanted)}
+    began = time.perf_counter()
+    find = licenses.known_sentences(licenses.Known(licenses.SENTENCES))
+    assert find("Neither the name of\n" * 50_000) == [] and find("a\nNeither the name of x " * 20_000) == [] and time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wrapped_sentences_equal_brute_force(seed):
+    """Pieces that line breaks part are joined to the longest known sentence from the left."""
+    r = random.Random(seed)
+    sentences = {"a": "One two three.", "b": "One two.", "c": "Three four five six.", "d": "Name of {} holds.", "e": "Six.", "f": "Title line\nSecond part."}
+    known = licenses.Known(sentences)
+    find = licenses.known_sentences(known)
+    vocabulary = ["one", "two", "three", "four", "five", "six", "name of", "holds", "x", "title line", "second part", "\n", "\n", "\n\n", ". ", ".\n"]
+
+    def plain(text):
+        parts = re.split(f"({licenses.BREAK})", text.lower())
+        pieces, found, at = [licenses.normalise(p) for p in parts[::2]], [], 0
+        while at < len(pieces):
+            best = None
+            for end in range(at, len(pieces)):
+                if end > at and parts[2 * end - 1][0] not in "\r\n":
+                    break
+                whole = " ".join(p for p in pieces[at : end + 1] if p)
+                slot = re.fullmatch(r"name of ((?:\S+ ?){1,12}) holds", whole)
+                mark = known.plain.get(whole) or (known.slots[("name of", "holds")] if slot else None)
+                if mark and pieces[end] and pieces[at]:
+                    best = mark, end
+            if best:
+                found.append((at, best[0]))
+            at = best[1] + 1 if best else at + 1
+        return found
+
+    for _ in range(2000):
+        text = " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 14)))
+        assert find(text) == plain(text), text
+
+
 def test_sharding(spark, odd, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/store", target=4096)
     assert store.read() is None and store.compact() == 0
