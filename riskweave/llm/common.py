@@ -6,12 +6,46 @@ import atexit
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Tables that one piece of work has written."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These results of materialise() stay, as what is returned reads them."""
+        self.kept.update(t._scratch_path for t in tables)
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """What is materialised within is deleted at the end, but for what is kept, which an outer scratch takes over."""
+    own, outer = Scratch(), _scope.get()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+    spark = SparkSession.getActiveSession()
+    for path in own.paths:
+        if path in own.kept:
+            if outer is not None:
+                outer.paths.append(path)
+        elif path in _written:
+            _delete(spark, path)
+            _written.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +68,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{os.getpid()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
 
 
 def forget_at_exit(path: str) -> str:

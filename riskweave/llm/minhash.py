@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import grouped as _groups
-from .common import materialise
+from .common import materialise, scratch
 from .graph import connected_components
 
 MEMO_WORDS, MEMO_BYTES = 200_000, 48  # entries of a memo, and the longest word in it: at most about 40 MB
@@ -132,6 +132,17 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     Two documents are linked if 100 * |A and B| >= similarity_percent * |A or B|; margin is how far below that an estimate
     from the packed bits may lie for the pair to be confirmed (four standard errors by default).
     """
+    with scratch() as tables:
+        signed, known = _components(docs, shingle, similarity_percent, Signer(hashes, bits, bands, rows), (hashes, bits, margin), id_col, text_col)
+        tables.keep(signed, known)
+    placed = signed.select("id", "text_hash", "n_shingles", "digest").join(known, ["digest", "n_shingles"], "left")
+    component = F.coalesce("component", "id")
+    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_hash")
+
+
+def _components(docs: DataFrame, shingle: int, similarity_percent: int, signer: Signer, estimate: tuple[int, int, float], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (id, text_hash, n_shingles, digest) and the component's smallest id of each digest, both written."""
+    hashes, bits, margin = estimate
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("*", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("place"))
@@ -139,7 +150,7 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        shingles, signer = shingler(shingle), Signer(hashes, bits, bands, rows)
+        shingles = shingler(shingle)
         for frame in frames:
             out = []
             for key, text, text_hash, place in frame.itertuples(index=False):
@@ -195,9 +206,7 @@ def minhash_components(docs: DataFrame, *, shingle: int = 5, similarity_percent:
     named = materialise(named.groupBy("component").agg(F.min("rep").alias("least")), "named")
     known = copies.join(components.withColumnRenamed("id", "node"), "node", "left").join(named, "component", "left")
     known = materialise(known.select("digest", "n_shingles", F.coalesce("least", "rep").alias("component")), "known")
-    placed = signed.select("id", "text_hash", "n_shingles", "digest").join(known, ["digest", "n_shingles"], "left")
-    component = F.coalesce("component", "id")
-    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_hash")
+    return signed, known
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity_percent: int) -> DataFrame:

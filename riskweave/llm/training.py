@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .minhash import shingler
 
 SAMPLE_ROWS, SAMPLE_BYTES = 5_000, 64 << 20
@@ -36,6 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, r
     if len(kept) < len(sizes):
         found = found.where(F.col(id_col).isin(kept))
     sample = found.select(id_col, "y", *columns).toPandas().sort_values(id_col, ignore_index=True)
+    discard(found)
     sample["text"] = sample["text"].fillna("")
     sample["weight"] = copy_weights(sample["text"])
     return sample

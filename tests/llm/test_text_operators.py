@@ -160,6 +160,26 @@ def test_minhash_equals_brute_force_on_families_and_chains(spark, size, block, l
     assert minhash_components(docs.limit(0), shingle=size).count() == 0
 
 
+def test_written_tables_go_once_nothing_reads_them(spark):
+    from riskweave.llm import common
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}{j}" for j in range(40)) + (" x" if i % 3 else "")) for i in range(60)], "doc_id long, text string")
+    before = len(common._written)
+    found = minhash_components(docs)
+    assert len(common._written) == before + 2 and found.where("kept").count() == 20  # signatures and components
+    with common.scratch() as outer:
+        with common.scratch() as inner:
+            kept, dropped = common.materialise(docs, "kept"), common.materialise(docs, "dropped")
+            inner.keep(kept)
+        assert kept.count() == 60 and dropped._scratch_path not in common._written
+        outer.keep()
+    assert kept._scratch_path not in common._written
+    with pytest.raises(ZeroDivisionError), common.scratch():
+        common.materialise(docs, "left")
+        raise ZeroDivisionError
+    assert common._scope.get() is None
+
+
 def test_minhash_of_one_id_with_different_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, c), (9, c), (None, c + " end"), (None, "none like it"), (None, "none like it"), (4, "x y"), (4, "y x")]
