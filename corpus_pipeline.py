@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import materialise, table
+from riskweave.llm.common import discard, materialise, scratch, table
 from riskweave.llm.minhash import minhash_components
 from riskweave.llm.packing import added_tokens, best_fit_pack
 from riskweave.llm.quality import quality
@@ -85,7 +85,12 @@ STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("near-dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch() as tables:  # what a stage has written goes once its result is there
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            tables.keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
