@@ -48,11 +48,16 @@ class Heads:
         return Heads(np.array(stored["weights"], dtype=float), stored["history"], stored["selected"])
 
 
+def _nonzero(features: Column) -> Column:
+    """array<struct<k, v>> of the features that aren't 0: what a row costs, however wide it is; null ones count as 0."""
+    return F.filter(F.transform(features, lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda f: f["v"] != 0)
+
+
 def logits(features: Column, weights: np.ndarray) -> Column:
-    """array<double> of every head's logits, in the order of PARTS."""
-    constant = lambda row: F.split(F.lit(",".join(map(repr, row))), ",").cast("array<double>")  # noqa: E731  one literal, not one for each number
-    one = lambda row: F.aggregate(F.zip_with(features, constant(row[:-1]), lambda x, w: x * w), F.lit(row[-1]), lambda s, x: s + x)
-    return F.array(*[one(row) for row in weights.tolist()])
+    """array<double> of every head's logits, in the order of PARTS: one fold over the features that aren't 0."""
+    flat = F.split(F.lit(",".join(map(repr, weights.T.ravel().tolist()))), ",").cast("array<double>")  # folded to one literal, unlike nested arrays
+    column = lambda k: F.slice(flat, k * LOGITS + 1, LOGITS)
+    return F.aggregate(_nonzero(features), column(F.lit(weights.shape[1] - 1)), lambda z, f: F.zip_with(z, column(f["k"]), lambda a, w: a + w * f["v"]))
 
 
 def hashed_features(df: DataFrame, width: int, text: str = "text", to: str = "features") -> DataFrame:
@@ -104,11 +109,12 @@ def epoch(rows: DataFrame, weights: np.ndarray, *, head_weight: float = 0.3, tea
     counts = {"tp": y & p, "fp": ~y & p, "fn": y & ~p}
     train = lambda c: F.when(F.col("_held"), 0.0).otherwise(c)
     parts = {f"_e{i}": train(c) for i, c in enumerate([*own, *taught])} | {f"_s_{n}": train(c) for n, c in sums.items()} | {f"_s_{n}": (F.col("_held") & c).cast("double") for n, c in counts.items()}
-    flat = scored.select(*[c.alias(n) for n, c in parts.items()], F.concat("features", F.array(F.lit(1.0))).alias("_x"))
+    whole = F.struct(F.lit(width - 1).alias("k"), F.lit(1.0).alias("v"))
+    flat = scored.select(*[c.alias(n) for n, c in parts.items()], F.concat(_nonzero(F.col("features")), F.array(whole)).alias("_x"))
     errors = [n for n in parts if n.startswith("_e")]
     totals = [n for n in parts if n.startswith("_s_")]
     last = F.col("_k") == width - 1  # the constant's place also sums up what a row adds once
-    by_feature = flat.select(*parts, F.posexplode("_x").alias("_k", "_v")).groupBy("_k")
+    by_feature = flat.select(*parts, F.inline("_x").alias("_k", "_v")).groupBy("_k")
     found = by_feature.agg(*[F.sum(F.col(e) * F.col("_v")).alias(e) for e in errors], *[F.sum(F.when(last, F.col(t))).alias(t) for t in totals]).collect()  # a row for each feature
     gradient, teacher, total = np.zeros_like(weights), np.zeros((len(TASKS), width)), dict.fromkeys(totals, 0.0)
     for r in found:
@@ -135,7 +141,14 @@ def train(rows: DataFrame, *, epochs: int = 10, rate: float = 0.1, start: np.nda
     to begin with.  history has for each epoch the loss that its step began with and the f1 after it.  Without validation
     rows every f1 is 0, and the first epoch is taken.
     """
-    rows = rows.where(F.col("features").isNotNull())
+    rows = rows.where(F.col("features").isNotNull()).persist()  # features are made once; lost parts are made again
+    try:
+        return _trained(rows, epochs, rate, start, only, monitor, report, weights_of_loss)
+    finally:
+        rows.unpersist()
+
+
+def _trained(rows: DataFrame, epochs: int, rate: float, start: np.ndarray | None, only: str | None, monitor: str, report: Callable[[dict], None] | None, weights_of_loss: dict[str, float]) -> Heads:
     width = (rows.agg(F.max(F.size("features"))).first()[0] or 0) + 1
     weights = np.zeros((LOGITS, width)) if start is None else np.array(start, dtype=float)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)

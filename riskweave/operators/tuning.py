@@ -69,7 +69,7 @@ def temperature_fit(df: DataFrame, *by: str, refinements: int = 2, points: int =
     classes = kept.groupBy(*by).agg((F.min("y") < F.max("y")).alias("_two"))
     for _ in range(refinements):
         around = fitted.select(*by, F.greatest(F.col("_t") / step, F.lit(low)).alias("_low"), F.least(F.col("_t") * step, F.lit(high)).alias("_high"))
-        rows = kept.join(F.broadcast(around), list(by)) if by else kept.crossJoin(F.broadcast(around))  # a row for each group of scores
+        rows = kept.join(around, list(by)) if by else kept.crossJoin(F.broadcast(around))  # without groups it is one row
         at = lambda i: F.col("_low") * F.pow(F.col("_high") / F.col("_low"), F.lit(i / points))  # noqa: E731, B023
         q = lambda i: clip(sigmoid(F.col("z") / at(i)))  # noqa: E731, B023
         losses = F.array(*[F.struct((-F.avg(F.when(F.col("y") == 1, F.ln(q(i))).otherwise(F.ln(1 - q(i))))).alias("nll"), F.min(at(i)).alias("t")) for i in range(points + 1)])

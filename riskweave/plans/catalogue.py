@@ -20,7 +20,7 @@ from ..operators import wordpiece as wp
 from ..sources import METADATA, read_table, spread
 from . import fixtures as fx
 from . import oracles as o
-from .analyze import LEXICON, MOST, analyze, decision_records, flags_of, rule_decisions, with_flags
+from .analyze import LEXICON, MOST, analyze, decision_records, flags_of, rule_decisions, trained_scores, with_flags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -803,6 +803,30 @@ def head_finetune(spark, d):
     return rounded(hd.history_table(spark, hd.train(rows, start=joint.weights, only="prompt_injection", rate=0.03)))
 
 
+def document_heads(spark: SparkSession, d: str) -> hd.Heads:
+    """Heads trained on the hashed words of labelled documents outside the fold held out; severity and action follow the labels."""
+    labelled = docs(spark, d).select("doc_id", "text").join(read_table(spark, d, "labels"), "doc_id").where(~held_out())
+    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
+    tasks = {"dangerous_instruction": toxic, "ethics_risk": toxic, "data_governance_risk": poor}
+    risks = F.array(*[F.coalesce(tasks[t].cast("int"), F.lit(0)) if t in tasks else F.lit(0) for t in TASKS])
+    severity = F.when(toxic, 3).when(poor, 1).otherwise(0)
+    validation = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    rows = hd.hashed_features(spread(labelled), 256).select("features", risks.alias("risks"), severity.alias("severity"), F.when(toxic, 3).when(poor, 2).otherwise(0).alias("action"), validation.alias("held"))
+    return hd.train(rows, epochs=10, rate=0.5, monitor="data_governance_risk")
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+@query("analyze_trained")
+def analyze_trained(spark, d):
+    """Records of all documents with risk, severity and action from heads trained on the labelled ones."""
+    rows = spread(docs(spark, d).select("doc_id", "text"))
+    told = analyze(rows, trained_scores(document_heads(spark, d)), distinct=True)
+    return rounded(told.select("doc_id", held_out().alias("held_out"), "ethics_risk", "data_governance_risk", "severity", "model_action", "action", "policy_reason", "confidence", "abstain"), "confidence")
+
+
 @query("surrogate_heads")
 def surrogate_heads(spark, d):
     """The nine tasks' logistic regressions on hashed words, trained on the synthetic training families, scored on the others."""

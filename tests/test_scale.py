@@ -282,6 +282,18 @@ def test_splits_are_pruned(spark, tmp_path):
     assert read_split(spark, str(tmp_path / "splits"), schema="text string").count() == 2200
 
 
+def test_documents_analyzed_with_trained_heads(spark):
+    sf = "/root/testdata/sf0.01"
+    told = catalogue.queries()["analyze_trained"](spark, sf).toPandas()
+    assert len(told) == 1000 and {"LOW", "MEDIUM"} <= set(told["severity"]) and {"ALLOW", "REVIEW"} <= set(told["model_action"])
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    held = told[told["held_out"]].merge(labels, on="doc_id")
+    area = lambda p, y: np.mean([(a > b) + 0.5 * (a == b) for a in p[y] for b in p[~y]])
+    assert len(held) > 50 and area(held["data_governance_risk"], held["quality"] == 0) > 0.95 and told["ethics_risk"].between(0, 1).all()
+    poor = (held["toxic"] == 0) & (held["quality"] == 0)  # rows whose label is MEDIUM
+    assert held.loc[poor, "severity"].eq("MEDIUM").mean() > 0.5 and held.loc[~poor, "severity"].eq("MEDIUM").mean() < 0.1
+
+
 def test_surrogate_scores_on_held_out_documents(spark):
     scored = catalogue.queries()["surrogate_scores"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     toxic = scored["toxic"] == 1
