@@ -5,7 +5,8 @@ character, a piece's score is its negative rank, and the normaliser is the ident
 Every match of the pre-token pattern is encoded by itself; ids are decoded by looking up each id's bytes.
 
 Defined results: a null text counts as empty (no ids, digests of no bytes); very long pre-tokens take the same path;
-repeated rows each get a row; an empty table gives an empty table; columns besides id and text are ignored.
+repeated rows each get a row, as do rows with a null id, which stays null; an empty table gives an empty table; columns
+besides id and text are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@
 Added tokens of a tokenizers file, which that library also matches in plain text, are matched the same way where given.
 
 Defined results: a null or empty text is one piece of the end id alone; ties go to the smaller gap left; repeated rows are
-packed each; an empty table gives an empty table; other columns are ignored.
+packed each, as are rows with a null id; texts of any length are cut in sequences; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations

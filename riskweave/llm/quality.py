@@ -4,7 +4,9 @@ The pairwise term of features x with factor rows v is half of |sum x v|^2 - sum
 in its features.  The machine is fitted on a bounded sample of labelled rows.
 
 Defined results: null and empty texts have the structure of no words; a null length counts as the text's own; without
-labelled rows of both kinds every score is the share of good rows (1 without rows); other columns are ignored.
+labelled rows of both kinds every score is the share of good rows (1 without rows); every row is scored by itself, also
+repeated ones and those with a null id, which teach nothing; of rows of one labelled id one is learned from; texts of any
+length are scored whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ one count as the drift alone, and after its end every token speaks again, so lat
 In the sum, where segments stand for independent evidence, a token counts in the best segment that holds it.
 
 Defined results: a null or empty text has no segments and scores as one harmless token; without labelled rows of both
-kinds every score is the share of toxic rows (0 without rows); long texts are scanned whole; other columns are ignored.
+kinds every score is the share of toxic rows (0 without rows); every row is scored by itself, also repeated ones and those
+with a null id, which teach nothing; of rows of one labelled id one is learned from; long texts are scanned whole; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

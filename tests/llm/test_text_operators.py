@@ -551,6 +551,64 @@ def test_segments_equal_brute_force():
         assert [(a, b, round(s, 9)) for a, b, s in maximal_segments(scores)] == [(a, b, round(s, 9)) for a, b, s in brute_segments(scores)]
 
 
+def test_damped_segments_equal_their_definition():
+    """From each start that speaks: the highest total, repeats counting as -drift, before the first that isn't positive."""
+    r = random.Random(12)
+
+    def damped(part, names, drift):
+        return sum(-drift if x > 0 and n in names[:i] and any(part[j] > 0 and names[j] == n for j in range(i)) else x for i, (x, n) in enumerate(zip(part, names, strict=True)))
+
+    def plain(scores, names, drift):
+        found, start = [], 0
+        while start < len(scores):
+            if scores[start] > 0:
+                totals = [damped(scores[start:e], names[start:e], drift) for e in range(start + 1, len(scores) + 1)]
+                stop = next((i for i, t in enumerate(totals) if t <= 0), len(totals))
+                best = max(range(stop), key=lambda i: (totals[i], -i))
+                found.append((start, start + best + 1, totals[best]))
+                start += best + 1
+            else:
+                start += 1
+        return found
+
+    for n in range(400):
+        scores = [r.choice([-3, -1, 1, 2, 5]) + r.random() / 8 for _ in range(r.randrange(24))]
+        names = [r.choice("abcd") for _ in scores] if n % 2 else list(range(len(scores)))
+        got = [(a, b, round(t, 9)) for a, b, t in damped_segments(scores, names, 0.7)]
+        assert got == [(a, b, round(t, 9)) for a, b, t in plain(scores, names, 0.7)]
+        if n % 2 == 0:
+            assert max((t for *_, t in got), default=0) == max((round(t, 9) for *_, t in maximal_segments(scores)), default=0)
+
+
+def test_secret_candidates_equal_plain_patterns(monkeypatch):
+    """The linear scans against one pattern for an assignment and one for a key block, tried at every place."""
+    value = re.compile(rf"""(?:{secrets.WORDS.pattern})[A-Za-z0-9_.\-]*+["']?[ \t]*+(?>:=|=>|={{1,2}}|:)[ \t]*+(?>(?:(?:bearer|basic)[ \t]++)?)(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|["']?([^\s"'`;,&<>]+))""", re.IGNORECASE)
+    block = re.compile(rf"{secrets.BEGIN.pattern}(?:[A-Za-z0-9+/=\s:,.\-]*?-----END (?:[A-Z]+ )*?PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]*)")
+
+    def assigned(text):
+        for at in range(len(text)):
+            if m := value.match(text, at):
+                a, b = m.span(m.lastindex)
+                while m.lastindex == 4 and b > a and text[b - 1] in ".,:)]}":
+                    b -= 1
+                if b > a:
+                    yield a, b
+
+    def blocks(text):
+        for m in block.finditer(text):
+            yield m.start(), m.start() + len(m.group().rstrip())
+
+    r = random.Random(7)
+    tokens = ["password", "token", "secret", "_", "-", ".", "s", "main", "=", ":=", "=>", ":", " ", "  ", "\t", '"', "'", "`", "abc", "Bearer ", "basic ", "x1", "\n", ",", ")", "9fe87309f41074dfa91c", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIE/+"]
+    texts = ["".join(r.choice(tokens) for _ in range(r.randint(1, 18))) for _ in range(6_000)]
+    found = [list(secrets.candidates(t)) for t in texts]
+    monkeypatch.setattr(secrets, "_assigned", assigned)
+    monkeypatch.setattr(secrets, "_blocks", blocks)
+    for t, got in zip(texts, found, strict=True):
+        assert got == list(secrets.candidates(t)), t
+    assert sum(map(bool, found)) > 1_000
+
+
 def test_a_document_twice_in_one_text_has_its_passages_twice():
     words = [f"vile{i}" for i in range(6)]
     model = Model({f"{w}$": 3.0 for w in words}, 0.8)
