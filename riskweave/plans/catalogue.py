@@ -17,7 +17,7 @@ from ..operators import metrics as mt
 from ..operators import heads as hd
 from ..operators import ranks, synth, tuning, windows
 from ..operators import wordpiece as wp
-from ..sources import METADATA, read_table, spread
+from ..sources import METADATA, concatenated, read_table, spread
 from . import fixtures as fx
 from . import oracles as o
 from .analyze import LEXICON, MOST, analyze, decision_records, flags_of, rule_decisions, trained_scores, with_flags
@@ -81,6 +81,13 @@ def scan_documents(spark, d):
     return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("concat_sources", "SELECT origin, count(*) AS n, count(id) AS named, sum(length(text)) AS chars, count(role) AS with_role FROM (SELECT 'documents' AS origin, doc_id AS id, text, NULL AS role FROM documents UNION ALL SELECT 'benchmark', item_id, text, NULL FROM benchmark UNION ALL SELECT 'conversations', conv_id, text, role FROM conversations) GROUP BY origin")
+def concat_sources(spark, d):
+    """Three tables' texts as one, by origin; columns that a table lacks are null."""
+    tables = {"documents": docs(spark, d).selectExpr("doc_id AS id", "text"), "benchmark": read_table(spark, d, "benchmark").selectExpr("item_id AS id", "text"), "conversations": read_table(spark, d, "conversations").selectExpr("conv_id AS id", "text", "role")}
+    return concatenated(**tables).groupBy("origin").agg(F.count("*").alias("n"), F.count("id").alias("named"), F.sum(F.length("text")).alias("chars"), F.count("role").alias("with_role"))
+
+
 @query("normalize_text", "SELECT doc_id, md5(lower(replace(replace(text, 'I', 'ı'), 'İ', 'i' || chr(775)))) AS digest FROM documents")
 def normalize_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))

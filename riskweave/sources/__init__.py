@@ -36,6 +36,34 @@ def read_split(spark: SparkSession, path: str, *splits: str, schema: str = LABEL
     return rows.where(F.col("split").isin(*splits)) if splits else rows
 
 
+def write_dataset(df: DataFrame, path: str, name: str) -> None:
+    """A named dataset: Parquet with one folder for each value of the split column."""
+    df.write.partitionBy("split").mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_dataset(spark: SparkSession, path: str, name: str, *splits: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a named dataset with `split`: of the named splits, all without a name, whose folders alone are listed and read.
+
+    With `columns` only these are read.  A split that the dataset has not is an error, not an empty table.
+    """
+    rows = spark.read.parquet(f"{path}/{name}")
+    if splits:
+        known = {r["split"] for r in rows.select("split").distinct().collect()}  # from the folders' names
+        if missing := sorted(set(splits) - known):
+            raise ValueError(f"{name} has no split {', '.join(missing)}")
+        rows = rows.where(F.col("split").isin(*splits))
+    return rows.select(*columns, "split") if columns else rows
+
+
+def concatenated(**tables: DataFrame) -> DataFrame:
+    """The rows of all tables, matched by name, with `origin`, the table's name; a column that one lacks is null in its rows."""
+    parts = [df.withColumn("origin", F.lit(name)) for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def load_temperatures(path: str) -> dict[str, float]:
     """Temperatures by task from a JSON object; other names are ignored, and 1 holds for tasks without one."""
     stored = load_json(path)

@@ -20,7 +20,7 @@ from riskweave.operators import wordpiece as wp
 from riskweave.plans import analyze as an
 from riskweave.plans import catalogue
 from riskweave.plans import fixtures as fx
-from riskweave.sources import BAD, read_rows, read_split, write_splits
+from riskweave.sources import BAD, concatenated, read_dataset, read_rows, read_split, write_dataset, write_splits
 
 SF = "/root/testdata/sf0.001"
 
@@ -282,6 +282,20 @@ def test_splits_are_pruned(spark, tmp_path):
     assert read_split(spark, str(tmp_path / "splits"), schema="text string").count() == 2200
 
 
+def test_named_datasets_are_read_by_split(spark, tmp_path):
+    rows = synth.corpus(spark, 330).withColumn("split", synth.split_of(F.col("family")))
+    write_dataset(rows, str(tmp_path), "made")
+    one = read_dataset(spark, str(tmp_path), "made", "val", columns=("text", "pii"))
+    assert one.columns == ["text", "pii", "split"] and one.count() == rows.where("split = 'val'").count()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "ReadSchema: struct<text:string,pii:int>" in plan
+    assert read_dataset(spark, str(tmp_path), "made").count() == 330 and read_dataset(spark, str(tmp_path), "made", "val", "test").select("split").distinct().count() == 2
+    with pytest.raises(ValueError, match="no split other"):
+        read_dataset(spark, str(tmp_path), "made", "val", "other")
+    both = concatenated(a=rows.select("id", "text"), b=rows.select("text", "pii"))
+    assert both.columns == ["id", "text", "origin", "pii"] and both.where("origin = 'b' AND id IS NULL").count() == 330
+
+
 def test_documents_analyzed_with_trained_heads(spark):
     sf = "/root/testdata/sf0.01"
     told = catalogue.queries()["analyze_trained"](spark, sf).toPandas()
