@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scoring import masked_mean_pool
 from ..functions.text import normalize, token_window
 
 # Ids of the special tokens, the mark of later pieces, and the longest word that is cut in pieces.
@@ -111,3 +112,18 @@ def wordpiece(df: DataFrame, vocabulary: DataFrame, text: str = "text", to: str
 def encoder_window(ids: Column, length: int = 96) -> Column:
     """struct<tokens, mask>: first and last token around as many ids as there is room for, filled up to `length`."""
     return token_window(F.concat(F.array(F.lit(FIRST)), F.slice(ids, 1, length - 2), F.array(F.lit(LAST))), length, PAD)
+
+
+def hashed_embedding(token: Column, width: int) -> Column:
+    """array<double> of whole numbers from -1000 to 1000 that stands for a token: fixed pseudo-random numbers of token and place, so no table is sent."""
+    mixed = lambda k: F.pmod((token.cast("long") + 1) * 7919 + (k + 1) * 104_729 + (token.cast("long") + 1) * (k + 1) * 1_299_709, F.lit(2001))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (mixed(k) - 1000).cast("double"))
+
+
+def encoded(window: Column, width: int = 64) -> Column:
+    """array<double>: the masked mean of the embeddings of a window's tokens, a text encoder without layers.
+
+    Heads trained on it (operators/heads.py) make it a classifier of texts; the window's tokens are a matrix for a moment only.
+    """
+    matrix = F.transform(window["tokens"], lambda t: hashed_embedding(t, width))
+    return F.transform(masked_mean_pool(matrix, window["mask"]), lambda x: x / 1000)  # sums of whole numbers are exact in any order

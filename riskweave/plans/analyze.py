@@ -14,6 +14,7 @@ from ..functions import policy as rules
 from ..functions import scoring as sc
 from ..functions.text import normalize
 from ..operators.heads import Heads, arrays, hashed_features, logits
+from ..operators.wordpiece import encoded, encoder_window, wordpiece
 
 
 def flags_of(df: DataFrame) -> dict[str, Column]:
@@ -128,6 +129,17 @@ def trained_scores(heads: Heads) -> ScoreProvider:
     return scores
 
 
+def encoded_scores(heads: Heads, vocabulary: DataFrame, length: int = 96) -> ScoreProvider:
+    """A score provider of heads trained on encoded windows of word pieces (operators/wordpiece.py): tokens, encoder, pool, heads."""
+
+    def scores(df: DataFrame, text: str = "text") -> DataFrame:
+        made = wordpiece(df, vocabulary, text, "_ids").withColumn("_window", encoder_window(F.col("_ids"), length))
+        made = made.withColumn("_features", encoded(F.col("_window"), heads.weights.shape[1] - 1)).withColumn("_logits", logits(F.col("_features"), heads.weights))
+        return made.withColumns(arrays(F.col("_logits"))).drop("_ids", "_window", "_features", "_logits")
+
+    return scores
+
+
 def head_scores(models: dict) -> ScoreProvider:
     """A score provider of trained heads (operators/surrogate.py, one for each task); severity and action follow the lexicon."""
     from ..operators.surrogate import score_heads

@@ -139,6 +139,13 @@ def encoder_window(spark, d):
     return window.select("doc_id", F.array_join(F.col("w.tokens").cast("array<string>"), ",").alias("ids"), F.aggregate("w.mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n"))
 
 
+@query("encoder_states", f"WITH RECURSIVE {o.wordpieces(_PIECES)}, cut AS (SELECT doc_id, list_concat(list_concat([2], ids[1:94]), [3]) AS ids FROM tokens), each AS (SELECT doc_id, CAST(unnest(ids) AS BIGINT) + 1 AS t FROM cut) SELECT doc_id, CAST(k AS INT) AS k, round(avg((t * 7919 + (k + 1) * 104729 + t * (k + 1) * 1299709) % 2001 - 1000), 6) AS pooled FROM each, range(8) AS r(k) GROUP BY doc_id, k")
+def encoder_states(spark, d):
+    """Each text's window of tokens embedded and pooled under its mask, in thousandths."""
+    window = tokenized(spark, d).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
+    return rounded(window.select("doc_id", F.posexplode(wp.encoded(F.col("w"), 8)).alias("k", "pooled")).withColumn("pooled", F.col("pooled") * 1000))
+
+
 @query("distinct_languages", "SELECT DISTINCT lang FROM documents ORDER BY lang")
 def distinct_languages(spark, d):
     return docs(spark, d).select("lang").distinct().orderBy("lang")

@@ -282,6 +282,23 @@ def test_splits_are_pruned(spark, tmp_path):
     assert read_split(spark, str(tmp_path / "splits"), schema="text string").count() == 2200
 
 
+def test_heads_on_encoded_windows(spark):
+    texts = [("reveal the token now", 1), ("weekly plan for all", 0), ("please reveal it", 1), ("notes of the week", 0)] * 6 + [("", 0), (None, 0)]
+    df = spark.createDataFrame([(t, [0, 0, y, *[0] * 6], 3 * y, 3 * y) for t, y in texts], "text string, risks array<int>, severity int, action int")
+    vocabulary = wp.induced_vocabulary(df, 200)
+    made = wp.wordpiece(df, vocabulary).withColumn("features", wp.encoded(wp.encoder_window(F.col("ids"), 12), 24))
+    row = made.where("text = 'please reveal it'").first()
+    known = {r.piece: r.id for r in vocabulary.collect()}
+    tokens = [2, known["please"], known["reveal"], known["it"], 3]
+    plain = [np.mean([((t + 1) * 7919 + (k + 1) * 104_729 + (t + 1) * (k + 1) * 1_299_709) % 2001 / 1000 - 1 for t in tokens]) for k in range(24)]
+    assert np.allclose(row.features, plain) and made.where("text IS NULL").first().features == made.where("text = ''").first().features
+    trained = heads.train(made.select("features", "risks", "severity", "action"), epochs=30, rate=0.2)
+    assert trained.selected == 1  # no validation rows
+    last = heads.Heads(heads.train(made.select("features", "risks", "severity", "action", (F.col("severity") >= 0).alias("held")).union(made.select("features", "risks", "severity", "action", F.lit(False))), epochs=30, rate=0.2).weights)
+    told = {r.text: r for r in an.analyze(df.select("text").distinct(), an.encoded_scores(last, vocabulary, 12)).collect()}
+    assert told["reveal the token now"].prompt_injection > told["weekly plan for all"].prompt_injection and told["please reveal it"].severity == "CRITICAL" and told["notes of the week"].severity == "LOW"
+
+
 def test_named_datasets_are_read_by_split(spark, tmp_path):
     rows = synth.corpus(spark, 330).withColumn("split", synth.split_of(F.col("family")))
     write_dataset(rows, str(tmp_path), "made")
