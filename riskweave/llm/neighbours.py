@@ -39,7 +39,7 @@ SPREAD = 1024  # rows of a component compared with as many at once
 LEAF = 128  # rows that trees aim at in a leaf
 LANES = 16  # parts that a hub's edges are first cut in
 ATTEMPTS = 4  # growths of trees before labels are compared whole
-AUDIT_MOST = 16_384  # vectors in the largest sample, which the driver holds
+AUDIT_MOST = 16_384  # vectors of each kind in the largest sample, which the driver holds: at most six times as many
 CHUNK = 1024  # sampled vectors that a task compares at once
 
 
@@ -216,11 +216,13 @@ def _audit(reps: DataFrame, edges: DataFrame, components: DataFrame, threshold:
     """
     sizes = components.groupBy("component").agg(F.count("*").alias("members"))
     placed = reps.join(components.join(sizes, "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    small = F.coalesce("members", F.lit(1)) <= few
+    named, small = placed.select("id", "members"), F.coalesce("members", F.lit(1)) <= few
     order = [F.xxhash64("id"), F.col("id")]
     above, below = edges.where(F.col("cosine") >= threshold).orderBy("cosine", "a", "b"), edges.where(F.col("cosine") < threshold).orderBy(F.desc("cosine"), "a", "b")
-    ends = above.limit(audit_rows).union(below.limit(audit_rows)).select(F.explode(F.array("a", "b")).alias("id")).distinct()  # four times audit_rows at most
-    sample = placed.orderBy(*order).limit(audit_rows).union(placed.where(small).orderBy(*order).limit(audit_rows)).union(placed.join(F.broadcast(ends), "id", "left_semi").select(placed.columns)).toPandas().drop_duplicates("id")
+    chosen = above.limit(audit_rows).union(below.limit(audit_rows)).select(F.explode(F.array("a", "b")).alias("id"))
+    for rows in (named, named.where(small)):
+        chosen = chosen.union(rows.orderBy(*order).limit(audit_rows).select("id"))  # ids alone are ordered, no vectors
+    sample = placed.join(F.broadcast(chosen.distinct()), "id", "left_semi").select(placed.columns).toPandas()  # six times audit_rows at most
     chunks = [(int(p), part.iloc[at : at + CHUNK]) for p, part in sample.groupby("place") for at in range(0, len(part), CHUNK)]
     shared = reps.sparkSession.sparkContext.broadcast([(p, part["id"].to_numpy(), part["component"].to_numpy(), _matrix(part["raw"])) for p, part in chunks])
 
