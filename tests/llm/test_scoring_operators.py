@@ -203,7 +203,7 @@ def test_bounds_never_change_a_result(points, k):
         state = centroids._assigned(state, x, centroids._Centroids(c, before))
         plain = centroids.squared(x, np.array(c))
         assert state["cluster"].tolist() == plain.argmin(axis=1).tolist()
-        before, c = c, [[int(v) for v in x[plain.argmin(axis=1) == j].sum(axis=0) // max((plain.argmin(axis=1) == j).sum(), 1)] if (plain.argmin(axis=1) == j).any() else c[j] for j in range(k)]
+        before, c = c, [[int(v) for v in x[plain.argmin(axis=1) == j].sum(axis=0) // max((plain.argmin(axis=1) == j).sum(), 1)] if (plain.argmin(axis=1) == j).any() else c[j] for j in range(len(c))]
 
 
 # --- fill-in-the-middle ---------------------------------------------------------------------------------------------------
