@@ -5,17 +5,20 @@ optionally teacher (array<double> of probabilities, null or not finite where the
 
 The loss is the mean of the tasks' binary cross entropies, plus a share of the two multinomial cross entropies, plus a share
 of the cross entropy with the teacher's targets, cut to [0.01, 0.99], where they are on the label's side of one half.
-An epoch is one aggregation over the table: the gradient of the training rows, as sums by feature, with the losses, and the
-counts of the validation rows at the weights the epoch began with.  The driver holds weights and sums, nothing of the rows.
+An epoch is one aggregation over the table: the gradient of the training rows, as products of matrices that each task sums up
+by feature, with the losses, and the counts of the validation rows at the weights the epoch began with.  The driver holds weights and sums, nothing of the rows.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +51,43 @@ class Heads:
         return Heads(np.array(stored["weights"], dtype=float), stored["history"], stored["selected"])
 
 
-def _nonzero(features: Column) -> Column:
-    """array<struct<k, v>> of the features that aren't 0: what a row costs, however wide it is; null ones count as 0."""
-    return F.filter(F.transform(features, lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda f: f["v"] != 0)
+def _dense(features: pa.ListArray, width: int) -> np.ndarray:
+    """A row of `width` numbers for each list; null lists and null elements count as 0, short lists are filled up with it."""
+    lengths = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False)
+    values = features.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    if lengths.max() > width:
+        raise ValueError(f"features of more than {width} numbers")
+    out = np.zeros((len(lengths), width))
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+    return out
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, in which zeros of a take no part, also where b is not finite."""
+    if np.isfinite(b).all():
+        return a @ b
+    return sum((np.where(a[:, k, None] != 0, a[:, k, None] * b[k], 0.0) for k in range(a.shape[1])), np.zeros((a.shape[0], b.shape[1])))
 
 
 def logits(features: Column, weights: np.ndarray) -> Column:
-    """array<double> of every head's logits, in the order of PARTS: one fold over the features that aren't 0."""
-    flat = F.split(F.lit(",".join(map(repr, weights.T.ravel().tolist()))), ",").cast("array<double>")  # folded to one literal, unlike nested arrays
-    column = lambda k: F.slice(flat, k * LOGITS + 1, LOGITS)
-    return F.aggregate(_nonzero(features), column(F.lit(weights.shape[1] - 1)), lambda z, f: F.zip_with(z, column(f["k"]), lambda a, w: a + w * f["v"]))
+    """array<double> of every head's logits, in the order of PARTS: a product of matrices for each batch of rows; null features give null."""
+
+    @F.arrow_udf("array<double>")
+    def scored(rows: pa.Array) -> pa.Array:
+        z = _times(_dense(rows, weights.shape[1] - 1), weights[:, :-1].T) + weights[:, -1]
+        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * LOGITS, mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))
+
+    return scored(features)
 
 
 def hashed_features(df: DataFrame, width: int, text: str = "text", to: str = "features") -> DataFrame:
     """df with the hashed word counts of its normalised texts, scaled to length 1; null and empty texts have zeros."""
     counted = hashed(df.withColumn("_norm", normalize(F.coalesce(F.col(text), F.lit("")))), "_norm", width)
-    made = counted.withColumn("_counts", vector_to_array("features")).drop("words", "features", "_norm")
-    size = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x * x))
-    return made.withColumn("_size", F.greatest(size, F.lit(1.0))).withColumn(to, F.transform("_counts", lambda x: x / F.col("_size"))).drop("_counts", "_size")
+    scaled = Normalizer(inputCol="features", outputCol="_scaled").transform(counted)
+    return scaled.withColumn("_made", vector_to_array("_scaled")).drop("words", "features", "_norm", "_scaled").withColumnRenamed("_made", to)
 
 
 def arrays(z: Column) -> dict[str, Column]:
@@ -109,13 +131,25 @@ def epoch(rows: DataFrame, weights: np.ndarray, *, head_weight: float = 0.3, tea
     counts = {"tp": y & p, "fp": ~y & p, "fn": y & ~p}
     train = lambda c: F.when(F.col("_held"), 0.0).otherwise(c)
     parts = {f"_e{i}": train(c) for i, c in enumerate([*own, *taught])} | {f"_s_{n}": train(c) for n, c in sums.items()} | {f"_s_{n}": (F.col("_held") & c).cast("double") for n, c in counts.items()}
-    whole = F.struct(F.lit(width - 1).alias("k"), F.lit(1.0).alias("v"))
-    flat = scored.select(*[c.alias(n) for n, c in parts.items()], F.concat(_nonzero(F.col("features")), F.array(whole)).alias("_x"))
     errors = [n for n in parts if n.startswith("_e")]
     totals = [n for n in parts if n.startswith("_s_")]
-    last = F.col("_k") == width - 1  # the constant's place also sums up what a row adds once
-    by_feature = flat.select(*parts, F.inline("_x").alias("_k", "_v")).groupBy("_k")
-    found = by_feature.agg(*[F.sum(F.col(e) * F.col("_v")).alias(e) for e in errors], *[F.sum(F.when(last, F.col(t))).alias(t) for t in totals]).collect()  # a row for each feature
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's sums: for each feature those of the errors times its values, for the constant's place also the totals."""
+        by_feature, whole = np.zeros((width, len(errors))), np.zeros(len(totals))
+        for batch in batches:
+            e = np.column_stack([batch.column(n).fill_null(0.0).to_numpy(zero_copy_only=False) for n in errors])
+            by_feature[:-1] += _times(_dense(batch.column("features"), width - 1).T, e)
+            by_feature[-1] += e.sum(axis=0)
+            whole += [batch.column(n).fill_null(0.0).to_numpy(zero_copy_only=False).sum() for n in totals]
+        once = np.zeros((width, len(totals)))
+        once[-1] = whole
+        made = np.hstack([by_feature, once])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), *(pa.array(c) for c in made.T)], ["_k", *errors, *totals])
+
+    sums_of = ", ".join(["_k int", *(f"{n} double" for n in (*errors, *totals))])
+    by_feature = scored.select("features", *[c.alias(n) for n, c in parts.items()]).mapInArrow(summed, sums_of).groupBy("_k")
+    found = by_feature.agg(*[F.sum(n).alias(n) for n in (*errors, *totals)]).collect()  # a row for each feature
     gradient, teacher, total = np.zeros_like(weights), np.zeros((len(TASKS), width)), dict.fromkeys(totals, 0.0)
     for r in found:
         sums_ = [r[e] for e in errors]

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -188,6 +189,31 @@ def test_epochs_equal_numpy(spark):
     assert [r.epoch for r in table if r.selected] == [made.selected] and len(table) == 4
 
 
+def test_cost_of_heads_grows_with_features_alone(spark):
+    """A row of n features costs n products for each logit; a copy of all weights for each of them takes minutes here."""
+    x = np.random.default_rng(3).standard_normal((600, 4096))
+    x[:, ::5] = 0
+    df = spark.createDataFrame([(r.tolist(), [0] * 9, 0, 0) for r in x], "features array<double>, risks array<int>, severity int, action int").persist()
+    df.count()
+    w = np.random.default_rng(4).standard_normal((heads.LOGITS, 4097)) / 50
+    began = time.perf_counter()
+    got = np.array([r[0] for r in df.select(heads.logits(F.col("features"), w)).collect()])
+    gradient, _ = heads.epoch(df, w)
+    took = time.perf_counter() - began
+    df.unpersist()
+    assert np.allclose(got, x @ w[:, :-1].T + w[:, -1]) and np.allclose(gradient[0], np.column_stack([x, np.ones(600)]).T @ (1 / (1 + np.exp(-got[:, 0]))) / 9 / 600)
+    assert took < 40
+
+
+def test_heads_of_null_and_short_features(spark):
+    df = spark.createDataFrame([(0, [1.0, None, 2.0]), (1, None), (2, []), (3, [3.0])], "i int, features array<double>")
+    w = np.arange(heads.LOGITS * 4, dtype=float).reshape(-1, 4)
+    got = {r.i: r.z for r in df.select("i", heads.logits(F.col("features"), w).alias("z")).collect()}
+    assert got[1] is None and np.allclose([got[0], got[2], got[3]], [w @ [1, 0, 2, 1], w[:, 3], w @ [3, 0, 0, 1]])
+    w[2, 1] = np.inf  # zeros take no part, whatever their weight
+    assert np.isfinite(df.where("i <> 1").select(F.explode(heads.logits(F.col("features"), w)).alias("z")).toPandas()["z"]).all()
+
+
 def test_fine_tuning_moves_one_head_and_saved_heads_score(spark, tmp_path, capsys):
     df = head_frame(spark, head_data())
     joint = heads.train(df, epochs=2)
