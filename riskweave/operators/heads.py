@@ -71,14 +71,19 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((np.where(a[:, k, None] != 0, a[:, k, None] * b[k], 0.0) for k in range(a.shape[1])), np.zeros((a.shape[0], b.shape[1])))
 
 
+def lists(rows: np.ndarray, none: np.ndarray) -> pa.ListArray:
+    """A list for each row of numbers, null where `none` holds."""
+    ends = np.cumsum([0, *np.where(none, 0, rows.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(rows[~none].ravel()))
+
+
 def logits(features: Column, weights: np.ndarray) -> Column:
     """array<double> of every head's logits, in the order of PARTS: a product of matrices for each batch of rows; null features give null."""
 
     @F.arrow_udf("array<double>")
     def scored(rows: pa.Array) -> pa.Array:
         z = _times(_dense(rows, weights.shape[1] - 1), weights[:, :-1].T) + weights[:, -1]
-        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * LOGITS, mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
-        return pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))
+        return lists(z, rows.is_null().to_numpy(zero_copy_only=False))
 
     return scored(features)
 

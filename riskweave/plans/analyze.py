@@ -133,7 +133,7 @@ def encoded_scores(heads: Heads, vocabulary: DataFrame, length: int = 96) -> Sco
     """A score provider of heads trained on encoded windows of word pieces (operators/wordpiece.py): tokens, encoder, pool, heads."""
 
     def scores(df: DataFrame, text: str = "text") -> DataFrame:
-        made = wordpiece(df, vocabulary, text, "_ids").withColumn("_window", encoder_window(F.col("_ids"), length))
+        made = wordpiece(df, vocabulary, text, "_ids", length - 2).withColumn("_window", encoder_window(F.col("_ids"), length))
         made = made.withColumn("_features", encoded(F.col("_window"), heads.weights.shape[1] - 1)).withColumn("_logits", logits(F.col("_features"), heads.weights))
         return made.withColumns(arrays(F.col("_logits"))).drop("_ids", "_window", "_features", "_logits")
 

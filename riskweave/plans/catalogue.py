@@ -115,10 +115,10 @@ def token_window(spark, d):
 _PIECES = 20_000
 
 
-def tokenized(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with ids by a vocabulary of their own pieces."""
+def tokenized(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Documents with ids, the first `most` or all, by a vocabulary of the pieces of all texts."""
     rows = spread(docs(spark, d).select("doc_id", "text"))
-    return wp.wordpiece(rows, wp.induced_vocabulary(rows, _PIECES)).drop("text")
+    return wp.wordpiece(rows, wp.induced_vocabulary(rows, _PIECES), most=most).drop("text")
 
 
 @query("wordpiece_vocabulary", f"WITH RECURSIVE {o.wordpieces(_PIECES)} SELECT piece, id FROM vocab")
@@ -135,14 +135,14 @@ def wordpiece_ids(spark, d):
 @query("encoder_window", f"WITH RECURSIVE {o.wordpieces(_PIECES)}, cut AS (SELECT doc_id, list_concat(list_concat([2], ids[1:94]), [3]) AS ids FROM tokens) SELECT doc_id, array_to_string(list_resize(ids, 96, 0), ',') AS ids, CAST(len(ids) AS BIGINT) AS n FROM cut")
 def encoder_window(spark, d):
     """An encoder's input of 96 ids from the ids of each text."""
-    window = tokenized(spark, d).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
+    window = tokenized(spark, d, 94).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
     return window.select("doc_id", F.array_join(F.col("w.tokens").cast("array<string>"), ",").alias("ids"), F.aggregate("w.mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("n"))
 
 
 @query("encoder_states", f"WITH RECURSIVE {o.wordpieces(_PIECES)}, cut AS (SELECT doc_id, list_concat(list_concat([2], ids[1:94]), [3]) AS ids FROM tokens), each AS (SELECT doc_id, CAST(unnest(ids) AS BIGINT) + 1 AS t FROM cut) SELECT doc_id, CAST(k AS INT) AS k, round(avg((t * 7919 + (k + 1) * 104729 + t * (k + 1) * 1299709) % 2001 - 1000), 6) AS pooled FROM each, range(8) AS r(k) GROUP BY doc_id, k")
 def encoder_states(spark, d):
     """Each text's window of tokens embedded and pooled under its mask, in thousandths."""
-    window = tokenized(spark, d).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
+    window = tokenized(spark, d, 94).select("doc_id", wp.encoder_window(F.col("ids")).alias("w"))
     return rounded(window.select("doc_id", F.posexplode(wp.encoded(F.col("w"), 8)).alias("k", "pooled")).withColumn("pooled", F.col("pooled") * 1000))
 
 

@@ -119,6 +119,36 @@ def test_wordpieces_equal_plain_longest_match(spark):
         assert r.w.tokens == [*kept, *[0] * (6 - len(kept))] and r.w.mask == [1] * len(kept) + [0] * (6 - len(kept))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_pieces_cut_different_chunks_alone(spark):
+    """No array of a text's words is made in the plan: words of distinct chunks are counted, and tasks get texts."""
+    texts = ["a-b  a-b, x\u00a0y\x7fz\x85\u3000q", "İstanbul'da IŞIK\x1c\x00", "w" * 101 + "." + "v" * 300, "", None, "a-b " * 400, "…—\U0001f600s a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    words = lambda t: re.findall(r"[^\x00-\x20!-/:-@\[-`{-\x7F]+|[!-/:-@\[-`{-~]", (t or "").replace("I", "ı").lower())
+    made = wp.induced_vocabulary(df, 500)
+    assert "regexp_extract_all(chunk" in plan_of(made)
+    known = {r.piece: r.id for r in made.collect()}
+    assert {w for t in texts for w in words(t) if len(w) <= 100} <= set(known)
+    whole = wp.wordpiece(df, made)
+    assert "regexp_extract_all" not in plan_of(whole)
+    got = {r.i: r.ids for r in whole.collect()}
+    assert got == {i: [known[w] if len(w) <= 100 else 1 for w in words(t)] for i, t in enumerate(texts)}
+    assert {r.i: r.ids for r in wp.wordpiece(df, made, most=5).collect()} == {i: ids[:5] for i, ids in got.items()}
+    assert {r.i: r.w for r in wp.wordpiece(df, made, most=5).select("i", wp.encoder_window(F.col("ids"), 7).alias("w")).collect()} == {r.i: r.w for r in whole.select("i", wp.encoder_window(F.col("ids"), 7).alias("w")).collect()}
+
+
+def test_windows_are_encoded_as_matrices(spark):
+    df = spark.createDataFrame([(0, [5, 9, 7], [1, 0, 1]), (1, [5, None], [1, 1]), (2, [], []), (3, None, [1]), (4, [4, 4], [1, None]), (5, [8, 8, 8], [1]), (6, [2**31 - 1], [0])], "i int, tokens array<int>, mask array<int>").coalesce(1)
+    out = df.select("i", wp.encoded(F.struct("tokens", "mask"), 3).alias("x"))
+    assert "lambda" not in plan_of(out)
+    number = lambda t, k: ((t + 1) * 7919 + (k + 1) * 104_729 + (t + 1) * (k + 1) * 1_299_709) % 2001 - 1000
+    mean = lambda ts, n: [sum(number(t, k) for t in ts) / n / 1000 for k in range(3)]
+    assert {r.i: r.x for r in out.collect()} == {0: mean([5, 7], 2), 1: mean([5], 2), 2: None, 3: None, 4: mean([4], 1), 5: mean([8], 1), 6: [0.0] * 3}
+
+
 def test_induced_vocabulary(spark):
     df = spark.createDataFrame([("abc abc b",), ("abcdef",), (None,)], "text string")
     got = [(r.piece, r.id) for r in wp.induced_vocabulary(df, 100).orderBy("id").collect()]
@@ -206,7 +236,7 @@ def test_cost_of_heads_grows_with_features_alone(spark):
 
 
 def test_heads_of_null_and_short_features(spark):
-    df = spark.createDataFrame([(0, [1.0, None, 2.0]), (1, None), (2, []), (3, [3.0])], "i int, features array<double>")
+    df = spark.createDataFrame([(0, [1.0, None, 2.0]), (1, None), (2, []), (3, [3.0])], "i int, features array<double>").coalesce(1)
     w = np.arange(heads.LOGITS * 4, dtype=float).reshape(-1, 4)
     got = {r.i: r.z for r in df.select("i", heads.logits(F.col("features"), w).alias("z")).collect()}
     assert got[1] is None and np.allclose([got[0], got[2], got[3]], [w @ [1, 0, 2, 1], w[:, 3], w @ [3, 0, 0, 1]])
