@@ -36,8 +36,15 @@ PATTERNS = {
     "PII_MENTION": r"\b(?:TC kimlik numara\w*|social security number|passport number|müşteri listesi|customer list)\b",
     "EXTERNAL_TRANSFER": r"\b(?:gönder\w*|aktar\w*|send|upload|exfiltrate|API'ye)\b",
 }
-# A literal that every match contains; texts without it skip the pattern.
-NEEDS = {"EMAIL": "@", "PRIVATE_KEY": "-----", "GITHUB_TOKEN": "_", "DB_CREDENTIAL": "://", "ENV_SECRET": "=", "IP": "."}
+# What every match contains: literals of the folded text (see folded), one of each list; and a pattern that is cheap to refuse.
+# Texts without them skip the detector's pattern.
+NEEDS = {
+    "EMAIL": (["@"],), "IP": (["."],), "ADDRESS": ([":", "="], ["adres", "addres"]), "NAME": ([":", "="], ["ad soyad", "full name", "müşteri adi"]), "CUSTOMER_ID": ([":", "="], ["müşteri no", "customer id"]),
+    "API_KEY": ([":", "="], ["api", "token"]), "BEARER": (["bearer"],), "PRIVATE_KEY": (["-----"],), "GITHUB_TOKEN": (["_"], ["ghp_", "gho_", "ghs_", "ghu_"]), "AWS_KEY": (["akia", "asia"],),
+    "PASSWORD": ([":", "="], ["password", "parola", "şifre"]), "DB_CREDENTIAL": (["://"], ["postgres", "mysql", "mongodb"]), "ENV_SECRET": (["="], ["secret", "token", "password", "key"]),
+    "PII_MENTION": (["tc kimlik numara", "social security number", "passport number", "müşteri listesi", "customer list"],), "EXTERNAL_TRANSFER": (["gönder", "aktar", "send", "upload", "exfiltrate", "api'ye"],),
+}
+SHAPES = {"TC_KIMLIK": "[0-9]{11}", "PHONE": r"(?U)5\d{2}[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2}", "IP": r"[0-9]\.[0-9]{1,3}\.[0-9]", "CARD": r"(?U)(?:\d[ -]?){13}", "IBAN": r"(?U)[Rr]\d{2} ?\d{4}"}
 # What a match may be besides: runs without the @ that a credential needs are matched whole and left out afterwards, or each
 # start in a run would read the run's rest again.
 SPARE = {"DB_CREDENTIAL": r"\b(?:postgres|mysql|mongodb)://[^\s:@]++:[^\s@]*+(?!@\S)"}
@@ -98,19 +105,33 @@ def _before(lengths: Column) -> Column:
     return _let(lengths, whole)
 
 
-def possible(text: Column, kind: str) -> Column:
-    """Whether the detector's pattern occurs at all; cheap literals are looked for first."""
-    occurs = text.rlike(_regex(kind))
-    if kind in NEEDS:
-        return F.contains(text, F.lit(NEEDS[kind])) & occurs
-    return text.rlike("[0-9]") & occurs if kind in ("TC_KIMLIK", "PHONE", "CARD") else occurs
+def folded(text: Column) -> Column:
+    """Lower case in which every letter that patterns take for an ASCII one is that: dotted and dotless i, long s, the sign of kelvins."""
+    plain = text
+    for other, letter in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        plain = F.replace(plain, F.lit(other), F.lit(letter))
+    return F.lower(plain)
 
 
-def _matches(text: Column, kind: str, n: int) -> Column:
+def _needed(text: Column, lower: Column, kind: str) -> Column | None:
+    """Whether the text holds what every match of the detector contains; null if the detector says nothing of it."""
+    tests = [reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in any_of]) for any_of in NEEDS.get(kind, ())]
+    tests += [text.rlike(SHAPES[kind])] if kind in SHAPES else []
+    return reduce(lambda a, b: a & b, tests)
+
+
+def possible(text: Column, kind: str, lower: Column | None = None) -> Column:
+    """Whether the detector's pattern occurs, in texts in which a valid span may be; literals and plain shapes are looked for first."""
+    if lower is None:
+        return _let(F.struct(text.alias("text"), folded(text).alias("lower")), lambda x: possible(x["text"], kind, x["lower"]))
+    return _needed(text, lower, kind) & text.rlike(_regex(kind))
+
+
+def _matches(text: Column, kind: str, n: int, lower: Column) -> Column:
     """struct<n, type, values, gaps> of one detector: its matches and the texts before and between them; null without any."""
     pattern = _regex(kind)
     found = F.struct(F.lit(n).alias("n"), F.lit(kind).alias("type"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(possible(text, kind), found)
+    return F.when(possible(text, kind, lower), found)
 
 
 def _placed(x: Column) -> Column:
@@ -124,21 +145,24 @@ def _placed(x: Column) -> Column:
     return _let(values, lambda vs: F.zip_with(vs, _before(F.transform(vs, lambda v: v["gap"] + v["length"])), span))
 
 
-def occurs(text: Column, kind: str) -> Column:
+def occurs(text: Column, kind: str, lower: Column | None = None) -> Column:
     """Whether the detector has a span, without placing it."""
     if kind not in VALID:
-        return possible(text, kind)
-    return F.when(possible(text, kind), F.exists(F.regexp_extract_all(text, F.lit(_regex(kind)), F.lit(0)), VALID[kind])).otherwise(F.lit(False))
+        return possible(text, kind, lower)
+    return F.when(possible(text, kind, lower), F.exists(F.regexp_extract_all(text, F.lit(_regex(kind)), F.lit(0)), VALID[kind])).otherwise(F.lit(False))
 
 
 def occurs_any(text: Column, kinds: tuple[str, ...]) -> Column:
     """Whether any of the detectors has a span; the first that has ends the search."""
-    return F.coalesce(reduce(lambda a, b: a | b, [occurs(text, k) for k in sorted(kinds, key=lambda k: (k not in NEEDS, k in VALID))]), F.lit(False))
+    first = sorted(kinds, key=lambda k: (k in SHAPES, k in VALID))
+    any_of = _let(F.struct(text.alias("text"), folded(text).alias("lower")), lambda x: reduce(lambda a, b: a | b, [occurs(x["text"], k, x["lower"]) for k in first]))
+    return F.coalesce(any_of, F.lit(False))
 
 
 def evidence(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """Spans of the detectors ordered by (start, end, declaration); null texts have none."""
-    found = F.filter(F.array(*[_matches(text, k, n) for n, k in enumerate(kinds)]), lambda x: x.isNotNull())
+    both = F.struct(text.alias("text"), folded(text).alias("lower"))
+    found = F.filter(_let(both, lambda x: F.array(*[_matches(x["text"], k, n, x["lower"]) for n, k in enumerate(kinds)])), lambda x: x.isNotNull())
     every = F.flatten(F.transform(found, _placed))
     if any(k in VALID for k in kinds):
         every = F.filter(every, lambda s: reduce(lambda chain, k: chain.when(s["type"] == k, VALID[k](s["text"])), VALID, F).otherwise(F.lit(True)))
@@ -213,7 +237,7 @@ def evidence_sql(text: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> str:
     found = []
     for n, kind in enumerate(kinds):
         pattern = f'r"{_regex(kind)}"'
-        need = f"contains({text}, '{NEEDS[kind]}') AND " if kind in NEEDS else f"{text} RLIKE '[0-9]' AND " if kind in ("TC_KIMLIK", "PHONE", "CARD") else ""
+        need = f"{text} RLIKE r'{SHAPES[kind]}' AND " if kind in SHAPES else f"contains({text}, '{NEEDS[kind][0][0]}') AND " if len(NEEDS[kind][0]) == 1 and not NEEDS[kind][0][0].isalpha() else ""
         found.append(f"CASE WHEN {need}{text} RLIKE {pattern} THEN named_struct('n', {n}, 'type', '{kind}', 'values', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1)) END")
     values = "zip_with(x.values, slice(x.gaps, 1, size(x.values)), (v, gap) -> named_struct('text', v, 'gap', length(gap), 'length', length(v)))"
     span = "named_struct('start', p + v.gap, 'end', p + v.gap + v.length, 'n', x.n, 'type', x.type, 'text', v.text)"

@@ -296,8 +296,8 @@ def evidence_flags(spark, d):
 
 @query("evidence_chips", f"WITH {o.SRC}, {o.ALL} SELECT id, string_agg(type || ' · ' || substr(text, 1, 80), '|' ORDER BY start, \"end\", n) AS chips FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, \"end\", n) AS rn FROM spans) WHERE rn <= 12 GROUP BY id")
 def evidence_chips(spark, d):
-    labels = ev.chips(ev.evidence(F.col("text")))
-    return texts(spark, d).select("id", F.array_join(labels, "|").alias("chips")).where("chips <> ''")
+    labels = F.array_join(ev.chips(ev.evidence(F.col("text"))), "|")
+    return texts(spark, d).select("id", F.explode(F.filter(F.array(labels), lambda c: c != "")).alias("chips"))  # a condition on an alias would make the evidence twice
 
 
 @query("policy_reason_counts", f"WITH {o.SRC}, {o.ALL}, {o.FLAGS} SELECT split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, count(*) AS n FROM (SELECT {o.RULES} AS v FROM flags) GROUP BY ALL")
@@ -780,9 +780,9 @@ WHEN agent AND (shell OR (database AND network)) AND NOT human_approval THEN 'RE
 
 @query("analyze_documents", _ANALYZE + f" SELECT id, {', '.join(f'round({t}, 6) AS {t}' for t in TASKS)}, {_name(SEVERITIES, 'sev')} AS severity, {_name(ACTIONS, 'act')} AS model_action, split_part(v, '/', 1) AS action, split_part(v, '/', 2) AS policy_reason, round_even(c, 4) AS confidence, v = 'REVIEW/uncertain' AS abstain, n_evidence FROM told")
 def analyze_documents(spark, d):
-    """Texts and flags to records: evidence and scores of the lexicon, once for each different text; temperatures, floors, confidence, policy."""
+    """Texts and flags to records: evidence and scores of the lexicon, row by row without a shuffle of texts; temperatures, floors, confidence, policy."""
     flags = {"agent": "id % 3 = 0", "shell": "id % 6 = 0", "database": "id % 4 = 0", "network": "id % 8 <> 0", "human_approval": "id % 9 = 0", "external_api": "id % 5 = 0"}
-    told = analyze(texts(spark, d).withColumns({f: F.expr(x) for f, x in flags.items()}), temperatures=_HEAT, distinct=True)
+    told = analyze(texts(spark, d).withColumns({f: F.expr(x) for f, x in flags.items()}), temperatures=_HEAT)
     shown = told.select("id", *TASKS, "severity", "model_action", "action", "policy_reason", "confidence", "abstain", F.size("evidence").cast("bigint").alias("n_evidence"))
     return rounded(shown, "confidence")
 
@@ -837,7 +837,7 @@ def held_out() -> Column:
 def analyze_trained(spark, d):
     """Records of all documents with risk, severity and action from heads trained on the labelled ones."""
     rows = spread(docs(spark, d).select("doc_id", "text"))
-    told = analyze(rows, trained_scores(document_heads(spark, d)), distinct=True)
+    told = analyze(rows, trained_scores(document_heads(spark, d)))
     return rounded(told.select("doc_id", held_out().alias("held_out"), "ethics_risk", "data_governance_risk", "severity", "model_action", "action", "policy_reason", "confidence", "abstain"), "confidence")
 
 

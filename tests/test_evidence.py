@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import evidence as ev
+from riskweave.plans import catalogue
 from riskweave.functions import text as tx
 from riskweave.plans import fixtures as fx
 
@@ -88,3 +89,22 @@ def test_every_detector_takes_time_in_proportion_to_the_text(spark, kind):
     began = time.perf_counter()
     rows.select(F.size(ev.spans(F.col("t"), kind)).alias("n"), ev.occurs(F.col("t"), kind).alias("o")).write.format("noop").mode("overwrite").save()
     assert time.perf_counter() - began < 1.5 * len(cases)  # 160 KB of one of them took 16 s where each start read its run's rest
+
+
+def test_spans_of_letters_that_fold(spark):
+    """Texts skip a detector's pattern by literals of the folded text, which has every letter that the pattern takes for an ASCII one."""
+    texts = ["\u017fEND it", "A\u212aIA" + "A" * 16, "TC KİML\u0131K NUMARAsı", "passw\u00f6rd: abcdefgh", "CU\u017fTOMER İD: abcde", "MÜŞTERİ ADI: Ali Veli", "ad\u017fes: somewhere 12", "X_TO\u212aEN=abcdefgh", "ba\u017fic BEARER " + "a" * 16, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    plain = df.select("i", *[F.size(F.regexp_extract_all("t", F.lit(ev._regex(k)), F.lit(0))).alias(k) for k in ev.PATTERNS if k not in ev.VALID]).collect()
+    told = df.select("i", F.transform(ev.evidence(F.col("t")), lambda s: s["type"]).alias("types"), *[ev.occurs(F.col("t"), k).alias(k) for k in ev.PATTERNS]).collect()
+    for a, b in zip(plain, told, strict=True):
+        wanted = {k: max(a[k] or 0, 0) for k in ev.PATTERNS if k not in ev.VALID}
+        assert {k: (b.types or []).count(k) for k in wanted} == wanted and {k: bool(b[k]) for k in wanted} == {k: n > 0 for k, n in wanted.items()}
+    assert sum(len(r.types or []) for r in told) >= 7
+
+
+def test_evidence_is_made_once_in_plans(spark):
+    plan = lambda q: catalogue.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    once = spark.range(1).select(ev.evidence(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString().count("type, EMAIL")
+    assert plan("evidence_chips").count("type, EMAIL") == once > 0
+    assert "sha2" not in plan("analyze_documents") and "sha2" not in plan("analyze_trained")
